@@ -8,12 +8,38 @@ from thalweg.llm.common import table
 from thalweg.llm.tokens import tokenizer_path
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thalweg.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op2_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thalweg.llm.editprint import edit_fingerprints
+
+    return edit_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thalweg.llm.toxicity import score_toxicity, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from thalweg.llm.tokens import count_tokens
 
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thalweg.llm.quality import score_quality, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from thalweg.llm.pfor import token_files
 
@@ -33,7 +59,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op2_edit_fingerprints": op2_edit_fingerprints,
+    "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
+    "op6_quality": op6_quality,
     "op8_token_files": op8_token_files,
     "op9_decontamination": op9_decontamination,
     "op10_license_scan": op10_license_scan,
