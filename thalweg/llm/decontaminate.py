@@ -76,9 +76,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, block_
     """Mark the words of each text that windows of ``width`` benchmark words cover.
 
     A document is contaminated if at least one word in twenty is hit. Returns
-    doc_id, n_words, n_hit, n_items, items_sha256, contaminated, the columns
-    named in ``keep`` and, if asked for, the hit ranges in code points of the
-    original; one row for each input row. Null and empty texts have no words
+    doc_id, n_words, n_hit, n_items, items_sha256, contaminated and, if asked
+    for, the hit ranges in code points of the original; one row for each input
+    row. With ``keep`` these columns of ``docs`` are carried along and the
+    results' names begin with an underscore. Null and empty texts have no words
     and are clean; items without words or id find nothing; equal items share
     their windows and are all listed.
 
@@ -126,4 +127,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, block_
             return pa.record_batch([batch.column("doc_id"), *found, *(batch.column(k) for k in kept)], names=["doc_id", *(c for c, _ in results), *kept])
 
         out = map_arrow(out, mark, ends if last else out.schema)
-    return out.select("doc_id", *(c for c, _ in results), *[F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)])
+    return out.select(*[F.col(c).alias(f"_{c}" if keep else c) for c in ("doc_id", *(c for c, _ in results))], *[F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)])

@@ -46,6 +46,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thalweg.llm.substrings import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), length=400)
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from thalweg.llm.pfor import token_files
 
@@ -71,6 +77,7 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_quality": op6_quality,
+    "op7_repeated_substrings": op7_repeated_substrings,
     "op8_token_files": op8_token_files,
     "op9_decontamination": op9_decontamination,
     "op10_license_scan": op10_license_scan,

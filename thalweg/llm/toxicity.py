@@ -118,8 +118,10 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled:
 
 
 def score_toxicity(docs: DataFrame, model: tuple[dict[bytes, float], float], keep: tuple[str, ...] = (), fold: int = 5, held: int = 0) -> DataFrame:
-    """Score every whole text: doc_id, held_out, score in (0, 1), predicted (score >= 0.5) and the columns in ``keep``.
+    """Score every whole text: doc_id, held_out, score in (0, 1), predicted (score >= 0.5).
 
+    With ``keep`` these columns of ``docs`` are carried along and the results
+    are named _doc_id, _held_out, _score, _predicted.
     One row for each input row, no shuffle; a null or empty text gets the
     score of no feature at all.
     """
@@ -144,4 +146,5 @@ def score_toxicity(docs: DataFrame, model: tuple[dict[bytes, float], float], kee
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod(F.col("doc_id"), fold) == held).alias("held_out"), F.coalesce("text", F.lit("")).alias("_text"), *[F.col(c).alias(f"_keep_{k}") for k, c in enumerate(keep)])
     schema = ", ".join(["doc_id long, held_out boolean, score double, predicted int", *(f"_keep_{k} {rows.schema[f'_keep_{k}'].dataType.simpleString()}" for k in range(len(keep)))])
-    return map_arrow(rows, score, schema).select("doc_id", "held_out", "score", "predicted", *[F.col(f"_keep_{k}").alias(c) for k, c in enumerate(keep)])
+    own = ["doc_id", "held_out", "score", "predicted"]
+    return map_arrow(rows, score, schema).select(*[F.col(c).alias(f"_{c}" if keep else c) for c in own], *[F.col(f"_keep_{k}").alias(c) for k, c in enumerate(keep)])
