@@ -317,10 +317,10 @@ def s10_wkt_points(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(F.col("event_id").alias("k"), F.expr("'POINT (' || cast(user_id as string) || '.25 -' || cast(event_id % 90 as string) || '.5)'").alias("w")).select("k", lon.alias("lon"), lat.alias("lat"))
 
 
-@query("SELECT id, lon, lat, kind FROM (SELECT id, CASE WHEN id % 4 = 0 THEN lat ELSE lon END AS a, CASE WHEN id % 4 = 0 THEN lon ELSE lat END AS b, lon, lat, kind FROM pts) WHERE lon BETWEEN 19 AND 28 AND lat BETWEEN 34 AND 42", "pts")
+@query("SELECT id, lon, lat, kind FROM (SELECT id, CASE WHEN id % 4 = 0 THEN lat ELSE lon END AS a, CASE WHEN id % 4 = 0 THEN lon ELSE lat END AS b, lon, lat, kind FROM pts) WHERE lon BETWEEN -150 AND -100 AND lat BETWEEN -55 AND 5", "pts")
 def p11_swap_inverted(spark: SparkSession, sf: str) -> DataFrame:
-    p = view(spark, sf, "pts").where("lon between 19 and 28 and lat between 34 and 42").selectExpr("id", "CASE WHEN id % 4 = 0 THEN lat ELSE lon END AS lon", "CASE WHEN id % 4 = 0 THEN lon ELSE lat END AS lat", "kind")
-    return L.swap_inverted(p, "lon", "lat", (19, 34, 28, 42))
+    p = view(spark, sf, "pts").where("lon between -150 and -100 and lat between -55 and 5").selectExpr("id", "CASE WHEN id % 4 = 0 THEN lat ELSE lon END AS lon", "CASE WHEN id % 4 = 0 THEN lon ELSE lat END AS lat", "kind")
+    return L.swap_inverted(p, "lon", "lat", (-150, -55, -100, 5))
 
 
 @query("SELECT p.id, p.lon, p.lat, m.v FROM pts p LEFT JOIN (SELECT round(lon, 1) AS x, round(lat, 1) AS y, min(v) AS v FROM pts WHERE id % 2 = 0 GROUP BY 1, 2) m ON m.x = round(p.lon, 1) AND m.y = round(p.lat, 1)", "pts")
