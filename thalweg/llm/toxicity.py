@@ -19,6 +19,36 @@ def features_of(text: str) -> set[bytes]:
     return out
 
 
+def strengths(text: str, known: dict[int, dict[bytes, int]], dense: float = 0.004) -> dict[int, float]:
+    """How strongly each known feature stands in a text: {place: value in (0, 1]}.
+
+    A feature has full strength if it makes up ``dense`` of the words, and in
+    short texts if it occurs at all; single words of long texts hardly count.
+    ``known`` has the places by the length of the beginning, 0 for whole words.
+    """
+    words = alnum_words(text)
+    seen = set(words)
+    most = max(1.0, dense * len(words))
+    out = {}
+    for n, places in known.items():
+        if n == 0:
+            for f in places.keys() & seen:
+                out[places[f]] = min(1.0, words.count(f) / most)
+        else:
+            found = places.keys() & {w[:n] for w in seen if len(w) > n}
+            for f in found:
+                out[places[f]] = min(1.0, sum(len(w) > n and w.startswith(f) for w in words) / most)
+    return out
+
+
+def by_length(names: list[bytes]) -> dict[int, dict[bytes, int]]:
+    """Places of the features by the length of the beginning that they stand for, 0 for whole words."""
+    out: dict[int, dict[bytes, int]] = {}
+    for k, f in enumerate(names):
+        out.setdefault(len(f) - 1 if f[:1] == b"^" else 0, {})[f[1:] if f[:1] == b"^" else f] = k
+    return out
+
+
 def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 300, rate: float = 0.05, decay: float = 1e-4, beta: float = 0.0) -> np.ndarray:
     """Weights (bias last) of a linear classifier under the non-negative risk with a logistic loss.
 
@@ -49,10 +79,11 @@ def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int
     return w
 
 
-def _bits(text: str, places: dict[bytes, int], n: int) -> bytes:
+def _vector(text: str, known: dict[int, dict[bytes, int]], n: int) -> bytes:
     x = np.zeros(n, np.uint8)
-    x[[places[f] for f in features_of(text) & places.keys()]] = 1
-    return np.packbits(x).tobytes()
+    for k, v in strengths(text, known).items():
+        x[k] = round(255 * v)
+    return x.tobytes()
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: int = 12000, negatives: int = 4000, size: int = 1024, fold: int = 5, held: int = 0) -> tuple[dict[bytes, float], float]:
@@ -93,17 +124,20 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled:
     table = map_arrow(sample, counts, "feature binary, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     both = (F.col("p") + F.col("u")) / F.lit(float(n_p + n_u))
     z = (F.col("p") / F.lit(float(n_p)) - F.col("u") / F.lit(float(n_u))) / F.sqrt(both * (1 - both) * F.lit(1 / n_p + 1 / n_u) + F.lit(1e-12))
-    names = [r[0] for r in table.where("p >= 3").withColumn("z", z).where("z > 3").orderBy(F.desc("z"), "feature").limit(size).select("feature").collect()]
+    # no feature can be more than 1 / prior times as frequent in toxic as in all texts; one far below that says little,
+    # and many such would add up in long texts
+    lift = 1 + 0.25 * (1 / prior - 1)
+    names = [r[0] for r in table.where("p >= 3").withColumn("z", z).where((F.col("z") > 3) & (F.col("p") / F.lit(float(n_p)) >= F.lit(lift / n_u) * F.col("u"))).orderBy(F.desc("z"), "feature").limit(size).select("feature").collect()]
     names = [bytes(x) for x in names]
     if not names:
         return {}, float(np.log(prior / (1 - prior)))
-    places = {f: k for k, f in enumerate(names)}
+    known = by_length(names)
 
     def vectors(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.record_batch([batch.column("kind"), pa.array([_bits(t, places, len(places)) for t in batch.column("text").to_pylist()], pa.binary())], names=["kind", "bits"])
+        return pa.record_batch([batch.column("kind"), pa.array([_vector(t, known, len(names)) for t in batch.column("text").to_pylist()], pa.binary())], names=["kind", "x"])
 
-    got = map_arrow(sample.select("kind", "text"), vectors, "kind string, bits binary").collect()  # bounded: size / 8 bytes for each sampled row
-    x = {k: np.unpackbits(np.frombuffer(b"".join(bytes(r["bits"]) for r in got if r["kind"] == k), np.uint8).reshape(-1, -(-len(names) // 8)), axis=1, count=len(names)) for k in "pun"}
+    got = map_arrow(sample.select("kind", "text"), vectors, "kind string, x binary").collect()  # bounded: ``size`` bytes for each sampled row
+    x = {k: np.frombuffer(b"".join(bytes(r["x"]) for r in got if r["kind"] == k), np.uint8).reshape(-1, len(names)).astype(np.float32) / 255 for k in "pun"}
     w = nnpu(x["p"], x["u"], prior)
     weights, bias = w[:-1], float(w[-1])
     if len(x["n"]):
@@ -129,17 +163,10 @@ def score_toxicity(docs: DataFrame, model: tuple[dict[bytes, float], float], kee
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
         weights, bias = shared.value
-        short = {n: {f for f in weights if f[:1] == b"^" and len(f) == n + 1} for n in (4, 5, 6)}
-        values = []
+        names = list(weights)
+        known, values = by_length(names), []
         for text in batch.column("_text").to_pylist():
-            words = set(alnum_words(text))
-            g = bias
-            for f in weights.keys() & words:
-                g += weights[f]
-            for n, known in short.items():
-                if known:
-                    for f in known & {b"^" + w[:n] for w in words if len(w) > n}:
-                        g += weights[f]
+            g = bias + sum(weights[names[k]] * v for k, v in strengths(text, known).items())
             values.append(float(1 / (1 + np.exp(-min(30.0, max(-30.0, g))))))
         kept = [c for c in batch.schema.names if c.startswith("_keep_")]
         return pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(values, pa.float64()), pa.array([int(v >= 0.5) for v in values], pa.int32()), *(batch.column(c) for c in kept)], names=["doc_id", "held_out", "score", "predicted", *kept])
