@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from thalweg.llm.common import materialize
@@ -36,44 +37,55 @@ def cells_of(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").cast("double").alias("mass")).where("mass > 0")
 
 
-def targets_of(cells: DataFrame, dimension: str, given: dict[str, float] | None) -> DataFrame:
-    """Target share of each level that occurs: as given (rescaled to the levels that occur), else tempered."""
-    spark = cells.sparkSession
-    levels = cells.groupBy(dimension).agg(F.sum("mass").alias("m"))
-    if given is not None:
-        wanted = spark.createDataFrame([(k, float(v)) for k, v in given.items()], f"{dimension} string, w double")
-        levels = levels.join(wanted, dimension, "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
-    else:
-        levels = levels.withColumn("w", F.pow("m", F.lit(TEMPER[dimension])))
-    total = levels.agg(F.sum("w").alias("total"))
-    return levels.join(F.broadcast(total)).select(dimension, (F.col("w") / F.col("total")).alias("target"))  # one row on the right
+def with_goals(cells: DataFrame, targets: dict[str, dict[str, float]]) -> tuple[DataFrame, float]:
+    """The cells with the mass that each level of each dimension shall have, and the total mass.
+
+    Shares are as given (rescaled to the levels that occur), else the observed
+    ones tempered. The window sums run over cells, which are few beside the
+    documents, and three sums and the total reach the driver.
+    """
+    out, spread = cells, []
+    for d in DIMENSIONS:
+        have = F.sum("mass").over(W.partitionBy(d))
+        if d in targets:
+            wanted = F.lit(0.0)
+            for level, share in targets[d].items():
+                wanted = F.when(F.col(d) == level, float(share)).otherwise(wanted)
+        else:
+            wanted = F.pow(have, F.lit(TEMPER[d]))
+        out = out.withColumn(f"_have_{d}", have).withColumn(f"_goal_{d}", wanted)
+        spread.append(F.sum(F.col(f"_goal_{d}") * F.col("mass") / F.col(f"_have_{d}")).alias(d))  # a level's cells share it out
+    out = materialize(out, "goals")
+    sums = out.agg(F.sum("mass").alias("total"), *spread).first()
+    total = sums["total"] or 0.0
+    return out.select(*DIMENSIONS, "mass", *[(F.col(f"_goal_{d}") * F.lit(total / sums[d] if sums[d] else 0.0)).alias(f"goal_{d}") for d in DIMENSIONS]), total
 
 
 def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = 30, tolerance: float = 1e-6) -> DataFrame:
     """Weights of the cells whose weighted mass has the target marginals: source, lang, topic, mass, weight.
 
     Each round scales the weights to the marginals of one dimension after the
-    other; a round is one plan over the small cell table, written out so that
-    the lineage stays short, and a single number (the largest relative error of
-    a marginal before its scaling) tells when to stop.
+    other. Two rounds are one plan over the small cell table, written out so
+    that the lineage stays short, and a single number (the largest relative
+    error of a marginal before its last scaling) tells when to stop.
     """
-    targets = targets or {}
-    goal = {d: materialize(targets_of(cells, d, targets.get(d)), "targets").persist() for d in DIMENSIONS}
-    now = cells.withColumn("weight", F.lit(1.0)).withColumn("off", F.lit(1.0))
-    total = cells.agg(F.sum("mass")).first()[0]
+    now, total = with_goals(cells, targets or {})
+    now = now.withColumn("weight", F.lit(1.0))
+    goals = [f"goal_{d}" for d in DIMENSIONS]
     if not total:
-        return now.drop("off")
-    for _ in range(rounds):
-        off = F.lit(0.0)
-        for d in DIMENSIONS:
-            have = now.groupBy(d).agg(F.sum(F.col("mass") * F.col("weight")).alias("have"))
-            scale = have.join(goal[d], d).select(d, F.when(F.col("have") > 0, F.col("target") * F.lit(total) / F.col("have")).otherwise(F.lit(0.0)).alias(f"by_{d}"))
-            now = now.join(scale, d).withColumn("weight", F.col("weight") * F.col(f"by_{d}"))
-            off = F.greatest(off, F.when(F.col(f"by_{d}") > 0, F.abs(F.col(f"by_{d}") - 1)).otherwise(0.0))
-        now = materialize(now.select(*DIMENSIONS, "mass", "weight", off.alias("off")).coalesce(1), "raking")
+        return now.drop(*goals)
+    for _ in range(0, rounds, 2):
+        for _ in range(2):
+            off = F.lit(0.0)
+            for d in DIMENSIONS:
+                have = F.sum(F.col("mass") * F.col("weight")).over(W.partitionBy(d))
+                now = now.withColumn(f"_by_{d}", F.when(have > 0, F.col(f"goal_{d}") / have).otherwise(F.lit(0.0))).withColumn("weight", F.col("weight") * F.col(f"_by_{d}"))
+                off = F.greatest(off, F.when(F.col(f"_by_{d}") > 0, F.abs(F.col(f"_by_{d}") - 1)).otherwise(0.0))
+            now = now.select(*DIMENSIONS, "mass", *goals, "weight", off.alias("off"))
+        now = materialize(now, "raking")
         if (now.agg(F.max("off")).first()[0] or 0.0) < tolerance:
             break
-    return now.drop("off")
+    return now.drop("off", *goals)
 
 
 def label(docs: DataFrame, *more: str) -> DataFrame:
@@ -102,8 +114,8 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, see
     rows = label(docs, F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(seed)).alias("_draw"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(keep)])
     cells = materialize(cells_of(label(docs)), "cells")
     raked = rake(cells, targets)
-    top = raked.agg(F.max("weight").alias("top"))
-    weights = raked.join(F.broadcast(top)).select(*DIMENSIONS, "weight", F.when(F.col("top") > 0, F.col("weight") / F.col("top")).otherwise(0.0).alias("probability"))
+    top = raked.agg(F.max("weight")).first()[0] or 0.0
+    weights = raked.select(*DIMENSIONS, "weight", (F.col("weight") / F.lit(top) if top > 0 else F.lit(0.0)).alias("probability"))
     out = rows.join(weights, list(DIMENSIONS), "left")
     uniform = F.pmod(F.col("_draw"), F.lit(1 << 53)) / F.lit(float(1 << 53))
     probability = F.when(F.col("n_tokens") > 0, F.coalesce("probability", F.lit(0.0))).otherwise(0.0)
