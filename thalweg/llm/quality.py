@@ -59,7 +59,7 @@ def train(docs: DataFrame, labels: DataFrame, each: int = 2048, rank: int = 64,
 
     got = map_arrow(rows, vectors, "doc_id long, quality int, v binary").toArrow()
     order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
-    x = np.frombuffer(b"".join(got["v"].to_pylist()), np.float16).reshape(len(order), -1)[order].astype(np.float32)
+    x = np.frombuffer(b"".join(got["v"].to_pylist()), np.float16).reshape(len(order), HASHED + 11)[order].astype(np.float32)
     y = got["quality"].to_numpy()[order].astype(np.float32)
     if not len(x):
         return {"project": np.zeros((HASHED, 1), np.float32), "refs": np.zeros((0, 12), np.float32), "y": y, "scale": np.ones(11, np.float32), "mean": np.zeros(11, np.float32)}
