@@ -127,16 +127,19 @@ def closure(net: RiverNetwork, include_self: bool = True, seeds: DataFrame | Non
 
     Pairs within 2**k edges are joined with the jumps over 2**k edges to give
     those within 2**(k+1): each pair is made once. With ``seeds`` (a column id)
-    only their upstream areas are built, by walking up from them.
+    only their pairs are built, the jumps being taken upstream from them.
     """
-    if seeds is not None:
-        return _walk_up(net, seeds, include_self)
-    state = {"pairs": net.edges.select(F.col("id").alias("stream"), F.col("id").alias("base"), F.lit(0).cast("long").alias("hops"), F.lit(0.0).alias("dist"))}
+    own = net.edges.select("id") if seeds is None else seeds.select(F.col("id").cast("long").alias("id")).distinct().join(net.edges.select("id"), "id", "left_semi")
+    state = {"pairs": own.select(F.col("id").alias("stream"), F.col("id").alias("base"), F.lit(0).cast("long").alias("hops"), F.lit(0.0).alias("dist"))}
 
     def step(jump: DataFrame, k: int) -> None:
         pairs = state["pairs"]
-        j = jump.select(F.col("id").alias("base"), F.col("to").alias("_to"), F.col("d").alias("_d"), F.col("h").alias("_h"))
-        longer = pairs.join(j, "base").select("stream", F.col("_to").alias("base"), (F.col("hops") + F.col("_h")).alias("hops"), (F.col("dist") + F.col("_d")).alias("dist"))
+        if seeds is None:
+            j = jump.select(F.col("id").alias("base"), F.col("to").alias("_to"), F.col("d").alias("_d"), F.col("h").alias("_h"))
+            longer = pairs.join(j, "base").select("stream", F.col("_to").alias("base"), (F.col("hops") + F.col("_h")).alias("hops"), (F.col("dist") + F.col("_d")).alias("dist"))
+        else:
+            j = jump.select(F.col("to").alias("stream"), F.col("id").alias("_id"), F.col("d").alias("_d"), F.col("h").alias("_h"))
+            longer = pairs.join(j, "stream").select(F.col("_id").alias("stream"), "base", (F.col("hops") + F.col("_h")).alias("hops"), (F.col("dist") + F.col("_d")).alias("dist"))
         state["pairs"] = materialize(pairs.unionByName(longer), "closure")
 
     _doubled(net.links.select("id", F.col("target").alias("to"), F.col("weight").alias("d"), F.lit(1).cast("long").alias("h")), {"d": F.col("d"), "h": F.col("h")}, step)
@@ -144,24 +147,6 @@ def closure(net: RiverNetwork, include_self: bool = True, seeds: DataFrame | Non
     return pairs if include_self else pairs.where("hops > 0")
 
 
-def _walk_up(net: RiverNetwork, seeds: DataFrame, include_self: bool, max_hops: int | None = None) -> DataFrame:
-    links = materialize(net.links, "links")
-    wave = materialize(seeds.select(F.col("id").alias("base")).distinct().join(net.edges.select(F.col("id").alias("base")), "base", "left_semi").select("base", F.col("base").alias("stream"), F.lit(0).cast("long").alias("hops"), F.lit(0.0).alias("dist")), "wave")
-    waves = [wave] if include_self else []
-    empty, k = wave.limit(0), 0
-    while max_hops is None or k < max_hops:
-        up = links.select(F.col("target").alias("stream"), F.col("id").alias("_id"), "weight")
-        wave = materialize(wave.join(up, "stream").select("base", F.col("_id").alias("stream"), (F.col("hops") + 1).alias("hops"), (F.col("dist") + F.col("weight")).alias("dist")), "wave")
-        if wave.isEmpty():
-            break
-        waves.append(wave)
-        k += 1
-    out = empty
-    for w in waves:
-        out = out.unionByName(w)
-    return out
-
-
 def walk_down(net: RiverNetwork, seeds: DataFrame, include_self: bool = True) -> DataFrame:
     """(base, stream, hops, dist): the path from each seed to its outlet, by pointer doubling from the seeds."""
     state = {"pairs": seeds.select(F.col("id").alias("base")).distinct().join(net.edges.select(F.col("id").alias("base")), "base", "left_semi").select("base", F.col("base").alias("stream"), F.lit(0).cast("long").alias("hops"), F.lit(0.0).alias("dist"))}
