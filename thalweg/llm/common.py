@@ -12,53 +12,38 @@ Conventions that every operator of this subpackage follows:
 
 from __future__ import annotations
 
-import re
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from thalweg.plans.scratch import materialize, partitions, scratch_path  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where none is set (tests on one machine)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = current.get() if current.isDefined() else None
-    if not root:
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="thalweg-")
-        spark.sparkContext.setCheckpointDir(root)
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = current.get()
-    return root
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/thalweg-{name}-{uuid.uuid4().hex}"
+def text_rows(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, text (null: empty) and the further columns asked for."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, with the schema kept."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: What Python workers keep between tasks: name -> what empties it.
+_KEPT: dict[str, Callable[[], None]] = {}
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def keeps(name: str, clear: Callable[[], None]) -> None:
+    """Registers a cache of this worker."""
+    _KEPT[name] = clear
 
 
-def text_rows(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, text (null: empty) and the further columns asked for."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
+def only(*names: str) -> None:
+    """Empties the worker's other caches, so that an operator does not run beside those of the one before."""
+    for name, clear in _KEPT.items():
+        if name not in names:
+            clear()
 
 
 def small_batches(batches: Iterable[pa.RecordBatch], most_bytes: int = 8 << 20, most_rows: int = 2048) -> Iterator[pa.RecordBatch]:
@@ -72,10 +57,11 @@ def small_batches(batches: Iterable[pa.RecordBatch], most_bytes: int = 8 << 20,
             yield batch.slice(at, step)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, most_bytes: int = 8 << 20, most_rows: int = 2048) -> DataFrame:
-    """``fn`` over bounded Arrow batches."""
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, most_bytes: int = 8 << 20, most_rows: int = 2048, cache: str = "") -> DataFrame:
+    """``fn`` over bounded Arrow batches; ``cache`` names the worker's cache that it uses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(cache)
         for batch in small_batches(batches, most_bytes, most_rows):
             out = fn(batch)
             if out is not None and out.num_rows:
@@ -104,6 +90,3 @@ def space_words(text: str) -> list[bytes]:
 def crc_mod(column, m: int):
     """crc32 of the id as text, modulo ``m``, as a column."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % F.lit(m)
-
-
-_LETTER = re.compile(r"[^\W\d_]+")
