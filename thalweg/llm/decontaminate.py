@@ -10,9 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thalweg.llm.common import alnum_words, map_arrow
+from thalweg.llm.common import alnum_words, keeps, map_arrow
 
 _AUTOMATA: dict = {}
+keeps("automata", _AUTOMATA.clear)
 
 
 def windows_of(words: list[bytes], width: int) -> list[tuple[str, int]]:
@@ -126,5 +127,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, block_
                 found.append(pa.array([[{"begin": a, "end": b} for a, b in spans(t, h)] if f else [] for t, h, f in rows], pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))))
             return pa.record_batch([batch.column("doc_id"), *found, *(batch.column(k) for k in kept)], names=["doc_id", *(c for c, _ in results), *kept])
 
-        out = map_arrow(out, mark, ends if last else out.schema)
+        out = map_arrow(out, mark, ends if last else out.schema, cache="automata")
     return out.select(*[F.col(c).alias(f"_{c}" if keep else c) for c in ("doc_id", *(c for c, _ in results))], *[F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)])

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thalweg.llm.common import map_arrow, materialize, partitions, space_words, text_rows
+from thalweg.llm.common import keeps, map_arrow, materialize, partitions, space_words, text_rows
 from thalweg.llm.components import Forest, components
 
 COORDINATES = 64
@@ -33,6 +33,7 @@ POSTED = 32
 _A = np.random.default_rng(20240607).integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _M = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _HASHES: dict[bytes, int] = {}
+keeps("words", _HASHES.clear)
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
@@ -96,7 +97,7 @@ def _sketch(docs: DataFrame, width: int) -> DataFrame:
             signs.append(signature(x).tobytes() if len(x) else None)
         return pa.record_batch([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(signs, pa.binary())], names=["doc_id", "n_shingles", "set", "sign"])
 
-    return map_arrow(text_rows(docs), look, "doc_id long, n_shingles long, set binary, sign binary")
+    return map_arrow(text_rows(docs), look, "doc_id long, n_shingles long, set binary, sign binary", cache="words")
 
 
 def _in_groups(rows: DataFrame, key: str, payload: list[str], block: int, kernel: Callable[[list[list]], list[tuple[int, int]]]) -> DataFrame:
@@ -227,7 +228,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, block: int
         return pa.record_batch([batch.column("node"), batch.column("component"), pa.array([x.tobytes() for x in found], pa.binary())], names=["node", "component", "hashes"])
 
     texts = text_rows(docs).join(candidates.withColumnRenamed("node", "doc_id"), "doc_id").withColumnRenamed("doc_id", "node")
-    full = materialize(map_arrow(texts, sets, "node long, component long, hashes binary").where("length(hashes) > 0"), "sets")
+    full = materialize(map_arrow(texts, sets, "node long, component long, hashes binary", cache="words").where("length(hashes) > 0"), "sets")
     links = _in_groups(full, "component", ["hashes"], block // 2, _confirm_kernel(share))
     named = sketch.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set")).alias("set")).join(classes.select("set", "node"), "set", "left")
     first = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a <> last").select("doc_id", "a")  # ids that repeat with other texts

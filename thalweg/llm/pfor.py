@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thalweg.llm.common import partitions, scratch_path, small_batches, text_rows
+from thalweg.llm.common import only, partitions, scratch_path, small_batches, text_rows
 from thalweg.llm.tokens import _encoder, encode_words
 
 BLOCK = 128
@@ -175,6 +175,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, segment_ids:
     path = path or scratch_path(spark, "token-ids")
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("tokens")
         encoder = _encoder(tokenizer, counts=False)
         kind = np.uint16 if encoder.tokenizer.get_vocab_size() <= 65536 else np.uint32
         end = np.array([end_id], kind).tobytes()

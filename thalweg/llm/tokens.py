@@ -16,7 +16,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from thalweg.llm.common import map_arrow, text_rows
+from thalweg.llm.common import keeps, map_arrow, text_rows
 
 #: White space of any kind other than the plain space and line feed, and format characters near it.
 #: A superset of what the libraries call white space: a text that holds one is encoded as a whole.
@@ -193,10 +193,11 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, huge: int = 32_7
             names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
         )
 
-    return map_arrow(text_rows(docs), count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_arrow(text_rows(docs), count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", cache="tokens")
 
 
 _ENCODERS: dict = {}
+keeps("tokens", _ENCODERS.clear)
 
 
 def _encoder(path: str, counts: bool) -> PieceEncoder:
