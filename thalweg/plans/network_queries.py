@@ -52,13 +52,13 @@ def g2_upstream_min_max_count(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumnRenamed("id", "subc_id")
 
 
-def _stat(stat: str, duck: str, focal: bool):
+def _stat(stat: str, duck: str, focal: bool, digits: int = 4):
     heads = "" if focal else " WHERE hops > 0 OR base NOT IN (SELECT target FROM net)"
 
-    @query(closed(f"SELECT base AS subc_id, round({duck}, 4) AS v FROM (SELECT base, stream FROM c{heads}) JOIN attrs a ON a.subc_id = stream GROUP BY base"), "net", "attrs")
+    @query(closed(f"SELECT base AS subc_id, round({duck}, {digits}) AS v FROM (SELECT base, stream FROM c{heads}) JOIN attrs a ON a.subc_id = stream GROUP BY base"), "net", "attrs")
     def run(spark: SparkSession, sf: str) -> DataFrame:
         out = N.upstream_variable(_net(spark, sf), view(spark, sf, "attrs"), ["price_mean"], stat, include_focal=focal, on="subc_id")
-        return out.select(F.col("base").alias("subc_id"), F.round("price_mean", 4).alias("v"))
+        return out.select(F.col("base").alias("subc_id"), F.round("price_mean", digits).alias("v"))
 
     name = f"g2_upstream_{stat}" + ("_with_focal" if focal else "")
     QUERIES[name], SQL[name] = QUERIES.pop("run"), SQL.pop("run")
@@ -66,7 +66,7 @@ def _stat(stat: str, duck: str, focal: bool):
 
 _stat("mean", "avg(price_mean)", False)
 _stat("median", "median(price_mean)", True)
-_stat("sd", "stddev_samp(price_mean)", False)
+_stat("sd", "stddev_samp(price_mean)", False, 3)
 
 
 @query(closed("SELECT base AS subc_id, round(sum(n_orders), 0)::BIGINT AS n FROM c JOIN attrs a ON a.subc_id = stream WHERE base IN (5, 17, 40, 99) GROUP BY base"), "net", "attrs")
