@@ -7,13 +7,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+# a mean of prices in cents can end in half a cent, which engines round either way; the small shift keeps means off such ties
 VIEWS: dict[str, str] = {
     "net": "SELECT c_custkey AS subc_id, CASE WHEN c_custkey = 0 THEN -1 ELSE c_custkey div 2 END AS target, abs(c_acctbal) + 1 AS length, c_mktsegment = 'MACHINERY' AS barrier FROM customer",
     "net_forest": "SELECT c_custkey AS subc_id, CASE WHEN c_custkey < 8 THEN -1 ELSE c_custkey div 2 END AS target, abs(c_acctbal) + 1 AS length, c_mktsegment = 'MACHINERY' AS barrier, c_nationkey AS nation FROM customer",
     "net_deep": "SELECT p_partkey AS subc_id, CASE WHEN p_partkey % 200 = 0 THEN -1 ELSE p_partkey - 1 END AS target, p_retailprice AS length FROM part",
     "occ": "SELECT o_orderkey AS site_id, o_orderpriority AS species, o_custkey AS subc_id, o_orderdate FROM orders",
     "dams": "SELECT s_suppkey AS site_id, s_suppkey * 15 + s_suppkey % 7 AS subc_id, CASE WHEN s_suppkey % 3 = 0 THEN 'existing' ELSE 'planned' END AS status, abs(s_acctbal) AS power_mw FROM supplier",
-    "attrs": "SELECT o_custkey AS subc_id, o_custkey % 4 AS tile, round(avg(o_totalprice), 2) AS price_mean, round(min(o_totalprice), 2) AS price_min, round(max(o_totalprice), 2) AS price_max, count(*) AS n_orders FROM orders GROUP BY o_custkey",
+    "attrs": "SELECT o_custkey AS subc_id, o_custkey % 4 AS tile, round(avg(o_totalprice) + 0.0013, 2) AS price_mean, round(min(o_totalprice), 2) AS price_min, round(max(o_totalprice), 2) AS price_max, count(*) AS n_orders FROM orders GROUP BY o_custkey",
     "cells": "SELECT l_orderkey AS cell_row, l_linenumber AS cell_col, max(l_suppkey) AS zone, CASE WHEN min(l_discount) = 0 THEN NULL ELSE sum(l_quantity) END AS value FROM lineitem GROUP BY l_orderkey, l_linenumber",
     "pts": "SELECT event_id AS id, round(CAST((user_id % 360) - 180 + (event_id % 1000) / 1000.0 AS DOUBLE), 4) AS lon, round(CAST((user_id % 170) - 85 + (event_id % 1250) / 1250.0 AS DOUBLE), 4) AS lat, event_type AS kind, value AS v FROM events",
     "catalog": "SELECT 'env/' || lower(replace(p_brand, '#', '')) || '/' || lower(replace(p_brand, '#', '')) || '_h' || lpad(CAST(p_size % 36 AS VARCHAR), 2, '0') || 'v' || lpad(CAST(p_size % 18 AS VARCHAR), 2, '0') || '.zip' AS file_path, 'id' || CAST(p_partkey AS VARCHAR) AS file_id, p_partkey * 1000 + p_size AS file_size FROM part",
