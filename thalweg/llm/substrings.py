@@ -101,6 +101,19 @@ def samples(text: bytes, length: int, context: int) -> tuple[np.ndarray, np.ndar
     return names[at[change]], at[change], change, last
 
 
+def _pack(places: np.ndarray, firsts: np.ndarray, lasts: np.ndarray) -> np.ndarray:
+    """First start (40 bits), place of the sample after it and number of starts after the first (12 bits each) in one number."""
+    if len(firsts) and (max((places - firsts).max(), (lasts - firsts).max()) >= 1 << 12 or firsts.max() >= 1 << 39):
+        raise ValueError("length is too large")
+    return (firsts << 24) | ((places - firsts) << 12) | (lasts - firsts)
+
+
+def _unpack(where: int) -> tuple[int, int, int]:
+    """First and last start, and the sample's place after the first."""
+    first = where >> 24
+    return first, first + (where & 0xFFF), (where >> 12) & 0xFFF
+
+
 def _flags(rows: list[tuple[int, bytes]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, start relative to the slice, repeated?) of all starts of a bucket's distinct slices.
 
@@ -132,9 +145,9 @@ def _runs(flag: np.ndarray) -> list[tuple[int, int]]:
 
 def _bucket_runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Sorts one bucket after the other: rows come ordered by name; gives (name, mark, begin, end) of repeated starts."""
-    held: list[tuple[bytes, int, bytes, int]] = []
+    held: list[tuple[int, int, bytes, int]] = []
     now = None
-    out: list[tuple[int, bytes, int, int]] = []
+    out: list[tuple[int, int, int, int]] = []
 
     def close() -> None:
         if not held:
@@ -154,7 +167,7 @@ def _bucket_runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
 
     def batch_of() -> pa.RecordBatch:
         columns = list(zip(*out, strict=True))
-        return pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())], names=["name", "mark", "begin", "end"])
+        return pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())], names=["name", "mark", "begin", "end"])
 
     for batch in small_batches(batches):
         for name, mark, place, piece, n in zip(*(batch.column(c).to_pylist() for c in ("name", "mark", "place", "piece", "n")), strict=True):
@@ -182,9 +195,9 @@ def _wide_runs(slices: DataFrame, length: int) -> DataFrame:
             marks += [mark] * len(x)
             at.append(rel)
             keys.append(_mix(x + (rel - place).astype(np.uint64) * np.uint64(_BASE)))
-        return pa.record_batch([pa.array(names, pa.int64()), pa.array(marks, pa.binary()), pa.array(np.concatenate(at), pa.int64()), pa.array(np.concatenate(keys).astype(np.int64), pa.int64())], names=["name", "mark", "begin", "rank"])
+        return pa.record_batch([pa.array(names, pa.int64()), pa.array(marks, pa.int64()), pa.array(np.concatenate(at), pa.int64()), pa.array(np.concatenate(keys).astype(np.int64), pa.int64())], names=["name", "mark", "begin", "rank"])
 
-    every = map_arrow(slices, starts, "name long, mark binary, begin long, rank long", most_bytes=1 << 20)
+    every = map_arrow(slices, starts, "name long, mark long, begin long, rank long", most_bytes=1 << 20)
     repeated = every.groupBy("name", "rank").agg(F.count("*").alias("m")).where("m > 1").select("name", "rank")
     some = every.join(repeated, ["name", "rank"], "left_semi").select("name", "mark", "begin", (F.col("begin") + 1).alias("end"))
     whole = slices.where("n > 1").select("name", "mark", F.lit(0).cast("long").alias("begin"), (F.length("piece") - length + 1).cast("long").alias("end"))
@@ -209,51 +222,58 @@ def spans_and_rest(docs: DataFrame, length: int = 400, context: int = 120, bucke
     rows = text_rows(docs).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
 
     def find(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = [samples(t.encode("utf-8", "surrogatepass"), length, context) for t in batch.column("text").to_pylist()]
-        keys = np.repeat(batch.column("key").to_numpy(), [len(x[0]) for x in out])
-        return pa.record_batch([pa.array(keys, pa.int64()), *(pa.array(np.concatenate([x[k] for x in out]).astype(np.int64), pa.int64()) for k in range(4))], names=["key", "name", "place", "first", "last"])
-
-    found = materialize(map_arrow(rows.select("key", "text"), find, "key long, name long, place long, first long, last long"), "samples")
-    twice = found.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-    wanted = found.join(twice, "name", "left_semi").groupBy("key").agg(F.collect_list(F.struct("name", "place", "first", "last")).alias("found"))
+        keys, names, counts, places = [], [], [], []
+        for key, t in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            name, place, first, last = samples(t.encode("utf-8", "surrogatepass"), length, context)
+            order = np.argsort(name, kind="stable")
+            name = name[order]
+            begin = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else order
+            keys.append(np.full(len(begin), key, np.int64))
+            names.append(name[begin].astype(np.int64))
+            counts.append(np.diff(np.concatenate([begin, [len(name)]])))
+            places.append(_pack(place, first, last)[order])
+        ends = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
+        return pa.record_batch([pa.array(np.concatenate(keys), pa.int64()), pa.array(np.concatenate(names), pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(places), pa.int64()))], names=["key", "name", "where"])
+
+    # a text names each of its samples once, with all their places, however often a line repeats in it
+    found = materialize(map_arrow(rows.select("key", "text"), find, "key long, name long, where array<long>"), "samples")
+    twice = found.groupBy("name").agg(F.sum(F.size("where")).alias("n")).where("n > 1").select("name")
+    wanted = found.join(twice, "name", "left_semi").groupBy("key").agg(F.collect_list(F.struct("name", "where")).alias("found"))
     hit = materialize(rows.join(wanted, "key").select("doc_id", "key", "text", "found"), "repeating-texts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        seen: set[int] = set()
         for batch in small_batches(batches, 1 << 20):
-            keys, names, pieces, places, marks, firsts = [], [], [], [], [], []
+            out: list[tuple] = []
             for key, text, got in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True):
-                raw, done = text.encode("utf-8", "surrogatepass"), set()
+                raw, here = text.encode("utf-8", "surrogatepass"), {}
                 for s in got:
-                    first = s["first"]
-                    if first in done:  # the sample of a row that stands twice in the table
-                        continue
-                    done.add(first)
-                    piece = raw[first : s["last"] + length]
-                    place = s["place"] - first
-                    mark = hashlib.blake2b(piece + place.to_bytes(8, "little"), digest_size=12).digest()
-                    keys.append(key)
-                    names.append(s["name"])
-                    places.append(place)
-                    firsts.append(first)
-                    marks.append(mark)
-                    pieces.append(None if mark in seen else piece)
-                    seen.add(mark)
+                    for where in set(s["where"]):
+                        first, last, place = _unpack(where)
+                        piece = raw[first : last + length]
+                        mark = int.from_bytes(hashlib.blake2b(piece + place.to_bytes(8, "little"), digest_size=8).digest(), "little", signed=True)
+                        if (s["name"], mark) in here:
+                            here[s["name"], mark][1].add(first)
+                        else:
+                            here[s["name"], mark] = (place, {first}, None if mark in seen else piece)
+                            seen.add(mark)
+                out += [(key, name, place, mark, sorted(firsts), piece) for (name, mark), (place, firsts, piece) in here.items()]
             if len(seen) > 500_000:
                 seen.clear()
-            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(names, pa.int64()), pa.array(places, pa.int64()), pa.array(firsts, pa.int64()), pa.array(marks, pa.binary()), pa.array(pieces, pa.binary())], names=["key", "name", "place", "first", "mark", "piece"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["key", "name", "place", "mark", "firsts", "piece"])
 
-    slices = materialize(hit.select("key", "text", "found").mapInArrow(cut, "key long, name long, place long, first long, mark binary, piece binary"), "slices")
+    slices = materialize(hit.select("key", "text", "found").mapInArrow(cut, "key long, name long, place long, mark long, firsts array<long>, piece binary"), "slices")
     # one copy of each distinct slice; the counts are summed map-side, so a slice that stands everywhere costs nothing
-    distinct = materialize(slices.groupBy("name", "mark").agg(F.count("*").alias("n"), F.first("piece", ignorenulls=True).alias("piece"), F.min("place").alias("place")), "distinct-slices")
+    distinct = materialize(slices.groupBy("name", "mark").agg(F.sum(F.size("firsts")).alias("n"), F.first("piece", ignorenulls=True).alias("piece"), F.min("place").alias("place")), "distinct-slices")
     wide = distinct.groupBy("name").agg(F.count("*").alias("m")).where(F.col("m") > bucket).select("name")
     narrow, tail = distinct, None
     if not wide.isEmpty():
         narrow, tail = distinct.join(wide, "name", "left_anti"), distinct.join(wide, "name", "left_semi")
-    runs = narrow.repartition(partitions(spark), "name").sortWithinPartitions("name").select("name", "mark", "place", "piece", "n").mapInArrow(lambda batches: _bucket_runs(batches, length), "name long, mark binary, begin long, end long")
+    runs = narrow.repartition(partitions(spark), "name").sortWithinPartitions("name").select("name", "mark", "place", "piece", "n").mapInArrow(lambda batches: _bucket_runs(batches, length), "name long, mark long, begin long, end long")
     if tail is not None:
         runs = runs.unionByName(_wide_runs(tail, length))
-    ranges = slices.select("key", "name", "mark", "first").join(runs, ["name", "mark"]).groupBy("key").agg(F.collect_set(F.struct((F.col("first") + F.col("begin")).alias("begin"), (F.col("first") + F.col("end") - 1 + length).alias("end"))).alias("ranges"))
+    ranges = slices.select("key", "name", "mark", "firsts").join(runs, ["name", "mark"]).groupBy("key").agg(F.collect_list(F.struct("firsts", "begin", "end")).alias("ranges"))
 
     def take_out(batch: pa.RecordBatch) -> pa.RecordBatch:
         removed, count, sha, kept, spans = [], [], [], [], []
@@ -261,8 +281,9 @@ def spans_and_rest(docs: DataFrame, length: int = 400, context: int = 120, bucke
             raw = text.encode("utf-8", "surrogatepass")
             gone = np.zeros(len(raw) + 1, np.int32)
             for r in got:
-                gone[r["begin"]] += 1
-                gone[r["end"]] -= 1
+                firsts = np.array(r["firsts"])
+                np.add.at(gone, firsts + r["begin"], 1)
+                np.add.at(gone, firsts + r["end"] - 1 + length, -1)
             flag = np.cumsum(gone)[:-1] > 0
             rest = np.frombuffer(raw, np.uint8)[~flag].tobytes()
             edges = _runs(flag)
