@@ -220,3 +220,12 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r["kind"], r["n"]) for r in spark.table("counts").collect()) == [("a", 2), ("b", 1)]
+
+
+def test_scratch_tables(spark):
+    from thalweg.plans import scratch
+
+    t = scratch.materialize(spark.range(5), "five")
+    assert t.count() == 5 and t.schema == spark.range(5).schema
+    assert scratch.drop_scratch(spark) >= 1
+    assert scratch.drop_scratch(spark) == 0

@@ -25,8 +25,21 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+_PATHS: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/thalweg-{name}-{uuid.uuid4().hex}"
+    _PATHS.append(f"{scratch_root(spark)}/thalweg-{name}-{uuid.uuid4().hex}")
+    return _PATHS[-1]
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Deletes what this process wrote; to be called when no DataFrame made from it is needed any more."""
+    conf, gone = spark._jsparkSession.sessionState().newHadoopConf(), 0
+    while _PATHS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
