@@ -226,6 +226,6 @@ def test_scratch_tables(spark):
     from thalweg.plans import scratch
 
     t = scratch.materialize(spark.range(5), "five")
-    assert t.count() == 5 and t.schema == spark.range(5).schema
+    assert t.count() == 5 and t.dtypes == spark.range(5).dtypes
     assert scratch.drop_scratch(spark) >= 1
     assert scratch.drop_scratch(spark) == 0
