@@ -313,6 +313,22 @@ def test_mixing(spark, texts):
     assert X.mix(docs.limit(0)).collect() == []
 
 
+def test_tiny_levels_do_not_starve_the_mix(spark, words):
+    rng = random.Random(8)
+    rows = [(k, " ".join(rng.choice(words) for _ in range(80)), "en" if k % 3 else "fr", "a" if k % 4 else "b") for k in range(1000)]
+    schema = "doc_id long, text string, lang string, source string"
+    share = lambda r: X.mix(spark.createDataFrame(r, schema)).where("sampled").count() / len(r)
+    plain = share(rows)
+    assert plain > 0.5
+    assert abs(share([*rows, (9000, "two words", "en", None)]) - plain) < 0.02
+    # source and language of one document alone want different masses of it
+    with pytest.warns(RuntimeWarning, match="not settled"):
+        assert abs(share([*rows, (9000, "two words", None, None)]) - plain) < 0.02
+    # many small sources hold much of the goal: half of the tokens is still drawn
+    with pytest.warns(RuntimeWarning, match="drawn whole"):
+        assert share([*rows, *[(10000 + k, "two words", "en", f"s{k}") for k in range(300)]]) > 0.5
+
+
 def test_word_counts_of_mixing(spark):
     rows = [("", 0), (None, 0), ("a", 1), (" a b\nc ", 3), ("   ", 0)]
     got = spark.createDataFrame([(t,) for t, _ in rows], "text string").select(X.n_tokens_of(F.col("text")).alias("n")).collect()

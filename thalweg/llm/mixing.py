@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +13,10 @@ from thalweg.llm.common import materialize
 DIMENSIONS = ("source", "lang", "topic")
 #: Power of each level's observed share that makes its default target: below 1 small levels gain.
 TEMPER = {"source": 0.7, "lang": 0.7, "topic": 1.0}
+#: Share of the raked mass that may be in cells too small for their goal; they are drawn whole and fall short of it.
+SLACK = 0.01
+#: Share of the tokens that is drawn at least where all targets are the default ones.
+LEAST = 0.5
 
 
 def n_tokens_of(text: Column) -> Column:
@@ -67,7 +73,8 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, r
     Each round scales the weights to the marginals of one dimension after the
     other. Two rounds are one plan over the small cell table, written out so
     that the lineage stays short, and a single number (the largest relative
-    error of a marginal before its last scaling) tells when to stop.
+    error of a marginal before its last scaling) tells when to stop. Goals that
+    contradict each other are never met: a warning names the error that is left.
     """
     now, total = with_goals(cells, targets or {})
     now = now.withColumn("weight", F.lit(1.0))
@@ -80,14 +87,46 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, r
             for d in DIMENSIONS:
                 have = F.sum(F.col("mass") * F.col("weight")).over(W.partitionBy(d))
                 now = now.withColumn(f"_by_{d}", F.when(have > 0, F.col(f"goal_{d}") / have).otherwise(F.lit(0.0))).withColumn("weight", F.col("weight") * F.col(f"_by_{d}"))
-                off = F.greatest(off, F.when(F.col(f"_by_{d}") > 0, F.abs(F.col(f"_by_{d}") - 1)).otherwise(0.0))
+                lost = F.when((have <= 0) & (F.col(f"goal_{d}") > 0), 1.0).otherwise(0.0)  # other goals leave nothing of the level
+                off = F.greatest(off, F.when(F.col(f"_by_{d}") > 0, F.abs(F.col(f"_by_{d}") - 1)).otherwise(lost))
             now = now.select(*DIMENSIONS, "mass", *goals, "weight", off.alias("off"))
         now = materialize(now, "raking")
-        if (now.agg(F.max("off")).first()[0] or 0.0) < tolerance:
+        error = now.agg(F.max("off")).first()[0] or 0.0
+        if error < tolerance:
             break
+    else:
+        warnings.warn(f"raking has not settled: a marginal is {error:.3g} of its goal off after {rounds} rounds", RuntimeWarning, stacklevel=2)
     return now.drop("off", *goals)
 
 
+def full_weight(raked: DataFrame, least: float) -> float:
+    """The weight from which on documents are drawn for certain; 0 if there is none.
+
+    The largest weight would keep the marginals exactly, but one tiny cell
+    would then starve all others. So the cells of the largest weights are drawn
+    whole as long as they hold at most ``SLACK`` of the raked mass, and further
+    ones until the draw is expected to hold ``least`` of the tokens. Weights
+    are summed in bins of a 16th of an octave, so at most 1,025 rows reach the
+    driver.
+    """
+    some = raked.where("weight > 0")
+    top = some.agg(F.max("weight")).first()[0]
+    if not top:
+        return 0.0
+    at = F.least(F.floor(F.log2(F.lit(top) / F.col("weight")) * 16), F.lit(1024))
+    bins = some.groupBy(at.alias("bin")).agg(F.max("weight").alias("weight"), F.sum("mass").alias("mass"), F.sum(F.col("mass") * F.col("weight")).alias("raked"))
+    found = [(r["weight"], r["mass"], r["raked"]) for r in bins.orderBy("bin").collect()]
+    tokens, goal = sum(m for _, m, _ in found), sum(r for _, _, r in found)
+    whole, cut = 0.0, 0.0
+    for weight, mass, share in found:
+        if cut + share > SLACK * goal and whole + (goal - cut) / weight >= least * tokens:
+            break
+        whole, cut = whole + mass, cut + share
+    if cut > SLACK * goal:
+        warnings.warn(f"cells with {cut / goal:.3g} of the raked mass are too small for their goals and are drawn whole", RuntimeWarning, stacklevel=2)
+    return weight
+
+
 def label(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, source, lang, topic (null levels as their own), n_tokens and the columns asked for."""
     return docs.select(
@@ -104,9 +143,12 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, see
 
     Returns doc_id, source, lang, topic, n_tokens, weight, probability, sampled
     and the columns in ``keep`` (as ``_0``, ``_1`` ... so that they cannot
-    clash). The probability is the cell's weight over the largest weight, so
-    none exceeds 1 and the expected mix has exactly the raked marginals; a
-    document is drawn if a hash of (doc_id, text, seed) falls below it, so the
+    clash). The probability is the cell's weight over ``full_weight``, at most
+    1: the expected mix has the raked marginals but for the cells that are
+    drawn whole, which fall short together by at most ``SLACK`` of it (by more,
+    with a warning, if no targets are given and less than ``LEAST`` of the
+    tokens would be left). A document is drawn if a hash of (doc_id, text,
+    seed) falls below it, so the
     draw is the same on every run and for repeated rows. Rows without tokens
     have weight 0 and are not drawn; a null source or language is a level of
     its own.
@@ -114,8 +156,8 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, see
     rows = label(docs, F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(seed)).alias("_draw"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(keep)])
     cells = materialize(cells_of(label(docs)), "cells")
     raked = rake(cells, targets)
-    top = raked.agg(F.max("weight")).first()[0] or 0.0
-    weights = raked.select(*DIMENSIONS, "weight", (F.col("weight") / F.lit(top) if top > 0 else F.lit(0.0)).alias("probability"))
+    full = full_weight(raked, 0.0 if targets else LEAST)
+    weights = raked.select(*DIMENSIONS, "weight", (F.least(F.col("weight") / F.lit(full), F.lit(1.0)) if full > 0 else F.lit(0.0)).alias("probability"))
     out = rows.join(weights, list(DIMENSIONS), "left")
     uniform = F.pmod(F.col("_draw"), F.lit(1 << 53)) / F.lit(float(1 << 53))
     probability = F.when(F.col("n_tokens") > 0, F.coalesce("probability", F.lit(0.0))).otherwise(0.0)
