@@ -194,6 +194,12 @@ def test_near_duplicates(spark, words, block):
     assert M.near_duplicates(table(spark, []), 3, 85).collect() == []
 
 
+def test_block_pairs_do_not_overflow(spark):
+    blocks = [(2047, 2048), (2048, 2048), (5000, 2048), (0, 1 << 19)]
+    got = spark.createDataFrame(blocks, "a int, b int").select(M._pair_of(F.col("a"), F.col("b")).alias("p")).collect()
+    assert [r["p"] for r in got] == [(min(x) << 20) + max(x) for x in blocks]
+
+
 def test_edit_fingerprints(spark, texts):
     rows = [(k, t) for k, t in enumerate(texts)]
     got = {r["doc_id"]: r for r in P.edit_fingerprints(table(spark, rows).repartition(4)).collect()}

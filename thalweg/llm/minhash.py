@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thalweg.llm.common import keeps, map_arrow, materialize, partitions, space_words, text_rows
@@ -100,6 +100,11 @@ def _sketch(docs: DataFrame, width: int) -> DataFrame:
     return map_arrow(text_rows(docs), look, "doc_id long, n_shingles long, set binary, sign binary", cache="words")
 
 
+def _pair_of(own: Column, other: Column) -> Column:
+    """The two blocks, smaller first, as one number, for up to a million blocks."""
+    return F.least(own, other).cast("long") * F.lit(1 << 20) + F.greatest(own, other)
+
+
 def _in_groups(rows: DataFrame, key: str, payload: list[str], block: int, kernel: Callable[[list[list]], list[tuple[int, int]]]) -> DataFrame:
     """Links (a, b) that ``kernel`` finds among the rows of a key, in blocks that meet pairwise.
 
@@ -116,7 +121,7 @@ def _in_groups(rows: DataFrame, key: str, payload: list[str], block: int, kernel
     met = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("_cut") - 1)).alias("_other")).select(
         F.xxhash64(F.col(key), F.least("_own", "_other"), F.greatest("_own", "_other")).alias("_group"),
         F.col(key).alias("_key"),
-        (F.least("_own", "_other") * F.lit(1 << 20) + F.greatest("_own", "_other")).cast("long").alias("_pair"),
+        _pair_of(F.col("_own"), F.col("_other")).alias("_pair"),
         (F.col("_own") <= F.col("_other")).alias("_left"),
         (F.col("_own") == F.col("_other")).alias("_same"),
         "node",
