@@ -234,6 +234,27 @@ def test_edits_lower_the_likeness_and_bands_find_them(spark, words):
     assert {(r["a"], r["b"]) for r in P.near_candidates(prints, threshold=0.5).collect()} == {(0, 2)}
 
 
+@pytest.mark.parametrize("block", [2, 256])
+def test_bands_compare_all_their_members(spark, block):
+    rng = random.Random(12)
+    noise = lambda: bytearray(rng.randrange(256) for _ in range(64))
+    one = noise()
+    two = one[:63] + bytes([one[63] ^ 1])
+    # each band of the last two, of their own level and of the next, also holds a smaller one that is like neither
+    next_level = np.flatnonzero(np.isin(P.sampled_times(0)[:64], P.sampled_times(1)))
+    values = []
+    for places in (np.arange(64), next_level):
+        for k in range(0, len(places) - 3, 4):
+            values.append(noise())
+            for at in places[k : k + 4]:
+                values[-1][at] = one[at]
+    values = [bytes(v) for v in (*values, one, two)]
+    prints = spark.createDataFrame([(k, P.as_text((0, 64, v))) for k, v in enumerate(values)], "doc_id long, fingerprint string")
+    n = len(values)
+    got = {(r["a"], r["b"]): r["near"] for r in P.near_candidates(prints, block=block).collect()}
+    assert got == {(n - 2, n - 1): 63 / 64}
+
+
 def labelled(spark, words, kind):
     """(documents, labels): label 1 is toxic or of quality, by planted words or signs."""
     rng = random.Random(6)

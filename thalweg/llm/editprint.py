@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thalweg.llm.common import partitions, small_batches, text_rows
+from thalweg.llm.minhash import _in_groups
 
 PERIOD = 1024  # of the shared random bits in time
 SAMPLES = 64  # at least, for a text long enough; at most twice as many
@@ -224,17 +225,18 @@ def edit_fingerprints(docs: DataFrame, group: int = 1024, group_chars: int = 3_0
     return rows.repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "edge", "doc_id", "text").select("bucket", "edge", "doc_id", "text").mapInArrow(run, SCHEMA)
 
 
-def near_candidates(prints: DataFrame, width: int = 4, threshold: float = 0.8) -> DataFrame:
+def near_candidates(prints: DataFrame, width: int = 4, threshold: float = 0.8, block: int = 256) -> DataFrame:
     """Links between texts of like fingerprints: bit-sampled bands find candidates, the fingerprints confirm them.
 
     ``prints`` has doc_id and fingerprint. Equal fingerprints form a class,
     named by its smallest doc_id. Each class is posted under bands of ``width``
     neighbouring samples of its own level and, if it may meet shorter levels,
-    of the next; inside a band every class is compared with the band's smallest
-    one, so a band of any size gives one row for each member. Returns a, b
-    (class names, a < b) and near (at least ``threshold``).
+    of the next; inside a band all classes meet, large bands in blocks of
+    ``block`` that meet pairwise, so the work of a band grows with the square of
+    its classes. Returns a, b (class names, a < b) and near (at least
+    ``threshold``). Fingerprints without doc_id are linked with nothing.
     """
-    classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
+    classes = prints.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,12 +254,19 @@ def near_candidates(prints: DataFrame, width: int = 4, threshold: float = 0.8) -
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(marks), pa.array(keys)], names=["doc_id", "fingerprint", "band"])
 
     posted = classes.select("doc_id", "fingerprint").mapInArrow(bands, "doc_id long, fingerprint string, band string")
-    leaders = posted.groupBy("band").agg(F.min(F.struct("doc_id", "fingerprint")).alias("lead"), F.count("*").alias("n")).where("n > 1").select("band", F.col("lead.doc_id").alias("a"), F.col("lead.fingerprint").alias("fa"))
-    pairs = posted.join(leaders, "band").where("a < doc_id").select("a", "fa", F.col("doc_id").alias("b"), F.col("fingerprint").alias("fb")).distinct()
+    def kernel(columns: list[list]) -> list[tuple[int, int]]:
+        _, side, prints = columns
+        marks = [from_text(f) for f in prints]
+        return [(x, y) for x in range(len(marks)) for y in range(x + 1, len(marks)) if (side[x] == 0 or side[x] != side[y]) and likeness(marks[x], marks[y]) >= threshold]
+
+    pairs = _in_groups(posted.select("band", F.col("doc_id").alias("node"), "fingerprint"), "band", ["fingerprint"], block, kernel).distinct()
+    named = classes.select("doc_id", "fingerprint")
+    pairs = pairs.join(named.toDF("a", "fa"), "a").join(named.toDF("b", "fb"), "b").select("a", "fa", "b", "fb")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = [likeness(from_text(x), from_text(y)) for x, y in zip(batch.column("fa").to_pylist(), batch.column("fb").to_pylist(), strict=True)]
             yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(near, pa.float64())], names=["a", "b", "near"])
 
-    return pairs.mapInArrow(confirm, "a long, b long, near double").where(F.col("near") >= threshold)
+    # a doc_id that names several classes joins with each of them
+    return pairs.mapInArrow(confirm, "a long, b long, near double").where(F.col("near") >= threshold).groupBy("a", "b").agg(F.max("near").alias("near"))
