@@ -194,6 +194,14 @@ def test_near_duplicates(spark, words, block):
     assert M.near_duplicates(table(spark, []), 3, 85).collect() == []
 
 
+def test_pairs_at_the_threshold_are_hardly_missed():
+    for share in (0.8, 0.85):
+        for n in (M.POSTED, M.COORDINATES):
+            short = lambda m: sum(math.comb(n, k) * share**k * (1 - share) ** (n - k) for k in range(m))  # noqa: B023, E731
+            assert short(M.needed(n, share)) <= 1e-7 < short(M.needed(n, share) + 1)
+    assert M.needed(M.COORDINATES, 1.0) == M.COORDINATES and M.needed(M.POSTED, 0.1) == 1
+
+
 def test_block_pairs_do_not_overflow(spark):
     blocks = [(2047, 2048), (2048, 2048), (5000, 2048), (0, 1 << 19)]
     got = spark.createDataFrame(blocks, "a int, b int").select(M._pair_of(F.col("a"), F.col("b")).alias("p")).collect()

@@ -19,6 +19,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -81,8 +82,14 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 
 def needed(coordinates: int, share: float) -> int:
-    """Equal coordinates that pairs at the threshold fall short of about once in 10**7."""
-    return max(1, int(coordinates * share - 5.2 * (coordinates * share * (1 - share)) ** 0.5))
+    """Equal coordinates that pairs at the threshold fall short of at most once in 10**7, by the exact binomial tail."""
+    short, need = 0.0, 0
+    while need < coordinates:
+        short += comb(coordinates, need) * share**need * (1 - share) ** (coordinates - need)
+        if short > 1e-7:
+            break
+        need += 1
+    return max(1, need)
 
 
 def _sketch(docs: DataFrame, width: int) -> DataFrame:
