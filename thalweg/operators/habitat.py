@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from thalweg.operators.network import RiverNetwork, closure, fragments, induced_components, neighbours, pair_distances, walk_down
+from thalweg.operators.network import RiverNetwork, accumulate, closure, fragments, induced_components, neighbours, pair_distances, path_fold, reach, roots, walk_down
+from thalweg.operators.tables import row_numbers
 from thalweg.plans.scratch import materialize
 
 
@@ -63,13 +63,38 @@ def patch_distances(net: RiverNetwork, patches: DataFrame) -> DataFrame:
 
 
 def nearest_dam(net: RiverNetwork, patches: DataFrame, dams: DataFrame) -> DataFrame:
-    """(patch, distance): from each patch to the nearest dam of its basin; 0 if a dam stands on a member."""
-    ids = patches.select("id").unionByName(dams.select("id")).distinct()
-    d = pair_distances(net, ids)
-    both = d.select("from", "to", "distance").unionByName(d.select(F.col("to").alias("from"), F.col("from").alias("to"), "distance"))
-    on = patches.join(dams.select("id").distinct(), "id", "left_semi").select("patch", F.lit(0.0).alias("distance"))
-    off = both.join(patches.select(F.col("id").alias("from"), "patch"), "from").join(dams.select(F.col("id").alias("to")).distinct(), "to", "left_semi").select("patch", "distance")
-    return on.unionByName(off).groupBy("patch").agg(F.min("distance").alias("distance"))
+    """(patch, distance): from each patch to the nearest dam of its basin; 0 if a dam stands on a member.
+
+    No pairs are made: with D the distance to the outlet, the nearest dam of a
+    segment is D plus the least, over the segments on its way down, of the
+    smallest D of a dam above them less twice their own D.
+    """
+    low = materialize(roots(net).select("id", "dist"), "roots")
+    at_dams = low.join(dams.select("id").distinct(), "id", "left_semi").select("id", F.col("dist").alias("dam"))
+    above = accumulate(net, {"dam": ("dam", "min")}, at_dams)
+    turn = low.join(above, "id").select("id", (F.col("dam") - 2 * F.col("dist")).alias("value"))
+    near = low.join(path_fold(net, turn, "min"), "id").select("id", (F.col("dist") + F.col("value")).alias("distance")).where("distance is not null")
+    return patches.select("id", "patch").join(near, "id").groupBy("patch").agg(F.min("distance").alias("distance"))
+
+
+def _kernel_sums(net: RiverNetwork, weights: DataFrame, field: float, scale: float, pass_up: float | str, pass_down: float | str) -> tuple[RiverNetwork, DataFrame]:
+    """The network with c (passability of the edge) and x (decay over the segment), and what flows together.
+
+    id, w, x, own (sum over the segment's catchment of weight * passability *
+    decay from there to the segment, both ends included), inflow and squares
+    (sum of what comes in over its edges, and of its squares).
+    """
+    column = lambda p: F.col(p).cast("double") if isinstance(p, str) else F.lit(float(p))
+    occupied = weights.where("weight > 0").groupBy("id").agg(F.sum("weight").cast("double").alias("w"))
+    n = RiverNetwork.__new__(RiverNetwork)
+    base = net.edges.select("id", "target", "weight", (column(pass_up) * column(pass_down)).alias("c"), F.pow(F.lit(float(field)), F.col("weight") * float(scale)).alias("x"))
+    below = base.select(F.col("id").alias("target"), F.col("x").alias("x_below"))
+    n.edges = materialize(base.join(below, "target", "left").join(occupied, "id", "left").withColumn("w", F.coalesce("w", F.lit(0.0))), "kernel")
+    own = accumulate(n, {"own": ("start", "sum")}, n.edges.select("id", (F.col("w") * F.col("x")).alias("start")), factor=F.col("c") * F.col("x_below"))
+    flows = n.edges.where("x_below is not null").select("id", "target", "c").join(own, "id").select(F.col("target").alias("id"), (F.col("c") * F.col("own")).alias("flow"))
+    came = flows.groupBy("id").agg(F.sum("flow").alias("inflow"), F.sum(F.col("flow") * F.col("flow")).alias("squares"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
+    return n, materialize(n.edges.select("id", "target", "w", "x", "c").join(own, "id").join(came, "id", "left").select("id", "target", "w", "x", "c", "own", zero("inflow"), zero("squares")), "flows")
 
 
 def connectivity_index(net: RiverNetwork, weights: DataFrame, field: float = 0.5, scale: float = 1.0, pass_up: float | str = 1.0, pass_down: float | str = 1.0) -> DataFrame:
@@ -79,34 +104,37 @@ def connectivity_index(net: RiverNetwork, weights: DataFrame, field: float = 0.5
     of the path, B is ``field`` to the power of the summed lengths of all
     segments on the path, both ends included, times ``scale``. The diagonal is
     1, unconnected pairs are 0, fewer than two occupied segments give 0.
-    Passabilities may be columns of the edges; a 0 on the way makes the product
-    0 (counted apart from the logarithms of the others).
+    Passabilities may be columns of the edges. No pairs are made: both factors
+    multiply along the path, so what meets at a segment is the product of the
+    sums that flow into it, and these are accumulated down the network.
+    """
+    _, t = _kernel_sums(net, weights, field, scale, pass_up, pass_down)
+    all_in = F.col("w") + F.col("inflow")
+    cross = t.agg(F.coalesce(F.sum(F.col("x") * (all_in * all_in - F.col("squares") - F.col("w") * F.col("w"))), F.lit(0.0)).alias("cross2"), F.count_if(F.col("w") > 0).alias("n"), F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("w")).alias("sww"))
+    basins = t.where("w > 0").select("id").join(roots(net).select("id", "root"), "id").groupBy("root").agg(F.count("*").alias("k"))
+    pairs = basins.agg(F.coalesce(F.sum((F.col("k") * (F.col("k") - 1) / 2).cast("long")), F.lit(0).cast("long")).alias("pairs"))
+    return cross.join(F.broadcast(pairs)).select("n", "pairs", F.when(F.col("n") < 2, 0.0).otherwise((F.col("sww") + F.col("cross2")) / (F.col("sw") * F.col("sw"))).alias("pci"))  # one row each
+
+
+def reach_connectivity(net: RiverNetwork, weights: DataFrame, field: float = 0.5, scale: float = 1.0, pass_up: float | str = 1.0, pass_down: float | str = 1.0) -> DataFrame:
+    """(id, num, den, pci): the connectivity of each segment, Mw / sum w; the matrix is symmetric, so to and from are the same.
+
+    Segments without weight have 0; with fewer than two occupied ones all is 0.
+    What comes from outside a segment's catchment arrives over its target:
+    out(id) = x(target) * (all into the target but from id + c(target) * out(target)).
     """
-    if not isinstance(pass_up, str):
-        up = F.lit(float(pass_up))
-    else:
-        up = F.col(pass_up).cast("double")
-    down = F.col(pass_down).cast("double") if isinstance(pass_down, str) else F.lit(float(pass_down))
-    c = up * down
-    base = net.edges
-    inner = RiverNetwork.__new__(RiverNetwork)
-    inner.edges = base.select("id", "target", "weight")
-    attrs = materialize(base.select("id", F.when(c > 0, F.ln(c)).otherwise(0.0).alias("lc"), F.when(c <= 0, 1).otherwise(0).alias("zc"), F.col("weight").alias("len")), "passability")
-    occupied = weights.where("weight > 0").select("id", F.col("weight").alias("w"))
-    paths = walk_down(inner, occupied)
-    # sums over the path from the occupied segment to each segment below it, without that segment's own edge
-    step = paths.join(attrs.select(F.col("id").alias("stream"), "lc", "zc", "len"), "stream")
-    order = W.partitionBy("base").orderBy("hops")
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    upto = order.rowsBetween(W.unboundedPreceding, W.currentRow)
-    sums = step.select("base", "stream", "hops", F.coalesce(F.sum("lc").over(before), F.lit(0.0)).alias("lc"), F.coalesce(F.sum("zc").over(before), F.lit(0)).alias("zc"), F.sum("len").over(upto).alias("len"), F.col("len").alias("own"))
-    a = sums.select(F.col("base").alias("i"), "stream", F.col("hops").alias("hi"), F.col("lc").alias("li"), F.col("zc").alias("zi"), F.col("len").alias("di"), "own")
-    b = sums.select(F.col("base").alias("j"), "stream", F.col("hops").alias("hj"), F.col("lc").alias("lj"), F.col("zc").alias("zj"), F.col("len").alias("dj"))
-    met = a.join(b, "stream").where("i < j").groupBy("i", "j").agg(F.min_by(F.struct(F.when(F.col("zi") + F.col("zj") > 0, 0.0).otherwise(F.exp(F.col("li") + F.col("lj"))).alias("c"), (F.col("di") + F.col("dj") - F.col("own")).alias("d")), F.col("hi") + F.col("hj")).alias("m"))
-    wi, wj = occupied.select(F.col("id").alias("i"), F.col("w").alias("wi")), occupied.select(F.col("id").alias("j"), F.col("w").alias("wj"))
-    cross = met.join(wi, "i").join(wj, "j").agg(F.coalesce(F.sum(F.col("m.c") * F.pow(F.lit(field), F.col("m.d") * scale) * F.col("wi") * F.col("wj")), F.lit(0.0)).alias("cross"), F.count("*").alias("pairs"))
-    own = occupied.agg(F.count("*").alias("n"), F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("w")).alias("sww"))
-    return own.join(F.broadcast(cross)).select("n", "pairs", F.when(F.col("n") < 2, 0.0).otherwise((F.col("sww") + 2 * F.col("cross")) / (F.col("sw") * F.col("sw"))).alias("pci"))  # one row each
+    n, t = _kernel_sums(net, weights, field, scale, pass_up, pass_down)
+    lower = t.select(F.col("id").alias("target"), F.col("x").alias("x_t"), F.col("c").alias("c_t"), (F.col("w") + F.col("inflow")).alias("in_t"))
+    edges = materialize(t.join(lower, "target", "left"), "turns")
+    turned = RiverNetwork.__new__(RiverNetwork)
+    turned.edges = edges.select("id", "target", F.coalesce(F.col("x_t") * F.col("c_t"), F.lit(0.0)).alias("f"))
+    outside = path_fold(turned, edges.select("id", F.coalesce(F.col("x_t") * (F.col("in_t") - F.col("c") * F.col("own")), F.lit(0.0)).alias("value")), factor=F.col("f"))
+    total = t.agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("sw"), F.count_if(F.col("w") > 0).alias("k"))
+    each = edges.join(outside.withColumnRenamed("value", "outside"), "id").join(F.broadcast(total))  # one row
+    beyond = F.when(F.col("x_t").isNull(), 0.0).otherwise(F.col("x") * F.col("c") * F.col("outside"))
+    counts = (F.col("w") > 0) & (F.col("k") > 1)
+    num = F.when(counts, F.col("w") + F.col("x") * F.col("inflow") + beyond).otherwise(0.0)
+    return each.select("id", num.alias("num"), F.when(F.col("k") > 1, F.col("sw")).otherwise(0.0).alias("den"), F.when(counts, num / F.col("sw")).otherwise(0.0).alias("pci"))
 
 
 def fragmentation_index(values: DataFrame) -> DataFrame:
@@ -132,23 +160,22 @@ def severed(net: RiverNetwork, dams: DataFrame) -> DataFrame:
     return closure(net, seeds=dams.select("id")).select(F.col("base").alias("dam"), F.col("stream").alias("id"))
 
 
-def dewatered(net: RiverNetwork, dams: DataFrame, reach: float = 2000.0) -> DataFrame:
-    """(dam, id): segments below a dam until their lengths sum to ``reach``, the one that crosses it included."""
-    below = walk_down(net, dams, include_self=False).join(net.edges.select(F.col("id").alias("stream"), F.col("weight").alias("len")), "stream")
-    before = W.partitionBy("base").orderBy("hops").rowsBetween(W.unboundedPreceding, -1)
-    return below.withColumn("before", F.coalesce(F.sum("len").over(before), F.lit(0.0))).where(F.col("before") < reach).select(F.col("base").alias("dam"), F.col("stream").alias("id"))
+def dewatered(net: RiverNetwork, dams: DataFrame, reach_metres: float = 2000.0) -> DataFrame:
+    """(dam, id): segments below a dam until their lengths sum to ``reach_metres``, the one that crosses it included."""
+    starts = dams.select(F.col("id").cast("long").alias("id")).distinct().join(net.edges.select("id", "weight"), "id")
+    below = reach(net, starts.select(F.col("id").alias("base"), "id", (F.col("weight") + float(reach_metres)).alias("limit")))
+    return below.where("hops > 0").select(F.col("base").alias("dam"), F.col("stream").alias("id"))
 
 
-def rank_dams(net: RiverNetwork, dams: DataFrame, suitability: DataFrame, reach: float = 2000.0) -> DataFrame:
+def rank_dams(net: RiverNetwork, dams: DataFrame, suitability: DataFrame, reach_metres: float = 2000.0) -> DataFrame:
     """Damage of each dam: suitability and length severed and dewatered, per unit of power, ranked (ties by dam)."""
     cost = suitability.select("id", "suit").join(net.edges.select("id", F.col("weight").alias("len")), "id", "right").withColumn("suit", F.coalesce("suit", F.lit(0.0)))
     up = severed(net, dams).join(cost, "id").groupBy("dam").agg(F.sum("suit").alias("suit_up"), F.sum("len").alias("len_up"))
-    down = dewatered(net, dams, reach).join(cost, "id").groupBy("dam").agg(F.sum("suit").alias("suit_down"), F.sum("len").alias("len_down"))
+    down = dewatered(net, dams, reach_metres).join(cost, "id").groupBy("dam").agg(F.sum("suit").alias("suit_down"), F.sum("len").alias("len_down"))
     power = dams.groupBy(F.col("id").alias("dam")).agg(F.sum("power").alias("power"))
     t = power.join(up, "dam").join(down, "dam", "left").select("dam", "power", "suit_up", "len_up", F.coalesce("suit_down", F.lit(0.0)).alias("suit_down"), F.coalesce("len_down", F.lit(0.0)).alias("len_down"))
     t = t.withColumn("damage", F.col("suit_up") + F.col("suit_down")).withColumn("per_mw", F.when(F.col("power") > 0, F.col("damage") / F.col("power")))
-    # the order is over the dams alone, which are few beside the segments
-    return t.withColumn("rank", F.row_number().over(W.orderBy(F.desc("damage"), "dam")).cast("long"))
+    return row_numbers(t.withColumn("_order", -F.col("damage")), ["_order", "dam"]).withColumn("rank", F.col("row_no").cast("long")).drop("_order", "row_no")
 
 
 def spanning_subnetwork(net: RiverNetwork, points: DataFrame, order: int = 3) -> DataFrame:
@@ -179,44 +206,40 @@ def pair_connectivity(net: RiverNetwork, points: DataFrame, dams: DataFrame) ->
     return both.agg(F.count("*").alias("n_before"), F.count("after").alias("n_after"), F.round(F.avg("distance"), 2).alias("mean_before"), F.round(F.avg("after"), 2).alias("mean_after")).withColumn("lost_pct", F.round((F.col("n_before") - F.col("n_after")) / F.col("n_before") * 100, 2))
 
 
-def walk_budget(net: RiverNetwork, starts: DataFrame, up_radius: float = 0.0, down_radius: float = 0.0, max_rounds: int = 10_000) -> DataFrame:
+def walk_budget(net: RiverNetwork, starts: DataFrame, up_radius: float = 0.0, down_radius: float = 0.0) -> DataFrame:
     """(start, id, fraction_start, fraction_end): how far a budget reaches along the network.
 
     ``starts`` has start, id and fraction (of the segment's length, from its
     upper end). Downstream a segment is taken whole while what is left of it
     fits; upstream the length above the fraction is used and each branch goes
     on with the rest. A start by id stands at fraction 0, so it gives no length
-    upstream and all of it downstream. Both radii 0 give no row.
+    upstream and all of it downstream. Both radii 0 give no row. The rounds are
+    the logarithm of the longest way within the radius.
     """
-    edges = materialize(net.edges.select("id", "target", F.col("weight").alias("len")), "segments")
+    edges = net.edges.select("id", F.col("weight").alias("len"))
+    first = materialize(starts.select("start", F.col("id").cast("long").alias("id"), F.col("fraction").cast("double").alias("frac")).join(edges, "id").withColumn("base", F.struct("start", "id", "frac", "len")), "starts")
     out = []
 
     def go(radius: float, down: bool) -> None:
-        if radius <= 0:
-            return
-        at = starts.select("start", "id", F.col("fraction").cast("double").alias("frac"), F.lit(float(radius)).alias("left"))
-        for _ in range(max_rounds):
-            here = at.join(edges, "id")
-            room = F.col("len") * ((1 - F.col("frac")) if down else F.col("frac"))
-            share = F.when(F.col("len") > 0, F.col("left") / F.col("len")).otherwise(0.0)
-            taken = here.select("start", "id", "target", room.alias("room"), F.col("left"), F.when(F.lit(down), F.col("frac")).otherwise(F.greatest(F.lit(0.0), F.col("frac") - share)).alias("fraction_start"), F.when(F.lit(down), F.least(F.lit(1.0), F.col("frac") + share)).otherwise(F.col("frac")).alias("fraction_end"))
-            taken = materialize(taken, "taken")
-            if taken.isEmpty():
-                return
-            out.append(taken.select("start", "id", "fraction_start", "fraction_end"))
-            rest = taken.where(F.col("room") <= F.col("left")).withColumn("left", F.col("left") - F.col("room")).where("left > 0")
-            if down:
-                at = rest.select("start", F.col("target").alias("id"), F.lit(0.0).alias("frac"), "left")
-            else:
-                at = rest.select("start", F.col("id").alias("target"), "left").join(edges.select("id", "target"), "target").select("start", "id", F.lit(1.0).alias("frac"), "left")
-
-    go(up_radius, False)
-    go(down_radius, True)
+        used = F.col("len") * F.col("frac")  # of the start's length: what lies above it
+        ways = reach(net, first.select("base", "id", (F.lit(float(radius)) + (used if down else -used)).alias("limit")), not down)
+        here = ways.join(edges.select(F.col("id").alias("stream"), F.col("len").alias("own")), "stream")
+        above = F.col("base.len") * F.col("base.frac")
+        passed = F.col("dist") - above if down else above + F.col("dist") - F.col("own")
+        own = F.col("hops") == 0
+        left = F.lit(float(radius)) - F.when(own, 0.0).otherwise(passed)
+        share = F.when(F.col("own") > 0, left / F.col("own")).otherwise(0.0)
+        frac = F.when(own, F.col("base.frac")).otherwise(0.0 if down else 1.0)
+        begin, end = (frac, F.least(F.lit(1.0), frac + share)) if down else (F.greatest(F.lit(0.0), frac - share), frac)
+        out.append(here.where(left > 0).select("base.start", F.col("stream").alias("id"), begin.alias("fraction_start"), end.alias("fraction_end")))
+
+    if up_radius > 0:
+        go(up_radius, False)
+    if down_radius > 0:
+        go(down_radius, True)
     if not out:
         return starts.limit(0).select("start", "id", F.lit(0.0).alias("fraction_start"), F.lit(0.0).alias("fraction_end"))
-    both = out[0]
-    for o in out[1:]:
-        both = both.unionByName(o)
+    both = out[0] if len(out) == 1 else out[0].unionByName(out[1])
     return both.groupBy("start", "id").agg(F.min("fraction_start").alias("fraction_start"), F.max("fraction_end").alias("fraction_end"))
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from thalweg.operators.components import components
@@ -74,22 +75,37 @@ class RiverNetwork:
         """Each id once, and no cycle."""
         if not self.edges.groupBy("id").count().where("count > 1").isEmpty():
             raise ValueError("a segment has more than one target")
-        _doubled(self.links.select("id", F.col("target").alias("to")), {}, lambda *_: None)
+        _doubled(self.links.select("id", F.col("target").alias("to")), {}, lambda *_: False)
 
 
-def _doubled(jump: DataFrame, carried: dict[str, Column], step: Callable[[DataFrame, int], None], limit: int = 40) -> None:
-    """Calls ``step`` with the jumps over 1, 2, 4 ... edges (id, to, carried sums) until none is left."""
+def _add(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _doubled(jump: DataFrame, carried: dict[str, Callable[[Column, Column], Column]], step: Callable[[DataFrame, int], bool | None], limit: int = 40) -> None:
+    """Calls ``step`` with the jumps over 1, 2, 4 ... edges until none is left or it returns True.
+
+    A jump has id, to and the carried columns; those of two jumps in a row are
+    joined by the functions given (upper, lower).
+    """
     jump = materialize(jump, "jump")
     for k in range(limit):
-        if jump.isEmpty():
+        if jump.isEmpty() or step(jump, k):
             return
-        step(jump, k)
         left = jump.alias("a")
         right = jump.alias("b")
-        jump = materialize(left.join(right, F.col("a.to") == F.col("b.id")).select(F.col("a.id").alias("id"), F.col("b.to").alias("to"), *[(F.col(f"a.{c}") + F.col(f"b.{c}")).alias(c) for c in carried]), "jump")
+        jump = materialize(left.join(right, F.col("a.to") == F.col("b.id")).select(F.col("a.id").alias("id"), F.col("b.to").alias("to"), *[join(F.col(f"a.{c}"), F.col(f"b.{c}")).alias(c) for c, join in carried.items()]), "jump")
     raise ValueError("the network has a cycle")
 
 
+def _jumps(net: RiverNetwork) -> DataFrame:
+    """One edge each: id, to, its weight d, its number of edges h, and the weight w0 of the segment it starts at."""
+    return net.links.select("id", F.col("target").alias("to"), F.col("weight").alias("d"), F.lit(1).cast("long").alias("h"), F.col("weight").alias("w0"))
+
+
+_CARRIED = {"d": _add, "h": _add, "w0": lambda a, b: a}
+
+
 def outlets(net: RiverNetwork) -> DataFrame:
     """Segments without an out-edge."""
     return net.edges.select("id").join(net.links.select("id"), "id", "left_anti")
@@ -113,7 +129,7 @@ def roots(net: RiverNetwork) -> DataFrame:
         state["jumps"].append(jump)
 
     state["jumps"] = []
-    _doubled(net.links.select("id", F.col("target").alias("to"), F.col("weight").alias("d"), F.lit(1).cast("long").alias("h")), {"d": F.col("d"), "h": F.col("h")}, step)
+    _doubled(_jumps(net), _CARRIED, step)
     # longest jumps first: after each, less than that many edges are left
     at = state["at"]
     for jump in reversed(state["jumps"]):
@@ -142,23 +158,67 @@ def closure(net: RiverNetwork, include_self: bool = True, seeds: DataFrame | Non
             longer = pairs.join(j, "stream").select(F.col("_id").alias("stream"), "base", (F.col("hops") + F.col("_h")).alias("hops"), (F.col("dist") + F.col("_d")).alias("dist"))
         state["pairs"] = materialize(pairs.unionByName(longer), "closure")
 
-    _doubled(net.links.select("id", F.col("target").alias("to"), F.col("weight").alias("d"), F.lit(1).cast("long").alias("h")), {"d": F.col("d"), "h": F.col("h")}, step)
+    _doubled(_jumps(net), _CARRIED, step)
     pairs = state["pairs"].select("base", "stream", "hops", "dist")
     return pairs if include_self else pairs.where("hops > 0")
 
 
 def walk_down(net: RiverNetwork, seeds: DataFrame, include_self: bool = True) -> DataFrame:
     """(base, stream, hops, dist): the path from each seed to its outlet, by pointer doubling from the seeds."""
-    state = {"pairs": seeds.select(F.col("id").alias("base")).distinct().join(net.edges.select(F.col("id").alias("base")), "base", "left_semi").select("base", F.col("base").alias("stream"), F.lit(0).cast("long").alias("hops"), F.lit(0.0).alias("dist"))}
+    starts = seeds.select(F.col("id").cast("long").alias("id")).distinct().join(net.edges.select("id"), "id", "left_semi")
+    pairs = reach(net, starts.select(F.col("id").alias("base"), "id", F.lit(None).cast("double").alias("limit")))
+    return (pairs if include_self else pairs.where("hops > 0")).select("base", "stream", "hops", "dist")
 
-    def step(jump: DataFrame, k: int) -> None:
+
+def reach(net: RiverNetwork, starts: DataFrame, upstream: bool = False) -> DataFrame:
+    """(base, stream, hops, dist): the segments that a way from each start comes to within its limit.
+
+    ``starts`` has base (a name of the start), id and limit (null: none). The
+    way downstream comes to a segment if the weights of those passed before sum
+    to less than the limit, the start's own included; upstream the start's own
+    does not count. ``dist`` is the sum of the edges' weights between the two.
+    Pairs beyond the limit are dropped in the round that meets them and rounds
+    end with the first that finds nothing, so their number is the logarithm of
+    the longest way within the limit.
+    """
+    state = {"pairs": starts.select("base", F.col("id").cast("long").alias("stream"), "limit", F.lit(0).cast("long").alias("hops"), F.lit(0.0).alias("dist"))}
+    at, to = ("to", "id") if upstream else ("id", "to")
+
+    def step(jump: DataFrame, k: int) -> bool:
         pairs = state["pairs"]
-        j = jump.select(F.col("id").alias("stream"), F.col("to").alias("_to"), F.col("d").alias("_d"), F.col("h").alias("_h"))
-        longer = pairs.join(j, "stream").select("base", F.col("_to").alias("stream"), (F.col("hops") + F.col("_h")).alias("hops"), (F.col("dist") + F.col("_d")).alias("dist"))
-        state["pairs"] = materialize(pairs.unionByName(longer), "paths")
+        j = jump.select(F.col(at).alias("stream"), F.col(to).alias("_to"), F.col("d").alias("_d"), F.col("h").alias("_h"), F.col("w0").alias("_w"))
+        longer = pairs.join(j, "stream").select("base", F.col("_to").alias("stream"), "limit", (F.col("hops") + F.col("_h")).alias("hops"), (F.col("dist") + F.col("_d")).alias("dist"), F.col("_w"))
+        passed = F.col("dist") - F.col("_w") if upstream else F.col("dist")
+        longer = materialize(longer.where(F.col("limit").isNull() | (passed < F.col("limit"))).drop("_w"), "ways")
+        if longer.isEmpty():
+            return True
+        state["pairs"] = materialize(pairs.unionByName(longer), "ways")
+        return False
+
+    _doubled(_jumps(net), _CARRIED, step)
+    return state["pairs"].select("base", "stream", "hops", "dist")
+
 
-    _doubled(net.links.select("id", F.col("target").alias("to"), F.col("weight").alias("d"), F.lit(1).cast("long").alias("h")), {"d": F.col("d"), "h": F.col("h")}, step)
-    return state["pairs"] if include_self else state["pairs"].where("hops > 0")
+def path_fold(net: RiverNetwork, values: DataFrame, how: str = "sum", factor: Column | None = None) -> DataFrame:
+    """(id, value): sum, min or max of ``values`` (id, value) over the way from each segment to its outlet, both included.
+
+    After k rounds a segment holds the fold over the first 2**k segments of its
+    way. With ``factor``, a column of the edges, the rest of the way is
+    multiplied by it at each edge: value(id) + factor(id) * fold(target).
+    """
+    scale = F.lit(1.0) if factor is None else factor.cast("double")
+    links = net.edges.join(net.edges.select(F.col("id").alias("target")), "target", "left_semi").select("id", F.col("target").alias("to"), scale.alias("f"))
+    join = {"sum": lambda a, b, f: F.coalesce(a, F.lit(0.0)) + f * F.coalesce(b, F.lit(0.0)), "min": lambda a, b, f: F.least(a, b), "max": lambda a, b, f: F.greatest(a, b)}[how]
+    state = {"held": materialize(net.edges.select("id").join(values.select("id", F.col("value").cast("double").alias("value")), "id", "left"), "folded")}
+
+    def step(jump: DataFrame, k: int) -> None:
+        held = state["held"]
+        below = jump.join(held.select(F.col("id").alias("to"), F.col("value").alias("_v")), "to").select("id", "_v", "f")
+        folded = held.join(below, "id", "left")
+        state["held"] = materialize(folded.select("id", F.when(F.col("f").isNull(), F.col("value")).otherwise(join(F.col("value"), F.col("_v"), F.col("f"))).alias("value")), "folded")
+
+    _doubled(links, {"f": lambda a, b: a * b}, step)
+    return state["held"]
 
 
 def catchment_edges(net: RiverNetwork, seeds: DataFrame | None = None, use_outlet: bool = False, mode: str = "in") -> DataFrame:
@@ -182,40 +242,80 @@ def catchment_edges(net: RiverNetwork, seeds: DataFrame | None = None, use_outle
     return edges.join(ends, ["seed", "target"], "left_semi").select("seed", "id", "target")
 
 
-def accumulate(net: RiverNetwork, columns: dict[str, tuple[str, str]], values: DataFrame | None = None, include_focal: bool = True) -> DataFrame:
+def accumulate(net: RiverNetwork, columns: dict[str, tuple[str, str]], values: DataFrame | None = None, include_focal: bool = True, factor: Column | None = None) -> DataFrame:
     """Upstream sum, min, max or count of columns for every segment, without building the closure.
 
     ``columns`` maps a result to (column, sum | min | max | count); ``values``
     (id and columns; else the network's attributes) has at most one row for
     each id. After k rounds a segment holds its upstream values within 2**k
     edges; the next round adds those of the segments exactly 2**k edges above.
+    Whole numbers are summed as such. With ``factor``, a column of the edges,
+    what flows over an edge is multiplied by it.
     """
     source = net.edges if values is None else net.edges.select("id").join(values, "id", "left")
     combine = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
-    start = source.select("id", *[(F.col(c).isNotNull().cast("long") if s == "count" else F.col(c).cast("double")).alias(out) for out, (c, s) in columns.items()])
+    whole = {f.name for f in source.schema.fields if f.dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")} if factor is None else set()
+    start = source.select("id", *[(F.col(c).isNotNull().cast("long") if s == "count" else F.col(c).cast("long" if c in whole else "double")).alias(out) for out, (c, s) in columns.items()])
     state = {"held": materialize(start, "accumulated")}
+    links = net.edges.join(net.edges.select(F.col("id").alias("target")), "target", "left_semi").select("id", F.col("target").alias("to"), *([] if factor is None else [factor.cast("double").alias("f")]))
 
     def step(jump: DataFrame, k: int) -> None:
         held = state["held"]
-        above = held.join(jump.select("id", "to"), "id").select(F.col("to").alias("id"), *columns)
+        above = held.join(jump, "id").select(F.col("to").alias("id"), *[(F.col(c) if factor is None else F.col(c) * F.col("f")).alias(c) for c in columns])
         state["held"] = materialize(held.unionByName(above).groupBy("id").agg(*[combine[s](out).alias(out) for out, (_, s) in columns.items()]), "accumulated")
 
-    _doubled(net.links.select("id", F.col("target").alias("to")), {}, step)
+    _doubled(links, {} if factor is None else {"f": lambda a, b: a * b}, step)
     out = state["held"]
     if not include_focal:
-        up = net.links.select("id", F.col("target").alias("base"))
-        out = out.join(up, "id").groupBy("base").agg(*[combine[s](o).alias(o) for o, (_, s) in columns.items()]).withColumnRenamed("base", "id")
+        out = out.join(links.withColumnRenamed("to", "base"), "id").groupBy("base").agg(*[combine[s](F.col(o) if factor is None else F.col(o) * F.col("f")).alias(o) for o, (_, s) in columns.items()]).withColumnRenamed("base", "id")
     return out
 
 
+def _upstream_moments(net: RiverNetwork, variables: DataFrame, names: list[str], stat: str, seeds: DataFrame | None, include_focal: bool) -> DataFrame:
+    """``upstream_variable`` for statistics that follow from counts, sums, sums of squares and extremes."""
+    centre = dict.fromkeys(names, 0.0)
+    if stat == "sd":  # squares are taken around the overall means, so that large values do not swallow the spread
+        row = variables.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in names]).first()
+        centre = {c: row[c] or 0.0 for c in names}
+    own, plan = [F.count("*").alias("_rows")], {"_rows": ("_rows", "sum")}
+    for k, c in enumerate(names):
+        shifted = F.col(c).cast("double") - F.lit(centre[c])
+        parts = {"sum": [("s", F.sum(c), "sum")], "min": [("m", F.min(c), "min")], "max": [("m", F.max(c), "max")], "mean": [("n", F.count(c), "sum"), ("s", F.sum(c), "sum")], "sd": [("n", F.count(c), "sum"), ("s", F.sum(shifted), "sum"), ("q", F.sum(shifted * shifted), "sum")]}[stat]
+        for mark, value, how in parts:
+            own.append(value.alias(f"_{mark}{k}"))
+            plan[f"_{mark}{k}"] = (f"_{mark}{k}", how)
+    each = materialize(variables.groupBy("id").agg(*own), "own-values")
+    out = accumulate(net, plan, each, include_focal)
+    if seeds is not None:
+        out = out.join(seeds.select(F.col("id").cast("long").alias("id")).distinct(), "id", "left_semi")
+    elif not include_focal:
+        out = out.unionByName(headwaters(net).join(each, "id").select("id", *plan))
+
+    def value(k: int) -> Column:
+        n, s, q = F.col(f"_n{k}"), F.col(f"_s{k}"), F.col(f"_q{k}")
+        if stat == "sum":
+            return F.coalesce(s, F.lit(0))
+        if stat == "mean":
+            return F.when(n > 0, s / n)
+        if stat == "sd":
+            return F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), (q - s * s / n) / (n - 1))))
+        return F.col(f"_m{k}")
+
+    return out.where("_rows > 0").select(F.col("id").alias("base"), *[value(k).alias(c) for k, c in enumerate(names)])
+
+
 def upstream_variable(net: RiverNetwork, variables: DataFrame, names: list[str], stat: str | Callable[[str], Column], seeds: DataFrame | None = None, include_focal: bool = False, connections: DataFrame | None = None, on: str = "id") -> DataFrame:
     """(base, each name): a statistic of the variables over everything upstream of each segment.
 
     Without seeds all segments are bases, and a headwater, which has nothing
     upstream, uses its own values even if the focal segment is left out
-    otherwise. With seeds only theirs are built and headwaters give no row.
+    otherwise. With seeds only they are bases and headwaters give no row.
+    Sum, mean, sd, min and max are accumulated down the network; the median and
+    a caller's function need all pairs (base, stream), those of the seeds only.
     ``connections`` (base, stream) reuses a stored closure.
     """
+    if connections is None and stat in ("sum", "mean", "sd", "min", "max"):
+        return _upstream_moments(net, variables.select(F.col(on).cast("long").alias("id"), *names), names, stat, seeds, include_focal)
     pairs = connections
     if pairs is None:
         pairs = closure(net, include_self=include_focal, seeds=seeds).select("base", "stream")
@@ -257,82 +357,113 @@ def neighbour_variable(pairs: DataFrame, variables: DataFrame, names: list[str],
     return pairs.join(variables.select(F.col(on).alias(key), *names), key, "left").groupBy("id").agg(*[stat_column(stat, c).alias(c) for c in names])
 
 
+def meetings(paths: DataFrame, block: int = 2000) -> DataFrame:
+    """Each pair of ways (base, stream, hops, dist) once, at the first segment that both come to: a, b, meet.
+
+    ``a`` and ``b`` are structs of the two rows. Two ways meet where they come
+    in from different neighbours (or one begins there), so only such groups are
+    joined, and what a segment passes on below is never compared again. Groups
+    of over ``block`` ways on one side are dealt in parts.
+    """
+    came = F.coalesce(F.lag("stream").over(W.partitionBy("base").orderBy("hops")), F.col("stream"))
+    rows = materialize(paths.select("stream", came.alias("via"), F.struct("base", "hops", "dist").alias("row")), "ways")
+    sizes = rows.groupBy("stream", "via").agg(F.count("*").alias("n"))
+    one, two = sizes.select("stream", F.col("via").alias("lo"), F.col("n").alias("n_lo")), sizes.select("stream", F.col("via").alias("hi"))
+    groups = one.join(two, "stream").where("lo < hi").select("stream", "lo", "hi", F.ceil(F.col("n_lo") / F.lit(block)).alias("cut"))
+    a = groups.join(rows.select("stream", F.col("via").alias("lo"), F.col("row").alias("a")), ["stream", "lo"]).select("stream", "lo", "hi", F.pmod(F.xxhash64("a.base"), F.col("cut")).alias("part"), "a")
+    b = groups.join(rows.select("stream", F.col("via").alias("hi"), F.col("row").alias("b")), ["stream", "hi"]).select("stream", "lo", "hi", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cut") - 1)).alias("part"), "b")
+    return a.join(b, ["stream", "lo", "hi", "part"]).select("a", "b", F.col("stream").alias("meet"))
+
+
 def pair_distances(net: RiverNetwork, points: DataFrame, hops: bool = False, include_ends: bool = False) -> DataFrame:
     """(from, to, distance or segments) of all unordered pairs of the given ids that are connected.
 
     The distance runs over the lowest common segment: D(a) + D(b) - 2 D(c). Each
     edge weighs as its upstream segment. Pairs in different basins have no row.
-    Only the points' own paths are built, so the cost is that of the pairs that
-    are asked for.
+    Only the points' own paths are built, and each pair is made once.
     """
-    paths = walk_down(net, points)
-    a = paths.select(F.col("base").alias("from"), "stream", F.col("dist").alias("da"), F.col("hops").alias("ha"))
-    b = paths.select(F.col("base").alias("to"), "stream", F.col("dist").alias("db"), F.col("hops").alias("hb"))
-    met = a.join(b, "stream").where(F.col("from") < F.col("to"))
-    best = met.groupBy("from", "to").agg(F.min_by(F.struct("da", "db", "ha", "hb", "stream"), F.col("ha") + F.col("hb")).alias("m"))
+    met = meetings(walk_down(net, points))
+    ends = (F.least("a.base", "b.base").alias("from"), F.greatest("a.base", "b.base").alias("to"))
     if hops:
-        return best.select("from", "to", (F.col("m.ha") + F.col("m.hb")).alias("segments"))
-    out = best.select("from", "to", (F.col("m.da") + F.col("m.db")).alias("distance"), F.col("m.stream").alias("meet"))
+        return met.select(*ends, (F.col("a.hops") + F.col("b.hops")).alias("segments"))
+    out = met.select(*ends, (F.col("a.dist") + F.col("b.dist")).alias("distance"), "meet")
     if include_ends:
         w = net.edges.select(F.col("id").alias("meet"), F.col("weight").alias("_w"))
         return out.join(w, "meet").select("from", "to", (F.col("distance") + F.col("_w")).alias("distance"))
     return out.select("from", "to", "distance")
 
 
+def _way_to(net: RiverNetwork, low: DataFrame, ends: DataFrame) -> DataFrame:
+    """(id, root, dist, way): the way from each segment, up or down, to the one of ``ends`` (root, end) in its basin."""
+    stem = walk_down(net, ends.select(F.col("end").alias("id"))).select(F.col("stream").alias("id"), F.lit(True).alias("_stem"))
+    cut = RiverNetwork.__new__(RiverNetwork)
+    cut.edges = net.edges.select("id", "target", "weight").join(stem, "id", "left").select("id", F.when(F.col("_stem"), F.lit(-1)).otherwise(F.col("target")).alias("target"), "weight")
+    to_stem = roots(cut).select("id", F.col("root").alias("_at"), F.col("dist").alias("_up"))
+    depth = low.select(F.col("id").alias("_at"), F.col("dist").alias("_below"))
+    far = low.join(ends, "root").where("id = end").select("root", F.col("dist").alias("_end"))
+    return low.join(to_stem, "id").join(depth, "_at").join(far, "root").select("id", "root", "dist", (F.col("_up") + F.col("_end") - F.col("_below")).alias("way"))
+
+
 def centrality(net: RiverNetwork, mode: str = "in") -> DataFrame:
     """subc_id, degree, farness, closeness, eccentricity (over what is reachable) and betweeness.
 
     The last name is kept as users know it. In an in-forest directed paths are
     unique, so the paths through a segment are those from each segment above to
     each segment below; it does not depend on the mode. A segment that reaches
-    nothing has no closeness, farness 0 is null.
+    nothing has no closeness, farness 0 is null. Everything follows from the
+    distances D to the outlets: their number, sum and maximum upstream, and
+    their sum along the way down. Mode all goes both ways along the edges; its
+    farness changes by weight * (all - 2 * upstream) with each edge, and the
+    farthest segment is one of the two ends of the basin's longest way.
     """
-    pairs = materialize(closure(net, include_self=False), "pairs")
-    up = pairs.groupBy(F.col("base").alias("id")).agg(F.count("*").alias("n_up"), F.sum("dist").alias("far_up"), F.max("dist").alias("ecc_up"))
-    down = pairs.groupBy(F.col("stream").alias("id")).agg(F.count("*").alias("n_down"), F.sum("dist").alias("far_down"), F.max("dist").alias("ecc_down"))
+    if mode not in ("in", "out", "all"):
+        raise ValueError("mode is in, out or all")
+    low = materialize(roots(net), "roots")
+    up = accumulate(net, {"n": ("hops", "count"), "s": ("dist", "sum"), "m": ("dist", "max")}, low)
+    path = path_fold(net, low.select("id", F.col("dist").alias("value"))).withColumnRenamed("value", "path")
+    t = materialize(low.join(up, "id").join(path, "id"), "distances")
     links = net.links
-    deg_in = links.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("deg_in"))
-    deg_out = links.groupBy("id").agg(F.count("*").alias("deg_out"))
-    t = net.edges.select("id")
-    for part in (up, down, deg_in, deg_out):
+    for part in (links.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("deg_in")), links.groupBy("id").agg(F.count("*").alias("deg_out"))):
         t = t.join(part, "id", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
+    n_up, n_down = F.col("n") - 1, F.col("hops")
+    far_up = F.when(n_up > 0, F.col("s") - F.col("n") * F.col("dist"))
+    deg_in, deg_out = F.coalesce("deg_in", F.lit(0)), F.coalesce("deg_out", F.lit(0))
     if mode == "in":
-        far, ecc, degree = F.col("far_up"), F.col("ecc_up"), zero(F.col("deg_in"))
+        far, ecc, degree = far_up, F.col("m") - F.col("dist"), deg_in
     elif mode == "out":
-        far, ecc, degree = F.col("far_down"), F.col("ecc_down"), zero(F.col("deg_out"))
+        far, ecc, degree = F.when(n_down > 0, (n_down + 1) * F.col("dist") - F.col("path")), F.col("dist"), deg_out
     else:
-        raise ValueError("mode is in or out")
-    return t.select(F.col("id").alias("subc_id"), degree.alias("degree"), far.alias("farness"), F.when(far > 0, 1 / far).alias("closeness"), F.coalesce(ecc, F.lit(0.0)).alias("eccentricity"), (zero(F.col("n_up")) * zero(F.col("n_down"))).alias("betweeness"))
+        basin = t.where("id = root").select("root", F.col("n").alias("_all"), F.col("s").alias("_far"))
+        turn = t.join(basin, "root").join(net.edges.select("id", "weight"), "id").select("id", F.when(F.col("id") == F.col("root"), 0.0).otherwise(F.col("weight") * (F.col("_all") - 2 * F.col("n"))).alias("value"))
+        turned = path_fold(net, turn).withColumnRenamed("value", "_turn")
+        first = low.groupBy("root").agg(F.max_by("id", F.struct("dist", "id")).alias("end"))
+        one = materialize(_way_to(net, low, first), "first-end")
+        second = one.groupBy("root").agg(F.max_by("id", F.struct("way", "id")).alias("end"))
+        two = _way_to(net, low, second).select("id", F.col("way").alias("_two"))
+        t = t.join(basin, "root").join(turned, "id").join(one.select("id", F.col("way").alias("_one")), "id").join(two, "id")
+        far, ecc, degree = F.when(F.col("_all") > 1, F.col("_far") + F.col("_turn")), F.greatest("_one", "_two"), deg_in + deg_out
+    return t.select(F.col("id").alias("subc_id"), degree.alias("degree"), far.alias("farness"), F.when(far > 0, 1 / far).alias("closeness"), F.coalesce(ecc, F.lit(0.0)).alias("eccentricity"), (n_up * n_down).alias("betweeness"))
 
 
 def stream_orders(net: RiverNetwork) -> DataFrame:
-    """id, strahler, shreve: bottom-up, a round for each height above the headwaters.
+    """id, strahler, shreve.
 
-    Strahler: the largest order above, one more where it comes twice. Shreve:
-    the number of headwaters above.
+    Shreve: the number of headwaters above. Strahler: the largest order above,
+    one more where it comes twice. The segments of order k + 1 or more are those
+    below a segment into which two of order k or more flow, so there is one
+    accumulation for each order, over the segments of the order before: their
+    number at least halves at the headwaters each time.
     """
-    links = materialize(net.links.select("id", "target"), "links")
-    parents = links.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("n"))
-    wait = materialize(net.edges.select("id").join(parents, "id", "left").withColumn("n", F.coalesce("n", F.lit(0))), "waiting")
-    done = materialize(wait.where("n = 0").select("id", F.lit(1).cast("long").alias("strahler"), F.lit(1).cast("long").alias("shreve")), "orders")
-    wait = wait.where("n > 0")
-    fresh = done
-    arrived = None
+    head = headwaters(net).select("id", F.lit(1).alias("head"))
+    out = materialize(accumulate(net, {"shreve": ("head", "sum")}, head).withColumn("strahler", F.lit(1).cast("long")), "orders")
     while True:
-        sent = fresh.join(links, "id").select(F.col("target").alias("id"), "strahler", "shreve")
-        part = sent.groupBy("id").agg(F.max(F.struct("strahler", F.lit(0))).alias("_"), F.collect_list("strahler").alias("s"), F.sum("shreve").alias("shreve"), F.count("*").alias("got")).drop("_")
-        arrived = part if arrived is None else arrived.unionByName(part).groupBy("id").agg(F.flatten(F.collect_list("s")).alias("s"), F.sum("shreve").alias("shreve"), F.sum("got").alias("got"))
-        arrived = materialize(arrived, "arrived")
-        if arrived.isEmpty():
-            return done
-        top = F.array_max("s")
-        ready = arrived.join(wait, "id").where("got = n").select("id", F.when(F.size(F.filter("s", lambda x: x == top)) > 1, top + 1).otherwise(top).alias("strahler"), "shreve")
-        fresh = materialize(ready, "ready")
-        if fresh.isEmpty():
-            return done
-        done = materialize(done.unionByName(fresh), "orders")
-        arrived = arrived.join(fresh.select("id"), "id", "left_anti")
+        high = net.part(out.where(F.col("strahler") == out.agg(F.max("strahler")).first()[0]))
+        joins = high.links.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit(1).alias("joint"))
+        joins = materialize(joins, "joints")
+        if joins.isEmpty():
+            return out.select("id", "strahler", "shreve")
+        below = accumulate(high, {"joints": ("joint", "sum")}, joins).where("joints > 0").select("id", F.lit(1).alias("_more"))
+        out = materialize(out.join(below, "id", "left").select("id", (F.col("strahler") + F.coalesce("_more", F.lit(0))).alias("strahler"), "shreve"), "orders")
 
 
 def fragments(net: RiverNetwork, cut: Column) -> DataFrame:

@@ -40,7 +40,9 @@ def pfafstetter(net: RiverNetwork, area: str = "area") -> DataFrame:
     numbered = materialize(numbered, "codes")
     inside = closure(net, seeds=numbered.select(F.col("trib").alias("id"))).join(numbered.select(F.col("trib").alias("base"), "code"), "base").select(F.col("stream").alias("id"), "code")
     # everything else drains to the stem at some place; its code is one more than that of the last main tributary below
-    place = closure(net, seeds=stem.select("id")).join(stem.select(F.col("id").alias("base"), "pos"), "base").groupBy(F.col("stream").alias("id")).agg(F.max("pos").alias("pos"))
+    apart = RiverNetwork.__new__(RiverNetwork)
+    apart.edges = net.edges.select("id", "target", "weight").join(stem.select("id", F.lit(True).alias("_stem")), "id", "left").select("id", F.when(F.col("_stem"), F.lit(-1)).otherwise(F.col("target")).alias("target"), "weight")
+    place = roots(apart).select("id", F.col("root").alias("base")).join(stem.select(F.col("id").alias("base"), "pos"), "base").select("id", "pos")
     cuts = numbered.agg(F.sort_array(F.collect_list("pos")).alias("cuts"))
     rest = place.join(inside.select("id"), "id", "left_anti").join(F.broadcast(cuts))
     between = rest.select("id", (1 + 2 * F.size(F.filter("cuts", lambda c: c < F.col("pos")))).cast("int").alias("code"))
