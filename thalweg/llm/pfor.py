@@ -126,7 +126,7 @@ def decode_ids(starts: np.ndarray, body: np.ndarray, n: int) -> np.ndarray:
     return (v + low[:, None].astype(np.uint64)).ravel()[:n].astype(np.uint32)
 
 
-def write_image(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
+def write_image(doc_ids: list[int | None], lengths: list[int] | np.ndarray, ids: np.ndarray) -> bytes:
     """A file: header (magic, documents, ids, blocks, body bytes), document table, block index, blocks."""
     starts, body = encode_ids(ids)
     null = np.array([d is None for d in doc_ids], np.uint8)
@@ -167,8 +167,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, segment_ids:
     """Encode every text, append ``end_id`` and write the ids in ascending doc_id order; returns the dataset's path.
 
     The documents are dealt by ranges of doc_id and sorted inside each range
-    (one shuffle of the texts); rows with equal doc_id are ordered by text, a
-    null doc_id comes first. A segment closes at the first document end past
+    (one shuffle of the texts). Rows with equal doc_id are ordered by their
+    first 64 characters and a hash of the text, a null doc_id comes first; an id
+    (or null) that many rows share is dealt over several ranges by the same
+    order, rows equal in both anyhow. A segment closes at the first document end past
     ``segment_ids`` ids, so memory follows the segment or the longest document.
     """
     spark = docs.sparkSession
@@ -176,23 +178,26 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, segment_ids:
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("tokens")
-        encoder = _encoder(tokenizer, counts=False)
-        kind = np.uint16 if encoder.tokenizer.get_vocab_size() <= 65536 else np.uint32
-        end = np.array([end_id], kind).tobytes()
+        encoder = _encoder(tokenizer, strip=True)
         shard = TaskContext.get().partitionId()
         doc_ids, lengths, parts, held, before, segment = [], [], [], 0, 0, 0
 
         def close() -> pa.RecordBatch:
-            image = write_image(doc_ids, lengths, np.frombuffer(b"".join(parts), kind))
+            image = write_image(doc_ids, np.concatenate(lengths), np.concatenate(parts))
             return pa.record_batch([pa.array([shard], pa.int32()), pa.array([segment], pa.int32()), pa.array([before], pa.int64()), pa.array([held], pa.int64()), pa.array([image], pa.binary())], names=["shard", "segment", "first", "n_ids", "payload"])
 
-        for batch in small_batches(batches):
-            for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                b = encode_words(t, encoder) + end
-                doc_ids.append(d)
-                lengths.append(len(b) // np.dtype(kind).itemsize)
-                parts.append(b)
-                held += lengths[-1]
+        for batch in small_batches(batches, 4 << 20):
+            ids, sizes = encode_words(batch.column("text"), encoder)
+            ids = np.insert(ids, np.cumsum(sizes), end_id)
+            sizes = sizes + 1
+            ends, names, at = np.cumsum(sizes), batch.column("doc_id").to_pylist(), 0
+            while at < len(names):
+                begin = int(ends[at - 1]) if at else 0
+                stop = min(len(names), int(np.searchsorted(ends, begin + segment_ids - held)) + 1)
+                doc_ids += names[at:stop]
+                lengths.append(sizes[at:stop])
+                parts.append(ids[begin : ends[stop - 1]])
+                held, at = held + int(ends[stop - 1]) - begin, stop
                 if held >= segment_ids:
                     yield close()
                     before, segment = before + held, segment + 1
@@ -200,8 +205,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, segment_ids:
         if doc_ids:
             yield close()
 
-    rows = text_rows(docs).repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(segments, "shard int, segment int, first long, n_ids long, payload binary").write.option("compression", "none").parquet(path)
+    rows = text_rows(docs).select("doc_id", "text", F.substring("text", 1, 64).alias("head"), F.xxhash64("text").alias("mark"))
+    dealt = rows.repartitionByRange(partitions(spark), "doc_id", "head", "mark", F.monotonically_increasing_id())
+    dealt.sortWithinPartitions("doc_id", "head", "mark", "text").select("doc_id", "text").mapInArrow(segments, "shard int, segment int, first long, n_ids long, payload binary").write.option("compression", "none").parquet(path)
     return path
 
 

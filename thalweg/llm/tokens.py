@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import os
 import re
-from array import array
+from itertools import chain
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from thalweg.llm.common import keeps, map_arrow, text_rows
@@ -21,11 +23,16 @@ from thalweg.llm.common import keeps, map_arrow, text_rows
 #: White space of any kind other than the plain space and line feed, and format characters near it.
 #: A superset of what the libraries call white space: a text that holds one is encoded as a whole.
 ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁯　﻿]")
-_RUNS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+#: Bytes with which the UTF-8 of an odd space may begin.
+_ODD_BYTE = np.isin(np.arange(256), [0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF])
 _GAP = re.compile(r"(?<=[^\s\x1c-\x1f\x85\xa0᠎​-‏﻿])[ \n]")
-#: One word of unaccented or Latin-1 letters, perhaps after one space, perhaps before plain stops: both byte-level
-#: pre-tokenisers cut exactly between the letters and the stops, and every such letter is a letter to them.
-_WORD = re.compile("( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: One word of unaccented or Latin-1 letters, perhaps after one space: every such letter is a letter to the pre-tokenisers.
+_WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Bytes of plain stops, of ASCII letters, and the second bytes of Latin-1 letters (after 0xC3). Both byte-level
+#: pre-tokenisers cut between a letter and a stop.
+_STOP = np.isin(np.arange(256), list(b".,;:!?"))
+_LETTER = np.array([chr(b).isalpha() and b < 0x80 for b in range(256)])
+_SECOND = np.array([0x80 <= b < 0xC0 and b not in (0x97, 0xB7) for b in range(256)])
 _LATIN = "".join(chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))
 _LOADED: dict[str, object] = {}
 
@@ -45,83 +52,127 @@ def load(path: str):
 
 
 class PieceEncoder:
-    """Encodes pieces of text and keeps what it found, in two generations of bounded size.
-
-    Pieces are joined by the library's own end-of-text token, which it takes
-    out of a text before anything else, so that each piece is encoded as if it
-    stood alone; pieces that hold that string themselves are encoded singly.
+    """Encodes pieces of text and keeps what it found: the pieces and their ids stand in arrays of bounded size.
+
+    Words go to the library's model directly, other pieces are joined by the
+    library's own end-of-text token, which it takes out of a text before
+    anything else, so that each piece is encoded as if it stood alone; pieces
+    that hold that string themselves are encoded singly. With ``strip`` the
+    spaces and line feeds around a piece are left out. Past ``keep`` pieces the
+    older half is forgotten.
     """
 
-    def __init__(self, path: str, separator: str = "<|endoftext|>", keep: int = 250_000, counts: bool = False):
+    def __init__(self, path: str, separator: str = "<|endoftext|>", keep: int = 400_000, strip: bool = False):
         self.tokenizer = load(path)
         self.separator, self.sep_id = separator, self.tokenizer.token_to_id(separator)
-        self.keep, self.counts = keep, counts
+        self.keep, self.strip = keep, strip
+        self.kind = np.dtype(np.uint16 if self.tokenizer.get_vocab_size() <= 65536 else np.uint32)
         from tokenizers import pre_tokenizers
 
         alone = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.bytes = {ord(c): alone.pre_tokenize_str(c)[0][0] for c in _LATIN + " "}
         self.lower = "Lowercase" in str(self.tokenizer.normalizer)
-        self.new: dict = {}
-        self.old: dict = {}
-
-    def _value(self, ids: list[int]):
-        return len(ids) if self.counts else array("H" if self.tokenizer.get_vocab_size() <= 65536 else "I", ids).tobytes()
-
-    def _learn(self, pieces: list[str]) -> None:
-        new, old = self.new, self.old
-        tokenize, table, match = self.tokenizer.model.tokenize, self.bytes, _WORD.fullmatch
-        rest = []
-        for p in pieces:
-            if (v := old.get(p)) is not None:
-                new[p] = v
-            elif m := match(p):
-                space, word, stops = m.groups()
-                core = space + word
-                if (v := new.get(core)) is None:
-                    t = core.lower() if self.lower else core
-                    v = new[core] = self._value([x.id for x in tokenize(t if t.isascii() and not space else t.translate(table))])
-                if stops:
-                    if (w := new.get(stops)) is None:
-                        w = new[stops] = self._value(self.tokenizer.encode(stops, add_special_tokens=False).ids)
-                    new[p] = v + w
+        self.known = pa.array([], pa.string())
+        self.ids, self.ends = np.zeros(0, self.kind), np.zeros(1, np.int64)
+
+    def _encode(self, pieces: list[str]) -> list[list[int]]:
+        tokenize, table, match, lower, separator = self.tokenizer.model.tokenize, self.bytes, _WORD.fullmatch, self.lower, self.separator
+        out, plain = [], []
+        for k, p in enumerate(pieces):
+            if match(p):
+                t = p.lower() if lower else p
+                out.append([x.id for x in tokenize(t.translate(table) if p[0] == " " or not t.isascii() else t)])
             else:
-                rest.append(p)
-        plain = [p for p in rest if self.separator not in p]
-        ends = [p for p in rest if self.separator in p]
-        for p in ends:
-            new[p] = self._value(self.tokenizer.encode(p, add_special_tokens=False).ids)
+                if separator in p:
+                    out.append(self.tokenizer.encode(p, add_special_tokens=False).ids)
+                else:
+                    out.append([])
+                    plain.append(k)
         for at in range(0, len(plain), 512):
             part = plain[at : at + 512]
-            ids = self.tokenizer.encode(self.separator.join(part), add_special_tokens=False).ids
-            begin, sep = 0, self.sep_id
-            for p in part[:-1]:
-                end = ids.index(sep, begin)
-                new[p] = self._value(ids[begin:end])
+            ids = self.tokenizer.encode(separator.join([pieces[k] for k in part]), add_special_tokens=False).ids
+            begin = 0
+            for k in part[:-1]:
+                end = ids.index(self.sep_id, begin)
+                out[k] = ids[begin:end]
                 begin = end + 1
-            new[part[-1]] = self._value(ids[begin:])
-
-    def values(self, pieces: list[str]) -> list:
-        found = list(map(self.new.get, pieces))
-        if None in found:
-            if len(self.new) > self.keep:
-                self.old, self.new = self.new, {}
-                self._learn(list(dict.fromkeys(pieces)))
-            else:
-                self._learn(list(dict.fromkeys(p for p, v in zip(pieces, found, strict=True) if v is None)))
-            found = list(map(self.new.__getitem__, pieces))
-        return found
-
-
-def direct_count(text: str, encoder: PieceEncoder) -> int:
-    """Tokens of a text that is not huge.
+            out[part[-1]] = ids[begin:]
+        return out
+
+    def places(self, pieces: pa.StringArray) -> np.ndarray:
+        """For each of the (distinct) pieces its place among the known ones; what is not known is learnt."""
+        at = np.full(len(pieces), -1, np.int64)
+        if len(self.known):
+            at = pc.fill_null(pc.index_in(pieces, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new) and len(self.known) and len(self.known) + len(new) > self.keep:
+            gone = -(-len(self.known) // 2)
+            self.known = pa.concat_arrays([self.known.slice(gone)])
+            self.ids, self.ends = self.ids[self.ends[gone] :].copy(), self.ends[gone:] - self.ends[gone]
+            return self.places(pieces)
+        if len(new):
+            learnt = pieces.take(pa.array(new))
+            texts = learnt.to_pylist()
+            found = self._encode([t.strip(" \n") for t in texts] if self.strip else texts)
+            at[new] = len(self.known) + np.arange(len(new))
+            self.known = pa.concat_arrays([self.known, learnt])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), self.kind)])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in found])])
+        return at
+
+
+def pieces_of(texts: pa.StringArray) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
+    """The texts cut before each run of spaces or line feeds that follows another character, and between letter and stop.
+
+    Gives the pieces of all texts in a row, dictionary-encoded, the place of
+    each text's first piece (one more than there are texts) and the places of
+    the texts that may hold an odd space. The cuts are ASCII, so the pieces
+    share the texts' buffer.
+    """
+    texts = texts.fill_null("") if texts.null_count else texts
+    n = len(texts)
+    ends = np.frombuffer(texts.buffers()[1], np.int32, n + 1, 4 * texts.offset)
+    size = int(ends[-1] - ends[0])
+    if not size:
+        return pa.array([], pa.string()).dictionary_encode(), np.zeros(n + 1, np.int64), np.zeros(0, np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8, size, int(ends[0]))
+    ends = ends - ends[0]
+    space = (data == 0x20) | (data == 0x0A)
+    cut = space.copy()
+    cut[1:] &= ~space[:-1]
+    stop = _STOP[data]
+    cut[1:] |= stop[1:] & _LETTER[data[:-1]]
+    cut[2:] |= stop[2:] & _SECOND[data[1:-1]] & (data[:-2] == 0xC3)
+    cut[ends[:-1][ends[:-1] < ends[1:]]] = True
+    at = np.flatnonzero(cut)
+    first = np.searchsorted(at, ends)
+    pieces = pa.StringArray.from_buffers(len(at), pa.py_buffer(np.append(at, size).astype(np.int32)), pa.py_buffer(data))
+    odd = np.unique(np.searchsorted(ends, np.flatnonzero(_ODD_BYTE[data]), side="right") - 1)
+    return pieces.dictionary_encode(), first, odd
+
+
+def direct_counts(texts: pa.StringArray, encoder: PieceEncoder) -> np.ndarray:
+    """Tokens of texts that are not huge.
 
     A place before a run of spaces or line feeds that follows another
-    character is always a boundary of the byte-level pre-tokeniser, whatever
-    stands around it, so the pieces between such places are encoded apart.
+    character, or between a letter and a stop, is always a boundary of the
+    byte-level pre-tokeniser, whatever stands around it, so the pieces between
+    such places are encoded apart, each distinct one once. A text with an odd space is encoded as a whole.
     """
-    if ODD_SPACE.search(text):
-        return len(encoder.tokenizer.encode(text, add_special_tokens=False).ids)
-    return sum(encoder.values(_RUNS.findall(text)))
+    pieces, first, odd = pieces_of(texts)
+    at = encoder.places(pieces.dictionary)
+    each = encoder.ends[at + 1] - encoder.ends[at]
+    total = np.concatenate([[0], np.cumsum(each[pieces.indices.to_numpy()])])
+    out = total[first[1:]] - total[first[:-1]]
+    for k in odd.tolist():
+        text = texts[k].as_py()
+        if ODD_SPACE.search(text):
+            out[k] = len(encoder.tokenizer.encode(text, add_special_tokens=False).ids)
+    return out
+
+
+def direct_count(text: str, encoder: PieceEncoder) -> int:
+    return int(direct_counts(pa.array([text], pa.string()), encoder)[0])
 
 
 def resync_count(text: str, tokenizer, chunk: int = 32_768, overlap: int = 512) -> int:
@@ -185,31 +236,44 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, huge: int = 32_7
     """
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encoder = _encoder(path, counts=True)
-        texts = batch.column("text").to_pylist()
-        n = [resync_count(t, encoder.tokenizer, huge, overlap) if len(t) > huge else direct_count(t, encoder) for t in texts]
-        return pa.record_batch(
-            [batch.column("doc_id"), pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([k > limit for k in n], pa.bool_())],
-            names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
-        )
-
-    return map_arrow(text_rows(docs), count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", cache="tokens")
+        encoder = _encoder(path, strip=False)
+        texts = batch.column("text")
+        n_bytes = pc.binary_length(texts).cast(pa.int64())
+        large = np.flatnonzero(n_bytes.to_numpy() > huge)
+        large = [k for k in large.tolist() if len(texts[k].as_py()) > huge]
+        some = texts
+        if large:
+            chosen = np.zeros(len(texts), bool)
+            chosen[large] = True
+            some = pc.if_else(pa.array(chosen), "", texts)
+        n = direct_counts(some, encoder)
+        for k in large:
+            n[k] = resync_count(texts[k].as_py(), encoder.tokenizer, huge, overlap)
+        return pa.record_batch([batch.column("doc_id"), n_bytes, pa.array(n, pa.int64()), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+
+    return map_arrow(text_rows(docs), count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", most_bytes=4 << 20, cache="tokens")
 
 
 _ENCODERS: dict = {}
 keeps("tokens", _ENCODERS.clear)
 
 
-def _encoder(path: str, counts: bool) -> PieceEncoder:
-    if (path, counts) not in _ENCODERS:
-        _ENCODERS[path, counts] = PieceEncoder(path, counts=counts)
-    return _ENCODERS[path, counts]
+def _encoder(path: str, strip: bool) -> PieceEncoder:
+    if (path, strip) not in _ENCODERS:
+        _ENCODERS[path, strip] = PieceEncoder(path, strip=strip)
+    return _ENCODERS[path, strip]
 
 
-def encode_words(text: str, encoder: PieceEncoder) -> bytes:
-    """Ids of a text, as little-endian integers of the encoder's width, under a vocabulary that drops white space.
+def encode_words(texts: pa.StringArray, encoder: PieceEncoder) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in a row and the number of ids of each, under a vocabulary that drops white space.
 
     Spaces and line feeds end a word of such a tokeniser and leave no token,
-    so the pieces between them are encoded apart.
+    so the words between them are encoded apart, each distinct one once.
     """
-    return b"".join(encoder.values([p for p in text.replace("\n", " ").split(" ") if p]))
+    pieces, first, _ = pieces_of(texts)
+    known = encoder.places(pieces.dictionary)
+    at = known[pieces.indices.to_numpy()]
+    begin, size = encoder.ends[at], encoder.ends[at + 1] - encoder.ends[at]
+    total = np.concatenate([[0], np.cumsum(size)])
+    ids = encoder.ids[np.repeat(begin - total[:-1], size) + np.arange(total[-1])]
+    return ids, total[first[1:]] - total[first[:-1]]
