@@ -189,3 +189,102 @@ def test_pfafstetter(spark):
     assert got == {0: 1, 10: 2, 1: 3, 11: 4, 2: 5, 12: 5, 3: 5, 13: 6, 4: 7, 14: 8, 5: 9}
     with pytest.raises(ValueError, match="outlet"):
         pfafstetter(N.RiverNetwork(spark.createDataFrame([(1, -1, 1.0), (2, -1, 1.0)], "subc_id long, target long, area double")))
+
+
+def _tree(spark, pairs):
+    """(id, target, length) rows as a network."""
+    return N.RiverNetwork(spark.createDataFrame(pairs, "subc_id long, target long, length double"))
+
+
+def _random_forest(seed, n=40, roots=2):
+    rng = random.Random(seed)
+    return [(k, -1 if k < roots else rng.randrange(k), rng.randint(1, 9) + 0.5) for k in range(n)]
+
+
+def _ways(rows):
+    """(i, j) -> segments on the way between them, both ends included, for all connected pairs."""
+    down = {i: t for i, t, _ in rows}
+
+    def path(i):
+        out = [i]
+        while down[out[-1]] >= 0:
+            out.append(down[out[-1]])
+        return out
+
+    ways = {}
+    for i in down:
+        for j in down:
+            a, b = path(i), path(j)
+            if a[-1] == b[-1]:
+                meet = next(x for x in a if x in b)
+                ways[i, j] = a[: a.index(meet)] + [meet] + b[: b.index(meet)][::-1]
+    return ways
+
+
+def test_centrality_of_all_modes_against_all_ways(spark):
+    rows = _random_forest(3)
+    net, length, ways = _tree(spark, rows), {i: w for i, _, w in rows}, _ways(_random_forest(3))
+    # an edge weighs as its upper end: the way's segments but the meeting one
+    down = {i: t for i, t, _ in rows}
+
+    def dist(way):
+        return sum(length[x] for k, x in enumerate(way) if (k + 1 < len(way) and down[x] == way[k + 1]) or (k and down[x] == way[k - 1]))
+
+    got = {r["subc_id"]: r for r in N.centrality(net, "all").collect()}
+    for i in length:
+        far = [dist(w) for (a, b), w in ways.items() if a == i and b != i]
+        assert got[i]["farness"] == pytest.approx(sum(far)) and got[i]["eccentricity"] == pytest.approx(max(far))
+        assert got[i]["degree"] == sum(t == i for t in down.values()) + (down[i] >= 0)
+    out = {r["subc_id"]: r for r in N.centrality(net, "out").collect()}
+    for i in length:
+        way = [w for (a, b), w in ways.items() if a == i and all(down[x] == y for x, y in zip(w, w[1:])) and b != i]
+        assert (out[i]["farness"] or 0) == pytest.approx(sum(dist(w) for w in way))
+
+
+def test_connectivity_against_the_matrix(spark):
+    rows = [(i, t, w, 0.0 if i == 11 else 0.9, 1.0 - i / 100) for i, t, w in _random_forest(5)]
+    net = N.RiverNetwork(spark.createDataFrame(rows, "subc_id long, target long, length double, up double, down double"))
+    ways, down = _ways([r[:3] for r in rows]), {r[0]: r[1] for r in rows}
+    c, length = {r[0]: r[3] * r[4] for r in rows}, {r[0]: r[2] for r in rows}
+    weight = {i: float(1 + i % 3) for i in down if i % 4 != 1}
+
+    def m(i, j):
+        if i == j:
+            return 1.0
+        if (i, j) not in ways:
+            return 0.0
+        way = ways[i, j]
+        out = 0.8 ** sum(length[x] for x in way)
+        for x, y in zip(way, way[1:], strict=False):
+            out *= c[x] if down[x] == y else c[y]
+        return out
+
+    w = spark.createDataFrame(list(weight.items()), "id long, weight double")
+    total = sum(weight.values())
+    num = {i: sum(m(i, j) * weight[j] for j in weight) for i in weight}
+    r = H.connectivity_index(net, w, 0.8, 1.0, "up", "down").first()
+    assert r["n"] == len(weight) and r["pairs"] == sum((i, j) in ways for i in weight for j in weight if i < j)
+    assert r["pci"] == pytest.approx(sum(num[i] * weight[i] for i in weight) / total**2)
+    for r in H.reach_connectivity(net, w, 0.8, 1.0, "up", "down").collect():
+        assert r["num"] == pytest.approx(num.get(r["id"], 0.0)) and r["pci"] == pytest.approx(num.get(r["id"], 0.0) / total)
+    few = H.reach_connectivity(net, w.limit(1), 0.8).collect()
+    assert len(few) == len(rows) and all(r["pci"] == 0 and r["den"] == 0 for r in few)
+
+
+def test_orders_of_a_deep_and_of_a_wide_network(spark):
+    chain = [(k, k - 1 if k else -1, 1.0) for k in range(200)] + [(1000 + k, k, 1.0) for k in range(0, 200, 2)]
+    got = {r["id"]: (r["strahler"], r["shreve"]) for r in N.stream_orders(_tree(spark, chain)).collect()}
+    assert got[0] == (2, 101) and got[199] == (1, 1) and got[198] == (2, 2) and got[1000] == (1, 1)
+    wide = spark.range(1, 20_001).selectExpr("id AS subc_id", "cast(0 as long) AS target", "1.0D AS length").unionByName(spark.sql("SELECT cast(0 as long) AS subc_id, cast(-1 as long) AS target, 1.0D AS length"))
+    net = N.RiverNetwork(wide)
+    assert {r["strahler"] for r in N.stream_orders(net).where("id = 0").collect()} == {2}
+    top = N.centrality(net).where("subc_id = 0").first()
+    assert top["farness"] == 20_000 and top["degree"] == 20_000
+
+
+def test_statistics_of_repeated_and_missing_values(spark):
+    net = _tree(spark, [(0, -1, 1.0), (1, 0, 1.0), (2, 0, 1.0), (3, 1, 1.0)])
+    values = spark.createDataFrame([(3, 1.0), (3, 4.0), (2, None), (1, 7.0)], "id long, v double")
+    for stat, want in {"sum": {0: 12.0, 1: 5.0, 2: 0.0, 3: 5.0}, "mean": {0: 4.0, 1: 2.5, 2: None, 3: 2.5}, "max": {0: 7.0, 1: 4.0, 2: None, 3: 4.0}, "sd": {0: 3.0, 1: 2.121320, 2: None, 3: 2.121320}}.items():
+        got = {r["base"]: r["v"] for r in N.upstream_variable(net, values, ["v"], stat).collect()}
+        assert got == {k: x if x is None else pytest.approx(x, abs=1e-5) for k, x in want.items()}

@@ -89,9 +89,49 @@ def stepwise_vif(df: DataFrame, columns: Sequence[str], limit: float = 10.0) ->
     return []
 
 
-def quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> DataFrame:
-    """One row with an array of exact, linearly interpolated quantiles."""
-    return df.agg(F.percentile(column, F.array(*[F.lit(float(p)) for p in probs])).alias("q"))
+def quantiles(df: DataFrame, column: str, probs: Sequence[float], bins: int = 1024, few: int = 10_000) -> DataFrame:
+    """One row with an array of exact, linearly interpolated quantiles; null without values. NaN is no value.
+
+    Values are counted in ``bins`` equal ranges; the range that holds a wanted
+    place is cut again until at most ``few`` rows, or equal ones, are left.
+    Only counts of bins and such a last range reach the driver.
+    """
+    spark = df.sparkSession
+    v = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    first = v.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    n, found = first["n"], {}
+
+    def look(lo: float, hi: float, base: int, places: list[int]) -> None:
+        """``places`` of the order lie among the values from lo to hi, before which ``base`` values come."""
+        inside = v.where(F.col("v").between(lo, hi))
+        step = (hi - lo) / bins
+        if lo == hi or step == 0 or lo + step == lo:
+            values = [(r["v"], r["k"]) for r in inside.groupBy("v").agg(F.count("*").alias("k")).orderBy("v").collect()]  # no range is left to cut
+            return take(values, base, places)
+        at = F.least(F.floor((F.col("v") - lo) / step), F.lit(bins - 1)).alias("at")
+        counts = inside.groupBy(at).agg(F.count("*").alias("k"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("at").collect()
+        for r in counts:
+            own = [p for p in places if base <= p < base + r["k"]]
+            if own and r["k"] <= few:
+                values = v.where(F.col("v").between(r["lo"], r["hi"])).groupBy("v").agg(F.count("*").alias("k")).orderBy("v").collect()
+                take([(x["v"], x["k"]) for x in values], base, own)
+            elif own and (r["lo"] > lo or r["hi"] < hi):
+                look(r["lo"], r["hi"], base, own)
+            elif own:
+                raise RuntimeError("the range of the values cannot be cut")
+            base += r["k"]
+
+    def take(values: list[tuple[float, int]], base: int, places: list[int]) -> None:
+        for value, k in values:
+            found.update({p: value for p in places if base <= p < base + k})
+            base += k
+
+    if not n:
+        return spark.range(1).select(F.lit(None).cast("array<double>").alias("q"))
+    wanted = [(n - 1) * float(p) for p in probs]
+    look(first["lo"], first["hi"], 0, sorted({int(w) for w in wanted} | {min(n - 1, int(w) + 1) for w in wanted}))
+    out = [found[int(w)] + (w - int(w)) * (found[min(n - 1, int(w) + 1)] - found[int(w)]) for w in wanted]
+    return spark.createDataFrame([(out,)], "q array<double>")
 
 
 def quantile_classes(df: DataFrame, column: str, classes: Sequence[float], out: str) -> DataFrame:

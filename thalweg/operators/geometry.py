@@ -23,20 +23,22 @@ def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     return F.lit(2 * RADIUS_M) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
 
 
-def point_distances(points: DataFrame, by: str | None = None, id: str = "id", lon: str = "lon", lat: str = "lat") -> DataFrame:
+def point_distances(points: DataFrame, by: str | None = None, id: str = "id", lon: str = "lon", lat: str = "lat", block: int = 2000) -> DataFrame:
     """(from, to, dist) in whole thousandths of metres (cut, not rounded) of all unordered pairs, within each ``by``.
 
     The pairs are what is asked for: their number is the square of a group's
-    points. Without ``by`` the points are one group, dealt by blocks of ids.
+    points. A group is cut into blocks of about ``block`` points by a hash of
+    the id, and each block meets each once, so no task holds a whole group.
+    Without ``by`` the points are one group.
     """
-    a = points.select(F.col(id).alias("from"), F.col(lon).alias("x1"), F.col(lat).alias("y1"), *([F.col(by).alias("g")] if by else []))
-    b = points.select(F.col(id).alias("to"), F.col(lon).alias("x2"), F.col(lat).alias("y2"), *([F.col(by).alias("g")] if by else []))
-    if not by:
-        blocks = 8
-        cut = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-        a = a.withColumn("_i", cut("from")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("g", F.col("_i") * blocks + F.col("g")).drop("_i")
-        b = b.withColumn("_j", cut("to")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("g", F.col("g") * blocks + F.col("_j")).drop("_j")
-    pairs = a.join(b, "g").where(F.col("from") < F.col("to"))
+    group = F.col(by) if by else F.lit(0)
+    p = points.select(F.col(id).alias("id"), F.col(lon).alias("x"), F.col(lat).alias("y"), group.alias("g"))
+    sizes = p.groupBy("g").agg(F.ceil(F.count("*") / F.lit(block)).cast("long").alias("cut"))
+    cut = p.join(sizes, "g").withColumn("own", F.pmod(F.xxhash64("id"), F.col("cut")))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cut") - 1))
+    a = cut.select("g", F.col("own").alias("i"), every.alias("j"), F.col("id").alias("from"), F.col("x").alias("x1"), F.col("y").alias("y1"))
+    b = cut.select("g", every.alias("i"), F.col("own").alias("j"), F.col("id").alias("to"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    pairs = a.join(b, ["g", "i", "j"]).where(F.col("from") < F.col("to"))
     d = F.floor(haversine(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")) * 1000) / 1000
     return pairs.select(*(["g"] if by else []), "from", "to", d.alias("dist"))
 
@@ -99,10 +101,10 @@ def nearest_segment(points: DataFrame, lines: DataFrame, radius: float, id: str
 
 
 def snap_cascade(points: DataFrame, lines: DataFrame, levels: Sequence[int] = (4, 3, 2), threshold: float = 150.0, id: str = "id") -> DataFrame:
-    """The first order of the sequence at which a line lies nearer than the threshold, for each point, in one pass.
+    """The first order of the sequence at which a line lies nearer than the threshold, for each point.
 
-    Every point meets its near pieces once; for each level the nearest piece of
-    at least that order counts. Points that no level resolves have no row.
+    One bucket join a level: for each the nearest piece of at least that order
+    counts. Points that no level resolves have no row.
     """
     near = None
     for k, level in enumerate(levels):

@@ -17,8 +17,9 @@ VIEWS: dict[str, str] = {
     "attrs": "SELECT o_custkey AS subc_id, o_custkey % 4 AS tile, round(avg(o_totalprice) + 0.0013, 2) AS price_mean, round(min(o_totalprice), 2) AS price_min, round(max(o_totalprice), 2) AS price_max, count(*) AS n_orders FROM orders GROUP BY o_custkey",
     "cells": "SELECT l_orderkey AS cell_row, l_linenumber AS cell_col, max(l_suppkey) AS zone, CASE WHEN min(l_discount) = 0 THEN NULL ELSE sum(l_quantity) END AS value FROM lineitem GROUP BY l_orderkey, l_linenumber",
     "pts": "SELECT event_id AS id, round(CAST((user_id % 360) - 180 + (event_id % 1000) / 1000.0 AS DOUBLE), 4) AS lon, round(CAST((user_id % 170) - 85 + (event_id % 1250) / 1250.0 AS DOUBLE), 4) AS lat, event_type AS kind, value AS v FROM events",
+    "sites": "SELECT s_suppkey AS id, s_nationkey AS basin, CAST(s_suppkey * 7 % 360 - 180 + s_nationkey / 25.0 AS DOUBLE) AS lon, CAST(s_suppkey * 11 % 170 - 85 + s_nationkey / 50.0 AS DOUBLE) AS lat FROM supplier",
     "catalog": "SELECT 'env/' || lower(replace(p_brand, '#', '')) || '/' || lower(replace(p_brand, '#', '')) || '_h' || lpad(CAST(p_size % 36 AS VARCHAR), 2, '0') || 'v' || lpad(CAST(p_size % 18 AS VARCHAR), 2, '0') || '.zip' AS file_path, 'id' || CAST(p_partkey AS VARCHAR) AS file_id, p_partkey * 1000 + p_size AS file_size FROM part",
-    "preds": "SELECT l.doc_id, l.quality AS observed, d.n_chars / (max(d.n_chars) OVER () + 0.0) AS score FROM labels l JOIN documents d ON l.doc_id = d.doc_id",
+    "preds": "SELECT l.doc_id, l.quality AS observed, d.n_chars / (m.top + 0.0) AS score FROM labels l JOIN documents d ON l.doc_id = d.doc_id CROSS JOIN (SELECT max(n_chars) AS top FROM documents) m",
 }
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")

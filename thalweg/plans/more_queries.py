@@ -83,10 +83,10 @@ def p16_point_checks(spark: SparkSession, sf: str) -> DataFrame:
 # --- joins -------------------------------------------------------------------------
 
 
-@query(closed("SELECT base, stream, a.n_orders FROM c JOIN attrs a ON a.subc_id = stream WHERE base < 40", "net"), "net", "attrs")
+@query(closed("SELECT base, stream, a.n_orders FROM c JOIN attrs a ON a.subc_id = stream", "net"), "net", "attrs")
 def j1_closure_attributes(spark: SparkSession, sf: str) -> DataFrame:
     net = N.RiverNetwork(view(spark, sf, "net"))
-    pairs = N.closure(net, seeds=net.edges.where("id < 40").select("id"))
+    pairs = N.closure(net)
     return pairs.join(view(spark, sf, "attrs").select(F.col("subc_id").alias("stream"), "n_orders"), "stream").select("base", "stream", "n_orders")
 
 
@@ -193,26 +193,26 @@ def k10_upstream_cells(spark: SparkSession, sf: str) -> DataFrame:
     return G.upstream_cells(d, outlets).groupBy("outlet").agg(F.count("*").alias("n"))
 
 
-@query("WITH p AS (SELECT id, CAST(floor((90 - lat) / 0.5) AS BIGINT) AS r, CAST(floor((lon + 180) / 0.5) AS BIGINT) AS k FROM pts WHERE id < 400), s AS (SELECT cell_row AS sr, cell_col * 13 AS sk, zone FROM cells WHERE cell_row < 400) SELECT id, zone AS subc_id FROM (SELECT p.id, zone, sr, sk, row_number() OVER (PARTITION BY p.id ORDER BY (r - sr) * (r - sr) + (k - sk) * (k - sk), sr, sk) AS nth FROM p LEFT JOIN s ON (r - sr) * (r - sr) + (k - sk) * (k - sk) <= 100) WHERE nth = 1", "pts", "cells")
+@query("WITH p AS (SELECT id, CAST(floor((90 - lat) / 0.5) AS BIGINT) AS r, CAST(floor((lon + 180) / 0.5) AS BIGINT) AS k FROM pts), s AS (SELECT cell_row AS sr, cell_col * 13 AS sk, zone FROM cells), b AS (SELECT p.*, CAST(floor(r / 11) AS BIGINT) + i AS bi, CAST(floor(k / 11) AS BIGINT) + j AS bj FROM p, (VALUES (-1), (0), (1)) a(i), (VALUES (-1), (0), (1)) c(j)), near AS (SELECT b.id, zone, sr, sk, (r - sr) * (r - sr) + (k - sk) * (k - sk) AS d FROM b JOIN s ON sr // 11 = bi AND sk // 11 = bj WHERE (r - sr) * (r - sr) + (k - sk) * (k - sk) <= 100) SELECT id, zone AS subc_id FROM (SELECT p.id, zone, row_number() OVER (PARTITION BY p.id ORDER BY d, sr, sk) AS nth FROM p LEFT JOIN near ON near.id = p.id) WHERE nth = 1", "pts", "cells")
 def k11_snap_to_cells(spark: SparkSession, sf: str) -> DataFrame:
-    streams = view(spark, sf, "cells").where("cell_row < 400").select("cell_row", (F.col("cell_col") * 13).alias("cell_col"), F.col("zone").alias("value"))
-    return GEO.snap_to_cells(view(spark, sf, "pts").where("id < 400"), streams, G.Grid(dx=0.5, dy=0.5), 10).select("id", "subc_id")
+    streams = view(spark, sf, "cells").select("cell_row", (F.col("cell_col") * 13).alias("cell_col"), F.col("zone").alias("value"))
+    return GEO.snap_to_cells(view(spark, sf, "pts"), streams, G.Grid(dx=0.5, dy=0.5), 10).select("id", "subc_id")
 
 
-@query("SELECT id, user_id AS subc_id, round(greatest(0, least(1, (lon - (user_id % 360 - 180)) / 1.0)), 5) AS fraction FROM pts JOIN (SELECT event_id, user_id FROM events) ON event_id = id WHERE id < 800", "pts")
+@query("SELECT id, user_id AS subc_id, round(greatest(0, least(1, (lon - (user_id % 360 - 180)) / 1.0)), 5) AS fraction FROM pts JOIN (SELECT event_id, user_id FROM events) ON event_id = id", "pts")
 def k12_snap_to_own_segment(spark: SparkSession, sf: str) -> DataFrame:
     # each sub-catchment's line runs east over one degree, along the latitude of its point's row
-    e = table(spark, sf, "events").where("event_id < 800").select(F.col("event_id").alias("id"), F.col("user_id").alias("subc_id"))
+    e = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("subc_id"))
     p = view(spark, sf, "pts").join(e, "id")
     x, y = F.col("subc_id") % 360 - 180, F.col("subc_id") % 170 - 85
     lines = e.select("subc_id").distinct().select("subc_id", F.array(F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")), F.struct((x + 1).cast("double").alias("x"), y.cast("double").alias("y"))).alias("geom"))
     return GEO.snap_to_own_segment(p, lines).select("id", "subc_id", F.round("fraction", 5).alias("fraction"))
 
 
-@query("WITH lake AS (SELECT DISTINCT zone AS lake_id, cell_row, cell_col FROM cells WHERE zone % 10 = 1 AND cell_row < 3000), o AS (SELECT DISTINCT l.lake_id, l.cell_row + i AS cell_row, l.cell_col + j AS cell_col FROM lake l, (VALUES (-1), (0), (1)) a(i), (VALUES (-1), (0), (1)) b(j)), outer_ AS (SELECT o.* FROM o ANTI JOIN lake l ON o.lake_id = l.lake_id AND o.cell_row = l.cell_row AND o.cell_col = l.cell_col), hit AS (SELECT u.lake_id, c.cell_row, c.cell_col, c.zone AS subc_id, c.value AS flow FROM outer_ u JOIN cells c ON c.cell_row = u.cell_row AND c.cell_col = u.cell_col WHERE c.value IS NOT NULL), f AS (SELECT h.*, (SELECT max(n.value) FROM cells n WHERE n.cell_row BETWEEN h.cell_row - 1 AND h.cell_row + 1 AND n.cell_col BETWEEN h.cell_col - 1 AND h.cell_col + 1) AS flow_max FROM hit h) SELECT lake_id, subc_id, flow_max FROM (SELECT *, row_number() OVER (PARTITION BY lake_id, subc_id ORDER BY flow_max DESC, flow DESC, cell_row, cell_col) AS k FROM f) WHERE k = 1", "cells")
+@query("WITH lake AS (SELECT DISTINCT zone AS lake_id, cell_row, cell_col FROM cells WHERE zone % 10 = 1), o AS (SELECT DISTINCT l.lake_id, l.cell_row + i AS cell_row, l.cell_col + j AS cell_col FROM lake l, (VALUES (-1), (0), (1)) a(i), (VALUES (-1), (0), (1)) b(j)), outer_ AS (SELECT o.* FROM o ANTI JOIN lake l ON o.lake_id = l.lake_id AND o.cell_row = l.cell_row AND o.cell_col = l.cell_col), hit AS (SELECT u.lake_id, c.cell_row, c.cell_col, c.zone AS subc_id, c.value AS flow FROM outer_ u JOIN cells c ON c.cell_row = u.cell_row AND c.cell_col = u.cell_col WHERE c.value IS NOT NULL), f AS (SELECT h.lake_id, h.subc_id, h.cell_row, h.cell_col, h.flow, max(n.value) AS flow_max FROM (SELECT hit.*, cell_row + i AS r, cell_col + j AS k FROM hit, (VALUES (-1), (0), (1)) a(i), (VALUES (-1), (0), (1)) b(j)) h JOIN cells n ON n.cell_row = r AND n.cell_col = k GROUP BY 1, 2, 3, 4, 5) SELECT lake_id, subc_id, flow_max FROM (SELECT *, row_number() OVER (PARTITION BY lake_id, subc_id ORDER BY flow_max DESC, flow DESC, cell_row, cell_col) AS k FROM f) WHERE k = 1", "cells")
 def k16_lake_intersections(spark: SparkSession, sf: str) -> DataFrame:
     c = view(spark, sf, "cells")
-    lake = c.where("zone % 10 = 1 and cell_row < 3000").select(F.col("zone").alias("lake_id"), "cell_row", "cell_col")
+    lake = c.where("zone % 10 = 1").select(F.col("zone").alias("lake_id"), "cell_row", "cell_col")
     return G.lake_intersections(lake, c.select("cell_row", "cell_col", F.col("zone").alias("value")), c).select("lake_id", "subc_id", "flow_max")
 
 
@@ -286,12 +286,12 @@ def g7_pfafstetter(spark: SparkSession, sf: str) -> DataFrame:
     return pfafstetter(N.RiverNetwork(view(spark, sf, "net")), "length").withColumnRenamed("id", "subc_id")
 
 
-@query("WITH RECURSIVE s AS (SELECT DISTINCT subc_id AS dam FROM dams WHERE status = 'existing'), down(dam, subc_id, before) AS (SELECT dam, dam, 0.0::DOUBLE FROM s UNION ALL SELECT down.dam, n.target, down.before + n.length FROM down JOIN net n ON n.subc_id = down.subc_id WHERE n.target >= 0 AND down.before + n.length < 9000), z AS (SELECT DISTINCT subc_id FROM down) SELECT subc_id // 16 AS patch, round(sum(length), 2) AS len, round(sum(CASE WHEN subc_id IN (SELECT subc_id FROM z) THEN length ELSE 0 END), 2) AS overlap FROM net WHERE subc_id % 3 = 0 AND subc_id < 800 GROUP BY 1", "net", "dams")
+@query("WITH RECURSIVE s AS (SELECT DISTINCT subc_id AS dam FROM dams WHERE status = 'existing'), down(dam, subc_id, before) AS (SELECT dam, dam, 0.0::DOUBLE FROM s UNION ALL SELECT down.dam, n.target, down.before + n.length FROM down JOIN net n ON n.subc_id = down.subc_id WHERE n.target >= 0 AND down.before + n.length < 9000), z AS (SELECT DISTINCT subc_id FROM down) SELECT subc_id // 16 AS patch, round(sum(length), 2) AS len, round(sum(CASE WHEN subc_id IN (SELECT subc_id FROM z) THEN length ELSE 0 END), 2) AS overlap FROM net WHERE subc_id % 3 = 0 GROUP BY 1", "net", "dams")
 def g16_patch_dam_overlap(spark: SparkSession, sf: str) -> DataFrame:
     net = N.RiverNetwork(view(spark, sf, "net"))
     starts = view(spark, sf, "dams").where("status = 'existing'").select(F.col("subc_id").alias("start"), F.col("subc_id").alias("id"), F.lit(0.0).alias("fraction")).distinct()
     zone = H.walk_budget(net, starts, 0.0, 9000.0).select("id").distinct().withColumn("hit", F.lit(True))
-    each = net.edges.where("id % 3 = 0 and id < 800").select(F.expr("id div 16").alias("patch"), "id", "weight").join(zone, "id", "left")
+    each = net.edges.where("id % 3 = 0").select(F.expr("id div 16").alias("patch"), "id", "weight").join(zone, "id", "left")
     return each.groupBy("patch").agg(F.round(F.sum("weight"), 2).alias("len"), F.round(F.sum(F.when(F.col("hit"), F.col("weight")).otherwise(0.0)), 2).alias("overlap"))
 
 
@@ -322,20 +322,20 @@ def b9_habitat_classes(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.col("id").alias("subc_id"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("suitable", "gap_filled", "isolated_removed")])
 
 
-@query("SELECT id AS site_id, 'Feature' AS kind, lon, lat FROM pts WHERE id < 50", "pts")
+@query("SELECT id AS site_id, 'Feature' AS kind, lon, lat FROM pts", "pts")
 def s8_geojson_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    p = view(spark, sf, "pts").where("id < 50").withColumnRenamed("id", "site_id")
+    p = view(spark, sf, "pts").withColumnRenamed("id", "site_id")
     f = L.points_geojson(p).select(F.from_json("feature", "type string, geometry struct<coordinates: array<double>>, properties struct<site_id: string>").alias("f"))
     return f.select(F.col("f.properties.site_id").cast("long").alias("site_id"), F.col("f.type").alias("kind"), F.col("f.geometry.coordinates")[0].alias("lon"), F.col("f.geometry.coordinates")[1].alias("lat"))
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey < 100")
+@query("SELECT o_orderkey, o_custkey FROM orders")
 def s4_delimited_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     from thalweg.plans.scratch import scratch_path
     from thalweg.sources.files import read_table
 
     path = scratch_path(spark, "delimited")
-    table(spark, sf, "orders").where("o_orderkey < 100").select("o_orderkey", "o_custkey").write.csv(path, header=True, sep=";")
+    table(spark, sf, "orders").select("o_orderkey", "o_custkey").write.csv(path, header=True, sep=";")
     return read_table(spark, path, "o_orderkey long, o_custkey long", ";")
 
 

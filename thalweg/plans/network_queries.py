@@ -241,17 +241,17 @@ def g18_drop_isolated(spark: SparkSession, sf: str) -> DataFrame:
     return H.drop_isolated(_net(spark, sf), _suitable(spark, sf, "id % 5 in (1, 2)")).withColumnRenamed("id", "subc_id")
 
 
-@query(closed("SELECT least(pa, pb) AS patch_a, greatest(pa, pb) AS patch_b, round(min(d), 2) AS distance FROM (SELECT a.stream // 16 AS pa, b.stream // 16 AS pb, a.dist + b.dist AS d FROM c a JOIN c b ON a.base = b.base AND a.stream < b.stream WHERE a.stream % 16 < 2 AND b.stream % 16 < 2 AND a.stream < 400 AND b.stream < 400) WHERE pa <> pb GROUP BY 1, 2"), "net")
+@query(closed("SELECT least(pa, pb) AS patch_a, greatest(pa, pb) AS patch_b, round(min(d), 2) AS distance FROM (SELECT a.stream // 16 AS pa, b.stream // 16 AS pb, a.dist + b.dist AS d FROM c a JOIN c b ON a.base = b.base AND a.stream < b.stream WHERE a.stream % 16 < 2 AND b.stream % 16 < 2) WHERE pa <> pb GROUP BY 1, 2"), "net")
 def g14_patch_distance(spark: SparkSession, sf: str) -> DataFrame:
     net = _net(spark, sf)
-    patches = net.edges.where("id % 16 < 2 and id < 400").select("id", F.expr("id div 16").alias("patch"))
+    patches = net.edges.where("id % 16 < 2").select("id", F.expr("id div 16").alias("patch"))
     return H.patch_distances(net, patches).withColumn("distance", F.round("distance", 2))
 
 
-@query(closed("SELECT a.stream // 16 AS patch, round(min(a.dist + b.dist), 2) AS distance FROM c a JOIN c b ON a.base = b.base WHERE a.stream % 16 < 2 AND a.stream < 400 AND b.stream IN (SELECT subc_id FROM dams WHERE status = 'existing') GROUP BY 1"), "net", "dams")
+@query(closed("SELECT a.stream // 16 AS patch, round(min(a.dist + b.dist), 2) AS distance FROM c a JOIN c b ON a.base = b.base WHERE a.stream % 16 < 2 AND b.stream IN (SELECT subc_id FROM dams WHERE status = 'existing') GROUP BY 1"), "net", "dams")
 def g15_nearest_dam(spark: SparkSession, sf: str) -> DataFrame:
     net = _net(spark, sf)
-    patches = net.edges.where("id % 16 < 2 and id < 400").select("id", F.expr("id div 16").alias("patch"))
+    patches = net.edges.where("id % 16 < 2").select("id", F.expr("id div 16").alias("patch"))
     dams = view(spark, sf, "dams").where("status = 'existing'").select(F.col("subc_id").alias("id"))
     return H.nearest_dam(net, patches, dams).withColumn("distance", F.round("distance", 2))
 
@@ -306,14 +306,14 @@ def g21_boundary_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return H.boundary_matrix(_net(spark, sf), 3).withColumn("boundary", F.round("boundary", 6))
 
 
-PCI = """o AS (SELECT subc_id, count(*)::DOUBLE AS w FROM occ WHERE species = '1-URGENT' AND subc_id < 600 GROUP BY 1),
+PCI = """o AS (SELECT subc_id, count(*)::DOUBLE AS w FROM occ WHERE species = '1-URGENT' GROUP BY 1),
 own AS (SELECT stream, base, hops, dist + n.length AS len, n.length AS own FROM c JOIN net n ON n.subc_id = c.base),
 m AS (SELECT a.stream AS i, b.stream AS j, min_by(a.len + b.len - a.own, a.hops + b.hops) AS d FROM own a JOIN own b ON a.base = b.base AND a.stream < b.stream WHERE a.stream IN (SELECT subc_id FROM o) AND b.stream IN (SELECT subc_id FROM o) GROUP BY 1, 2)"""
 
 
 @query(closed("SELECT (SELECT count(*) FROM o) AS n, count(*) AS pairs, round(((SELECT sum(w * w) FROM o) + 2 * sum(pow(0.5, d / 5000) * x.w * y.w)) / (SELECT sum(w) * sum(w) FROM o), 6) AS pci FROM m JOIN o x ON x.subc_id = i JOIN o y ON y.subc_id = j", extra=PCI), "net", "occ")
 def g19_connectivity_index(spark: SparkSession, sf: str) -> DataFrame:
-    w = view(spark, sf, "occ").where("species = '1-URGENT' and subc_id < 600").groupBy(F.col("subc_id").alias("id")).agg(F.count("*").cast("double").alias("weight"))
+    w = view(spark, sf, "occ").where("species = '1-URGENT'").groupBy(F.col("subc_id").alias("id")).agg(F.count("*").cast("double").alias("weight"))
     return H.connectivity_index(_net(spark, sf), w, 0.5, 1 / 5000).withColumn("pci", F.round("pci", 6))
 
 
