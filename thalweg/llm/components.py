@@ -1,28 +1,5 @@
-"""Connected components of links, distributed, and the spanning forests of groups that feed them."""
+"""Connected components of links, distributed."""
 
 from __future__ import annotations
 
 from thalweg.operators.components import components  # noqa: F401
-
-
-class Forest:
-    """Union-find over 0..n-1 that remembers which unions joined two trees."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-        self.joins: list[tuple[int, int]] = []
-
-    def find(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        x, y = self.find(a), self.find(b)
-        if x == y:
-            return False
-        self.up[max(x, y)] = min(x, y)
-        self.joins.append((a, b))
-        return True

@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thalweg.llm.common import partitions, small_batches, text_rows
-from thalweg.llm.minhash import _in_groups
+from thalweg.llm.common import materialize, partitions, small_batches, text_rows
+from thalweg.llm.components import components
+from thalweg.llm.minhash import across, near_at_hand, spanning
 
 PERIOD = 1024  # of the shared random bits in time
 SAMPLES = 64  # at least, for a text long enough; at most twice as many
@@ -225,43 +226,82 @@ def edit_fingerprints(docs: DataFrame, group: int = 1024, group_chars: int = 3_0
     return rows.repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "edge", "doc_id", "text").select("bucket", "edge", "doc_id", "text").mapInArrow(run, SCHEMA)
 
 
+def bands_of(mark: tuple[int, int, bytes], width: int, threshold: float) -> list[bytes]:
+    """What a fingerprint is posted under: runs of ``width`` neighbouring samples, of its own level and of the next.
+
+    A text that is long enough for its level to meet a partner of the next one
+    (whose number of samples may be larger by 1 / threshold) is posted there as
+    well. Fewer samples than ``width`` are one band.
+    """
+    level, total, v = mark
+    out, at = [], np.frombuffer(v, np.uint8)
+    if not len(at):
+        return out
+    uses = [(level, at)]
+    if total >= threshold * (SAMPLES << (level + 1)):
+        uses.append((level + 1, at[np.isin(sampled_times(level)[: len(at)], sampled_times(level + 1))]))
+    for use, x in uses:
+        raw = x.tobytes()
+        out += [b"%d:%d:" % (use, k) + raw[k : k + width] for k in range(0, max(1, len(raw) - width + 1), width)]
+    return out
+
+
 def near_candidates(prints: DataFrame, width: int = 4, threshold: float = 0.8, block: int = 256) -> DataFrame:
     """Links between texts of like fingerprints: bit-sampled bands find candidates, the fingerprints confirm them.
 
     ``prints`` has doc_id and fingerprint. Equal fingerprints form a class,
-    named by its smallest doc_id. Each class is posted under bands of ``width``
-    neighbouring samples of its own level and, if it may meet shorter levels,
-    of the next; inside a band all classes meet, large bands in blocks of
-    ``block`` that meet pairwise, so the work of a band grows with the square of
-    its classes. Returns a, b (class names, a < b) and near (at least
-    ``threshold``). Fingerprints without doc_id are linked with nothing.
+    named by its smallest doc_id. Each class is posted under its bands
+    (``bands_of``). First the classes of a quarter of the bands are compared in
+    blocks (``near_at_hand``); then all bands are searched for members of
+    different components (``across``), so every pair of classes that share a
+    band and are like enough ends up in one component, without comparing a
+    band's members that are linked already. Returns a, b (class names, a < b)
+    and near (at least ``threshold``): links that span all groups, not all
+    pairs of a group. Fingerprints without doc_id, and those of no characters, are linked with
+    nothing else.
     """
-    classes = prints.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
+    import xxhash
+
+    classes = materialize(prints.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")), "classes")
+    # a repeated doc_id may name several fingerprints; such rows are told apart by the fingerprint itself
+    rows = classes.select(F.col("doc_id").alias("node"), F.col("fingerprint").alias("print"))
 
-    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, marks, keys = [], [], []
-            for d, f in zip(batch.column("doc_id").to_pylist(), batch.column("fingerprint").to_pylist(), strict=True):
-                level, _, v = from_text(f)
-                for use in (level, level + 1):
-                    times = sampled_times(use)
-                    own = sampled_times(level)[: len(v)]
-                    at = np.frombuffer(v, np.uint8) if use == level else np.frombuffer(v, np.uint8)[np.isin(own, times)]
-                    for k in range(0, len(at) - width + 1, width):
-                        ids.append(d)
-                        marks.append(f)
-                        keys.append(f"{use}:{k}:{at[k : k + width].tobytes().hex()}")
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(marks), pa.array(keys)], names=["doc_id", "fingerprint", "band"])
-
-    posted = classes.select("doc_id", "fingerprint").mapInArrow(bands, "doc_id long, fingerprint string, band string")
+            nodes, comps, keys, parts = [], [], [], []
+            for node, comp, f in zip(*(batch.column(c).to_pylist() for c in ("node", "comp", "print")), strict=True):
+                own = [xxhash.xxh64_intdigest(b) for b in bands_of(from_text(f), width, threshold)]
+                keys += own
+                nodes += [node] * len(own)
+                comps += [comp] * len(own)
+                parts += [k % 4 == 0 for k in own]
+            yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(comps, pa.int64()), pa.array(np.array(keys, np.uint64).astype(np.int64)), pa.array(parts, pa.bool_())], names=["node", "comp", "key", "first"])
+
+    def posted(labelled: DataFrame) -> DataFrame:
+        return labelled.select("node", "comp", "print").mapInArrow(post, "node long, comp long, key long, first boolean")
+
     def kernel(columns: list[list]) -> list[tuple[int, int]]:
-        _, side, prints = columns
+        _, side, comp, prints = columns
         marks = [from_text(f) for f in prints]
-        return [(x, y) for x in range(len(marks)) for y in range(x + 1, len(marks)) if (side[x] == 0 or side[x] != side[y]) and likeness(marks[x], marks[y]) >= threshold]
-
-    pairs = _in_groups(posted.select("band", F.col("doc_id").alias("node"), "fingerprint"), "band", ["fingerprint"], block, kernel).distinct()
-    named = classes.select("doc_id", "fingerprint")
-    pairs = pairs.join(named.toDF("a", "fa"), "a").join(named.toDF("b", "fb"), "b").select("a", "fa", "b", "fb")
+        side, comp = np.array(side), np.array(comp)
+
+        def near(x: int, rest: np.ndarray) -> np.ndarray:
+            open_ = ((side[rest] == 0) if side[x] == 0 else (side[rest] != side[x])) & (comp[rest] != comp[x])
+            return np.array([bool(o) and likeness(marks[x], marks[y]) >= threshold for y, o in zip(rest.tolist(), open_.tolist(), strict=True)], bool)
+
+        return spanning(len(marks), near)
+
+    some = posted(rows.withColumn("comp", F.col("node"))).where("first").select("node", "key")
+    shared = some.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key")
+    one = near_at_hand(some.join(shared, "key", "left_semi").join(rows, "node"), "key", ["print"], block, kernel)
+    links = materialize(one.distinct(), "links")
+    found = materialize(components(links), "components")
+    labelled = rows.join(found.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    every = posted(labelled).select("node", "comp", "key")
+    apart = every.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
+    met = materialize(every.join(apart, "key", "left_semi"), "bands")
+    pairs = links.unionByName(across(met.join(rows, "node"), "key", ["print"], block, kernel)).distinct()
+    pairs = pairs.join(rows.toDF("a", "fa"), "a").join(rows.toDF("b", "fb"), "b").select("a", "fa", "b", "fb")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,3 +310,15 @@ def near_candidates(prints: DataFrame, width: int = 4, threshold: float = 0.8, b
 
     # a doc_id that names several classes joins with each of them
     return pairs.mapInArrow(confirm, "a long, b long, near double").where(F.col("near") >= threshold).groupBy("a", "b").agg(F.max("near").alias("near"))
+
+
+def near_groups(prints: DataFrame, width: int = 4, threshold: float = 0.8) -> DataFrame:
+    """``prints`` (doc_id, fingerprint, ...) with near_id: the smallest doc_id that links of ``near_candidates`` reach.
+
+    Equal fingerprints are linked; a row without doc_id has no near_id.
+    """
+    links = near_candidates(prints, width, threshold).select("a", "b")
+    same = prints.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("_class"))
+    found = components(links).select(F.col("node").alias("_class"), "component")
+    named = prints.join(same, "fingerprint", "left").join(found, "_class", "left")
+    return named.select(*prints.columns, F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "_class")).alias("near_id"))

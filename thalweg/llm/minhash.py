@@ -8,12 +8,20 @@
    ``MATCH_POSTED`` shared values to match another, so it stays only if it has as many
    values left, and of its posting lists, ordered by length, it skips the
    ``MATCH_POSTED - 1`` longest: two classes that match still meet in one of the others.
-3. In each list the signatures are compared; pairs with at least
-   ``MATCH_ALL`` equal coordinates are candidates. A list gives a spanning
-   forest of its candidates, not all pairs, and long lists are cut into blocks
-   that meet pairwise, so no task holds a whole list.
-4. The connected candidates, again in blocks, are confirmed on their full
-   shingle sets, again as a spanning forest, whose components are the result.
+3. Near at hand: each list is cut into blocks of bounded size by a hash, a few
+   of its members (leaders) stand in all of its blocks, and inside a block the
+   signatures are compared; pairs with at least ``MATCH_ALL`` equal coordinates
+   are candidates. The connected candidates are confirmed on their full shingle
+   sets in blocks of the same kind. Every row is sent about once, and the copies
+   of one text grow together, because blocks share leaders and lists are cut
+   differently.
+4. Across: lists and candidate groups that did not fit into one block are
+   compared once more, but only members of different confirmed components: the
+   largest component of a list against the rest, and the rest against itself.
+   No pair that could match is left out; a list that is one component costs
+   nothing, one of n members with r outside its largest component n + r * n /
+   block rows.
+5. The components of all confirmed links are the result.
 """
 
 from __future__ import annotations
@@ -27,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thalweg.llm.common import keeps, map_arrow, materialize, partitions, space_words, text_rows
-from thalweg.llm.components import Forest, components
+from thalweg.llm.components import components
 
 COORDINATES = 64
 POSTED = 32
@@ -112,28 +120,16 @@ def _pair_of(own: Column, other: Column) -> Column:
     return F.least(own, other).cast("long") * F.lit(1 << 20) + F.greatest(own, other)
 
 
-def _in_groups(rows: DataFrame, key: str, payload: list[str], block: int, kernel: Callable[[list[list]], list[tuple[int, int]]]) -> DataFrame:
-    """Links (a, b) that ``kernel`` finds among the rows of a key, in blocks that meet pairwise.
+Kernel = Callable[[list[list]], list[tuple[int, int]]]
 
-    ``rows`` has the key, node and the payload columns. A key with more than
-    ``block`` rows is cut by a hash of the node; block i meets block j in one
-    group for each i <= j, and only pairs across the two count there unless
-    i = j. The kernel gets the columns node, side and payload of a group and
-    returns pairs of positions.
+
+def _run_groups(met: DataFrame, payload: list[str], kernel: Kernel) -> DataFrame:
+    """Links (a, b) that ``kernel`` finds inside each group: ``met`` has _key, _pair, node, _side, _comp and the payload.
+
+    The kernel gets the columns node, _side, _comp and payload of a group and
+    returns pairs of positions. Side 0 meets all, sides 1 and 2 each other.
     """
-    sizes = rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1")
-    cut = F.ceil(F.col("_n") / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("_cut")).cast("int")
-    placed = rows.join(sizes, key).withColumn("_cut", cut).withColumn("_own", own)
-    met = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("_cut") - 1)).alias("_other")).select(
-        F.xxhash64(F.col(key), F.least("_own", "_other"), F.greatest("_own", "_other")).alias("_group"),
-        F.col(key).alias("_key"),
-        _pair_of(F.col("_own"), F.col("_other")).alias("_pair"),
-        (F.col("_own") <= F.col("_other")).alias("_left"),
-        (F.col("_own") == F.col("_other")).alias("_same"),
-        "node",
-        *payload,
-    )
+    spark = met.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mark, held = None, []
@@ -142,50 +138,99 @@ def _in_groups(rows: DataFrame, key: str, payload: list[str], block: int, kernel
             if len(held) < 2:
                 return None
             pairs = kernel([list(c) for c in zip(*held, strict=True)])
-            ids = [(min(held[x][0], held[y][0]), max(held[x][0], held[y][0])) for x, y in pairs if held[x][0] != held[y][0]]
+            ids = {(min(held[x][0], held[y][0]), max(held[x][0], held[y][0])) for x, y in pairs if held[x][0] != held[y][0]}
             return pa.record_batch([pa.array([i for i, _ in ids], pa.int64()), pa.array([j for _, j in ids], pa.int64())], names=["a", "b"]) if ids else None
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("_key", "_pair", "node", "_left", "_same", *payload)]
-            for k, p, node, left, same, *more in zip(*columns, strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("_key", "_pair", "node", "_side", "_comp", *payload)]
+            for k, p, *row in zip(*columns, strict=True):
                 if (k, p) != mark:
                     if (out := flush()) is not None:
                         yield out
                     mark, held = (k, p), []
-                held.append((node, 0 if same else 1 if left else 2, *more))
+                held.append(tuple(row))
         if (out := flush()) is not None:
             yield out
 
-    spark = rows.sparkSession
-    return met.repartition(partitions(spark), "_group").sortWithinPartitions("_key", "_pair", "node").select("_key", "_pair", "node", "_left", "_same", *payload).mapInArrow(run, "a long, b long")
+    return met.repartition(partitions(spark), F.xxhash64("_key", "_pair")).sortWithinPartitions("_key", "_pair", "node").select("_key", "_pair", "node", "_side", "_comp", *payload).mapInArrow(run, "a long, b long")
+
+
+def near_at_hand(rows: DataFrame, key: str, payload: list[str], block: int, kernel: Kernel) -> DataFrame:
+    """Links among the rows (key, node, payload) of each key, inside blocks of about ``block`` rows and some leaders.
+
+    A key's rows are dealt to its blocks by a hash; about a quarter of a block
+    more, the key's leaders, stand in all of them. A key of at most ``block``
+    rows is one block and compared in full.
+    """
+    sizes = rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").withColumn("_cut", F.ceil(F.col("_n") / F.lit(block)).cast("long"))
+    placed = rows.join(sizes, key)
+    own = F.pmod(F.xxhash64("node", key), F.col("_cut"))
+    leads = (F.col("_cut") > 1) & (F.pmod(F.xxhash64(F.lit(1), "node", key), F.col("_n")) < block // 4)
+    at = F.explode(F.when(leads, F.sequence(F.lit(0).cast("long"), F.col("_cut") - 1)).otherwise(F.array(own)))
+    met = placed.select(F.col(key).alias("_key"), at.alias("_pair"), "node", F.lit(0).alias("_side"), F.col("node").alias("_comp"), *payload)
+    return _run_groups(met, payload, kernel)
+
 
+def across(rows: DataFrame, key: str, payload: list[str], block: int, kernel: Kernel) -> DataFrame:
+    """Links among the rows (key, node, comp, payload) of each key between different ``comp``, all of them.
 
-def _candidate_kernel(match: int) -> Callable[[list[list]], list[tuple[int, int]]]:
+    The key's largest component is cut into blocks that meet the blocks of the
+    rest; these meet each other. Only keys with more than one component count.
+    """
+    parts = rows.groupBy(key, "comp").agg(F.count("*").alias("_m"))
+    tops = parts.groupBy(key).agg(F.max_by("comp", F.struct("_m", "comp")).alias("_top"), F.max("_m").alias("_g"), F.sum("_m").alias("_n")).where("_n > _g")
+    cut = lambda n: F.ceil(n / F.lit(block)).cast("long")
+    placed = rows.join(tops, key).withColumn("_cg", cut(F.col("_g"))).withColumn("_cr", cut(F.col("_n") - F.col("_g"))).withColumn("_main", F.col("comp") == F.col("_top"))
+    own = F.pmod(F.xxhash64("node", key), F.when(F.col("_main"), F.col("_cg")).otherwise(F.col("_cr")))
+    placed = placed.withColumn("_own", own)
+    kept = [F.col(key).alias("_key"), "node", F.col("comp").alias("_comp"), *payload]
+    to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias("_other")
+    rest = placed.where("not _main")
+    side = F.when(F.col("_own") == F.col("_other"), 0).when(F.col("_own") < F.col("_other"), 1).otherwise(2)
+    among = rest.select("*", to("_cr")).select(*kept, _pair_of(F.col("_own"), F.col("_other")).alias("_pair"), side.alias("_side"))
+    # the rest's blocks against the main component's, in numbers of their own
+    cross = lambda r, m: (-1 - r.cast("long") * F.lit(1 << 20) - m.cast("long")).alias("_pair")
+    left = rest.select("*", to("_cg")).select(*kept, cross(F.col("_own"), F.col("_other")), F.lit(1).alias("_side"))
+    right = placed.where("_main").select("*", to("_cr")).select(*kept, cross(F.col("_other"), F.col("_own")), F.lit(2).alias("_side"))
+    return _run_groups(among.unionByName(left).unionByName(right), payload, kernel)
+
+
+def spanning(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Edges of a spanning forest: ``near(x, rest)`` tells which of the places ``rest`` are linked with x."""
+    left, joins = np.arange(n), []
+    while len(left):
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            x = queue.pop()
+            hit = near(x, left)
+            found, left = left[hit], left[~hit]
+            joins += [(x, int(y)) for y in found]
+            queue += found.tolist()
+    return joins
+
+
+def _may_meet(side: np.ndarray, comp: np.ndarray, x: int, rest: np.ndarray) -> np.ndarray:
+    return ((side[rest] == 0) if side[x] == 0 else (side[rest] != side[x])) & (comp[rest] != comp[x])
+
+
+def candidate_kernel(match: int) -> Kernel:
     def kernel(columns: list[list]) -> list[tuple[int, int]]:
-        _, side, signs = columns
+        _, side, comp, signs = columns
         s = np.frombuffer(b"".join(signs), np.uint32).reshape(len(signs), -1)
-        side = np.array(side)
-        n, forest = len(s), Forest(len(s))
-        for x in range(n - 1):
-            rest = np.arange(x + 1, n) if side[x] == 0 else x + 1 + np.flatnonzero(side[x + 1 :] != side[x])
-            if not len(rest):
-                continue
-            same = np.count_nonzero(s[rest] == s[x], axis=1) >= match
-            for y in rest[same]:
-                forest.join(x, int(y))
-        return forest.joins
+        side, comp = np.array(side), np.array(comp)
+        return spanning(len(s), lambda x, rest: (np.count_nonzero(s[rest] == s[x], axis=1) >= match) & _may_meet(side, comp, x, rest))
 
     return kernel
 
 
-def _confirm_kernel(share: int, dense: int = 24_000_000) -> Callable[[list[list]], list[tuple[int, int]]]:
+def confirm_kernel(share: int, dense: int = 24_000_000) -> Kernel:
     """Links with 100 * intersection >= share * union, as a spanning forest; intersections are exact."""
 
     def kernel(columns: list[list]) -> list[tuple[int, int]]:
-        _, side, sets = columns
-        side = np.array(side)
+        _, side, comp, sets = columns
+        side, comp = np.array(side), np.array(comp)
         sets = [np.frombuffer(x, np.uint64) for x in sets]
-        n, forest = len(sets), Forest(len(sets))
+        n = len(sets)
         sizes = np.array([len(x) for x in sets])
         values, place = np.unique(np.concatenate(sets), return_inverse=True)
         row = np.repeat(np.arange(n), sizes)
@@ -202,15 +247,17 @@ def _confirm_kernel(share: int, dense: int = 24_000_000) -> Callable[[list[list]
             m = np.zeros((n, min(step, width - at)), np.float32)
             m[row[a:b], column[a:b] - at] = 1
             common += m @ m.T
-        union = sizes[:, None] + sizes[None, :] - common
-        ok = np.triu(100 * common.astype(np.float64) >= share * union, 1) & ((side[:, None] == 0) | (side[:, None] != side[None, :]))
-        for x, y in zip(*np.nonzero(ok), strict=True):
-            forest.join(int(x), int(y))
-        return forest.joins
+        ok = 100 * common.astype(np.float64) >= share * (sizes[:, None] + sizes[None, :] - common)
+        return spanning(n, lambda x, rest: ok[x, rest] & _may_meet(side, comp, x, rest))
 
     return kernel
 
 
+def _label(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` (node, ...) with comp, the node's component; its own name where it has none."""
+    return rows.join(found.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, block: int = 512) -> DataFrame:
     """Components of texts whose shingle sets have 100 * intersection >= share * union.
 
@@ -218,7 +265,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, block: int
     (doc_id = component_id), one row for each input row. Texts without words
     have the empty set and are linked with nothing. Rows that repeat a doc_id
     count as one document: each keeps its own n_shingles, and their links are
-    shared. Rows without doc_id are linked with nothing and kept.
+    shared. Rows without doc_id are linked with nothing and kept. An empty table
+    gives no rows; ties do not arise, links being a threshold. Shingles are
+    compared as 64-bit hashes, equal sets by a 128-bit hash.
     """
     match_posted, match_all = needed(POSTED, share / 100), needed(COORDINATES, share / 100)
     sketch = materialize(_sketch(docs, width), "sketch")
@@ -230,22 +279,47 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, block: int
     lists = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     kept = posted.join(lists, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("lists"))  # at most POSTED each
     kept = kept.where(F.size("lists") >= match_posted)
-    prefix = kept.select("node", F.explode(F.slice("lists", F.lit(1), F.size("lists") - (match_posted - 1))).alias("list")).select("node", F.col("list.key").alias("key"))
-    prefix = materialize(prefix.join(classes.select("node", "sign"), "node"), "prefix")
-    candidates = components(_in_groups(prefix, "key", ["sign"], block, _candidate_kernel(match_all)))
-    candidates = materialize(candidates, "candidates")
+    listed = materialize(kept.select("node", F.transform(F.slice("lists", F.lit(1), F.size("lists") - (match_posted - 1)), lambda x: x["key"]).alias("keys")), "lists")
+    signed = classes.select("node", "sign")
+    prefix = materialize(listed.join(signed, "node").select("node", F.explode("keys").alias("key"), "sign"), "prefix")
+    signs, confirm, few = candidate_kernel(match_all), confirm_kernel(share), max(2, block // 4)
+    edges = materialize(near_at_hand(prefix, "key", ["sign"], block, signs), "candidate-links")
+    candidates = materialize(components(edges), "candidates")
 
-    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def look(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [shingles(t, width) for t in batch.column("text").to_pylist()]
-        return pa.record_batch([batch.column("node"), batch.column("component"), pa.array([x.tobytes() for x in found], pa.binary())], names=["node", "component", "hashes"])
+        return pa.record_batch([batch.column("node"), pa.array([x.tobytes() for x in found], pa.binary())], names=["node", "hashes"])
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        texts = text_rows(docs).join(nodes.select(F.col("node").alias("doc_id")), "doc_id").withColumnRenamed("doc_id", "node")
+        return materialize(map_arrow(texts, look, "node long, hashes binary", cache="words").where("length(hashes) > 0"), "sets")
 
-    texts = text_rows(docs).join(candidates.withColumnRenamed("node", "doc_id"), "doc_id").withColumnRenamed("doc_id", "node")
-    full = materialize(map_arrow(texts, sets, "node long, component long, hashes binary", cache="words").where("length(hashes) > 0"), "sets")
-    links = _in_groups(full, "component", ["hashes"], block // 2, _confirm_kernel(share))
+    sets = sets_of(candidates)
+    grouped = sets.join(candidates, "node")
+    links = materialize(near_at_hand(grouped, "component", ["hashes"], few, confirm), "links")
     named = sketch.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set")).alias("set")).join(classes.select("set", "node"), "set", "left")
     first = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a <> last").select("doc_id", "a")  # ids that repeat with other texts
-    repeated = named.join(first, "doc_id").select("a", F.col("node").alias("b"))
-    found = components(links.unionByName(repeated))
+    links = links.unionByName(named.join(first, "doc_id").select("a", F.col("node").alias("b")))
+    found = components(links)
+
+    # what did not fit into one block: the members of different components meet as well
+    hot = prefix.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select("key")
+    wide = grouped.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > few).select("component")
+    if not (hot.isEmpty() and wide.isEmpty()):
+        found = materialize(found, "first-components")
+        members = _label(listed, found).select("node", "comp", F.explode("keys").alias("key"))
+        apart = members.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("a"), F.max("comp").alias("b")).where((F.col("n") > block) & (F.col("a") != F.col("b"))).select("key")
+        rows = materialize(members.join(apart, "key", "left_semi").join(signed, "node"), "lists-apart")
+        more = materialize(across(rows, "key", ["sign"], block, signs), "candidate-links")
+        grown, again = candidates, wide
+        if not more.isEmpty():
+            grown = materialize(components(edges.unionByName(more)), "candidates")
+            sets = sets.unionByName(sets_of(grown.join(candidates, "node", "left_anti")))
+            old = candidates.select("node", F.col("component").alias("old"))
+            parts = sets.select("node").join(grown, "node").join(old, "node", "left").select("component", F.coalesce("old", "node").alias("old"))
+            again = parts.groupBy("component").agg(F.min("old").alias("a"), F.max("old").alias("b"), F.count("*").alias("n")).where((F.col("a") != F.col("b")) | (F.col("n") > few)).select("component")
+        rows = _label(sets.join(grown.join(again, "component", "left_semi"), "node"), found)
+        found = components(links.unionByName(across(rows, "component", ["hashes"], few, confirm)))
     out = named.join(found, "node", "left")
     component = F.coalesce("component", "node", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thalweg.llm.common import table
+from thalweg.llm.common import materialize, table
 from thalweg.llm.tokens import tokenizer_path
 
 
@@ -15,9 +15,9 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from thalweg.llm.editprint import edit_fingerprints
+    from thalweg.llm.editprint import edit_fingerprints, near_groups
 
-    return edit_fingerprints(table(spark, sf_dir, "documents"))
+    return near_groups(materialize(edit_fingerprints(table(spark, sf_dir, "documents")), "prints"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
