@@ -155,6 +155,52 @@ def test_license_scan(spark, texts):
     assert LIC.scan_licenses(table(spark, [])).collect() == []
 
 
+def brute_licenses(words, share, slack):
+    """Every begin of every template is tried; a place counts if its word stands near enough."""
+    templates = [(label, M_words(t), [M_words(p) for p in must]) for label, t, must in LIC.TEMPLATES + LIC.WHOLE_TEXTS]
+    seen = Counter(w for _, t, _ in templates for w in set(t))
+    idf = {w: math.log((len(templates) + 1) / (k + 0.5)) for w, k in seen.items()}
+    labels, top = set(), 0.0
+    for label, t, must in templates:
+        if not all(any(words[k : k + len(p)] == p for k in range(len(words))) for p in must):
+            continue
+        total = sum(idf[w] for w in t)
+        near = [max(0.0, *[sum(idf[w] for p, w in enumerate(t) if w in words[max(0, b + p - slack) : max(0, b + p + slack + 1)]) for b in range(-len(t), len(words) + 1)]) / total]
+        if near[0] >= share - 1e-9:
+            labels.add(label)
+            top = max(top, near[0])
+    return labels, top
+
+
+M_words = LIC.alnum_words
+
+
+def test_license_index_against_every_begin(words):
+    rng, index = random.Random(14), LIC.Index()
+    all_ = LIC.TEMPLATES + LIC.WHOLE_TEXTS
+    hits = 0
+    for n in range(60):
+        _, t, _ = all_[n % len(all_)]
+        t = M_words(t)
+        for _ in range(rng.randint(0, len(t) // 3)):
+            at = rng.randrange(len(t))
+            t[at : at + 1] = rng.choice(([], [t[at], rng.choice(words).encode()], [rng.choice(words).encode()], [b"the"]))
+        other = M_words(rng.choice(all_)[1])
+        text = [w.encode() for w in rng.choices(words, k=rng.randint(0, 20))] + t + rng.choice(([], other[: rng.randint(0, len(other))]))
+        got, want = index.match(text), brute_licenses(text, 0.6, index.slack)
+        assert got[0] == want[0] and got[1] == pytest.approx(min(1.0, want[1]))
+        hits += bool(got[0])
+    assert hits > 20
+
+
+def test_license_scan_of_repeated_rows_and_long_texts(spark, words):
+    rng = random.Random(15)
+    long = " ".join(rng.choice(words) for _ in range(60_000)) + " " + LIC.WHOLE_TEXTS[0][1] + " under the MIT license " + " ".join(rng.choice(words) for _ in range(1000))
+    rows = [(1, long), (1, long), (2, "All rights reserved"), (2, "All rights reserved"), (3, None)]
+    got = Counter((r["doc_id"], r["labels"], r["n_base"]) for r in LIC.scan_licenses(table(spark, rows)).collect())
+    assert got == {(1, "mit", 1): 2, (2, "all-rights-reserved", 0): 2, (3, "", 0): 1}
+
+
 def exact_components(rows, width, share):
     sets = []
     for d, t in rows:
