@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,22 +20,20 @@ LEAST = 0.5
 
 
 def n_tokens_of(text: Column) -> Column:
-    """White-space separated words, counted by their separators (a null or empty text has none)."""
-    t = F.trim(F.coalesce(text, F.lit("")))
-    gaps = F.length(t) - F.length(F.replace(F.replace(t, F.lit(" ")), F.lit("\n")))
-    return F.when(t == "", F.lit(0)).otherwise(gaps + 1).cast("long")
+    """Runs of characters other than white space (a null or empty text has none)."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+")).cast("long")
 
 
-def topic_of(text: Column) -> Column:
-    """The form of a text as its topic: table, marked-up, shouting, short or long prose."""
+def form_of(text: Column) -> Column:
+    """The form of a text, the topic where none is given.
+
+    Marked: over a tenth of it is neither letters, white space nor the plain
+    signs of prose. Lines: a line break in forty characters or fewer. Prose is
+    short below 1,000 characters.
+    """
     t = F.coalesce(text, F.lit(""))
-    return (
-        F.when(F.contains(t, F.lit(" | ")), "table")
-        .when(F.contains(t, F.lit("%%%")) | F.contains(t, F.lit("&&&")) | F.contains(t, F.lit("$$$")), "marked")
-        .when(F.contains(t, F.lit("!! ")), "shouted")
-        .when(F.length(t) < 1000, "short prose")
-        .otherwise("long prose")
-    )
+    odd, breaks = F.regexp_count(t, F.lit(r"[^\p{L}\s.,;:!?'()-]")), F.length(t) - F.length(F.replace(t, F.lit("\n")))
+    return F.when(odd * 10 > F.length(t), "marked").when(breaks * 40 > F.length(t), "lines").when(F.length(t) < 1000, "short prose").otherwise("long prose")
 
 
 def cells_of(rows: DataFrame) -> DataFrame:
@@ -43,22 +41,30 @@ def cells_of(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").cast("double").alias("mass")).where("mass > 0")
 
 
-def with_goals(cells: DataFrame, targets: dict[str, dict[str, float]]) -> tuple[DataFrame, float]:
+def target_table(spark: SparkSession, targets: DataFrame | dict[str, dict[str, float]] | None) -> DataFrame:
+    """Targets as a table (dimension, level, share), from such a table or {dimension: {level: share}}."""
+    if isinstance(targets, DataFrame):
+        return targets.select(F.col("dimension").cast("string").alias("dimension"), F.col("level").cast("string").alias("level"), F.col("share").cast("double").alias("share"))
+    return spark.createDataFrame([(d, level, float(share)) for d, levels in (targets or {}).items() for level, share in levels.items()], "dimension string, level string, share double")
+
+
+def with_goals(cells: DataFrame, targets: DataFrame) -> tuple[DataFrame, float]:
     """The cells with the mass that each level of each dimension shall have, and the total mass.
 
-    Shares are as given (rescaled to the levels that occur), else the observed
-    ones tempered. The window sums run over cells, which are few beside the
-    documents, and three sums and the total reach the driver.
+    Shares are as given (rescaled to the levels that occur; a level without a
+    share gets none), else the observed ones tempered. The window sums run over
+    cells, which are few beside the documents, and three sums and the total
+    reach the driver.
     """
+    given = {r["dimension"] for r in targets.where(F.col("dimension").isin(*DIMENSIONS)).select("dimension").distinct().collect()}  # at most three
     out, spread = cells, []
     for d in DIMENSIONS:
         have = F.sum("mass").over(W.partitionBy(d))
-        if d in targets:
-            wanted = F.lit(0.0)
-            for level, share in targets[d].items():
-                wanted = F.when(F.col(d) == level, float(share)).otherwise(wanted)
-        else:
-            wanted = F.pow(have, F.lit(TEMPER[d]))
+        wanted = F.pow(have, F.lit(TEMPER[d]))
+        if d in given:
+            shares = targets.where(F.col("dimension") == d).groupBy(F.col("level").alias(d)).agg(F.sum("share").alias(f"_share_{d}"))
+            out = out.join(shares, d, "left")
+            wanted = F.coalesce(f"_share_{d}", F.lit(0.0))
         out = out.withColumn(f"_have_{d}", have).withColumn(f"_goal_{d}", wanted)
         spread.append(F.sum(F.col(f"_goal_{d}") * F.col("mass") / F.col(f"_have_{d}")).alias(d))  # a level's cells share it out
     out = materialize(out, "goals")
@@ -67,7 +73,7 @@ def with_goals(cells: DataFrame, targets: dict[str, dict[str, float]]) -> tuple[
     return out.select(*DIMENSIONS, "mass", *[(F.col(f"_goal_{d}") * F.lit(total / sums[d] if sums[d] else 0.0)).alias(f"goal_{d}") for d in DIMENSIONS]), total
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = 30, tolerance: float = 1e-6) -> DataFrame:
+def rake(cells: DataFrame, targets: DataFrame | dict[str, dict[str, float]] | None = None, rounds: int = 30, tolerance: float = 1e-6) -> DataFrame:
     """Weights of the cells whose weighted mass has the target marginals: source, lang, topic, mass, weight.
 
     Each round scales the weights to the marginals of one dimension after the
@@ -76,7 +82,7 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, r
     error of a marginal before its last scaling) tells when to stop. Goals that
     contradict each other are never met: a warning names the error that is left.
     """
-    now, total = with_goals(cells, targets or {})
+    now, total = with_goals(cells, target_table(cells.sparkSession, targets))
     now = now.withColumn("weight", F.lit(1.0))
     goals = [f"goal_{d}" for d in DIMENSIONS]
     if not total:
@@ -127,36 +133,41 @@ def full_weight(raked: DataFrame, least: float) -> float:
     return weight
 
 
-def label(docs: DataFrame, *more: str) -> DataFrame:
+def label(docs: DataFrame, *more: Column, topic: Column | None = None) -> DataFrame:
     """doc_id, source, lang, topic (null levels as their own), n_tokens and the columns asked for."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         *[F.coalesce(F.col(c).cast("string"), F.lit("(none)")).alias(c) for c in ("source", "lang")],
-        topic_of(F.col("text")).alias("topic"),
+        F.coalesce((form_of(F.col("text")) if topic is None else topic).cast("string"), F.lit("(none)")).alias("topic"),
         n_tokens_of(F.col("text")).alias("n_tokens"),
         *more,
     )
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, seed: int = 11, keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, targets: DataFrame | dict[str, dict[str, float]] | None = None, seed: int = 11, keep: tuple[str, ...] = (), topic: Column | None = None) -> DataFrame:
     """Rake token weights to source, language and topic marginals and draw documents by them.
 
-    Returns doc_id, source, lang, topic, n_tokens, weight, probability, sampled
-    and the columns in ``keep`` (as ``_0``, ``_1`` ... so that they cannot
-    clash). The probability is the cell's weight over ``full_weight``, at most
-    1: the expected mix has the raked marginals but for the cells that are
-    drawn whole, which fall short together by at most ``SLACK`` of it (by more,
-    with a warning, if no targets are given and less than ``LEAST`` of the
-    tokens would be left). A document is drawn if a hash of (doc_id, text,
-    seed) falls below it, so the
-    draw is the same on every run and for repeated rows. Rows without tokens
-    have weight 0 and are not drawn; a null source or language is a level of
-    its own.
+    ``targets`` is a table (dimension, level, share) or {dimension: {level:
+    share}}; a dimension without targets gets its observed shares, tempered.
+    ``topic`` is a column of ``docs`` that tells a document's topic; without it
+    the form of the text stands for it (``form_of``). Returns doc_id, source,
+    lang, topic, n_tokens, weight, probability, sampled and the columns in
+    ``keep`` (as ``_0``, ``_1`` ... so that they cannot clash), one row for
+    each input row; an empty table gives none.
+
+    The probability is the cell's weight over ``full_weight``, at most 1: the
+    expected mix has the raked marginals but for the cells that are drawn
+    whole, which fall short together by at most ``SLACK`` of it (by more, with a
+    warning, if no targets are given and less than ``LEAST`` of the tokens would
+    be left). A document is drawn if a hash of (doc_id, text, seed) falls below
+    it, so the draw is the same on every run and for repeated rows. Rows without
+    tokens have weight 0 and are not drawn; a null source or language is a level
+    of its own.
     """
-    rows = label(docs, F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(seed)).alias("_draw"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(keep)])
-    cells = materialize(cells_of(label(docs)), "cells")
+    rows = label(docs, F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(seed)).alias("_draw"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(keep)], topic=topic)
+    cells = materialize(cells_of(label(docs, topic=topic)), "cells")
     raked = rake(cells, targets)
-    full = full_weight(raked, 0.0 if targets else LEAST)
+    full = full_weight(raked, LEAST if targets is None else 0.0)
     weights = raked.select(*DIMENSIONS, "weight", (F.least(F.col("weight") / F.lit(full), F.lit(1.0)) if full > 0 else F.lit(0.0)).alias("probability"))
     out = rows.join(weights, list(DIMENSIONS), "left")
     uniform = F.pmod(F.col("_draw"), F.lit(1 << 53)) / F.lit(float(1 << 53))
