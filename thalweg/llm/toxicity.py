@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thalweg.llm.common import alnum_words, crc_mod, map_arrow, materialize, text_rows
+from thalweg.llm.common import alnum_words, crc_mod, map_arrow, materialize, small_batches, text_rows
 
 
 def features_of(text: str) -> set[bytes]:
@@ -41,6 +45,16 @@ def strengths(text: str, known: dict[int, dict[bytes, int]], dense: float = 0.00
     return out
 
 
+def places_of(text: str, known: dict[int, dict[bytes, int]]) -> set[int]:
+    """Places of the known features that a text has."""
+    seen = set(alnum_words(text))
+    out: set[int] = set()
+    for n, places in known.items():
+        found = places.keys() & (seen if n == 0 else {w[:n] for w in seen if len(w) > n})
+        out.update(places[f] for f in found)
+    return out
+
+
 def by_length(names: list[bytes]) -> dict[int, dict[bytes, int]]:
     """Places of the features by the length of the beginning that they stand for, 0 for whole words."""
     out: dict[int, dict[bytes, int]] = {}
@@ -49,34 +63,45 @@ def by_length(names: list[bytes]) -> dict[int, dict[bytes, int]]:
     return out
 
 
-def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 300, rate: float = 0.05, decay: float = 1e-4, beta: float = 0.0) -> np.ndarray:
-    """Weights (bias last) of a linear classifier under the non-negative risk with a logistic loss.
+class Learner:
+    """A linear classifier under the non-negative positive-unlabelled risk with a logistic loss (bias last).
 
     The risk is prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)]).
     Where the bracket falls below ``-beta`` the step goes against its gradient,
     which keeps the classifier from fitting the unlabelled positives away.
+    Unlabelled rows come in blocks; the steps are Adam's and go on from block to
+    block.
     """
 
-    def add_one(x: np.ndarray) -> np.ndarray:
+    def __init__(self, positive: np.ndarray, prior: float, rate: float = 0.05, decay: float = 1e-4, beta: float = 0.0):
+        self.p, self.prior, self.rate, self.decay, self.beta = self._one(positive), prior, rate, decay, beta
+        self.w = np.zeros(self.p.shape[1], np.float32)
+        self.m, self.v, self.k = np.zeros_like(self.w), np.zeros_like(self.w), 0
+
+    @staticmethod
+    def _one(x: np.ndarray) -> np.ndarray:
         return np.hstack([x.astype(np.float32), np.ones((len(x), 1), np.float32)])
 
-    p, u = add_one(positive), add_one(unlabelled)
-    w = np.zeros(p.shape[1], np.float32)
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    sigma = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    for k in range(1, rounds + 1):
-        gp, gu = p @ w, u @ w
+    def steps(self, unlabelled: np.ndarray, rounds: int) -> None:
+        p, u, prior = self.p, self._one(unlabelled), self.prior
+        sigma = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         loss = lambda z: np.logaddexp(0, -z)
-        negative = loss(-gu).mean() - prior * loss(-gp).mean()
-        grad_negative = u.T @ sigma(gu) / len(u) - prior * (p.T @ sigma(gp)) / len(p)
-        if negative >= -beta:
-            grad = grad_negative - prior * (p.T @ sigma(-gp)) / len(p)
-        else:
-            grad = -grad_negative
-        grad += decay * np.concatenate([w[:-1], [0]])
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        w -= (rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)).astype(np.float32)
-    return w
+        for _ in range(rounds):
+            self.k += 1
+            gp, gu = p @ self.w, u @ self.w
+            negative = loss(-gu).mean() - prior * loss(-gp).mean()
+            grad_negative = u.T @ sigma(gu) / len(u) - prior * (p.T @ sigma(gp)) / len(p)
+            grad = grad_negative - prior * (p.T @ sigma(-gp)) / len(p) if negative >= -self.beta else -grad_negative
+            grad += self.decay * np.concatenate([self.w[:-1], [0]])
+            self.m, self.v = 0.9 * self.m + 0.1 * grad, 0.999 * self.v + 0.001 * grad**2
+            self.w -= (self.rate * (self.m / (1 - 0.9**self.k)) / (np.sqrt(self.v / (1 - 0.999**self.k)) + 1e-8)).astype(np.float32)
+
+
+def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 300, rate: float = 0.05, decay: float = 1e-4, beta: float = 0.0) -> np.ndarray:
+    """Weights (bias last) from one block of unlabelled rows."""
+    learner = Learner(positive, prior, rate, decay, beta)
+    learner.steps(unlabelled, rounds)
+    return learner.w
 
 
 def _vector(text: str, known: dict[int, dict[bytes, int]], n: int) -> bytes:
@@ -86,69 +111,89 @@ def _vector(text: str, known: dict[int, dict[bytes, int]], n: int) -> bytes:
     return x.tobytes()
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: int = 12000, negatives: int = 4000, size: int = 1024, fold: int = 5, held: int = 0) -> tuple[dict[bytes, float], float]:
+def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, pool: int = 20_000, size: int = 1024, rounds: int = 200, fold: int = 5, held: int = 0) -> tuple[dict[bytes, float], float]:
     """A model {feature: weight}, bias from rows whose crc32(doc_id) mod ``fold`` is not ``held``.
 
-    At most ``positives`` confirmed toxic texts and ``unlabelled`` texts of any
-    kind are used to fit, and at most ``negatives`` rows labelled clean to set
-    the threshold: all are bounded samples, taken by a hash of doc_id. The
-    class prior is the toxic share of all labelled rows outside the held-out
-    fold. Without any toxic or any unlabelled row the model is a constant.
+    Confirmed toxic texts are a bounded sample: at most ``positives`` rows, by a
+    hash of doc_id. The unlabelled texts are all rows outside the held-out
+    fold: their features are counted in one pass and the classifier is fitted
+    in another, in every partition on its own rows against the same positives,
+    and the partitions' weights are averaged by their rows. Features: those of
+    three toxic texts or more (the ``pool`` most frequent) that are more
+    frequent there than in the unlabelled texts, at most ``size``; equal ranks
+    go by their bytes.
+    The class prior is the toxic share of all labelled rows outside the fold, or
+    less if features frequent in toxic texts are rarer among the unlabelled than
+    that. Without any toxic or any unlabelled row the model is a
+    constant.
     """
+    spark = docs.sparkSession
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), fold) != held)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     prior = usable.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
-    order = [F.xxhash64("doc_id"), "doc_id"]
     rows = text_rows(docs).where(F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), fold) != held))
-    chosen = [
-        usable.where("toxic = 1").orderBy(*order).limit(positives).select("doc_id", F.lit("p").alias("kind")),
-        usable.where("toxic = 0").orderBy(*order).limit(negatives).select("doc_id", F.lit("n").alias("kind")),
-        rows.select("doc_id").orderBy(*order).limit(unlabelled).select("doc_id", F.lit("u").alias("kind")),
-    ]
-    ids = chosen[0].unionByName(chosen[1]).unionByName(chosen[2])  # bounded by the three parameters
-    sample = materialize(rows.join(F.broadcast(ids), "doc_id"), "toxic-sample")
-
-    def counts(batch: pa.RecordBatch) -> pa.RecordBatch:
-        seen: dict[bytes, list[int]] = {}
-        for kind, text in zip(batch.column("kind").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            if kind != "n":
-                for f in features_of(text):
-                    seen.setdefault(f, [0, 0])[kind == "u"] += 1
-        return pa.record_batch([pa.array(list(seen), pa.binary()), pa.array([c[0] for c in seen.values()], pa.int64()), pa.array([c[1] for c in seen.values()], pa.int64())], names=["feature", "p", "u"])
-
-    kinds = {r["kind"]: r["n"] for r in sample.groupBy("kind").agg(F.count("*").alias("n")).collect()}
-    n_p, n_u = kinds.get("p", 0), kinds.get("u", 0)
+    ids = usable.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives).select("doc_id")
+    sample = materialize(rows.join(F.broadcast(ids), "doc_id"), "toxic-sample")  # bounded by ``positives``
+    n_p, n_u = sample.count(), rows.count()
     if not n_p or not n_u or prior <= 0:
         return {}, -5.0
     if prior >= 1:
         return {}, 5.0
-    table = map_arrow(sample, counts, "feature binary, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    both = (F.col("p") + F.col("u")) / F.lit(float(n_p + n_u))
-    z = (F.col("p") / F.lit(float(n_p)) - F.col("u") / F.lit(float(n_u))) / F.sqrt(both * (1 - both) * F.lit(1 / n_p + 1 / n_u) + F.lit(1e-12))
+
+    def counts(batch: pa.RecordBatch) -> pa.RecordBatch:
+        seen = Counter(f for text in batch.column("text").to_pylist() for f in features_of(text))
+        return pa.record_batch([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["feature", "p"])
+
+    frequent = map_arrow(sample, counts, "feature binary, p long").groupBy("feature").agg(F.sum("p").alias("p")).where("p >= 3")
+    pooled = {bytes(r["feature"]): r["p"] for r in frequent.orderBy(F.desc("p"), "feature").limit(pool).collect()}
+    if not pooled:
+        return {}, float(np.log(prior / (1 - prior)))
+    names = list(pooled)
+    shared = spark.sparkContext.broadcast(by_length(names))
+
+    def among(batch: pa.RecordBatch) -> pa.RecordBatch:
+        seen = np.zeros(len(names), np.int64)
+        for text in batch.column("text").to_pylist():
+            seen[list(places_of(text, shared.value))] += 1
+        at = np.flatnonzero(seen)
+        return pa.record_batch([pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], names=["at", "u"])
+
+    u = {r["at"]: r["u"] for r in map_arrow(rows.select("text"), among, "at long, u long").groupBy("at").agg(F.sum("u").alias("u")).collect()}  # at most ``pool`` rows
     # no feature can be more than 1 / prior times as frequent in toxic as in all texts; one far below that says little,
     # and many such would add up in long texts
-    lift = 1 + 0.25 * (1 / prior - 1)
-    names = [r[0] for r in table.where("p >= 3").withColumn("z", z).where((F.col("z") > 3) & (F.col("p") / F.lit(float(n_p)) >= F.lit(lift / n_u) * F.col("u"))).orderBy(F.desc("z"), "feature").limit(size).select("feature").collect()]
-    names = [bytes(x) for x in names]
+    # no feature can be rarer in all texts than prior times its share in toxic ones: the rarest bound the prior
+    ratios = sorted(u.get(at, 0) / n_u / (pooled[f] / n_p) for at, f in enumerate(names) if pooled[f] >= max(10, 0.05 * n_p))
+    prior = min(prior, *ratios[2:3], 0.999) if len(ratios) > 2 and ratios[2] > 0 else prior
+    lift, ranked = 1 + 0.25 * (1 / prior - 1), []
+    for at, f in enumerate(names):
+        share_p, share_u = pooled[f] / n_p, u.get(at, 0) / n_u
+        both = (pooled[f] + u.get(at, 0)) / (n_p + n_u)
+        z = (share_p - share_u) / math.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u) + 1e-12)
+        if z > 3 and share_p >= lift * share_u:
+            ranked.append((-z, f))
+    names = [f for _, f in sorted(ranked)[:size]]
     if not names:
         return {}, float(np.log(prior / (1 - prior)))
     known = by_length(names)
 
     def vectors(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.record_batch([batch.column("kind"), pa.array([_vector(t, known, len(names)) for t in batch.column("text").to_pylist()], pa.binary())], names=["kind", "x"])
-
-    got = map_arrow(sample.select("kind", "text"), vectors, "kind string, x binary").collect()  # bounded: ``size`` bytes for each sampled row
-    x = {k: np.frombuffer(b"".join(bytes(r["x"]) for r in got if r["kind"] == k), np.uint8).reshape(-1, len(names)).astype(np.float32) / 255 for k in "pun"}
-    w = nnpu(x["p"], x["u"], prior)
-    weights, bias = w[:-1], float(w[-1])
-    if len(x["n"]):
-        # the threshold that errs least on the labelled rows, each class weighted by its share
-        gp, gn = np.sort(x["p"] @ weights), np.sort(x["n"] @ weights)
-        cuts = np.unique(np.concatenate([gp, gn]))
-        cuts = np.concatenate([cuts[:1] - 1, (cuts[:-1] + cuts[1:]) / 2, cuts[-1:] + 1])
-        wrong = prior * np.searchsorted(gp, cuts) / len(gp) + (1 - prior) * (1 - np.searchsorted(gn, cuts) / len(gn))
-        best = np.flatnonzero(wrong <= wrong.min() + 1e-12)
-        bias = -float(cuts[best[len(best) // 2]])
-    return {f: float(v) for f, v in zip(names, weights, strict=True)}, bias
+        return pa.record_batch([pa.array([_vector(t, known, len(names)) for t in batch.column("text").to_pylist()], pa.binary())], names=["x"])
+
+    got = map_arrow(sample.select("text"), vectors, "x binary").collect()  # ``size`` bytes for each of ``positives`` rows at most
+    matrix = lambda xs: np.frombuffer(b"".join(xs), np.uint8).reshape(-1, len(names)).astype(np.float32) / 255
+    toxic = spark.sparkContext.broadcast(matrix(sorted(bytes(r["x"]) for r in got)))
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner, n = Learner(toxic.value, prior), 0
+        for batch in small_batches(batches):
+            x = matrix([_vector(t, known, len(names)) for t in batch.column("text").to_pylist()])
+            learner.steps(x, max(rounds // 5, rounds - learner.k))
+            n += len(x)
+        if n:
+            w = learner.w.astype(np.float64) * n
+            yield pa.record_batch([pa.array(np.arange(len(w)), pa.int64()), pa.array(w), pa.array(np.full(len(w), n), pa.int64())], names=["at", "w", "n"])
+
+    mean = {r["at"]: round(r["w"], 6) for r in rows.select("text").mapInArrow(fit, "at long, w double, n long").groupBy("at").agg((F.sum("w") / F.sum("n")).alias("w")).collect()}  # ``size`` + 1 numbers
+    return {f: mean[k] for k, f in enumerate(names)}, mean[len(names)]
 
 
 def score_toxicity(docs: DataFrame, model: tuple[dict[bytes, float], float], keep: tuple[str, ...] = (), fold: int = 5, held: int = 0) -> DataFrame:
