@@ -229,3 +229,131 @@ def test_scratch_tables(spark):
     assert t.count() == 5 and t.dtypes == spark.range(5).dtypes
     assert scratch.drop_scratch(spark) >= 1
     assert scratch.drop_scratch(spark) == 0
+
+
+def test_raster_files(spark, tmp_path):
+    import zlib
+
+    import numpy as np
+
+    from thalweg.sources import geotiff as R
+
+    rng = np.random.default_rng(2)
+    for kind, compression, shape in (("u1", "none", (5, 300)), ("i4", "high", (300, 20)), ("f8", "low", (257, 257)), ("i2", "low", (1, 1))):
+        cells = rng.integers(0, 100, shape).astype(kind)
+        data = R.image(cells, -10.0, 20.0, 0.5, 0.25, 7.0, compression, 64)
+        info = R.describe(data)
+        assert (info["width"], info["height"], info["nodata"], info["x0"], info["y0"], info["dx"], info["dy"]) == (shape[1], shape[0], 7.0, -10.0, 20.0, 0.5, 0.25)
+        got = np.zeros(shape)
+        for _, row, col, block in R.blocks(data, info):
+            got[row : row + block.shape[0], col : col + block.shape[1]] = block
+        assert (got == cells).all()
+    # big-endian strips of two bands with differencing, as other programs write them
+    bands = rng.integers(0, 200, (4, 6, 2)).astype(">u2")
+    diff = bands.copy()
+    diff[:, 1:] -= bands[:, :-1]
+    strips = [zlib.compress(diff[k : k + 3].tobytes()) for k in (0, 3)]
+    tags = [(256, 4, [6]), (257, 4, [4]), (258, 3, [16, 16]), (259, 3, [8]), (273, 4, [8, 8 + len(strips[0])]), (277, 3, [2]), (278, 4, [3]), (279, 4, [len(s) for s in strips]), (317, 3, [2])]
+    at = 8 + sum(map(len, strips))
+    after, extra, entries = at + 2 + 12 * len(tags) + 4, b"", b""
+    for tag, code, values in tags:
+        raw = struct.pack(f">{len(values)}{'H' if code == 3 else 'I'}", *values)
+        if len(raw) > 4:
+            entries += struct.pack(">HHII", tag, code, len(values), after + len(extra))
+            extra += raw
+        else:
+            entries += struct.pack(">HHI", tag, code, len(values)) + raw.ljust(4, b"\0")
+    path = tmp_path / "two.tif"
+    path.write_bytes(struct.pack(">2sHI", b"MM", 42, at) + b"".join(strips) + struct.pack(">H", len(tags)) + entries + struct.pack(">I", 0) + extra)
+    got = {(r["cell_row"], r["cell_col"]): r["value"] for r in R.read_raster(spark, str(path), band=2).collect()}
+    assert got == {(r, c): float(bands[r, c, 1]) for r in range(4) for c in range(6)}
+    row = R.raster_info(spark, str(path)).first()
+    assert (row["bands"], row["type"], row["nodata"], row["compressed"]) == (2, "UInt16", None, True)
+    with pytest.raises(ValueError, match="not a TIFF"):
+        R.describe(b"nothing at all")
+
+
+def test_tiles_of_a_raster_share_rows_and_columns(spark, tmp_path):
+    from thalweg.sources.geotiff import read_raster, report_no_data, write_raster
+
+    grid = G.Grid(-180.0, 90.0, 0.1, 0.1)
+    cells = spark.createDataFrame([(0, 0, 5.0), (0, 1, None), (130, 7, 6.0), (9, 260, -3.0)], "cell_row long, cell_col long, value double")
+    files = write_raster(cells, str(tmp_path / "r"), grid, "Int16", -1.0, "high", 128).collect()
+    assert sorted(r["cells"] for r in files) == [1, 1, 1]
+    back = read_raster(spark, str(tmp_path / "r"), grid, keep_no_data=False)
+    assert sorted(map(tuple, back.collect())) == [(0, 0, 5.0), (9, 260, -3.0), (130, 7, 6.0)]
+    assert read_raster(spark, str(tmp_path / "r"), grid).where("cell_row = 0 and cell_col = 1").first()["value"] is None
+    assert {r["NoData"] for r in report_no_data(spark, str(tmp_path / "r")).collect()} == {-1.0}
+    assert write_raster(cells.limit(0), str(tmp_path / "e"), grid).collect() == []
+
+
+def test_ids_by_mode(spark):
+    from thalweg.operators.lookup import get_ids, restore_order
+
+    segments = spark.createDataFrame([(1, -1, 10, 3, 2), (2, 1, 10, 3, 1), (3, 2, 10, 3, 1), (9, -1, 11, 4, 1)], "subc_id long, target long, basin_id long, reg_id long, strahler int")
+    cells = spark.createDataFrame([(0, 0, 2.0), (0, 1, 9.0)], "cell_row long, cell_col long, value double")
+    points = spark.createDataFrame([("b", 0.5, 89.5, 1), ("a", 1.5, 89.5, 2), ("z", 50.0, 0.0, 3), ("b", 0.5, 89.5, 4)], "site_id string, longitude double, latitude double, subc_id int")
+    grid = G.Grid(0.0, 90.0, 1.0, 1.0)
+    ids = lambda **k: sorted(r["subc_id"] for r in get_ids(segments, "basin", **k).collect())
+    assert ids(basin_ids=[10]) == [1, 2, 3] and ids(subc_ids=[3, 9], min_strahler=1) == [1, 2, 3, 9] and ids(basin_ids=[10], min_strahler=2) == [1]
+    assert ids(points=points.where("site_id = 'a'"), cells=cells, grid=grid) == [9] and ids(basin_ids=[77]) == []
+    up = get_ids(segments, "upstream", points, cells=cells, grid=grid, comment="c").collect()
+    assert sorted((r["site_id"], r["subc_id"], r["upstream_id"], r["comment"]) for r in up) == [("a", 9, 9, "c"), ("b", 2, 2, "c"), ("b", 2, 2, "c"), ("b", 2, 3, "c"), ("b", 2, 3, "c")]
+    local = get_ids(segments, "local", points, cells=cells, grid=grid)
+    assert local.columns == ["site_id", "longitude", "latitude", "subc_id", "basin_id", "reg_id"]
+    assert sorted((r["site_id"], r["basin_id"], r["reg_id"]) for r in local.where("basin_id is not null").collect()) == [("a", 11, 4), ("b", 10, 3), ("b", 10, 3)] and local.count() == 4
+    order = spark.createDataFrame([("z", 1), ("b", 2), ("a", 3), ("b", 0)], "site_id string, at int")
+    back = restore_order(spark.createDataFrame([("a",), ("z",), ("b",), ("new",)], "site_id string"), order, "site_id", "at")
+    assert [r["site_id"] for r in back.orderBy("row_no").collect()] == ["b", "z", "a", "new"]
+    for wrong in ({"mode": "other"}, {"basin_ids": [1], "subc_ids": [2]}, {}, {"mode": "upstream"}, {"mode": "local"}, {"points": points}, {"basin_ids": [1], "min_strahler": 0}):
+        with pytest.raises(ValueError):
+            get_ids(segments, **wrong)
+    with pytest.raises(ValueError, match="longitude"):
+        get_ids(segments, "local", points.drop("longitude"), cells=cells, grid=grid)
+
+
+def test_outlines_with_holes_and_corners(spark):
+    ring = [(r, c, 1) for r in range(3) for c in range(3) if (r, c) != (1, 1)]
+    cells = spark.createDataFrame([*ring, (5, 5, 2), (6, 6, 2)], "cell_row int, cell_col int, value int")
+    rings = GEO.outline_rings(GEO.cell_outlines(cells, G.Grid(0.0, 0.0, 1.0, 1.0))).collect()
+
+    def area(p):
+        return sum(a["x"] * b["y"] - b["x"] * a["y"] for a, b in zip(p, p[1:] + p[:1])) / 2
+
+    assert sorted((r["zone"], area(r["ring"])) for r in rings) == [(1, -9.0), (1, 1.0), (2, -1.0), (2, -1.0)]
+
+
+def test_models(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 2))
+    y = 1 + x @ [2.0, -0.5] + rng.normal(size=60) * 0.3
+    df = spark.createDataFrame([(k, float(a), float(b), float(c)) for k, ((a, b), c) in enumerate(zip(x, y, strict=True))], "id long, a double, b double, y double")
+    m = E.LinearModel(df, "y", ["a", "b"])
+    full = np.column_stack([np.ones(60), x])
+    want = np.linalg.lstsq(full, y, rcond=None)[0]
+    assert [r["estimate"] for r in m.table(spark).collect()] == pytest.approx(list(want))
+    rest = y - full @ want
+    assert m.s2 == pytest.approx(rest @ rest / 57)
+    r = m.predict(df.where("id = 0")).first()
+    half = E.t_quantile(0.975, 57) * math.sqrt(m.s2 * (1 + full[0] @ np.linalg.inv(full.T @ full) @ full[0]))
+    assert (r["upper"] - r["lower"]) / 2 == pytest.approx(half) and E.t_quantile(0.975, 57) == pytest.approx(2.002465, abs=1e-5)
+    assert E.t_two_sided(2.0, 10) == pytest.approx(0.0733880, abs=1e-6) and E.t_two_sided(0.0, 5) == pytest.approx(1.0)
+    groups = df.withColumn("g", (F.col("id") % 2).cast("int"))
+    t = E.welch_test(groups, "g", "y").first()
+    assert t["p"] == pytest.approx(E.t_two_sided(t["t"], t["df"]))
+    seen = df.withColumn("observed", (F.col("a") > 0).cast("int"))
+    fall = {r["variable"]: r["importance"] for r in E.permutation_importance(seen, lambda p: p["a"], ["a", "b"], "observed", "id", 2).collect()}
+    assert fall["a"] > 0.2 and fall["b"] == 0.0
+
+
+def test_quantiles_are_exact(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for values in ([1.0], [2.0] * 50 + [3.0], list(rng.normal(size=500)), [0.0] * 400 + list(rng.random(100) * 1e9)):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "v double")
+        got = E.quantiles(df, "v", [0, 0.1, 0.5, 0.77, 1], bins=4, few=3).first()["q"]
+        assert got == pytest.approx(list(np.quantile(values, [0, 0.1, 0.5, 0.77, 1])))
+    assert E.quantiles(df.limit(0), "v", [0.5]).first()["q"] is None

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -162,6 +163,121 @@ def welch(df: DataFrame, group: str, value: str) -> DataFrame:
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", ((F.col("ma") - F.col("mb")) / F.sqrt(s + t)).alias("t"), ((s + t) * (s + t) / (s * s / (F.col("na") - 1) + t * t / (F.col("nb") - 1))).alias("df"))
 
 
+def _beta_share(x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction (Lentz)."""
+    import math
+
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta_share(1 - x, b, a)
+    front = math.exp(a * math.log(x) + b * math.log1p(-x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)) / a
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
+    out = d
+    for m in range(1, 500):
+        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / (1 + term * d), 1 + term / c
+            out *= c * d
+        if abs(c * d - 1) < 1e-14:
+            break
+    return front * out
+
+
+def t_two_sided(t: float, df: float) -> float:
+    """Chance of a t at least as far from 0."""
+    return _beta_share(df / (df + t * t), df / 2, 0.5)
+
+
+def t_quantile(p: float, df: float) -> float:
+    """The t below which a share ``p`` above a half of the distribution lies, by halving."""
+    low, high = 0.0, 1.0
+    while 1 - t_two_sided(high, df) / 2 < p:
+        high *= 2
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if 1 - t_two_sided(middle, df) / 2 < p else (low, middle)
+    return (low + high) / 2
+
+
+def welch_test(df: DataFrame, group: str, value: str) -> DataFrame:
+    """``welch`` with its two-sided p; one row, so the distribution is worked out on the driver."""
+    rows = [(r["a"], r["b"], r["t"], r["df"], t_two_sided(r["t"], r["df"])) for r in welch(df, group, value).collect()]  # two groups: one row
+    kind = df.schema[group].dataType.simpleString()
+    return df.sparkSession.createDataFrame(rows, f"a {kind}, b {kind}, t double, df double, p double")
+
+
+class LinearModel:
+    """Least squares of y on several columns, from one pass of sums of products."""
+
+    def __init__(self, df: DataFrame, y: str, xs: Sequence[str]):
+        import numpy as np
+
+        self.xs = list(xs)
+        names = ["_one", *self.xs, "_y"]
+        rows = df.select(F.lit(1.0).alias("_one"), *[F.col(x).cast("double").alias(x) for x in self.xs], F.col(y).cast("double").alias("_y")).dropna()
+        sums = rows.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"s{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]).first()
+        m = np.array([[sums[f"s{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(len(names))] for i in range(len(names))])
+        self.n, k = int(m[0, 0]), len(self.xs) + 1
+        if self.n <= k:
+            raise ValueError("too few complete rows")
+        self.inverse = np.linalg.inv(m[:k, :k])
+        self.b = self.inverse @ m[:k, k]
+        self.df = self.n - k
+        self.s2 = max(0.0, float(m[k, k] - self.b @ m[:k, k])) / self.df
+        self.r2 = 1 - self.s2 * self.df / float(m[k, k] - m[0, k] ** 2 / self.n)
+
+    def table(self, spark) -> DataFrame:
+        """(term, estimate, se, t, p)."""
+        se = [float((self.s2 * self.inverse[i, i]) ** 0.5) for i in range(len(self.b))]
+        rows = [(name, float(b), s, float(b) / s if s else None, t_two_sided(float(b) / s, self.df) if s else None) for name, b, s in zip(["(intercept)", *self.xs], self.b, se, strict=True)]
+        return spark.createDataFrame(rows, "term string, estimate double, se double, t double, p double")
+
+    def predict(self, df: DataFrame, level: float = 0.95) -> DataFrame:
+        """``df`` with fit, lower and upper: the bounds between which a new observation lies with that chance."""
+        x = [F.lit(1.0), *[F.col(c).cast("double") for c in self.xs]]
+        fit = sum((F.lit(float(b)) * c for b, c in zip(self.b[1:], x[1:], strict=True)), F.lit(float(self.b[0])))
+        spread = sum((F.lit(float(self.inverse[i, j])) * x[i] * x[j] for i in range(len(x)) for j in range(len(x))), F.lit(1.0))
+        half = F.lit(t_quantile(0.5 + level / 2, self.df)) * F.sqrt(F.lit(self.s2) * spread)
+        return df.withColumn("fit", fit).withColumn("lower", fit - half).withColumn("upper", fit + half)
+
+
+def predict_chunks(df: DataFrame, model, columns: Sequence[str], out: str = "score", rows: int = 10_000) -> DataFrame:
+    """``df`` with the scores that ``model`` (pandas table -> numbers) gives, in chunks of at most ``rows``; nulls go in as they are."""
+    from pyspark.sql import types as T
+
+    columns, kept = list(columns), df.columns
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                yield part.append_column(out, pa.array([float(v) for v in model(part.select(columns).to_pandas())], pa.float64()))
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])).select(*kept, out)
+
+
+def permutation_importance(df: DataFrame, model, columns: Sequence[str], observed: str, id: str, rounds: int = 10, seed: int = 1) -> DataFrame:
+    """(variable, importance): mean fall of the AUC over ``rounds`` shuffles of one column's values among the rows.
+
+    A shuffle gives each row the value of the row that a second hash order puts
+    in its place; both orders are numbered over ranges, not in one task.
+    """
+    from thalweg.operators.tables import row_numbers
+
+    spark = df.sparkSession
+    score = lambda t: auc(predict_chunks(t, model, columns).select(F.col(observed).alias("observed"), "score")).first()["auc"]
+    base, out = score(df), []
+    for c in columns:
+        falls = []
+        for k in range(rounds):
+            order = lambda s: F.xxhash64(F.lit(seed * 1000 + 2 * k + s), F.col(id))  # noqa: B023, E731
+            own = row_numbers(df.withColumn("_o", order(0)), ["_o", id]).drop("_o", c)
+            other = row_numbers(df.select(id, c).withColumn("_o", order(1)), ["_o", id]).select("row_no", c)
+            falls.append(base - score(own.join(other, "row_no").select(*df.columns)))
+        out.append((c, float(sum(falls) / len(falls))))
+    return spark.createDataFrame(out, "variable string, importance double")
+
+
 def linear_fit(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row: slope, intercept, r2, n of y on x."""
     return df.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), F.regr_count(y, x).alias("n"))

@@ -176,15 +176,134 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float = 1.0
     p = points.select(id, "lon", "lat").withColumn("bx", F.floor(F.col("lon") / size)).withColumn("by", F.floor(F.col("lat") / size))
     near = p.join(dealt, ["bx", "by"]).where(F.col("lon").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1"))).select(id, poly, "lon", "lat", "ring")
 
-    def cast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # even-odd rule: sides of the ring that a ray to the east crosses, counted by built-in functions
+    def crossed(a: Column, b: Column) -> Column:
+        straddles = (a["y"] > F.col("lat")) != (b["y"] > F.col("lat"))
+        return straddles & (F.col("lon") < F.try_divide((b["x"] - a["x"]) * (F.col("lat") - a["y"]), b["y"] - a["y"]) + a["x"])
+
+    side = lambda k: F.when(crossed(F.element_at("ring", k), F.element_at("ring", F.when(k < F.size("ring"), k + 1).otherwise(1))), 1).otherwise(0)
+    n = F.aggregate(F.sequence(F.lit(1), F.size("ring")), F.lit(0), lambda total, k: total + side(k))
+    return near.where(n % 2 == 1).select(id, poly)
+
+
+def cells_in_polygons(cells: DataFrame, grid, polygons: DataFrame, poly: str = "poly_id") -> DataFrame:
+    """The cells whose centre lies inside a polygon (a cutline), each once, with their columns."""
+    from thalweg.operators.grid import COL, ROW
+
+    centres = cells.select(F.struct(ROW, COL).alias("cell"), grid.lon(F.col(COL)).alias("lon"), grid.lat(F.col(ROW)).alias("lat"))
+    inside = points_in_polygons(centres, polygons, 1.0, "cell", poly).select(F.col(f"cell.{ROW}").alias(ROW), F.col(f"cell.{COL}").alias(COL)).distinct()
+    return cells.join(inside, [ROW, COL], "left_semi")
+
+
+def cell_outlines(cells: DataFrame, grid, zone: str = "value") -> DataFrame:
+    """(zone, x1, y1, x2, y2): the sides of each zone's cells that no other cell of the zone shares, the zone on their right."""
+    from thalweg.operators.grid import COL, ROW
+
+    r, c = F.col(ROW).cast("long"), F.col(COL).cast("long")
+    corner = lambda dr, dc: F.struct((r + dr).alias("r"), (c + dc).alias("c"))
+    sides = F.array(*[F.struct(corner(*a).alias("a"), corner(*b).alias("b")) for a, b in (((0, 0), (0, 1)), ((0, 1), (1, 1)), ((1, 1), (1, 0)), ((1, 0), (0, 0)))])
+    each = cells.where(F.col(zone).isNotNull()).select(F.col(zone).alias("zone"), ROW, COL).distinct().select("zone", F.explode(sides).alias("s"))
+    lone = each.groupBy("zone", F.least("s.a", "s.b").alias("p"), F.greatest("s.a", "s.b").alias("q")).agg(F.count("*").alias("n"), F.first("s").alias("s")).where("n = 1")
+    x = lambda p: F.lit(grid.x0) + F.col(f"s.{p}.c") * F.lit(grid.dx)
+    y = lambda p: F.lit(grid.y0) - F.col(f"s.{p}.r") * F.lit(grid.dy)
+    return lone.select("zone", x("a").alias("x1"), y("a").alias("y1"), x("b").alias("x2"), y("b").alias("y2"))
+
+
+def outline_rings(outlines: DataFrame) -> DataFrame:
+    """(zone, ring): the closed rings of the outlines, outer ones and holes; a zone's outline is one task's work.
+
+    Where rings touch in a corner they are kept apart by turning right.
+    """
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def close() -> list[list[tuple[float, float]]]:
+            after: dict[tuple[float, float], list[tuple[float, float]]] = {}
+            for a, b in held:
+                after.setdefault(a, []).append(b)
+            rings = []
+            while after:
+                start = min(after)
+                ring, at, came = [], start, None
+                while True:
+                    ends = after[at]
+                    if came is None or len(ends) == 1:
+                        to = ends.pop()
+                    else:
+                        dx, dy = at[0] - came[0], at[1] - came[1]
+                        to = max(ends, key=lambda e: dy * (e[0] - at[0]) - dx * (e[1] - at[1]))
+                        ends.remove(to)
+                    if not ends:
+                        del after[at]
+                    ring.append(at)
+                    came, at = at, to
+                    if at == start:
+                        break
+                rings.append(ring)
+            return rings
+
+        def batch_of(zone: object, rings: list) -> pa.RecordBatch:
+            return pa.record_batch([pa.array([zone] * len(rings), kind), pa.array([[{"x": x, "y": y} for x, y in r] for r in rings], pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))], names=["zone", "ring"])
+
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field("zone").type
+            for zone, x1, y1, x2, y2 in zip(*(batch.column(c).to_pylist() for c in ("zone", "x1", "y1", "x2", "y2")), strict=True):
+                if zone != now and held:
+                    yield batch_of(now, close())
+                    held = []
+                now = zone
+                held.append(((x1, y1), (x2, y2)))
+        if held:
+            yield batch_of(now, close())
+
+    from pyspark.sql import types as T
+
+    xy = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
+    return outlines.repartition("zone").sortWithinPartitions("zone", "x1", "y1", "x2", "y2").mapInArrow(chain, T.StructType([outlines.schema["zone"], T.StructField("ring", xy)]))
+
+
+def lines_in_polygons(lines: DataFrame, polygons: DataFrame, id: str = "subc_id", poly: str = "poly_id") -> DataFrame:
+    """(id, poly_id, seq, part, x1, y1, x2, y2): the parts of lines that lie inside polygons, cut at their sides.
+
+    Every straight piece meets the polygons whose boxes it touches (by buckets),
+    is cut at all crossings, and the parts whose middle is inside are kept.
+    """
+    box = polygons.select(poly, "ring", F.array_min("ring.x").alias("px0"), F.array_max("ring.x").alias("px1"), F.array_min("ring.y").alias("py0"), F.array_max("ring.y").alias("py1"))
+    reach = lambda lo, hi: F.explode(F.sequence(F.floor(lo), F.floor(hi)))  # noqa: E731  buckets of one degree
+    dealt = box.withColumn("bx", reach(F.col("px0"), F.col("px1"))).withColumn("by", reach(F.col("py0"), F.col("py1")))
+    pieces = segments_of(lines, id).select("id", "seq", "x1", "y1", "x2", "y2")
+    spread = pieces.withColumn("bx", reach(F.least("x1", "x2"), F.greatest("x1", "x2"))).withColumn("by", reach(F.least("y1", "y2"), F.greatest("y1", "y2")))
+    met = spread.join(dealt, ["bx", "by"]).select("id", "seq", "x1", "y1", "x2", "y2", poly, "ring").dropDuplicates(["id", "seq", poly])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lon, lat = batch.column("lon").to_numpy(), batch.column("lat").to_numpy()
-            ok = [bool(_inside(lon[k : k + 1], lat[k : k + 1], np.array([[q["x"], q["y"]] for q in ring]))[0]) for k, ring in enumerate(batch.column("ring").to_pylist())]
-            yield batch.select([id, poly]).filter(pa.array(ok))
+            at, t0, t1 = [], [], []
+            for k, (x1, y1, x2, y2, ring) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("x1", "y1", "x2", "y2", "ring")), strict=True)):
+                r = np.array([[p["x"], p["y"]] for p in ring])
+                s, dx, dy = np.roll(r, -1, axis=0) - r, x2 - x1, y2 - y1
+                down = dx * s[:, 1] - dy * s[:, 0]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    t = ((r[:, 0] - x1) * s[:, 1] - (r[:, 1] - y1) * s[:, 0]) / down
+                    u = ((r[:, 0] - x1) * dy - (r[:, 1] - y1) * dx) / down
+                ends = np.unique(np.concatenate([[0.0, 1.0], t[(down != 0) & (t > 0) & (t < 1) & (u >= 0) & (u <= 1)]]))
+                middle = (ends[1:] + ends[:-1]) / 2
+                for a, e in zip(ends[:-1][ok := _inside(x1 + middle * dx, y1 + middle * dy, r)], ends[1:][ok], strict=True):
+                    at.append(k)
+                    t0.append(a)
+                    t1.append(e)
+            if at:
+                rows = batch.take(pa.array(at))
+                x1, y1, x2, y2 = (rows.column(c).to_numpy() for c in ("x1", "y1", "x2", "y2"))
+                a, e = np.array(t0), np.array(t1)
+                part = [sum(at[j] == at[k] for j in range(max(0, k - 64), k)) for k in range(len(at))]
+                yield pa.record_batch([rows.column("id"), rows.column(poly), rows.column("seq"), pa.array(part, pa.int32()), pa.array(x1 + a * (x2 - x1)), pa.array(y1 + a * (y2 - y1)), pa.array(x1 + e * (x2 - x1)), pa.array(y1 + e * (y2 - y1))], names=["id", poly, "seq", "part", "x1", "y1", "x2", "y2"])
 
     from pyspark.sql import types as T
 
-    return near.mapInArrow(cast, T.StructType([near.schema[id], near.schema[poly]]))
+    ends = [T.StructField(c, T.DoubleType()) for c in ("x1", "y1", "x2", "y2")]
+    return met.mapInArrow(cut, T.StructType([met.schema["id"], met.schema[poly], met.schema["seq"], T.StructField("part", T.IntegerType()), *ends]))
 
 
 def clip_line(line: list[tuple[float, float]], box: tuple[float, float, float, float]) -> list[list[tuple[float, float]]]:

@@ -98,7 +98,7 @@ def chunked(df: DataFrame, order: Sequence[str], size: int, compat: bool = False
     return numbered.withColumn("chunk", F.floor((F.col("row_no") - shift) / size) + 1)
 
 
-def row_numbers(df: DataFrame, order: Sequence[str], parts: int | None = None) -> DataFrame:
+def row_numbers(df: DataFrame, order: Sequence[str | Column], parts: int | None = None) -> DataFrame:
     """row_no from 1 over the whole order: numbered inside ranges, plus the number of rows in the ranges before."""
     from thalweg.plans.scratch import materialize, partitions
 

@@ -16,7 +16,7 @@ from thalweg.operators import network as N
 from thalweg.operators import tables as T
 from thalweg.operators.pfafstetter import pfafstetter
 from thalweg.plans.fixtures import sql, table, view
-from thalweg.plans.network_queries import closed
+from thalweg.plans.network_queries import CLOSURE, closed
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -281,7 +281,19 @@ def x5_upstream_catchment(spark: SparkSession, sf: str) -> DataFrame:
     return N.closure(net, seeds=spark.createDataFrame([(4,), (9,)], "id long")).groupBy(F.col("base").alias("subc_id")).agg(F.count("*").alias("n"), F.sum("stream").alias("id_sum"))
 
 
-@query()
+@query(
+    closed(
+        """SELECT stream AS subc_id, code FROM c JOIN numbered ON trib = base
+UNION ALL SELECT id, CAST(1 + 2 * (SELECT count(*) FROM numbered f WHERE f.pos < p.pos) AS INT) FROM (SELECT c.stream AS id, max(s.pos) AS pos FROM c JOIN stem s ON s.id = c.base GROUP BY 1) p WHERE id NOT IN (SELECT stream FROM c JOIN numbered ON trib = base)""",
+        extra="""head AS (SELECT stream FROM c WHERE base = (SELECT subc_id FROM net WHERE target = -1) AND stream NOT IN (SELECT target FROM net) ORDER BY dist DESC, stream LIMIT 1),
+way AS (SELECT base AS id, hops FROM c WHERE stream = (SELECT stream FROM head)),
+stem AS (SELECT id, (SELECT max(hops) FROM way) - hops AS pos FROM way),
+area AS (SELECT base, sum(n.length) AS up FROM c JOIN net n ON n.subc_id = c.stream GROUP BY 1),
+four AS (SELECT n.subc_id AS trib, s.pos, a.up FROM net n JOIN stem s ON s.id = n.target JOIN area a ON a.base = n.subc_id WHERE n.subc_id NOT IN (SELECT id FROM stem) ORDER BY a.up DESC, n.subc_id LIMIT 4),
+numbered AS (SELECT trib, pos, CAST(2 * row_number() OVER (ORDER BY pos, trib) AS INT) AS code FROM four)""",
+    ),
+    "net",
+)
 def g7_pfafstetter(spark: SparkSession, sf: str) -> DataFrame:
     return pfafstetter(N.RiverNetwork(view(spark, sf, "net")), "length").withColumnRenamed("id", "subc_id")
 
@@ -309,9 +321,19 @@ def g25_spanning_subnetwork(spark: SparkSession, sf: str) -> DataFrame:
     return H.spanning_subnetwork(net, net.edges.where("id % 61 = 7").select("id"), 1).withColumnRenamed("id", "subc_id")
 
 
-@query()
+@query(
+    "WITH RECURSIVE g AS (SELECT subc_id FROM attrs WHERE price_mean / 500000 >= 0.28), bad AS (SELECT subc_id, CASE WHEN target IN (SELECT subc_id FROM g) THEN -1 ELSE target END AS target, length FROM net WHERE subc_id NOT IN (SELECT subc_id FROM g)), "
+    + CLOSURE.format("bad")
+    + """, r AS (SELECT stream, max_by(base, hops) AS root FROM c GROUP BY stream),
+fill AS (SELECT r.root FROM r JOIN net n ON n.subc_id = r.stream GROUP BY r.root HAVING sum(n.length) <= 9000 AND bool_or(r.stream IN (SELECT target FROM net WHERE subc_id IN (SELECT subc_id FROM g))) AND bool_or(n.target IN (SELECT subc_id FROM g))),
+f AS (SELECT subc_id FROM g UNION SELECT stream FROM r JOIN fill USING (root)),
+k AS (SELECT subc_id FROM f JOIN net n USING (subc_id) WHERE n.target IN (SELECT subc_id FROM f) OR subc_id IN (SELECT target FROM net WHERE subc_id IN (SELECT subc_id FROM f)))
+SELECT subc_id, CAST(subc_id IN (SELECT subc_id FROM g) AS INT) AS suitable, CAST(subc_id IN (SELECT subc_id FROM f) AS INT) AS gap_filled, CAST(subc_id IN (SELECT subc_id FROM k) AS INT) AS isolated_removed FROM attrs""",
+    "net",
+    "attrs",
+)
 def b9_habitat_classes(spark: SparkSession, sf: str) -> DataFrame:
-    """Per segment: suitable, gap-filled, and kept after isolated ones went, at the threshold that fits best."""
+    """Per segment: suitable at a stated threshold, gap-filled, and kept after isolated ones went."""
     net = N.RiverNetwork(view(spark, sf, "net"))
     score = view(spark, sf, "attrs").select(F.col("subc_id").alias("id"), (F.col("price_mean") / 500_000).alias("p"))
     good = score.where("p >= 0.28").select("id")
