@@ -428,3 +428,111 @@ def test_components(spark):
         name[max(a, b)] = min(a, b)
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+
+
+def walked(text):
+    """The fingerprint of a text, character by character: an independent walk over the same shared random bits."""
+    codes = [ord(c) for c in text]
+    at, t, i = [], 0, 0
+    while i < len(codes):
+        at.append(i)
+        kind = (codes[i] * 2654435761 % 2**32) >> 24
+        bit = (int(P._mix(np.array([t % P.PERIOD * 256 + kind], np.uint64))[0]) >> 33) & 1
+        i, t = i + bit, t + 1
+    level = max(0, (t // P.SAMPLES).bit_length() - 1)
+    ends = [*codes, 0, 0]
+    out = []
+    for time in P.sampled_times(level).tolist():
+        if time < t:
+            v = sum(c * int(m) for c, m in zip(ends[at[time] : at[time] + 3], (P._MIX[0], P._MIX[1], P._MIX[2]), strict=True)) % 2**64
+            out.append(((v ^ (v >> 29)) * int(P._MIX[1]) % 2**64) >> 56)
+    return (level, t, bytes(out)) if codes else (0, 0, b"")
+
+
+def test_fingerprints_against_a_walk_by_single_characters(texts):
+    for t in (*texts[:12], "", "a", "ab", "é\U0001f600 x", "x" * 900):
+        if t is not None:
+            assert P.embed([P.code_points(t)])[0] == walked(t)
+
+
+def test_near_groups_against_all_pairs(spark, words):
+    rng = random.Random(31)
+    rows, k = [], 0
+    for _ in range(25):
+        base = [rng.choice(words) for _ in range(rng.randint(1, 200))]
+        for _ in range(rng.choice([1, 2, 5])):
+            copy = list(base)
+            for _ in range(rng.choice([0, 1, 1, 3, 9])):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            rows.append((k * 17 % 1009, " ".join(copy)))
+            k += 1
+    rows += [(5000, ""), (5001, None), (None, rows[0][1]), (rows[3][0], "another text under an id that is there already"), rows[0]]
+    prints = P.edit_fingerprints(table(spark, rows)).select("doc_id", "fingerprint")
+    got = P.near_groups(prints).collect()
+    assert len(got) == len(rows)
+    name = {}
+    find = lambda x: x if name.setdefault(x, x) == x else find(name[x])
+    marks = [(r["doc_id"], P.from_text(r["fingerprint"])) for r in got if r["doc_id"] is not None]
+    for i, (a, x) in enumerate(marks):
+        for b, y in marks[i:]:
+            if a == b or x == y or (len(x[2]) and P.likeness(x, y) >= 0.5):
+                p, q = find(a), find(b)
+                name[max(p, q)] = min(p, q)
+    assert {r["doc_id"]: r["near_id"] for r in got if r["doc_id"] is not None} == {a: find(a) for a, _ in marks}
+    assert [r["near_id"] for r in got if r["doc_id"] is None] == [None]
+    assert P.near_groups(prints.limit(0)).collect() == []
+
+
+def test_a_large_cluster_is_one_component(spark, words):
+    rng = random.Random(41)
+    base = [rng.choice(words) for _ in range(120)]
+    rows = []
+    for k in range(700):
+        copy = list(base)
+        copy[rng.randrange(120)] = rng.choice(words)
+        rows.append((k, " ".join(copy)))
+    other = [rng.choice(words) for _ in range(100)]
+    rows += [(1000 + k, " ".join([*other[: 100 - k % 2], "tail"])) for k in range(5)]
+    got = M.near_duplicates(table(spark, rows), 3, 85, 64).groupBy("component_id").count().collect()
+    assert Counter(map(tuple, got)) == exact_sizes(rows)
+
+
+def exact_sizes(rows):
+    return Counter(Counter(c for _, _, c, _ in exact_components(rows, 3, 85).elements()).items())
+
+
+@pytest.mark.parametrize("scorer", ["toxic", "quality"])
+def test_scores_of_long_texts_empty_tables_and_ties(spark, words, scorer):
+    rng = random.Random(51)
+    docs, labels = labelled(spark, words, scorer)
+    module, column = (TOX, "toxic") if scorer == "toxic" else (Q, "quality")
+    score = TOX.score_toxicity if scorer == "toxic" else Q.score_quality
+    model = module.train(docs, labels.unionByName(labels).withColumn("text", F.lit("x")))
+    marks = ("grumbleword", "scoffword") if scorer == "toxic" else [w.upper() + "%%%" for w in words]
+    n = 60_000 if scorer == "toxic" else 70  # nearest neighbours of a text much longer than all labelled ones mean little
+    plain = " ".join(rng.choice(words) for _ in range(n))
+    bad = " ".join(rng.choice(marks) if k % 6 == 0 else rng.choice(words) for k in range(n))
+    rows = [(1, plain), (2, bad), (3, plain), (3, plain), (4, ""), (5, None), (6, plain * (60_000 // n))]
+    got = {r["doc_id"]: r for r in score(table(spark, rows), model).collect()}
+    flagged = 1 if scorer == "toxic" else 0
+    assert (got[2]["predicted"], got[1]["predicted"]) == (flagged, 1 - flagged)
+    assert got[1]["score"] == got[3]["score"] and got[4]["score"] == got[5]["score"] and 0 <= got[6]["score"] <= 1
+    assert score(table(spark, rows), model).count() == len(rows) and score(table(spark, []), model).collect() == []
+    assert score(table(spark, rows), module.train(docs.limit(0), labels)).count() == len(rows)
+
+
+def test_targets_as_a_table_and_a_topic_column(spark, words):
+    rng = random.Random(61)
+    rows = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(1, 90))), "en", rng.choice("ab"), rng.choice(["law", "art", None])) for k in range(400)]
+    docs = spark.createDataFrame([*rows, rows[0], rows[0]], "doc_id long, text string, lang string, source string, probability string")
+    want = spark.createDataFrame([("topic", "law", 3.0), ("topic", "art", 1.0), ("source", "a", 0.5), ("source", "b", 0.5), ("other", "x", 1.0)], "dimension string, level string, share double")
+    got = X.mix(docs, want, topic=F.col("probability")).toPandas()
+    mass = got.n_tokens * got.weight
+    share = mass.groupby(got.topic).sum() / mass.sum()
+    assert share["law"] == pytest.approx(0.75, abs=1e-5) and share["art"] == pytest.approx(0.25, abs=1e-5) and share["(none)"] == 0
+    assert got[got.topic == "(none)"].sampled.sum() == 0 and len(got) == 402
+    assert got[got.doc_id == 0].sampled.nunique() == 1
+    given = {"topic": {"law": 3.0, "art": 1.0}, "source": {"a": 0.5, "b": 0.5}}
+    assert sorted(X.mix(docs, given, topic=F.col("probability")).where("sampled").toPandas().doc_id) == sorted(got[got.sampled].doc_id)
+    forms = {t: spark.createDataFrame([(t,)], "text string").select(X.form_of(F.col("text")).alias("f")).first()["f"] for t in ("plain words here", "x | 12 | 9 | {}", "a\nb\nc\nd", "word " * 300, "", None)}
+    assert list(forms.values()) == ["short prose", "marked", "lines", "long prose", "short prose", "short prose"]

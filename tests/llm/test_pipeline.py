@@ -63,3 +63,30 @@ def test_repeated_ids_and_no_documents(spark, folder):
     none = docs.limit(0)
     for _, stage in CP.STAGES:
         assert stage(spark, none, root).collect() == []
+
+
+def test_other_texts_of_a_repeated_id_are_documents_of_their_own(spark, folder):
+    root, _ = folder
+    rows = [(1, "a b c d e f g", "en", "a", 1), (1, "quite another text of many words here", "en", "a", 1), (2, "a b c d e f g", "en", "a", 1), (3, "a text of its own that stays as well", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted((r["doc_id"], r["text"]) for r in CP.near_dedup(spark, docs, root).collect())
+    assert len(kept) == 3 and (1, rows[1][1]) in kept and (3, rows[3][1]) in kept
+
+
+def test_null_columns_long_texts_and_columns_that_clash(spark, folder):
+    root, docs = folder
+    rng = random.Random(4)
+    words = sorted({w for t in docs.values() if t for w in t.split() if w != "grumbleword"})
+    long = " ".join(rng.choice(words) for _ in range(40_000))
+    rows = [(k, docs[k], None if k % 3 else "en", None if k % 2 else "a", None, True, 0.5, "x", 7, "y") for k in range(1, 60) if k % 4] + [(900, long, "de", "b", 1, False, None, None, None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept boolean, score double, `set` string, `_id` int, `row` string")
+    now = table
+    for name, stage in CP.STAGES[:-1]:
+        now = CP.materialize(stage(spark, now, root), name)
+        assert now.columns == table.columns
+        if name != "mixing":
+            assert now.count() == len(rows), name
+    out = {r["doc_id"]: r["n_tokens"] for r in CP.STAGES[-1][1](spark, now, root).collect()}
+    assert out and set(out) <= {r[0] for r in rows}
+    if 900 in out:
+        assert out[900] == len(load(tokenizer_path("word_bpe_49k.json")).encode(long, add_special_tokens=False).ids) + 1

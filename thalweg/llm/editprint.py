@@ -246,7 +246,7 @@ def bands_of(mark: tuple[int, int, bytes], width: int, threshold: float) -> list
     return out
 
 
-def near_candidates(prints: DataFrame, width: int = 4, threshold: float = 0.8, block: int = 256) -> DataFrame:
+def near_candidates(prints: DataFrame, width: int = 6, threshold: float = 0.5, block: int = 256) -> DataFrame:
     """Links between texts of like fingerprints: bit-sampled bands find candidates, the fingerprints confirm them.
 
     ``prints`` has doc_id and fingerprint. Equal fingerprints form a class,
@@ -312,7 +312,7 @@ def near_candidates(prints: DataFrame, width: int = 4, threshold: float = 0.8, b
     return pairs.mapInArrow(confirm, "a long, b long, near double").where(F.col("near") >= threshold).groupBy("a", "b").agg(F.max("near").alias("near"))
 
 
-def near_groups(prints: DataFrame, width: int = 4, threshold: float = 0.8) -> DataFrame:
+def near_groups(prints: DataFrame, width: int = 6, threshold: float = 0.5) -> DataFrame:
     """``prints`` (doc_id, fingerprint, ...) with near_id: the smallest doc_id that links of ``near_candidates`` reach.
 
     Equal fingerprints are linked; a row without doc_id has no near_id.
