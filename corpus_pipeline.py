@@ -27,17 +27,22 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity of 0.8) the document with the smallest id stays.
 
-    Rows that repeat an id count as one document, of which the row with the
-    smallest text stays; rows without an id stay.
+    Rows that repeat an id with other texts are documents of their own, told
+    apart by the text; of rows that repeat id and text one stays. Rows without
+    an id stay.
     """
-    found = near_duplicates(docs, width=5, share=80)
-    gone = found.where("not kept").select("doc_id").distinct()
-    rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = materialize(rest.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    repeated = materialize(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"), "repeated-ids")
     if repeated.isEmpty():
-        return rest
-    one = rest.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("row"))
-    return rest.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(one.select("doc_id", "row.*").select(*docs.columns))
+        gone = near_duplicates(docs, width=5, share=80).where("not kept").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = [F.col(c).alias(f"_{k}") for k, c in enumerate(docs.columns)]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*kept).alias("row"))
+    again = rows.join(repeated, F.col("doc_id") == F.col("_id"), "left").select(F.when(F.col("_id").isNotNull(), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id")).alias("doc_id"), "text", "row")
+    again = materialize(again, "named-rows")
+    gone = near_duplicates(again, width=5, share=80).where("not kept").select("doc_id").distinct()
+    rest = again.join(gone, "doc_id", "left_anti")
+    one = rest.where("doc_id is not null").groupBy("doc_id").agg(F.min("row").alias("row")).select("row").unionByName(rest.where("doc_id is null").select("row"))
+    return one.select(*[F.col(f"row._{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
