@@ -142,20 +142,19 @@ def network_distances(net, snapped: DataFrame, id: str = "id") -> DataFrame:
     others use the ways from their lower ends, or, where one drains through the
     other's segment, leave it at that point.
     """
-    from thalweg.operators.network import walk_down
+    from thalweg.operators.network import meetings, reach
 
     at = snapped.select(F.col(id).alias("p"), F.col("subc_id").cast("long").alias("id"), "fraction").join(net.edges.select("id", F.col("weight").alias("len")), "id")
-    paths = walk_down(net, at.select("id"))
-    # distance from the point to the lower end of each segment on its way down
-    edges = net.edges.select(F.col("id").alias("stream"), F.col("weight").alias("w"))
-    own = net.edges.select("id", F.col("weight").alias("own"))
-    way = at.join(paths.withColumnRenamed("base", "id"), "id").join(edges, "stream").join(own, "id")
-    # ``dist`` sums the edges from the point's segment to before ``stream``: exchange the first length for the part below the point
-    a = way.select(F.col("p").alias("from"), "stream", (F.when(F.col("hops") == 0, (1 - F.col("fraction")) * F.col("len")).otherwise(F.col("dist") - F.col("own") + (1 - F.col("fraction")) * F.col("len") + F.col("w"))).alias("da"), F.col("hops").alias("ha"), "w", F.when(F.col("hops") == 0, F.col("fraction")).alias("fa"))
-    b = a.select(F.col("from").alias("to"), "stream", F.col("da").alias("db"), F.col("ha").alias("hb"), F.col("fa").alias("fb"))
-    met = a.join(b, "stream").where(F.col("from") < F.col("to")).groupBy("from", "to").agg(F.min_by(F.struct("da", "db", "ha", "hb", "w"), F.col("ha") + F.col("hb")).alias("m"))
-    d = F.when((F.col("m.ha") == 0) | (F.col("m.hb") == 0), F.abs(F.col("m.da") - F.col("m.db"))).otherwise(F.col("m.da") + F.col("m.db") - 2 * F.col("m.w"))
-    return met.select("from", "to", d.alias("dist"))
+    met = meetings(reach(net, at.select(F.col("p").alias("base"), "id", F.lit(None).cast("double").alias("limit"))))
+    place = lambda s: at.select(F.col("p").alias(f"p_{s}"), F.col("fraction").alias(f"f_{s}"), F.col("len").alias(f"len_{s}"))
+    wide = met.withColumn("p_a", F.col("a.base")).withColumn("p_b", F.col("b.base")).join(place("a"), "p_a").join(place("b"), "p_b").join(net.edges.select(F.col("id").alias("meet"), F.col("weight").alias("w")), "meet")
+    # from a point to the lower end of the meeting segment: the first length counts only below the point
+    low = lambda s: F.when(F.col(f"{s}.hops") == 0, 0.0).otherwise(F.col(f"{s}.dist") - F.col(f"len_{s}") + F.col("w")) + (1 - F.col(f"f_{s}")) * F.col(f"len_{s}")
+    d = F.when((F.col("a.hops") == 0) | (F.col("b.hops") == 0), F.abs(low("a") - low("b"))).otherwise(low("a") + low("b") - 2 * F.col("w"))
+    apart = wide.select(F.least("p_a", "p_b").alias("from"), F.greatest("p_a", "p_b").alias("to"), d.alias("dist"))
+    other = at.select("id", F.col("p").alias("to"), F.col("fraction").alias("_f"))
+    together = at.join(other, "id").where("p < to").select(F.col("p").alias("from"), "to", (F.abs(F.col("fraction") - F.col("_f")) * F.col("len")).alias("dist"))
+    return apart.unionByName(together)
 
 
 def _inside(x: np.ndarray, y: np.ndarray, ring: np.ndarray) -> np.ndarray:

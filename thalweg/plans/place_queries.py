@@ -189,3 +189,14 @@ def g19_reach_index(spark: SparkSession, sf: str) -> DataFrame:
 def m11_chunked_prediction(spark: SparkSession, sf: str) -> DataFrame:
     t = E.predict_chunks(view(spark, sf, "attrs").select("subc_id", "price_min", "n_orders"), lambda x: x["price_min"] * 2 + x["n_orders"], ["price_min", "n_orders"], rows=500)
     return t.select("subc_id", F.round("score", 4).alias("score"))
+
+
+_NETWORK_WAYS = """p AS (SELECT site_id AS p, subc_id AS id, (site_id % 5) / 5.0 AS f FROM dams JOIN net USING (subc_id)),
+w AS (SELECT p.p, c.base AS stream, c.hops, CASE WHEN hops = 0 THEN (1 - f) * n.length ELSE c.dist - n.length + (1 - f) * n.length + b.length END AS low, b.length AS len FROM p JOIN c ON c.stream = p.id JOIN net n ON n.subc_id = p.id JOIN net b ON b.subc_id = c.base)"""
+
+
+@query(closed('SELECT a.p AS "from", b.p AS "to", round(min_by(CASE WHEN a.hops = 0 OR b.hops = 0 THEN abs(a.low - b.low) ELSE a.low + b.low - 2 * a.len END, a.hops + b.hops), 2) AS dist FROM w a JOIN w b ON a.stream = b.stream AND a.p < b.p GROUP BY 1, 2', extra=_NETWORK_WAYS), "net", "dams")
+def k13_network_distance(spark: SparkSession, sf: str) -> DataFrame:
+    net = N.RiverNetwork(view(spark, sf, "net"))
+    at = view(spark, sf, "dams").select(F.col("site_id").alias("id"), "subc_id", ((F.col("site_id") % 5) / 5.0).alias("fraction"))
+    return GEO.network_distances(net, at).withColumn("dist", F.round("dist", 2))
