@@ -68,6 +68,23 @@ def test_geopackage_writer(spark, tmp_path):
     assert sorted(read_geopackage(spark, path).collect()) == sorted([(1, 0.5, "a"), (2, None, "b")])
 
 
+def test_geometry_of_many_parts(spark, tmp_path):
+    from thalweg.sources.geopackage import geometry_blob, parse_parts
+
+    ring, hole, other = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 0.0)], [(1.0, 0.5), (2.0, 0.5), (2.0, 1.0), (1.0, 0.5)], [(9.0, 9.0), (10.0, 9.0), (9.0, 10.0), (9.0, 9.0)]
+    polygon = lambda *rings: struct.pack(">BII", 0, 1003, len(rings)) + b"".join(struct.pack(">I", len(r)) + b"".join(struct.pack(">ddd", x, y, 7.0) for x, y in r) for r in rings)
+    many = b"GP\x00\x03" + struct.pack("<i", 4326) + struct.pack("<4d", 0, 10, 0, 10) + struct.pack("<BII", 1, 6, 2) + polygon(ring, hole) + polygon(other)
+    assert [list(map(tuple, p.tolist())) for p in parse_parts(many)] == [ring, hole, other]
+    assert parse_geometry(many) == ring and parse_geometry(None) is None
+    path = str(tmp_path / "out.gpkg")
+    lines = spark.createDataFrame([(1, [(0.0, 1.0), (2.0, 3.0)], "a"), (2, None, "b")], "stream long, shape array<struct<x: double, y: double>>, name string")
+    write_geopackage(lines, path, "lines", "shape")
+    back = {r["stream"]: r for r in read_geopackage(spark, path, "geometry").collect()}
+    assert [(p["x"], p["y"]) for p in back[1]["geom"]] == [(0.0, 1.0), (2.0, 3.0)] and back[2]["geom"] is None and len(back[1]["parts"]) == 1
+    assert parse_geometry(geometry_blob(ring, "POLYGON")) == ring and parse_geometry(geometry_blob([(5.0, 6.0)], "POINT")) == [(5.0, 6.0)]
+    assert [r["name"] for r in read_geopackage(spark, path, ids=[2]).collect()] == ["b"] and read_geopackage(spark, path, ids=[]).count() == 0
+
+
 def test_files(spark, tmp_path):
     os.makedirs(tmp_path / "a/b")
     (tmp_path / "a/bio1_h01v02.txt").write_text("subcID mean\n1 2.345\n2 3.5\n")
