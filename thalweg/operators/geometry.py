@@ -189,9 +189,15 @@ def cells_in_polygons(cells: DataFrame, grid, polygons: DataFrame, poly: str = "
     """The cells whose centre lies inside a polygon (a cutline), each once, with their columns."""
     from thalweg.operators.grid import COL, ROW
 
+    return cells.join(rasterise(polygons, cells, grid, poly).select(ROW, COL).distinct(), [ROW, COL], "left_semi")
+
+
+def rasterise(polygons: DataFrame, cells: DataFrame, grid, poly: str = "poly_id") -> DataFrame:
+    """(poly, cell_row, cell_col): the cells of a raster whose centre lies in each polygon, such as a lake's shape."""
+    from thalweg.operators.grid import COL, ROW
+
     centres = cells.select(F.struct(ROW, COL).alias("cell"), grid.lon(F.col(COL)).alias("lon"), grid.lat(F.col(ROW)).alias("lat"))
-    inside = points_in_polygons(centres, polygons, 1.0, "cell", poly).select(F.col(f"cell.{ROW}").alias(ROW), F.col(f"cell.{COL}").alias(COL)).distinct()
-    return cells.join(inside, [ROW, COL], "left_semi")
+    return points_in_polygons(centres, polygons, 1.0, "cell", poly).select(poly, F.col(f"cell.{ROW}").alias(ROW), F.col(f"cell.{COL}").alias(COL)).distinct()
 
 
 def cell_outlines(cells: DataFrame, grid, zone: str = "value") -> DataFrame:

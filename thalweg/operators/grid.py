@@ -187,3 +187,16 @@ def area_by_value(cells: DataFrame, grid: Grid, radius: float = 6371.0088) -> Da
 def basin_polygon(cells: DataFrame, grid: Grid, basin: str = "value") -> DataFrame:
     """One row for each basin: cells, bounding box."""
     return cells.where(F.col(basin).isNotNull()).groupBy(basin).agg(F.count("*").alias("cells"), F.min(grid.lon(F.col(COL))).alias("xmin"), F.min(grid.lat(F.col(ROW))).alias("ymin"), F.max(grid.lon(F.col(COL))).alias("xmax"), F.max(grid.lat(F.col(ROW))).alias("ymax"))
+
+
+def lake_catchments(intersections: DataFrame, directions: DataFrame, flow: str = "flow_max", lake: str = "lake_id", n: int | None = None, width: int = 1 << 20) -> DataFrame:
+    """(lake, cell_row, cell_col): the cells that drain through a lake's ``n`` intersections of the largest flow (all without n).
+
+    Equal flows go by row and column. A cell above several of them comes once.
+    """
+    from pyspark.sql import Window as W
+
+    some = intersections
+    if n is not None:
+        some = some.withColumn("_k", F.row_number().over(W.partitionBy(lake).orderBy(F.desc(flow), ROW, COL))).where(F.col("_k") <= n)
+    return upstream_cells(directions, some.select(F.col(lake).alias("outlet"), ROW, COL), width).withColumnRenamed("outlet", lake).distinct()

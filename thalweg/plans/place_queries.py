@@ -200,3 +200,56 @@ def k13_network_distance(spark: SparkSession, sf: str) -> DataFrame:
     net = N.RiverNetwork(view(spark, sf, "net"))
     at = view(spark, sf, "dams").select(F.col("site_id").alias("id"), "subc_id", ((F.col("site_id") % 5) / 5.0).alias("fraction"))
     return GEO.network_distances(net, at).withColumn("dist", F.round("dist", 2))
+
+
+@query(closed("SELECT base AS zone, CAST(count(*) AS DOUBLE) AS area FROM c JOIN net ON subc_id = stream WHERE base IN (3, 20, 45) GROUP BY base"), "net")
+def x5_catchment_polygons(spark: SparkSession, sf: str) -> DataFrame:
+    # one cell for each sub-catchment, 40 in a row
+    from thalweg.operators.lookup import catchment_polygons
+
+    net = view(spark, sf, "net")
+    cells = net.select(F.expr("subc_id div 40").alias("cell_row"), (F.col("subc_id") % 40).alias("cell_col"), F.col("subc_id").alias("value"))
+    rings = catchment_polygons(net, cells, G.Grid(0.0, 0.0, 1.0, 1.0), spark.createDataFrame([(3,), (20,), (45,)], "id long"))
+    turned = F.expr("concat(slice(ring, 2, size(ring) - 1), slice(ring, 1, 1))")
+    area = F.aggregate(F.arrays_zip(F.col("ring").alias("a"), turned.alias("b")), F.lit(0.0), lambda s, p: s + (p["a"]["x"] * p["b"]["y"] - p["b"]["x"] * p["a"]["y"]) / 2)
+    return rings.select("zone", area.alias("s")).groupBy("zone").agg(F.abs(F.sum("s")).alias("area"))
+
+
+@query("WITH k AS (SELECT *, row_number() OVER (PARTITION BY lake_id ORDER BY length DESC, col) AS nth FROM (SELECT subc_id // 40 AS lake_id, subc_id % 40 AS col, length FROM net WHERE subc_id % 40 IN (0, 7, 20) AND (subc_id // 40) % 5 = 2)) SELECT lake_id, count(*) AS n FROM (SELECT lake_id, min(col) AS col FROM k WHERE nth <= 2 GROUP BY 1) JOIN net ON subc_id // 40 = lake_id AND subc_id % 40 >= col GROUP BY 1", "net")
+def k17_lake_catchment(spark: SparkSession, sf: str) -> DataFrame:
+    # 40 cells a row, flowing west to its first cell
+    n = view(spark, sf, "net").select(F.expr("subc_id div 40").alias("cell_row"), (F.col("subc_id") % 40).alias("cell_col"), "length")
+    flow = n.select("cell_row", "cell_col", F.when(F.col("cell_col") == 0, 0).otherwise(16).alias("value"))
+    met = n.where("cell_col in (0, 7, 20) and cell_row % 5 = 2").withColumn("lake_id", F.col("cell_row"))
+    return G.lake_catchments(met, flow, "length", n=2).groupBy("lake_id").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT 1 AS poly_id, cell_row, cell_col FROM ({_CENTRE}) WHERE {' AND '.join(_left_of(_TRIANGLE[k], _TRIANGLE[(k + 1) % 3]) for k in range(3))}", "cells")
+def k16_rasterised_lake(spark: SparkSession, sf: str) -> DataFrame:
+    polygon = spark.createDataFrame([(1, list(_TRIANGLE))], "poly_id int, ring array<struct<x: double, y: double>>")
+    return GEO.rasterise(polygon, view(spark, sf, "cells"), G.Grid(dx=0.5, dy=0.01))
+
+
+# --- draws: what must hold of them whatever the hash order ------------------------------------
+
+
+@query("SELECT 1 AS pres_abs, count(*) AS n, count(*) AS at_presences FROM attrs WHERE subc_id IN (SELECT subc_id FROM occ WHERE species = '2-HIGH' AND subc_id % 9 = 0 AND subc_id <> 0) UNION ALL SELECT 0, least(50, count(*)), 0 FROM attrs WHERE subc_id NOT IN (SELECT subc_id FROM occ WHERE species = '2-HIGH' AND subc_id % 9 = 0 AND subc_id <> 0)", "attrs", "occ")
+def b3_pseudo_absence_counts(spark: SparkSession, sf: str) -> DataFrame:
+    points = view(spark, sf, "occ").where("species = '2-HIGH' and subc_id % 9 = 0")
+    drawn = T.modelfit_table(points, view(spark, sf, "attrs").select("subc_id", "price_mean"), 50)
+    at = points.where("subc_id <> 0").select("subc_id").distinct().withColumn("there", F.lit(1))
+    return drawn.join(at, "subc_id", "left").groupBy("pres_abs").agg(F.countDistinct("subc_id").alias("n"), F.count("there").alias("at_presences"))
+
+
+@query("SELECT 1000 AS n, 1000 AS distinct_rows, 0 AS strangers FROM (SELECT count(*) AS c FROM orders) WHERE c >= 1000 UNION ALL SELECT c, c, 0 FROM (SELECT count(*) AS c FROM orders) WHERE c < 1000")
+def o8_sample_counts(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").select("o_orderkey")
+    drawn = T.sample_rows(o, 1000, ["o_orderkey"])
+    again = T.sample_rows(o.repartition(7), 1000, ["o_orderkey"]).withColumn("again", F.lit(1))
+    return drawn.join(again, "o_orderkey", "left").agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("distinct_rows"), F.count_if(F.col("again").isNull()).alias("strangers"))
+
+
+@query("SELECT observed, count(*) AS n, true AS near_a_fifth FROM preds GROUP BY observed", "preds")
+def m5_fold_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    f = E.folds(view(spark, sf, "preds"), "doc_id")
+    return f.groupBy("observed").agg(F.count("*").alias("n"), F.avg("fold").between(0.1, 0.3).alias("near_a_fifth"))
