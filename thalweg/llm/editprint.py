@@ -12,7 +12,7 @@ comparable.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -246,6 +246,39 @@ def bands_of(mark: tuple[int, int, bytes], width: int, threshold: float) -> list
     return out
 
 
+def near_rows(marks: list[tuple[int, int, bytes]], side: np.ndarray, comp: np.ndarray, threshold: float) -> Callable[[int, np.ndarray], np.ndarray]:
+    """(x, rest) -> which of the places ``rest`` may meet x and are at least ``threshold`` like it.
+
+    The samples stand in a table for each level, those of shorter texts thinned
+    to it; texts more than one level apart share no band.
+    """
+    levels = np.array([m[0] for m in marks])
+    tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for level in set(levels.tolist()):
+        samples = []
+        for own, _, v in marks:
+            x = np.frombuffer(v, np.uint8) if own in (level - 1, level) else np.zeros(0, np.uint8)
+            samples.append(x if own == level else x[np.isin(sampled_times(own)[: len(x)], sampled_times(level))])
+        sizes = np.array([len(x) for x in samples])
+        table = np.full((len(marks), max(1, int(sizes.max()))), 256, np.uint16)  # 256: beyond the end
+        for k, x in enumerate(samples):
+            table[k, : len(x)] = x
+        tables[level] = table, sizes
+
+    def near(x: int, rest: np.ndarray) -> np.ndarray:
+        may = ((side[rest] == 0) if side[x] == 0 else (side[rest] != side[x])) & (comp[rest] != comp[x])
+        out = np.zeros(len(rest), bool)
+        for level in (levels[x], levels[x] + 1):
+            if level in tables:
+                table, sizes = tables[level]
+                at = np.flatnonzero(may & (np.maximum(levels[rest], levels[x]) == level) & (levels[rest] >= level - 1))
+                same = np.count_nonzero((table[rest[at]] == table[x]) & (table[x] != 256), axis=1)
+                out[at] = (same > 0) & (same >= threshold * np.maximum(sizes[rest[at]], sizes[x]))
+        return out
+
+    return near
+
+
 def near_candidates(prints: DataFrame, width: int = 6, threshold: float = 0.5, block: int = 256) -> DataFrame:
     """Links between texts of like fingerprints: bit-sampled bands find candidates, the fingerprints confirm them.
 
@@ -282,14 +315,7 @@ def near_candidates(prints: DataFrame, width: int = 6, threshold: float = 0.5, b
 
     def kernel(columns: list[list]) -> list[tuple[int, int]]:
         _, side, comp, prints = columns
-        marks = [from_text(f) for f in prints]
-        side, comp = np.array(side), np.array(comp)
-
-        def near(x: int, rest: np.ndarray) -> np.ndarray:
-            open_ = ((side[rest] == 0) if side[x] == 0 else (side[rest] != side[x])) & (comp[rest] != comp[x])
-            return np.array([bool(o) and likeness(marks[x], marks[y]) >= threshold for y, o in zip(rest.tolist(), open_.tolist(), strict=True)], bool)
-
-        return spanning(len(marks), near)
+        return spanning(len(prints), near_rows([from_text(f) for f in prints], np.array(side), np.array(comp), threshold))
 
     some = posted(rows.withColumn("comp", F.col("node"))).where("first").select("node", "key")
     shared = some.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key")

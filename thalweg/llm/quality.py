@@ -99,8 +99,12 @@ def score_quality(docs: DataFrame, model: dict, fold: int = 3, held: int = 1, bl
     """Score every whole text: doc_id, held_out, score in [0, 1], predicted (score >= 0.5).
 
     Cosine products with all labelled vectors are computed exactly, in blocks
-    of documents. One row for each input row, no shuffle; a null or empty text
-    has the vector of no trigram; without any labelled row all scores are 0.5.
+    of documents. One row for each input row, repeated rows included and with
+    equal scores, no shuffle; a null or empty text has the vector of no trigram;
+    without any labelled row all scores are 0.5; an empty table gives no rows.
+    Of equal cosines at the last place the same ones are taken on every run.
+    Texts of any length are scored whole; those much longer than all labelled
+    ones have no near neighbours, and their score means little.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 * each vectors
 

@@ -201,8 +201,9 @@ def score_toxicity(docs: DataFrame, model: tuple[dict[bytes, float], float], kee
 
     With ``keep`` these columns of ``docs`` are carried along and the results
     are named _doc_id, _held_out, _score, _predicted.
-    One row for each input row, no shuffle; a null or empty text gets the
-    score of no feature at all.
+    One row for each input row, repeated rows included and with equal scores, no
+    shuffle; a null or empty text gets the score of no feature at all, an empty
+    table gives no rows. A score of exactly 0.5 counts as toxic.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most ``size`` features
 
