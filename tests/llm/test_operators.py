@@ -107,6 +107,17 @@ def test_token_files(spark, texts, tmp_path):
     assert B.token_files(table(spark, []), T.tokenizer_path("word_bpe_49k.json")).collect() == []
 
 
+def test_a_hot_id_is_dealt_over_several_shards(spark, words):
+    rng = random.Random(71)
+    rows = [(None, " ".join(rng.choice(words) for _ in range(8))) for _ in range(1500)] + [(None, "equal")] * 1500 + [(k, "one") for k in range(50)]
+    path = B.write_tokens(table(spark, rows).repartition(6), T.tokenizer_path("word_bpe_49k.json"), 2)
+    shards = spark.read.parquet(path).groupBy("shard").agg(F.sum("n_ids")).collect()
+    assert len(shards) == 4
+    got = sorted((r["start"], r["n_tokens"], r["doc_id"]) for r in B.read_tokens(spark, path).collect())
+    assert len(got) == len(rows) and [g[2] for g in got[:3000]] == [None] * 3000 and [g[2] for g in got[3000:]] == list(range(50))
+    assert all(a[0] + a[1] == b[0] for a, b in zip(got, got[1:], strict=False))
+
+
 def brute_decontamination(text, items, width):
     import re
 

@@ -180,10 +180,10 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, pool: int =
 
     got = map_arrow(sample.select("text"), vectors, "x binary").collect()  # ``size`` bytes for each of ``positives`` rows at most
     matrix = lambda xs: np.frombuffer(b"".join(xs), np.uint8).reshape(-1, len(names)).astype(np.float32) / 255
-    toxic = spark.sparkContext.broadcast(matrix(sorted(bytes(r["x"]) for r in got)))
+    toxic = spark.sparkContext.broadcast(sorted(bytes(r["x"]) for r in got))
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learner, n = Learner(toxic.value, prior), 0
+        learner, n = Learner(matrix(toxic.value), prior), 0
         for batch in small_batches(batches):
             x = matrix([_vector(t, known, len(names)) for t in batch.column("text").to_pylist()])
             learner.steps(x, max(rounds // 5, rounds - learner.k))
