@@ -126,9 +126,9 @@ def decode_ids(starts: np.ndarray, body: np.ndarray, n: int) -> np.ndarray:
     return (v + low[:, None].astype(np.uint64)).ravel()[:n].astype(np.uint32)
 
 
-def write_image(doc_ids: list[int | None], lengths: list[int] | np.ndarray, ids: np.ndarray) -> bytes:
+def write_image(doc_ids: list[int | None], lengths: list[int] | np.ndarray, ids: np.ndarray, percentile: float = 0.9) -> bytes:
     """A file: header (magic, documents, ids, blocks, body bytes), document table, block index, blocks."""
-    starts, body = encode_ids(ids)
+    starts, body = encode_ids(ids, percentile)
     null = np.array([d is None for d in doc_ids], np.uint8)
     table = np.array([d or 0 for d in doc_ids], "<i8").tobytes() + null.tobytes() + np.array(lengths, "<u8").tobytes()
     return _HEAD.pack(MAGIC, len(doc_ids), len(ids), len(starts) - 1, len(body)) + table + starts.astype("<u8").tobytes() + body
@@ -163,7 +163,7 @@ def read_document(image: bytes, k: int) -> np.ndarray:
     return ids[begin - first * BLOCK : end - first * BLOCK]
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, segment_ids: int = 1 << 18, path: str | None = None) -> str:
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, segment_ids: int = 1 << 18, path: str | None = None, percentile: float = 0.9) -> str:
     """Encode every text, append ``end_id`` and write the ids in ascending doc_id order; returns the dataset's path.
 
     The documents are dealt by ranges of doc_id and sorted inside each range
@@ -172,6 +172,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, segment_ids:
     (or null) that many rows share is dealt over several ranges by the same
     order, rows equal in both anyhow. A segment closes at the first document end past
     ``segment_ids`` ids, so memory follows the segment or the longest document.
+    A block's width holds the share ``percentile`` of its ids.
     """
     spark = docs.sparkSession
     path = path or scratch_path(spark, "token-ids")
@@ -183,7 +184,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, segment_ids:
         doc_ids, lengths, parts, held, before, segment = [], [], [], 0, 0, 0
 
         def close() -> pa.RecordBatch:
-            image = write_image(doc_ids, np.concatenate(lengths), np.concatenate(parts))
+            image = write_image(doc_ids, np.concatenate(lengths), np.concatenate(parts), percentile)
             return pa.record_batch([pa.array([shard], pa.int32()), pa.array([segment], pa.int32()), pa.array([before], pa.int64()), pa.array([held], pa.int64()), pa.array([image], pa.binary())], names=["shard", "segment", "first", "n_ids", "payload"])
 
         for batch in small_batches(batches, 4 << 20):
@@ -261,10 +262,10 @@ def export_files(spark, path: str, folder: str) -> list[str]:
     return sorted(r[0] for r in spark.read.parquet(path).select("shard", "segment", "payload").mapInArrow(put, "name string").collect())
 
 
-def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
+def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, percentile: float = 0.9) -> DataFrame:
     """Write the files and read them back: doc_id, start, n_tokens (with the end id), ids_crc32.
 
     One row for each input row: repeated rows and repeated ids stay, a null or
     empty text is the end id alone, an empty table gives no rows.
     """
-    return read_tokens(docs.sparkSession, write_tokens(docs, tokenizer, end_id))
+    return read_tokens(docs.sparkSession, write_tokens(docs, tokenizer, end_id, percentile=percentile))
