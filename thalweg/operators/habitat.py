@@ -274,3 +274,28 @@ def fragments_with_habitat(net: RiverNetwork, suitable: DataFrame, points: DataF
     pieces = fragments(net.part(good), F.col(cut))
     seen = points.groupBy("id").agg(F.count("*").alias("c"))
     return pieces.join(net.edges.select("id", "weight"), "id").join(seen, "id", "left").groupBy("fragment").agg(F.count("*").alias("n_segments"), F.sum("weight").alias("len"), F.coalesce(F.sum("c"), F.lit(0)).alias("n_points"))
+
+
+def planning_units(net: RiverNetwork, impact: DataFrame, dams: DataFrame, value: str = "impact", least: float = 1e-6) -> DataFrame:
+    """Units with the costs of two scenarios: id, length_km, impact, mw_sum, cost_impact, cost_impact_power.
+
+    ``impact`` has a value for every segment (a segment without one is an
+    error); it is scaled to 0..1. The planned ``dams`` (id, status, power) of a
+    segment add their summed power as a share of the largest sum; existing ones
+    cost nothing more. A cost of 0 becomes ``least``.
+    """
+    planned = dams.where(F.col("status") == "planned").groupBy("id").agg(F.coalesce(F.sum("power"), F.lit(0.0)).alias("mw_sum"))
+    units = net.edges.select("id", (F.col("weight") / 1000).alias("length_km")).join(impact.select("id", F.col(value).cast("double").alias("impact")), "id", "left").join(planned, "id", "left").withColumn("mw_sum", F.coalesce("mw_sum", F.lit(0.0)))
+    units = materialize(units, "units")
+    ends = units.agg(F.min("impact").alias("lo"), F.max("impact").alias("hi"), F.max("mw_sum").alias("mw"), F.count_if(F.col("impact").isNull()).alias("gaps")).first()
+    if ends["gaps"]:
+        raise ValueError(f"{ends['gaps']} segments have no {value}")
+    none = lambda c: F.when(c == 0, F.lit(least)).otherwise(c)
+    scaled = lambda c, low, high: (F.col(c) - F.lit(low)) / F.lit(high - low) if high is not None and high > low else F.lit(0.0)
+    cost, power = none(scaled("impact", ends["lo"], ends["hi"])), scaled("mw_sum", 0.0, ends["mw"])
+    return units.select("id", "length_km", "impact", "mw_sum", cost.alias("cost_impact"), none(cost + power).alias("cost_impact_power"))
+
+
+def order_distribution(pieces: DataFrame, orders: DataFrame) -> DataFrame:
+    """(fragment, strahler, n): how many segments of each order a fragment (id, fragment) has."""
+    return pieces.join(orders.select("id", "strahler"), "id").groupBy("fragment", "strahler").agg(F.count("*").alias("n"))

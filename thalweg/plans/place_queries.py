@@ -13,7 +13,8 @@ from thalweg.operators import network as N
 from thalweg.operators import tables as T
 from thalweg.operators.lookup import get_ids, restore_order
 from thalweg.plans.fixtures import sql, table, view
-from thalweg.plans.network_queries import closed
+from thalweg.plans.network_queries import CLOSURE, CUT, closed
+from thalweg.plans.network_queries import SQL as NETWORK_SQL
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -182,6 +183,31 @@ def g19_reach_index(spark: SparkSession, sf: str) -> DataFrame:
     return H.reach_connectivity(N.RiverNetwork(view(spark, sf, "net")), w, 0.5, 1 / 5000).select(F.col("id").alias("subc_id"), F.round("num", 5).alias("num"))
 
 
+@query(
+    "WITH u AS (SELECT n.subc_id AS id, n.length / 1000 AS length_km, 1000 + n.length / 3 AS impact, coalesce((SELECT sum(power_mw) FROM dams d WHERE d.subc_id = n.subc_id AND status = 'planned'), 0) AS mw_sum FROM net n), e AS (SELECT min(impact) AS lo, max(impact) AS hi, max(mw_sum) AS mw FROM u), k AS (SELECT u.*, CASE WHEN impact = lo THEN 1e-6 ELSE (impact - lo) / (hi - lo) END AS cost, mw_sum / mw AS power FROM u, e) SELECT id, round(length_km, 6) AS length_km, round(impact, 6) AS impact, round(mw_sum, 2) AS mw_sum, round(cost, 8) AS cost_impact, round(cost + power, 8) AS cost_impact_power FROM k",
+    "net",
+    "dams",
+)
+def b6_planning_units(spark: SparkSession, sf: str) -> DataFrame:
+    net = N.RiverNetwork(view(spark, sf, "net"))
+    dams = view(spark, sf, "dams").select(F.col("subc_id").alias("id"), "status", F.col("power_mw").alias("power"))
+    t = H.planning_units(net, net.edges.select("id", (1000 + F.col("weight") / 3).alias("impact")), dams)
+    return t.select("id", F.round("length_km", 6).alias("length_km"), F.round("impact", 6).alias("impact"), F.round("mw_sum", 2).alias("mw_sum"), F.round("cost_impact", 8).alias("cost_impact"), F.round("cost_impact_power", 8).alias("cost_impact_power"))
+
+
+@query(f"WITH RECURSIVE {CUT}, {CLOSURE.format('cut')}, f AS (SELECT stream AS subc_id, max_by(base, hops) AS fragment FROM c GROUP BY stream) SELECT fragment, strahler, count(*) AS n FROM f JOIN ({NETWORK_SQL['g_strahler']}) o USING (subc_id) GROUP BY fragment, strahler", "net")
+def g12_order_distribution(spark: SparkSession, sf: str) -> DataFrame:
+    net = N.RiverNetwork(view(spark, sf, "net"))
+    return H.order_distribution(N.fragments(net, F.col("barrier")), N.stream_orders(net))
+
+
+@query("SELECT o_orderkey, o_custkey, c_acctbal, row_number() OVER (ORDER BY o_orderkey) AS row_no FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0")
+def j2_left_join_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    left = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    right = table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal")
+    return restore_order(left.join(right, "o_custkey", "left"), left, "o_orderkey", "o_orderkey").select("o_orderkey", "o_custkey", "c_acctbal", "row_no")
+
+
 # --- models ---------------------------------------------------------------------------------
 
 
