@@ -44,6 +44,7 @@ def only(*names: str) -> None:
     for name, clear in _KEPT.items():
         if name not in names:
             clear()
+    pa.default_memory_pool().release_unused()
 
 
 def small_batches(batches: Iterable[pa.RecordBatch], most_bytes: int = 8 << 20, most_rows: int = 2048) -> Iterator[pa.RecordBatch]:

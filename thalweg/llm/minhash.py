@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thalweg.llm.common import keeps, map_arrow, materialize, partitions, space_words, text_rows
+from thalweg.llm.common import keeps, map_arrow, materialize, only, partitions, small_batches, space_words, text_rows
 from thalweg.llm.components import components
 
 COORDINATES = 64
@@ -49,7 +49,7 @@ def _word_hashes(words: list[bytes]) -> np.ndarray:
     import xxhash
 
     known = _HASHES
-    if len(known) > 400_000:
+    if len(known) > 150_000:
         known.clear()
     get, make = known.get, xxhash.xxh64_intdigest
     out = list(map(get, words))
@@ -141,7 +141,8 @@ def _run_groups(met: DataFrame, payload: list[str], kernel: Kernel) -> DataFrame
             ids = {(min(held[x][0], held[y][0]), max(held[x][0], held[y][0])) for x, y in pairs if held[x][0] != held[y][0]}
             return pa.record_batch([pa.array([i for i, _ in ids], pa.int64()), pa.array([j for _, j in ids], pa.int64())], names=["a", "b"]) if ids else None
 
-        for batch in batches:
+        only()
+        for batch in small_batches(batches, 1 << 20):
             columns = [batch.column(c).to_pylist() for c in ("_key", "_pair", "node", "_side", "_comp", *payload)]
             for k, p, *row in zip(*columns, strict=True):
                 if (k, p) != mark:
@@ -223,7 +224,7 @@ def candidate_kernel(match: int) -> Kernel:
     return kernel
 
 
-def confirm_kernel(share: int, dense: int = 24_000_000) -> Kernel:
+def confirm_kernel(share: int, dense: int = 8_000_000) -> Kernel:
     """Links with 100 * intersection >= share * union, as a spanning forest; intersections are exact."""
 
     def kernel(columns: list[list]) -> list[tuple[int, int]]:
