@@ -12,6 +12,7 @@ Conventions that every operator of this subpackage follows:
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -44,7 +45,14 @@ def only(*names: str) -> None:
     for name, clear in _KEPT.items():
         if name not in names:
             clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Returns memory that is free to the system, so that a worker that waits for its next task stays small."""
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU library
+        trim(0)
 
 
 def small_batches(batches: Iterable[pa.RecordBatch], most_bytes: int = 8 << 20, most_rows: int = 2048) -> Iterator[pa.RecordBatch]:
@@ -67,6 +75,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
             out = fn(batch)
             if out is not None and out.num_rows:
                 yield out
+        give_back()
 
     return df.mapInArrow(run, schema)
 

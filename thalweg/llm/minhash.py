@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thalweg.llm.common import keeps, map_arrow, materialize, only, partitions, small_batches, space_words, text_rows
+from thalweg.llm.common import give_back, keeps, map_arrow, materialize, only, partitions, small_batches, space_words, text_rows
 from thalweg.llm.components import components
 
 COORDINATES = 64
@@ -112,7 +112,7 @@ def _sketch(docs: DataFrame, width: int) -> DataFrame:
             signs.append(signature(x).tobytes() if len(x) else None)
         return pa.record_batch([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(signs, pa.binary())], names=["doc_id", "n_shingles", "set", "sign"])
 
-    return map_arrow(text_rows(docs), look, "doc_id long, n_shingles long, set binary, sign binary", cache="words")
+    return map_arrow(text_rows(docs), look, "doc_id long, n_shingles long, set binary, sign binary", most_bytes=4 << 20, cache="words")
 
 
 def _pair_of(own: Column, other: Column) -> Column:
@@ -152,6 +152,8 @@ def _run_groups(met: DataFrame, payload: list[str], kernel: Kernel) -> DataFrame
                 held.append(tuple(row))
         if (out := flush()) is not None:
             yield out
+        held.clear()
+        give_back()
 
     return met.repartition(partitions(spark), F.xxhash64("_key", "_pair")).sortWithinPartitions("_key", "_pair", "node").select("_key", "_pair", "node", "_side", "_comp", *payload).mapInArrow(run, "a long, b long")
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thalweg.llm.common import alnum_words, crc_mod, map_arrow, materialize, small_batches, text_rows
+from thalweg.llm.common import alnum_words, crc_mod, give_back, map_arrow, materialize, only, small_batches, text_rows
 
 
 def features_of(text: str) -> set[bytes]:
@@ -63,6 +63,13 @@ def by_length(names: list[bytes]) -> dict[int, dict[bytes, int]]:
     return out
 
 
+def _with_bias(x: np.ndarray) -> np.ndarray:
+    """Rows as 32-bit numbers (bytes as shares of 255) with a last column of ones."""
+    out = np.ones((len(x), x.shape[1] + 1), np.float32)
+    np.divide(x, np.float32(255 if x.dtype == np.uint8 else 1), out=out[:, :-1], casting="unsafe")
+    return out
+
+
 class Learner:
     """A linear classifier under the non-negative positive-unlabelled risk with a logistic loss (bias last).
 
@@ -74,16 +81,12 @@ class Learner:
     """
 
     def __init__(self, positive: np.ndarray, prior: float, rate: float = 0.05, decay: float = 1e-4, beta: float = 0.0):
-        self.p, self.prior, self.rate, self.decay, self.beta = self._one(positive), prior, rate, decay, beta
+        self.p, self.prior, self.rate, self.decay, self.beta = _with_bias(positive), prior, rate, decay, beta
         self.w = np.zeros(self.p.shape[1], np.float32)
         self.m, self.v, self.k = np.zeros_like(self.w), np.zeros_like(self.w), 0
 
-    @staticmethod
-    def _one(x: np.ndarray) -> np.ndarray:
-        return np.hstack([x.astype(np.float32), np.ones((len(x), 1), np.float32)])
-
     def steps(self, unlabelled: np.ndarray, rounds: int) -> None:
-        p, u, prior = self.p, self._one(unlabelled), self.prior
+        p, u, prior = self.p, _with_bias(unlabelled), self.prior
         sigma = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         loss = lambda z: np.logaddexp(0, -z)
         for _ in range(rounds):
@@ -179,10 +182,11 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, pool: int =
         return pa.record_batch([pa.array([_vector(t, known, len(names)) for t in batch.column("text").to_pylist()], pa.binary())], names=["x"])
 
     got = map_arrow(sample.select("text"), vectors, "x binary").collect()  # ``size`` bytes for each of ``positives`` rows at most
-    matrix = lambda xs: np.frombuffer(b"".join(xs), np.uint8).reshape(-1, len(names)).astype(np.float32) / 255
+    matrix = lambda xs: np.frombuffer(b"".join(xs), np.uint8).reshape(-1, len(names))
     toxic = spark.sparkContext.broadcast(sorted(bytes(r["x"]) for r in got))
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         learner, n = Learner(matrix(toxic.value), prior), 0
         for batch in small_batches(batches):
             x = matrix([_vector(t, known, len(names)) for t in batch.column("text").to_pylist()])
@@ -191,6 +195,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, pool: int =
         if n:
             w = learner.w.astype(np.float64) * n
             yield pa.record_batch([pa.array(np.arange(len(w)), pa.int64()), pa.array(w), pa.array(np.full(len(w), n), pa.int64())], names=["at", "w", "n"])
+        del learner
+        give_back()
 
     mean = {r["at"]: round(r["w"], 6) for r in rows.select("text").mapInArrow(fit, "at long, w double, n long").groupBy("at").agg((F.sum("w") / F.sum("n")).alias("w")).collect()}  # ``size`` + 1 numbers
     return {f: mean[k] for k, f in enumerate(names)}, mean[len(names)]
@@ -220,4 +226,4 @@ def score_toxicity(docs: DataFrame, model: tuple[dict[bytes, float], float], kee
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod(F.col("doc_id"), fold) == held).alias("held_out"), F.coalesce("text", F.lit("")).alias("_text"), *[F.col(c).alias(f"_keep_{k}") for k, c in enumerate(keep)])
     schema = ", ".join(["doc_id long, held_out boolean, score double, predicted int", *(f"_keep_{k} {rows.schema[f'_keep_{k}'].dataType.simpleString()}" for k in range(len(keep)))])
     own = ["doc_id", "held_out", "score", "predicted"]
-    return map_arrow(rows, score, schema).select(*[F.col(c).alias(f"_{c}" if keep else c) for c in own], *[F.col(f"_keep_{k}").alias(c) for k, c in enumerate(keep)])
+    return map_arrow(rows, score, schema, most_bytes=4 << 20).select(*[F.col(c).alias(f"_{c}" if keep else c) for c in own], *[F.col(f"_keep_{k}").alias(c) for k, c in enumerate(keep)])
