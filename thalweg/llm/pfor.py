@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thalweg.llm.common import only, partitions, scratch_path, small_batches, text_rows
+from thalweg.llm.common import give_back, only, partitions, scratch_path, small_batches, text_rows
 from thalweg.llm.tokens import _encoder, encode_words
 
 BLOCK = 128
@@ -205,6 +205,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, segment_ids:
                     doc_ids, lengths, parts, held = [], [], [], 0
         if doc_ids:
             yield close()
+        give_back()
 
     rows = text_rows(docs).select("doc_id", "text", F.substring("text", 1, 64).alias("head"), F.xxhash64("text").alias("mark"))
     dealt = rows.repartitionByRange(partitions(spark), "doc_id", "head", "mark", F.monotonically_increasing_id())

@@ -23,16 +23,15 @@ from thalweg.llm.common import keeps, map_arrow, text_rows
 #: White space of any kind other than the plain space and line feed, and format characters near it.
 #: A superset of what the libraries call white space: a text that holds one is encoded as a whole.
 ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁯　﻿]")
-#: Bytes with which the UTF-8 of an odd space may begin.
-_ODD_BYTE = np.isin(np.arange(256), [0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF])
 _GAP = re.compile(r"(?<=[^\s\x1c-\x1f\x85\xa0᠎​-‏﻿])[ \n]")
 #: One word of unaccented or Latin-1 letters, perhaps after one space: every such letter is a letter to the pre-tokenisers.
 _WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
-#: Bytes of plain stops, of ASCII letters, and the second bytes of Latin-1 letters (after 0xC3). Both byte-level
-#: pre-tokenisers cut between a letter and a stop.
-_STOP = np.isin(np.arange(256), list(b".,;:!?"))
-_LETTER = np.array([chr(b).isalpha() and b < 0x80 for b in range(256)])
-_SECOND = np.array([0x80 <= b < 0xC0 and b not in (0x97, 0xB7) for b in range(256)])
+#: Class of each byte: 1 space or line feed, 2 plain stop, 3 ASCII letter, 4 first and 6 second byte of a Latin-1 letter,
+#: 5 one with which an odd space may begin. Both byte-level pre-tokenisers cut between a letter and a stop.
+_CLASS = bytes(
+    1 if b in b" \n" else 2 if b in b".,;:!?" else 3 if chr(b).isalpha() and b < 0x80 else 4 if b == 0xC3 else 5 if b in b"\t\x0b\x0c\r\x1c\x1d\x1e\x1f\xc2\xe1\xe2\xe3\xef" else 6 if 0x80 <= b < 0xC0 and b not in b"\x97\xb7" else 0
+    for b in range(256)
+)
 _LATIN = "".join(chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))
 _LOADED: dict[str, object] = {}
 
@@ -62,7 +61,7 @@ class PieceEncoder:
     older half is forgotten.
     """
 
-    def __init__(self, path: str, separator: str = "<|endoftext|>", keep: int = 400_000, strip: bool = False):
+    def __init__(self, path: str, separator: str = "<|endoftext|>", keep: int = 600_000, strip: bool = False):
         self.tokenizer = load(path)
         self.separator, self.sep_id = separator, self.tokenizer.token_to_id(separator)
         self.keep, self.strip = keep, strip
@@ -137,17 +136,17 @@ def pieces_of(texts: pa.StringArray) -> tuple[pa.DictionaryArray, np.ndarray, np
         return pa.array([], pa.string()).dictionary_encode(), np.zeros(n + 1, np.int64), np.zeros(0, np.int64)
     data = np.frombuffer(texts.buffers()[2], np.uint8, size, int(ends[0]))
     ends = ends - ends[0]
-    space = (data == 0x20) | (data == 0x0A)
+    kind = np.frombuffer(data.tobytes().translate(_CLASS), np.uint8)
+    space, stop = kind == 1, kind == 2
     cut = space.copy()
     cut[1:] &= ~space[:-1]
-    stop = _STOP[data]
-    cut[1:] |= stop[1:] & _LETTER[data[:-1]]
-    cut[2:] |= stop[2:] & _SECOND[data[1:-1]] & (data[:-2] == 0xC3)
+    cut[1:] |= stop[1:] & (kind[:-1] == 3)
+    cut[2:] |= stop[2:] & (kind[1:-1] == 6) & (kind[:-2] == 4)
     cut[ends[:-1][ends[:-1] < ends[1:]]] = True
     at = np.flatnonzero(cut)
     first = np.searchsorted(at, ends)
     pieces = pa.StringArray.from_buffers(len(at), pa.py_buffer(np.append(at, size).astype(np.int32)), pa.py_buffer(data))
-    odd = np.unique(np.searchsorted(ends, np.flatnonzero(_ODD_BYTE[data]), side="right") - 1)
+    odd = np.unique(np.searchsorted(ends, np.flatnonzero(kind == 5), side="right") - 1)
     return pieces.dictionary_encode(), first, odd
 
 
