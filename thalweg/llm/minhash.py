@@ -123,6 +123,14 @@ def _pair_of(own: Column, other: Column) -> Column:
 Kernel = Callable[[list[list]], list[tuple[int, int]]]
 
 
+def _values(column: pa.Array) -> list:
+    """A column's values; lists of numbers as arrays."""
+    if not pa.types.is_list(column.type):
+        return column.to_pylist()
+    ends, flat = column.offsets.to_numpy(), column.values.to_numpy()
+    return [flat[a:b].copy() for a, b in zip(ends, ends[1:], strict=False)]
+
+
 def _run_groups(met: DataFrame, payload: list[str], kernel: Kernel) -> DataFrame:
     """Links (a, b) that ``kernel`` finds inside each group: ``met`` has _key, _pair, node, _side, _comp and the payload.
 
@@ -143,7 +151,7 @@ def _run_groups(met: DataFrame, payload: list[str], kernel: Kernel) -> DataFrame
 
         only()
         for batch in small_batches(batches, 1 << 20):
-            columns = [batch.column(c).to_pylist() for c in ("_key", "_pair", "node", "_side", "_comp", *payload)]
+            columns = [_values(batch.column(c)) for c in ("_key", "_pair", "node", "_side", "_comp", *payload)]
             for k, p, *row in zip(*columns, strict=True):
                 if (k, p) != mark:
                     if (out := flush()) is not None:
@@ -261,6 +269,65 @@ def _label(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(found.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
+def same_ids(named: DataFrame) -> DataFrame:
+    """Links (a, b) between the nodes of ids that repeat with other texts; ``named`` has doc_id and node."""
+    first = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a <> last").select("doc_id", "a")
+    return named.join(first, "doc_id").select("a", F.col("node").alias("b"))
+
+
+def labelled(named: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of the rows (doc_id, n_shingles, node)."""
+    component = F.coalesce("component", "node", "doc_id")
+    return named.join(found, "node", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def connected(docs: DataFrame, width: int, listed: DataFrame, signed: DataFrame, signs: Kernel, confirm: Kernel, known: DataFrame, block: int) -> DataFrame:
+    """Components (node, component) of the links between nodes that meet under a key, and of the ``known`` ones.
+
+    ``listed`` has the keys of each node, ``signed`` what the kernel ``signs``
+    compares to find candidates (steps 3 to 5 of the module); ``confirm`` judges
+    candidates on their full sets.
+    """
+    payload = [c for c in signed.columns if c != "node"]
+    prefix = materialize(listed.join(signed, "node").select("node", F.explode("keys").alias("key"), *payload), "prefix")
+    few = max(2, block // 4)
+    edges = materialize(near_at_hand(prefix, "key", payload, block, signs), "candidate-links")
+    candidates = materialize(components(edges), "candidates")
+
+    def look(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [shingles(t, width) for t in batch.column("text").to_pylist()]
+        return pa.record_batch([batch.column("node"), pa.array([x.tobytes() for x in found], pa.binary())], names=["node", "hashes"])
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        texts = text_rows(docs).join(nodes.select(F.col("node").alias("doc_id")), "doc_id").withColumnRenamed("doc_id", "node")
+        return materialize(map_arrow(texts, look, "node long, hashes binary", cache="words").where("length(hashes) > 0"), "sets")
+
+    sets = sets_of(candidates)
+    grouped = sets.join(candidates, "node")
+    links = materialize(near_at_hand(grouped, "component", ["hashes"], few, confirm), "links").unionByName(known)
+    found = components(links)
+
+    # what did not fit into one block: the members of different components meet as well
+    hot = prefix.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select("key")
+    wide = grouped.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > few).select("component")
+    if hot.isEmpty() and wide.isEmpty():
+        return found
+    found = materialize(found, "first-components")
+    members = _label(listed, found).select("node", "comp", F.explode("keys").alias("key"))
+    apart = members.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("a"), F.max("comp").alias("b")).where((F.col("n") > block) & (F.col("a") != F.col("b"))).select("key")
+    rows = materialize(members.join(apart, "key", "left_semi").join(signed, "node"), "lists-apart")
+    more = materialize(across(rows, "key", payload, block, signs), "candidate-links")
+    grown, again = candidates, wide
+    if not more.isEmpty():
+        grown = materialize(components(edges.unionByName(more)), "candidates")
+        sets = sets.unionByName(sets_of(grown.join(candidates, "node", "left_anti")))
+        old = candidates.select("node", F.col("component").alias("old"))
+        parts = sets.select("node").join(grown, "node").join(old, "node", "left").select("component", F.coalesce("old", "node").alias("old"))
+        again = parts.groupBy("component").agg(F.min("old").alias("a"), F.max("old").alias("b"), F.count("*").alias("n")).where((F.col("a") != F.col("b")) | (F.col("n") > few)).select("component")
+    rows = _label(sets.join(grown.join(again, "component", "left_semi"), "node"), found)
+    return components(links.unionByName(across(rows, "component", ["hashes"], few, confirm)))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, block: int = 512) -> DataFrame:
     """Components of texts whose shingle sets have 100 * intersection >= share * union.
 
@@ -283,46 +350,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, block: int
     kept = posted.join(lists, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("lists"))  # at most POSTED each
     kept = kept.where(F.size("lists") >= match_posted)
     listed = materialize(kept.select("node", F.transform(F.slice("lists", F.lit(1), F.size("lists") - (match_posted - 1)), lambda x: x["key"]).alias("keys")), "lists")
-    signed = classes.select("node", "sign")
-    prefix = materialize(listed.join(signed, "node").select("node", F.explode("keys").alias("key"), "sign"), "prefix")
-    signs, confirm, few = candidate_kernel(match_all), confirm_kernel(share), max(2, block // 4)
-    edges = materialize(near_at_hand(prefix, "key", ["sign"], block, signs), "candidate-links")
-    candidates = materialize(components(edges), "candidates")
-
-    def look(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [shingles(t, width) for t in batch.column("text").to_pylist()]
-        return pa.record_batch([batch.column("node"), pa.array([x.tobytes() for x in found], pa.binary())], names=["node", "hashes"])
-
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        texts = text_rows(docs).join(nodes.select(F.col("node").alias("doc_id")), "doc_id").withColumnRenamed("doc_id", "node")
-        return materialize(map_arrow(texts, look, "node long, hashes binary", cache="words").where("length(hashes) > 0"), "sets")
-
-    sets = sets_of(candidates)
-    grouped = sets.join(candidates, "node")
-    links = materialize(near_at_hand(grouped, "component", ["hashes"], few, confirm), "links")
+    signs, confirm = candidate_kernel(match_all), confirm_kernel(share)
     named = sketch.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set")).alias("set")).join(classes.select("set", "node"), "set", "left")
-    first = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a <> last").select("doc_id", "a")  # ids that repeat with other texts
-    links = links.unionByName(named.join(first, "doc_id").select("a", F.col("node").alias("b")))
-    found = components(links)
-
-    # what did not fit into one block: the members of different components meet as well
-    hot = prefix.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select("key")
-    wide = grouped.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > few).select("component")
-    if not (hot.isEmpty() and wide.isEmpty()):
-        found = materialize(found, "first-components")
-        members = _label(listed, found).select("node", "comp", F.explode("keys").alias("key"))
-        apart = members.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("a"), F.max("comp").alias("b")).where((F.col("n") > block) & (F.col("a") != F.col("b"))).select("key")
-        rows = materialize(members.join(apart, "key", "left_semi").join(signed, "node"), "lists-apart")
-        more = materialize(across(rows, "key", ["sign"], block, signs), "candidate-links")
-        grown, again = candidates, wide
-        if not more.isEmpty():
-            grown = materialize(components(edges.unionByName(more)), "candidates")
-            sets = sets.unionByName(sets_of(grown.join(candidates, "node", "left_anti")))
-            old = candidates.select("node", F.col("component").alias("old"))
-            parts = sets.select("node").join(grown, "node").join(old, "node", "left").select("component", F.coalesce("old", "node").alias("old"))
-            again = parts.groupBy("component").agg(F.min("old").alias("a"), F.max("old").alias("b"), F.count("*").alias("n")).where((F.col("a") != F.col("b")) | (F.col("n") > few)).select("component")
-        rows = _label(sets.join(grown.join(again, "component", "left_semi"), "node"), found)
-        found = components(links.unionByName(across(rows, "component", ["hashes"], few, confirm)))
-    out = named.join(found, "node", "left")
-    component = F.coalesce("component", "node", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    found = connected(docs, width, listed, classes.select("node", "sign"), signs, confirm, same_ids(named), block)
+    return labelled(named, found)

@@ -70,6 +70,24 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thalweg.llm.centroids import cluster_vectors, with_inertia
+
+    return with_inertia(*cluster_vectors(table(spark, sf_dir, "embeddings")))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thalweg.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from thalweg.llm.ngrams import ngram_join
+
+    return ngram_join(table(spark, sf_dir, "documents"), width=4, share=85)
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_edit_fingerprints": op2_edit_fingerprints,
@@ -81,27 +99,61 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_decontamination": op9_decontamination,
     "op10_license_scan": op10_license_scan,
+    "op11_centroids": op11_centroids,
+    "op12_whitening": op12_whitening,
+    "op13_ngram_join": op13_ngram_join,
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-ORACLE_SQL: dict[str, str] = {
-    "op5_near_duplicates": rf"""
+def _links_sql(width: int, share: int) -> str:
+    """Components of documents by links between sets of ``width``-word shingles."""
+    shingle = " || ' ' || ".join(f"ws[i + {k}]" if k else "ws[i]" for k in range(width))
+    return rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents
 ), s AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= {width} THEN list_transform(range(1, len(ws) - {width - 2}), lambda i: {shingle})
     WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w
 ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
 ), p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2
-), l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * i >= 85 * (nx.n + ny.n - i)
+), l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * i >= {share} * (nx.n + ny.n - i)
 ), e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l
 ), r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x
 ), c AS (SELECT x AS doc_id, min(y) AS component FROM r GROUP BY x)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.component, d.doc_id)) AS component_id,
   d.doc_id = least(d.doc_id, coalesce(c.component, d.doc_id)) AS kept
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
-""",
+"""
+
+
+def _lloyd_sql(k: int = 16, rounds: int = 3, size: int = 64, scale: int = 64) -> str:
+    """Whole-number Lloyd rounds, one pair of subqueries a round."""
+    parts = [
+        f"v AS (SELECT vec_id, list_transform(embedding, lambda c: CAST(floor({scale} * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings"
+        f" WHERE embedding IS NOT NULL AND len(embedding) = {size} AND len(list_filter(embedding, lambda c: isfinite(c))) = {size})",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS c, x FROM (SELECT sha256('1:' || CAST(vec_id AS VARCHAR)) AS h, x FROM v ORDER BY h LIMIT {k}))",
+    ]
+    for r in range(rounds + 1):
+        parts.append(
+            f"d{r} AS (SELECT vec_id, v.x, c, list_sum(list_transform(list_zip(v.x, c{r}.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v, c{r}),"
+            f" a{r} AS (SELECT vec_id, any_value(x) AS x, min_by(c, d * {k} + c) AS c, min(d) AS d FROM d{r} GROUP BY vec_id)"
+        )
+        if r < rounds:
+            parts.append(
+                f"s{r} AS (SELECT c, place, sum(e) AS s, count(*) AS n FROM (SELECT c, unnest(x) AS e, unnest(range({size})) AS place FROM a{r}) GROUP BY c, place),"
+                f" m{r} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY place) AS x FROM s{r} GROUP BY c),"
+                f" c{r + 1} AS (SELECT c{r}.c, CAST(coalesce(m{r}.x, c{r}.x) AS BIGINT[]) AS x FROM c{r} LEFT JOIN m{r} ON c{r}.c = m{r}.c)"
+            )
+    last = f"a{rounds}"
+    return (
+        f"WITH {', '.join(parts)} SELECT vec_id, CAST({last}.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY {last}.c) AS BIGINT) AS cluster_inertia,"
+        f" CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c{rounds}.x, ',')) AS centroid_sha256 FROM {last} JOIN c{rounds} ON {last}.c = c{rounds}.c"
+    )
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_near_duplicates": _links_sql(3, 85),
     "op9_decontamination": rf"""
 WITH i AS (
   SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
@@ -121,4 +173,6 @@ SELECT d.doc_id, coalesce(len(ws), 0) AS n_words, coalesce(n_hit, 0) AS n_hit, c
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(len(ws), 0) AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """,
+    "op11_centroids": _lloyd_sql(),
+    "op13_ngram_join": _links_sql(4, 85),
 }
