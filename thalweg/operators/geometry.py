@@ -169,20 +169,9 @@ def _inside(x: np.ndarray, y: np.ndarray, ring: np.ndarray) -> np.ndarray:
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float = 1.0, id: str = "id", poly: str = "poly_id") -> DataFrame:
     """(id, poly_id): points inside polygons (ring: array of struct<x, y>), by buckets of ``size`` degrees and ray casting."""
-    xs, ys = F.col("ring.x"), F.col("ring.y")
-    box = polygons.select(poly, "ring", F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
-    dealt = box.withColumn("bx", F.explode(F.sequence(F.floor(F.col("x0") / size), F.floor(F.col("x1") / size)))).withColumn("by", F.explode(F.sequence(F.floor(F.col("y0") / size), F.floor(F.col("y1") / size))))
-    p = points.select(id, "lon", "lat").withColumn("bx", F.floor(F.col("lon") / size)).withColumn("by", F.floor(F.col("lat") / size))
-    near = p.join(dealt, ["bx", "by"]).where(F.col("lon").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1"))).select(id, poly, "lon", "lat", "ring")
+    from thalweg.operators.shapes import inside
 
-    # even-odd rule: sides of the ring that a ray to the east crosses, counted by built-in functions
-    def crossed(a: Column, b: Column) -> Column:
-        straddles = (a["y"] > F.col("lat")) != (b["y"] > F.col("lat"))
-        return straddles & (F.col("lon") < F.try_divide((b["x"] - a["x"]) * (F.col("lat") - a["y"]), b["y"] - a["y"]) + a["x"])
-
-    side = lambda k: F.when(crossed(F.element_at("ring", k), F.element_at("ring", F.when(k < F.size("ring"), k + 1).otherwise(1))), 1).otherwise(0)
-    n = F.aggregate(F.sequence(F.lit(1), F.size("ring")), F.lit(0), lambda total, k: total + side(k))
-    return near.where(n % 2 == 1).select(id, poly)
+    return inside(points, polygons, size, id, poly)
 
 
 def cells_in_polygons(cells: DataFrame, grid, polygons: DataFrame, poly: str = "poly_id") -> DataFrame:
@@ -192,12 +181,11 @@ def cells_in_polygons(cells: DataFrame, grid, polygons: DataFrame, poly: str = "
     return cells.join(rasterise(polygons, cells, grid, poly).select(ROW, COL).distinct(), [ROW, COL], "left_semi")
 
 
-def rasterise(polygons: DataFrame, cells: DataFrame, grid, poly: str = "poly_id") -> DataFrame:
-    """(poly, cell_row, cell_col): the cells of a raster whose centre lies in each polygon, such as a lake's shape."""
-    from thalweg.operators.grid import COL, ROW
+def rasterise(polygons: DataFrame, cells: DataFrame, grid, poly: str = "poly_id", touched: bool = False) -> DataFrame:
+    """(poly, cell_row, cell_col): the cells of a raster whose centre lies in each polygon, such as a lake's shape; or that it touches."""
+    from thalweg.operators.shapes import cells_in_spans, spans
 
-    centres = cells.select(F.struct(ROW, COL).alias("cell"), grid.lon(F.col(COL)).alias("lon"), grid.lat(F.col(ROW)).alias("lat"))
-    return points_in_polygons(centres, polygons, 1.0, "cell", poly).select(poly, F.col(f"cell.{ROW}").alias(ROW), F.col(f"cell.{COL}").alias(COL)).distinct()
+    return cells_in_spans(spans(polygons, grid, poly, touched), cells, poly)
 
 
 def cell_outlines(cells: DataFrame, grid, zone: str = "value") -> DataFrame:
@@ -214,59 +202,14 @@ def cell_outlines(cells: DataFrame, grid, zone: str = "value") -> DataFrame:
     return lone.select("zone", x("a").alias("x1"), y("a").alias("y1"), x("b").alias("x2"), y("b").alias("y2"))
 
 
-def outline_rings(outlines: DataFrame) -> DataFrame:
-    """(zone, ring): the closed rings of the outlines, outer ones and holes; a zone's outline is one task's work.
+def outline_rings(outlines: DataFrame, tile: float = 256.0) -> DataFrame:
+    """(zone, ring): the closed rings of the outlines, outer ones and holes, chained in tiles of ``tile`` units.
 
     Where rings touch in a corner they are kept apart by turning right.
     """
+    from thalweg.operators.shapes import chain_rings
 
-    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-
-        def close() -> list[list[tuple[float, float]]]:
-            after: dict[tuple[float, float], list[tuple[float, float]]] = {}
-            for a, b in held:
-                after.setdefault(a, []).append(b)
-            rings = []
-            while after:
-                start = min(after)
-                ring, at, came = [], start, None
-                while True:
-                    ends = after[at]
-                    if came is None or len(ends) == 1:
-                        to = ends.pop()
-                    else:
-                        dx, dy = at[0] - came[0], at[1] - came[1]
-                        to = max(ends, key=lambda e: dy * (e[0] - at[0]) - dx * (e[1] - at[1]))
-                        ends.remove(to)
-                    if not ends:
-                        del after[at]
-                    ring.append(at)
-                    came, at = at, to
-                    if at == start:
-                        break
-                rings.append(ring)
-            return rings
-
-        def batch_of(zone: object, rings: list) -> pa.RecordBatch:
-            return pa.record_batch([pa.array([zone] * len(rings), kind), pa.array([[{"x": x, "y": y} for x, y in r] for r in rings], pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))], names=["zone", "ring"])
-
-        kind = None
-        for batch in batches:
-            kind = batch.schema.field("zone").type
-            for zone, x1, y1, x2, y2 in zip(*(batch.column(c).to_pylist() for c in ("zone", "x1", "y1", "x2", "y2")), strict=True):
-                if zone != now and held:
-                    yield batch_of(now, close())
-                    held = []
-                now = zone
-                held.append(((x1, y1), (x2, y2)))
-        if held:
-            yield batch_of(now, close())
-
-    from pyspark.sql import types as T
-
-    xy = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
-    return outlines.repartition("zone").sortWithinPartitions("zone", "x1", "y1", "x2", "y2").mapInArrow(chain, T.StructType([outlines.schema["zone"], T.StructField("ring", xy)]))
+    return chain_rings(outlines, tile)
 
 
 def lines_in_polygons(lines: DataFrame, polygons: DataFrame, id: str = "subc_id", poly: str = "poly_id") -> DataFrame:
@@ -302,7 +245,8 @@ def lines_in_polygons(lines: DataFrame, polygons: DataFrame, id: str = "subc_id"
                 rows = batch.take(pa.array(at))
                 x1, y1, x2, y2 = (rows.column(c).to_numpy() for c in ("x1", "y1", "x2", "y2"))
                 a, e = np.array(t0), np.array(t1)
-                part = [sum(at[j] == at[k] for j in range(max(0, k - 64), k)) for k in range(len(at))]
+                n = np.unique(at, return_counts=True)[1]  # the parts of a piece stand together
+                part = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
                 yield pa.record_batch([rows.column("id"), rows.column(poly), rows.column("seq"), pa.array(part, pa.int32()), pa.array(x1 + a * (x2 - x1)), pa.array(y1 + a * (y2 - y1)), pa.array(x1 + e * (x2 - x1)), pa.array(y1 + e * (y2 - y1))], names=["id", poly, "seq", "part", "x1", "y1", "x2", "y2"])
 
     from pyspark.sql import types as T
