@@ -100,27 +100,26 @@ def o5_typed_sort(spark: SparkSession, sf: str) -> DataFrame:
 _SIZE = 1024
 
 
-def _written(spark: SparkSession, sf: str) -> str:
+def _written(spark: SparkSession, sf: str) -> DataFrame:
+    """The raster as images, rows of a dataset in the shared folder."""
     from thalweg.plans.scratch import scratch_path
-    from thalweg.sources.geotiff import write_raster
+    from thalweg.sources.geotiff import write_images
 
-    path = scratch_path(spark, "raster").removeprefix("file:")
-    write_raster(view(spark, sf, "cells"), path, G.Grid(dx=0.5, dy=0.01), "Float64", -9999.0, "low", _SIZE).write.format("noop").mode("overwrite").save()
-    return path
+    return write_images(view(spark, sf, "cells"), scratch_path(spark, "raster"), G.Grid(dx=0.5, dy=0.01), type="Float64", nodata=-9999.0, size=_SIZE)
 
 
 @query("SELECT cell_row, cell_col, CAST(value AS DOUBLE) AS value FROM cells WHERE value IS NOT NULL", "cells")
 def s6_raster_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     from thalweg.sources.geotiff import read_raster
 
-    return read_raster(spark, f"file:{_written(spark, sf)}", G.Grid(dx=0.5, dy=0.01), keep_no_data=False)
+    return read_raster(spark, _written(spark, sf), G.Grid(dx=0.5, dy=0.01), keep_no_data=False)
 
 
 @query(f"SELECT 'raster_r' || lpad(CAST(cell_row // {_SIZE} AS VARCHAR), 4, '0') || 'c' || lpad(CAST(cell_col // {_SIZE} AS VARCHAR), 4, '0') || '.tif' AS \"Raster\", -9999.0 AS \"NoData\" FROM cells WHERE value IS NOT NULL GROUP BY cell_row // {_SIZE}, cell_col // {_SIZE}", "cells")
 def k8_file_no_data(spark: SparkSession, sf: str) -> DataFrame:
     from thalweg.sources.geotiff import report_no_data
 
-    return report_no_data(spark, f"file:{_written(spark, sf)}")
+    return report_no_data(spark, _written(spark, sf))
 
 
 _TRIANGLE = ((-179.61, 89.93), (-176.07, 60.02), (-179.83, 40.31))
