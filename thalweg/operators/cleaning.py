@@ -44,6 +44,34 @@ def occurrence_metadata(df: DataFrame, year: str = "year", precision: str = "coo
     return df.where(F.col(year).isNotNull() & (F.col(precision).isNull() | (F.col(precision) < 0.01)) & (F.col(uncertainty).isNull() | ((F.col(uncertainty) <= 1000) & ~F.col(uncertainty).isin(*DEFAULT_UNCERTAINTY))))
 
 
+def away_from(points: DataFrame, places: DataFrame, metres: float, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """The points that no place (lon, lat) lies within ``metres`` of, such as centroids, capitals or institutions.
+
+    Places go to the buckets that their circle touches, points meet those of
+    their own bucket. Points without coordinates stay; repeated rows all stay or
+    go.
+    """
+    from thalweg.operators.geometry import haversine
+
+    size = max(metres / 100_000.0, 1e-4)  # degrees of latitude; a little more than the radius
+    rows, columns = lambda y: F.floor(y / size), lambda x: F.floor(x / size)
+    wide = size / F.greatest(F.lit(0.01), F.cos(F.radians(F.least(F.lit(90.0), F.abs("_y") + size))))
+    around = places.where(F.col("lon").isNotNull() & F.col("lat").isNotNull()).select(F.col("lon").cast("double").alias("_x"), F.col("lat").cast("double").alias("_y")).distinct()
+    dealt = around.withColumn("_i", F.explode(F.sequence(columns(F.col("_x") - wide), columns(F.col("_x") + wide)))).withColumn("_j", F.explode(F.sequence(rows(F.col("_y") - size), rows(F.col("_y") + size))))
+    at = points.where(F.col(lon).isNotNull() & F.col(lat).isNotNull()).select(F.col(lon).alias("_lon"), F.col(lat).alias("_lat")).distinct()
+    met = at.withColumn("_i", columns(F.col("_lon"))).withColumn("_j", rows(F.col("_lat"))).join(dealt, ["_i", "_j"]).where(haversine(F.col("_lon"), F.col("_lat"), F.col("_x"), F.col("_y")) <= metres)
+    near = met.select("_lon", "_lat").distinct()
+    return points.join(near, (F.col(lon) == F.col("_lon")) & (F.col(lat) == F.col("_lat")), "left_anti")
+
+
+def occurrence_places(df: DataFrame, places: DataFrame, metres: float = 10.0, keys: Sequence[str] = ("lon", "lat", "species", "dataset", "year"), species: str = "species", order: Sequence[str] = (), lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """Records with a species, away from the places, one for each combination of ``keys`` (the first by ``order``)."""
+    from thalweg.operators.tables import keep_first
+
+    named = away_from(df, places, metres, lon, lat).where(F.col(species).isNotNull() & (F.col(species) != ""))
+    return keep_first(named, list(keys), list(order or keys))
+
+
 def frequent(df: DataFrame, key: str, least: int) -> DataFrame:
     """Rows of groups with at least ``least`` rows."""
     return df.join(df.groupBy(key).count().where(F.col("count") >= least).select(key), key, "left_semi")

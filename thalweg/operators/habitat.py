@@ -194,16 +194,33 @@ def spanning_subnetwork(net: RiverNetwork, points: DataFrame, order: int = 3) ->
     return between.unionByName(near).unionByName(n).distinct()
 
 
+def _pair_sums(net: RiverNetwork, points: DataFrame) -> DataFrame:
+    """One row (n, total): the pairs of points of one basin and the sum of the ways between them.
+
+    A segment of weight w with k of its basin's K points at or above it lies on
+    the ways of k * (K - k) pairs, so no pair is made.
+    """
+    at = points.select("id").distinct().withColumn("one", F.lit(1).cast("long"))
+    above = accumulate(net, {"k": ("one", "sum")}, at).select("id", F.coalesce("k", F.lit(0)).alias("k"))
+    low = materialize(roots(net).select("id", "root"), "roots")
+    basins = low.join(at, "id").groupBy("root").agg(F.count("*").cast("double").alias("all"))
+    ways = above.join(low, "id").join(basins, "root").join(net.edges.select("id", "target", "weight"), "id").where("target >= 0 and id <> root")
+    total = ways.agg(F.sum(F.col("weight") * F.col("k") * (F.col("all") - F.col("k"))).alias("total"))
+    return basins.agg(F.coalesce(F.sum(F.col("all") * (F.col("all") - 1) / 2), F.lit(0.0)).cast("long").alias("n")).join(F.broadcast(total))  # one row each
+
+
 def pair_connectivity(net: RiverNetwork, points: DataFrame, dams: DataFrame) -> DataFrame:
-    """One row: pairs, connected before and after, lost in percent, mean distances; every edge at a dam is cut."""
-    before = pair_distances(net, points)
+    """One row: pairs, connected before and after, lost in percent, mean distances; every edge at a dam is cut.
+
+    All from counts at each segment; the pairs themselves are never made.
+    """
     hit = dams.select("id").distinct()
     cut = net.edges.select("id", "target", "weight").join(hit.select("id", F.lit(True).alias("own")), "id", "left").join(hit.select(F.col("id").alias("target"), F.lit(True).alias("below")), "target", "left")
     open_net = RiverNetwork.__new__(RiverNetwork)
-    open_net.edges = cut.select("id", F.when(F.coalesce("own", F.lit(False)) | F.coalesce("below", F.lit(False)), F.lit(-1)).otherwise(F.col("target")).alias("target"), "weight")
-    after = pair_distances(open_net, points).select("from", "to", F.col("distance").alias("after"))
-    both = before.join(after, ["from", "to"], "left")
-    return both.agg(F.count("*").alias("n_before"), F.count("after").alias("n_after"), F.round(F.avg("distance"), 2).alias("mean_before"), F.round(F.avg("after"), 2).alias("mean_after")).withColumn("lost_pct", F.round((F.col("n_before") - F.col("n_after")) / F.col("n_before") * 100, 2))
+    open_net.edges = materialize(cut.select("id", F.when(F.coalesce("own", F.lit(False)) | F.coalesce("below", F.lit(False)), F.lit(-1)).otherwise(F.col("target")).alias("target"), "weight"), "cut-edges")
+    names = lambda s: [F.col("n").alias(f"n_{s}"), F.round(F.try_divide("total", "n"), 2).alias(f"mean_{s}")]
+    both = _pair_sums(net, points).select(*names("before")).join(F.broadcast(_pair_sums(open_net, points).select(*names("after"))))  # one row each
+    return both.select("n_before", "n_after", "mean_before", "mean_after", F.round(F.try_divide((F.col("n_before") - F.col("n_after")) * 100, F.col("n_before")), 2).alias("lost_pct"))
 
 
 def walk_budget(net: RiverNetwork, starts: DataFrame, up_radius: float = 0.0, down_radius: float = 0.0) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from thalweg.operators import cleaning as CL
 from thalweg.operators import geometry as GEO
 from thalweg.operators import grid as G
 from thalweg.operators import habitat as H
 from thalweg.operators import network as N
+from thalweg.operators import projection as P
 from thalweg.operators import shapes as S
 from thalweg.plans.fixtures import sql, table, view
 
@@ -147,16 +149,63 @@ round(CASE WHEN hi < l1 THEN xa + hi / l1 * 0.3 ELSE xb + (hi - l1) / l2 * (xc -
 CASE WHEN lo < l1 AND l1 < hi THEN 3 ELSE 2 END AS n_points, round(fe - fs, 6) AS share FROM m"""
 
 
-@query(_CUT, "net", "dams")
-def g8_cut_buffers(spark: SparkSession, sf: str) -> DataFrame:
-    n = view(spark, sf, "net")
-    net = N.RiverNetwork(n)
-    # every segment is a line with one bend, from its own place to its target's
+def bent_lines(net: DataFrame) -> DataFrame:
+    """Every segment as a line with one bend, from its own place to its target's."""
     x, y = F.col("subc_id") % 40 + 0.0, F.floor(F.col("subc_id") / 40) + 0.0
     point = lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))
     to = F.when(F.col("target") < 0, point(F.lit(41), F.lit(0))).otherwise(point(F.col("target") % 40, F.floor(F.col("target") / 40)))
-    lines = n.select("subc_id", F.array(point(x, y), point(x + 0.3, y + 0.7), to).alias("geom"))
+    return net.select("subc_id", F.array(point(x, y), point(x + 0.3, y + 0.7), to).alias("geom"))
+
+
+@query(_CUT, "net", "dams")
+def g8_cut_buffers(spark: SparkSession, sf: str) -> DataFrame:
+    net, lines = N.RiverNetwork(view(spark, sf, "net")), bent_lines(view(spark, sf, "net"))
     starts = view(spark, sf, "dams").select(F.col("site_id").alias("start"), F.col("subc_id").alias("id"), ((F.col("site_id") % 5) / 5.0).alias("fraction"))
     cut = S.cut_lines(lines, H.walk_budget(net, starts, 5000.0, 7000.0), planar=True)
     end = lambda k, c: F.round(F.element_at("geom", k)[c], 6)
     return cut.select("start", F.col("id").alias("subc_id"), end(1, "x").alias("x1"), end(1, "y").alias("y1"), end(-1, "x").alias("x2"), end(-1, "y").alias("y2"), F.size("geom").alias("n_points"), F.round(F.col("fraction_end") - F.col("fraction_start"), 6).alias("share"))
+
+
+@query(
+    f"WITH {_SHAPED.split('g AS (')[0].rstrip().rstrip(',')}, w AS (SELECT poly_id, sum(x1 * y2 - x2 * y1) AS w, sum((x1 + x2) * (x1 * y2 - x2 * y1)) AS wx, sum((y1 + y2) * (x1 * y2 - x2 * y1)) AS wy FROM (SELECT poly_id, x1, y1, x2, y2 FROM e) GROUP BY 1)"
+    " SELECT poly_id, round(abs(w) / 2, 6) AS area, round(wx / (3 * w), 6) AS x, round(wy / (3 * w), 6) AS y FROM w"
+)
+def k21_shape_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    t = P.ring_measures(_shaped(spark, sf), "poly_id", planar=True)
+    return t.select("poly_id", *[F.round(c, 6).alias(c) for c in ("area", "x", "y")])
+
+
+@query(
+    "WITH l AS (SELECT subc_id, subc_id % 40 + 0.0 AS xa, subc_id // 40 + 0.0 AS ya, CASE WHEN target < 0 THEN 41.0 ELSE target % 40 END AS xc, CASE WHEN target < 0 THEN 0.0 ELSE target // 40 END AS yc FROM net), b AS (SELECT *, sqrt(0.58) AS l1, sqrt(pow(xc - xa - 0.3, 2) + pow(yc - ya - 0.7, 2)) AS l2 FROM l)"
+    " SELECT subc_id, round((l1 * (xa + 0.15) + l2 * (xa + 0.3 + xc) / 2) / (l1 + l2), 6) AS x, round((l1 * (ya + 0.35) + l2 * (ya + 0.7 + yc) / 2) / (l1 + l2), 6) AS y FROM b",
+    "net",
+)
+def k21_line_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    t = P.line_centroids(bent_lines(view(spark, sf, "net")), planar=True)
+    return t.select("subc_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+_KRUEGER = (
+    "WITH c AS (SELECT 0.0016792203863836474::DOUBLE AS n), k AS (SELECT n, 6378137.0 / (1 + n) * (1 + n * n / 4 + pow(n, 4) / 64) * 0.9996 AS r, n / 2 - 2 * n * n / 3 + 5 * pow(n, 3) / 16 AS a1, 13 * n * n / 48 - 3 * pow(n, 3) / 5 AS a2, 61 * pow(n, 3) / 240 AS a3, 2 * sqrt(n) / (1 + n) AS e FROM c),"
+    " p AS (SELECT *, CAST(floor((lon + 180) / 6) AS INT) + 1 AS zone FROM pts), s AS (SELECT p.*, k.*, radians(lon - (zone * 6 - 183)) AS d, sinh(atanh(sin(radians(lat))) - e * atanh(e * sin(radians(lat)))) AS t FROM p, k),"
+    " u AS (SELECT *, atan2(t, cos(d)) AS x, atanh(sin(d) / sqrt(1 + t * t)) AS y FROM s)"
+    " SELECT id, zone, round(500000 + r * (y + a1 * cos(2 * x) * sinh(2 * y) + a2 * cos(4 * x) * sinh(4 * y) + a3 * cos(6 * x) * sinh(6 * y)), 3) AS east, round(CASE WHEN lat < 0 THEN 10000000 ELSE 0 END + r * (x + a1 * sin(2 * x) * cosh(2 * y) + a2 * sin(4 * x) * cosh(4 * y) + a3 * sin(6 * x) * cosh(6 * y)), 3) AS north FROM u"
+)
+
+
+@query(_KRUEGER, "pts")
+def k21_projected_points(spark: SparkSession, sf: str) -> DataFrame:
+    p = view(spark, sf, "pts").withColumn("zone", P.zone_of(F.col("lon")))
+    east, north = P.to_utm(F.col("lon"), F.col("lat"), F.col("zone"), F.col("lat") < 0)
+    return p.select("id", "zone", F.round(east, 3).alias("east"), F.round(north, 3).alias("north"))
+
+
+@query(
+    "SELECT id, kind FROM (SELECT p.*, row_number() OVER (PARTITION BY round(lon, 1), kind ORDER BY id) AS n FROM pts p WHERE kind <> '' AND NOT EXISTS (SELECT 1 FROM sites s WHERE 2 * 6371008.8 * asin(least(1, sqrt(pow(sin(radians(s.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lon - p.lon) / 2), 2)))) <= 150000.0)) WHERE n = 1",
+    "pts",
+    "sites",
+)
+def b5_away_from_places(spark: SparkSession, sf: str) -> DataFrame:
+    # records of a kind, one for each tenth of a degree, none near a site
+    records = view(spark, sf, "pts").withColumn("tenth", F.round("lon", 1))
+    return CL.occurrence_places(records, view(spark, sf, "sites"), 150_000.0, ("tenth", "kind"), "kind", ("id",)).select("id", "kind")
