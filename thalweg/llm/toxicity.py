@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thalweg.llm.common import alnum_words, crc_mod, give_back, map_arrow, materialize, only, small_batches, text_rows
+from thalweg.llm.common import alnum_words, crc_mod, map_arrow, materialize, text_rows
+from thalweg.llm.vectors import float_sums
 
 
 def features_of(text: str) -> set[bytes]:
@@ -64,67 +65,103 @@ def by_length(names: list[bytes]) -> dict[int, dict[bytes, int]]:
 
 
 def _with_bias(x: np.ndarray) -> np.ndarray:
-    """Rows as 32-bit numbers (bytes as shares of 255) with a last column of ones."""
-    out = np.ones((len(x), x.shape[1] + 1), np.float32)
-    np.divide(x, np.float32(255 if x.dtype == np.uint8 else 1), out=out[:, :-1], casting="unsafe")
+    """Rows as doubles (bytes as shares of 255) with a last column of ones."""
+    out = np.ones((len(x), x.shape[1] + 1))
+    np.divide(x, 255 if x.dtype == np.uint8 else 1, out=out[:, :-1], casting="unsafe")
     return out
 
 
-class Learner:
-    """A linear classifier under the non-negative positive-unlabelled risk with a logistic loss (bias last).
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 0.5 * (1 + np.tanh(z / 2))
 
-    The risk is prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)]).
-    Where the bracket falls below ``-beta`` the step goes against its gradient,
-    which keeps the classifier from fitting the unlabelled positives away.
-    Unlabelled rows come in blocks; the steps are Adam's and go on from block to
-    block.
-    """
 
-    def __init__(self, positive: np.ndarray, prior: float, rate: float = 0.05, decay: float = 1e-4, beta: float = 0.0):
-        self.p, self.prior, self.rate, self.decay, self.beta = _with_bias(positive), prior, rate, decay, beta
-        self.w = np.zeros(self.p.shape[1], np.float32)
-        self.m, self.v, self.k = np.zeros_like(self.w), np.zeros_like(self.w), 0
-
-    def steps(self, unlabelled: np.ndarray, rounds: int) -> None:
-        p, u, prior = self.p, _with_bias(unlabelled), self.prior
-        sigma = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        loss = lambda z: np.logaddexp(0, -z)
-        for _ in range(rounds):
-            self.k += 1
-            gp, gu = p @ self.w, u @ self.w
-            negative = loss(-gu).mean() - prior * loss(-gp).mean()
-            grad_negative = u.T @ sigma(gu) / len(u) - prior * (p.T @ sigma(gp)) / len(p)
-            grad = grad_negative - prior * (p.T @ sigma(-gp)) / len(p) if negative >= -self.beta else -grad_negative
-            grad += self.decay * np.concatenate([self.w[:-1], [0]])
-            self.m, self.v = 0.9 * self.m + 0.1 * grad, 0.999 * self.v + 0.001 * grad**2
-            self.w -= (self.rate * (self.m / (1 - 0.9**self.k)) / (np.sqrt(self.v / (1 - 0.999**self.k)) + 1e-8)).astype(np.float32)
-
-
-def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 300, rate: float = 0.05, decay: float = 1e-4, beta: float = 0.0) -> np.ndarray:
-    """Weights (bias last) from one block of unlabelled rows."""
-    learner = Learner(positive, prior, rate, decay, beta)
-    learner.steps(unlabelled, rounds)
-    return learner.w
-
-
-def _vector(text: str, known: dict[int, dict[bytes, int]], n: int) -> bytes:
-    x = np.zeros(n, np.uint8)
-    for k, v in strengths(text, known).items():
-        x[k] = round(255 * v)
-    return x.tobytes()
-
-
-def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, pool: int = 20_000, size: int = 1024, rounds: int = 200, fold: int = 5, held: int = 0) -> tuple[dict[bytes, float], float]:
+def negative_sums(x: np.ndarray, n: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Of rows x that each stand for n: summed loss of the answer no, its gradient and the upper half of its second derivative."""
+    g = x @ w
+    p = _sigmoid(g)
+    second = (x.T * (n * p * (1 - p))) @ x
+    return np.concatenate([[n @ np.logaddexp(0, g)], x.T @ (n * p), second[np.triu_indices(len(w))]])
+
+
+def minimum(positive: np.ndarray, sums: Callable[[np.ndarray], np.ndarray], n: float, prior: float, decay: float, soft: float = 1e-2, most: int = 60) -> np.ndarray:
+    """Weights (bias last) at which the non-negative positive-unlabelled risk of a linear classifier is smallest.
+
+    With a logistic loss l the risk is A + max(0, N) for A = prior * E_p[l(g)]
+    and N = E_u[l(-g)] - prior * E_p[l(-g)]. Both A and A + N are convex in the
+    weights, so the greater of the two is; the corner is rounded (``soft``) by
+    log(exp(A) + exp(A + N)), convex as well, and with a quadratic penalty there
+    is one minimum, which Newton steps find. ``sums(w)`` gives ``negative_sums``
+    over all unlabelled rows, ``n`` of them.
+    """
+    p = _with_bias(positive)
+    w, size = np.zeros(p.shape[1]), p.shape[1]
+    penalty = np.full(size, decay)
+    penalty[-1] = 1e-3 * decay
+    upper = np.triu_indices(size)
+
+    def look(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        out = sums(w) / n
+        h = np.zeros((size, size))
+        h[upper] = out[size + 1 :]
+        h = h + np.triu(h, 1).T
+        g = p @ w
+        s = _sigmoid(g)
+        a, ga = prior * np.logaddexp(0, -g).mean(), -prior * (p.T @ (1 - s)) / len(p)
+        ha = prior * ((p.T * (s * (1 - s))) @ p) / len(p)
+        gap, gn, hn = out[0] - prior * np.logaddexp(0, g).mean(), out[1 : size + 1] - prior * (p.T @ s) / len(p), h - ha
+        share = float(_sigmoid(np.array(gap / soft)))
+        value = a + soft * np.logaddexp(0, gap / soft) + 0.5 * (penalty * w) @ w
+        return value, ga + share * gn + penalty * w, ha + share * hn + share * (1 - share) / soft * np.outer(gn, gn) + np.diag(penalty)
+
+    value, gradient, second = look(w)
+    for _ in range(most):
+        step = np.linalg.solve(second, gradient)
+        size_of = float(np.abs(step).max())
+        for _ in range(30):
+            then = look(w - step)
+            if then[0] <= value + 1e-12:
+                break
+            step = step / 2
+        w, (value, gradient, second) = w - step, then
+        if size_of < 1e-7:  # the next step would be its square
+            break
+    return w
+
+
+def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, decay: float = 1e-4) -> np.ndarray:
+    """Weights (bias last) from unlabelled rows at hand."""
+    u = _with_bias(unlabelled)
+    return minimum(positive, lambda w: negative_sums(u, np.ones(len(u)), w), len(u), prior, decay)
+
+
+#: A feature's place and its strength in 255ths.
+_PLACE = np.dtype([("at", "<u2"), ("v", "u1")])
+
+
+def _sparse(text: str, known: dict[int, dict[bytes, int]]) -> bytes:
+    found = [(k, round(255 * v)) for k, v in sorted(strengths(text, known).items())]
+    return np.array([f for f in found if f[1]], _PLACE).tobytes()
+
+
+def _dense(rows: list[bytes], size: int) -> np.ndarray:
+    x = np.zeros((len(rows), size), np.uint8)
+    found = np.frombuffer(b"".join(rows), _PLACE)
+    x[np.repeat(np.arange(len(rows)), [len(r) // _PLACE.itemsize for r in rows]), found["at"]] = found["v"]
+    return x
+
+
+def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, pool: int = 20_000, size: int = 512, fold: int = 5, held: int = 0) -> tuple[dict[bytes, float], float]:
     """A model {feature: weight}, bias from rows whose crc32(doc_id) mod ``fold`` is not ``held``.
 
     Confirmed toxic texts are a bounded sample: at most ``positives`` rows, by a
     hash of doc_id. The unlabelled texts are all rows outside the held-out
-    fold: their features are counted in one pass and the classifier is fitted
-    in another, in every partition on its own rows against the same positives,
-    and the partitions' weights are averaged by their rows. Features: those of
-    three toxic texts or more (the ``pool`` most frequent) that are more
-    frequent there than in the unlabelled texts, at most ``size``; equal ranks
-    go by their bytes.
+    fold: their features are counted in one pass, another finds their vectors,
+    of which equal ones are counted together, and each step of the fit sums over
+    all of those. So there is one model, and neither partitions nor their order
+    change it beyond rounding. Features: those of three toxic texts or more (the
+    ``pool`` most frequent) that are more frequent there than in the unlabelled
+    texts, at most ``size``; equal ranks go by their bytes. The penalty on the
+    weights narrows with the square of the sample (2.5 / n**2, 2e-6 at least).
     The class prior is the toxic share of all labelled rows outside the fold, or
     less if features frequent in toxic texts are rarer among the unlabelled than
     that. Without any toxic or any unlabelled row the model is a
@@ -171,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, pool: int =
         share_p, share_u = pooled[f] / n_p, u.get(at, 0) / n_u
         both = (pooled[f] + u.get(at, 0)) / (n_p + n_u)
         z = (share_p - share_u) / math.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u) + 1e-12)
-        if z > 3 and share_p >= lift * share_u:
+        if z > 3.7 and share_p >= lift * share_u:
             ranked.append((-z, f))
     names = [f for _, f in sorted(ranked)[:size]]
     if not names:
@@ -179,27 +216,16 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, pool: int =
     known = by_length(names)
 
     def vectors(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.record_batch([pa.array([_vector(t, known, len(names)) for t in batch.column("text").to_pylist()], pa.binary())], names=["x"])
-
-    got = map_arrow(sample.select("text"), vectors, "x binary").collect()  # ``size`` bytes for each of ``positives`` rows at most
-    matrix = lambda xs: np.frombuffer(b"".join(xs), np.uint8).reshape(-1, len(names))
-    toxic = spark.sparkContext.broadcast(sorted(bytes(r["x"]) for r in got))
-
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only()
-        learner, n = Learner(matrix(toxic.value), prior), 0
-        for batch in small_batches(batches):
-            x = matrix([_vector(t, known, len(names)) for t in batch.column("text").to_pylist()])
-            learner.steps(x, max(rounds // 5, rounds - learner.k))
-            n += len(x)
-        if n:
-            w = learner.w.astype(np.float64) * n
-            yield pa.record_batch([pa.array(np.arange(len(w)), pa.int64()), pa.array(w), pa.array(np.full(len(w), n), pa.int64())], names=["at", "w", "n"])
-        del learner
-        give_back()
-
-    mean = {r["at"]: round(r["w"], 6) for r in rows.select("text").mapInArrow(fit, "at long, w double, n long").groupBy("at").agg((F.sum("w") / F.sum("n")).alias("w")).collect()}  # ``size`` + 1 numbers
-    return {f: mean[k] for k, f in enumerate(names)}, mean[len(names)]
+        return pa.record_batch([pa.array([_sparse(t, known) for t in batch.column("text").to_pylist()], pa.binary())], names=["x"])
+
+    toxic = sorted(bytes(r["x"]) for r in map_arrow(sample.select("text"), vectors, "x binary").collect())  # three bytes a feature for each of ``positives`` rows
+    counted = materialize(map_arrow(rows.select("text"), vectors, "x binary").groupBy("x").agg(F.count("*").alias("n")), "vectors")
+
+    def look(batch: pa.RecordBatch, w: np.ndarray) -> np.ndarray:
+        return negative_sums(_with_bias(_dense(batch.column("x").to_pylist(), len(names))), batch.column("n").to_numpy().astype(float), w)
+
+    w = minimum(_dense(toxic, len(names)), lambda w: float_sums(counted, look, w), n_u, prior, max(2e-6, 2.5 / n_p**2))
+    return {f: float(w[k]) for k, f in enumerate(names)}, float(w[-1])
 
 
 def score_toxicity(docs: DataFrame, model: tuple[dict[bytes, float], float], keep: tuple[str, ...] = (), fold: int = 5, held: int = 0) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thalweg.llm.common import give_back, only, small_batches
+from thalweg.llm.common import give_back, only, partitions, small_batches
 
 #: Largest value of a long; larger exact results are given as this one.
 MOST = (1 << 63) - 1
@@ -66,3 +66,35 @@ def add_up(rows: DataFrame, look: Callable[[pa.RecordBatch], np.ndarray]) -> lis
 
     found = rows.mapInArrow(run, "at long, v decimal(38,0)").groupBy("at").agg(F.sum("v").alias("v")).collect()
     return [int(r["v"]) for r in sorted(found, key=lambda r: r["at"])]
+
+
+def float_sums(rows: DataFrame, look: Callable[..., np.ndarray], *shared, chunk: int = 4096) -> np.ndarray:
+    """Sums of the arrays ``look(batch, *shared)`` of bounded batches: summed in each partition, then chunk by chunk; empty without rows.
+
+    ``shared`` is broadcast. Doubles are added in no fixed order, so sums agree
+    between layouts to rounding.
+    """
+    held = rows.sparkSession.sparkContext.broadcast(shared)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
+        sums = None
+        for batch in small_batches(batches):
+            one = look(batch, *held.value)
+            sums = one if sums is None else sums + one
+        if sums is not None:
+            cuts = range(0, len(sums), chunk)
+            yield pa.record_batch([pa.array(list(cuts), pa.int64()), pa.array([sums[k : k + chunk].tobytes() for k in cuts], pa.binary())], names=["at", "v"])
+        give_back()
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, v in zip(batch.column("at").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                sums[at] = sums.get(at, 0.0) + np.frombuffer(v)
+        if sums:
+            yield pa.record_batch([pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["at", "v"])
+
+    schema = "at long, v binary"
+    found = rows.mapInArrow(part, schema).repartition(partitions(rows.sparkSession), "at").mapInArrow(unite, schema).collect()
+    return np.concatenate([np.zeros(0), *(np.frombuffer(r["v"]) for r in sorted(found, key=lambda r: r["at"]))])

@@ -14,7 +14,6 @@ one pass is exact up to rounding.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thalweg.llm.common import give_back, map_arrow, materialize, only, small_batches
-from thalweg.llm.vectors import MOST, add_up, clamp, largest, matrix, total, whole_rows
+from thalweg.llm.common import map_arrow, materialize
+from thalweg.llm.vectors import MOST, add_up, clamp, float_sums, largest, matrix, total, whole_rows
 
 
 @dataclass
@@ -48,30 +47,13 @@ class Whitening:
         return np.where(self.values > 0, self.components / np.sqrt(np.where(self.values > 0, self.values, 1)), 0.0)
 
 
-def _float_sums(rows: DataFrame, shared, look) -> np.ndarray:
-    """Sums of the arrays ``look(centred rows)`` over all rows x, merged by place."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only()
-        mean, *rest = shared.value
-        sums = None
-        for batch in small_batches(batches):
-            part = look(matrix(batch) - mean, *rest)
-            sums = part if sums is None else sums + part
-        if sums is not None:
-            yield pa.record_batch([pa.array(np.arange(len(sums)), pa.int64()), pa.array(sums, pa.float64())], names=["at", "v"])
-        give_back()
-
-    found = rows.mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
-    return np.array([r["v"] for r in sorted(found, key=lambda r: r["at"])])
-
-
-def _product(c: np.ndarray, q: np.ndarray) -> np.ndarray:
+def _product(batch: pa.RecordBatch, mean: np.ndarray, q: np.ndarray) -> np.ndarray:
+    c = matrix(batch) - mean
     return np.append((c.T @ (c @ q)).ravel(), (c * c).sum())
 
 
-def _outer(c: np.ndarray, p: np.ndarray) -> np.ndarray:
-    w = c @ p
+def _outer(batch: pa.RecordBatch, mean: np.ndarray, p: np.ndarray) -> np.ndarray:
+    w = (matrix(batch) - mean) @ p
     return np.concatenate([(w.T @ w).ravel(), w.sum(axis=0)])
 
 
@@ -98,7 +80,6 @@ def fit_whitening(rows: DataFrame, keep: int = 4, more: int = 8, passes: int = 8
     up. Sums of doubles are merged in no fixed order, so figures agree between
     layouts to rounding.
     """
-    spark = rows.sparkSession
     fit = materialize(rows.select("x").distinct(), "fit-list")
     sums = add_up(fit, lambda batch: np.append(total(x := matrix(batch), largest(x)), batch.num_rows))
     if not sums:
@@ -110,7 +91,7 @@ def fit_whitening(rows: DataFrame, keep: int = 4, more: int = 8, passes: int = 8
     q = np.linalg.qr(rng.standard_normal((size, min(size, keep + more))))[0]
     before, used = np.inf, 0
     while True:
-        out = _float_sums(fit, spark.sparkContext.broadcast((mean, q)), _product) / n
+        out = float_sums(fit, _product, mean, q) / n
         used += 1
         z, trace = out[:-1].reshape(size, -1), float(out[-1])
         values, vectors, left = _ritz(q, z, keep)
@@ -127,7 +108,7 @@ def fit_whitening(rows: DataFrame, keep: int = 4, more: int = 8, passes: int = 8
     values = np.where(values > 1e-13 * max(trace, 1e-300), values, 0.0)
     model = Whitening(n, sums, vectors, values, trace, 0.0, used, full)
     if (some := values > 0).any():
-        out = _float_sums(fit, spark.sparkContext.broadcast((mean, model.scaled()[:, some])), _outer) / n
+        out = float_sums(fit, _outer, mean, model.scaled()[:, some]) / n
         k = int(some.sum())
         at = out[k * k :]
         model.error = float(np.abs(out[: k * k].reshape(k, k) - np.outer(at, at) - np.eye(k)).max())
