@@ -28,20 +28,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity of 0.8) the document with the smallest id stays.
 
     Rows that repeat an id with other texts are documents of their own, told
-    apart by the text; of rows that repeat id and text one stays. Rows without
-    an id stay.
+    apart by a hash of id and text, which also decides between two of one id; of
+    rows that repeat id and text the one whose columns come first as text stays.
+    Rows without an id stay.
     """
     repeated = materialize(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"), "repeated-ids")
     if repeated.isEmpty():
         gone = near_duplicates(docs, width=5, share=80).where("not kept").select("doc_id")
         return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     kept = [F.col(c).alias(f"_{k}") for k, c in enumerate(docs.columns)]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*kept).alias("row"))
-    again = rows.join(repeated, F.col("doc_id") == F.col("_id"), "left").select(F.when(F.col("_id").isNotNull(), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id")).alias("doc_id"), "text", "row")
-    again = materialize(again, "named-rows")
-    gone = near_duplicates(again, width=5, share=80).where("not kept").select("doc_id").distinct()
-    rest = again.join(gone, "doc_id", "left_anti")
-    one = rest.where("doc_id is not null").groupBy("doc_id").agg(F.min("row").alias("row")).select("row").unionByName(rest.where("doc_id is null").select("row"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.struct(*kept).alias("row"))
+    name = F.when(F.col("_id").isNotNull(), F.xxhash64("id", "text")).otherwise(F.col("id")).alias("doc_id")
+    named = materialize(rows.join(repeated, F.col("id") == F.col("_id"), "left").select(name, "id", "text", "row"), "named-rows")
+    groups = near_duplicates(named, width=5, share=80).where("doc_id is not null").select("doc_id", "component_id").distinct()
+    first = named.select("doc_id", "id").distinct().join(groups, "doc_id").groupBy("component_id").agg(F.min(F.struct("id", "doc_id"))["doc_id"].alias("doc_id"))
+    one = named.join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("row", F.col("row").cast("string")).alias("row")).select("row")
+    one = one.unionByName(named.where("doc_id is null").select("row"))
     return one.select(*[F.col(f"row._{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
