@@ -13,6 +13,7 @@ from thalweg.operators import network as N
 from thalweg.operators import projection as P
 from thalweg.operators import shapes as S
 from thalweg.plans.fixtures import sql, table, view
+from thalweg.plans.more_queries import SQL as MORE_SQL
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -209,3 +210,26 @@ def b5_away_from_places(spark: SparkSession, sf: str) -> DataFrame:
     # records of a kind, one for each tenth of a degree, none near a site
     records = view(spark, sf, "pts").withColumn("tenth", F.round("lon", 1))
     return CL.occurrence_places(records, view(spark, sf, "sites"), 150_000.0, ("tenth", "kind"), "kind", ("id",)).select("id", "kind")
+
+
+SQL["k11_snap_with_accumulation"] = MORE_SQL["k11_snap_to_cells"].replace("zone FROM cells)", "zone FROM cells WHERE value >= 30)")
+
+
+@query()
+def k11_snap_with_accumulation(spark: SparkSession, sf: str) -> DataFrame:
+    # the quantities stand for accumulated flow; cells without one do not count
+    cells = view(spark, sf, "cells").withColumn("cell_col", F.col("cell_col") * 13)
+    streams = cells.select("cell_row", "cell_col", F.col("zone").alias("value"))
+    return GEO.snap_to_cells(view(spark, sf, "pts"), streams, G.Grid(dx=0.5, dy=0.5), 10, cells, 30).select("id", "subc_id")
+
+
+@query()
+def m7_maximum_entropy(spark: SparkSession, sf: str) -> DataFrame:
+    """Suitability of every sub-catchment for one species, its own presences against all; a fit in rounds has no SQL."""
+    from thalweg.operators.maxent import fit_maxent, predict_maxent
+
+    variables = view(spark, sf, "attrs")
+    at = view(spark, sf, "occ").where("species = '2-HIGH'").select("subc_id").distinct()
+    rows = variables.join(at, "subc_id", "left_semi").withColumn("observed", F.lit(1)).unionByName(variables.withColumn("observed", F.lit(0)))
+    model = fit_maxent(rows, "observed", ["price_mean", "price_min", "price_max", "n_orders"])
+    return predict_maxent(variables, model).select("subc_id", F.round("suitability", 6).alias("suitability"))
