@@ -181,3 +181,37 @@ def test_parts_of_lines(spark):
     long = lambda p: sum(math.dist(a, b) for a, b in zip(p, p[1:], strict=False))
     for (a, b), p in got.items():
         assert long(p) == pytest.approx((b - a) * 12)
+
+
+def clipped(line, box):
+    """Piece by piece."""
+    xmin, ymin, xmax, ymax = box
+    parts = []
+    for k, ((x1, y1), (x2, y2)) in enumerate(zip(line, line[1:], strict=False)):
+        lo, hi, dx, dy, out = 0.0, 1.0, x2 - x1, y2 - y1, False
+        for p, q in ((-dx, x1 - xmin), (dx, xmax - x1), (-dy, y1 - ymin), (dy, ymax - y1)):
+            if p == 0:
+                out |= q < 0
+            elif p < 0:
+                lo = max(lo, q / p)
+            else:
+                hi = min(hi, q / p)
+        if out or lo > hi:
+            continue
+        a = (x1 + lo * dx, y1 + lo * dy)
+        b = (x2, y2) if hi == 1 else (x1 + hi * dx, y1 + hi * dy)
+        if parts and parts[-1][0] == k - 1 and parts[-1][1][-1] == a:
+            parts[-1] = (k, [*parts[-1][1], b])
+        else:
+            parts.append((k, [a, b]))
+    return [p for _, p in parts]
+
+
+def test_lines_in_a_box_against_piece_by_piece(spark):
+    rng = random.Random(12)
+    lines = [(k, [(rng.choice([rng.uniform(-2, 12), float(rng.randint(-2, 12))]), rng.choice([rng.uniform(-2, 12), float(rng.randint(-2, 12))])) for _ in range(rng.randint(1, 12))]) for k in range(150)]
+    lines += [(900, []), (901, [(5.0, 5.0)]), (902, [(0.0, 0.0), (10.0, 10.0), (0.0, 0.0)])]
+    box = (0.0, 1.0, 10.0, 9.0)
+    got = GEO.clip_vectors(spark.createDataFrame(lines, f"subc_id int, geom {RING}").repartition(3), box).collect()
+    rounded = lambda p: tuple((round(x, 9), round(y, 9)) for x, y in p)
+    assert Counter((r["subc_id"], rounded(points(r["geom"]))) for r in got) == Counter((k, rounded(p)) for k, line in lines for p in clipped(line, box))

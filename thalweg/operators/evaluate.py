@@ -58,7 +58,9 @@ def folds(df: DataFrame, id: str, observed: str = "observed", holdout: float = 0
     """A fold column: below ``few`` presences each presence is a fold of its own (jackknife), else a hashed hold-out is fold 1."""
     n = df.agg(F.count_if(F.col(observed) == 1)).first()[0]
     if n < few:
-        return df.withColumn("fold", F.when(F.col(observed) == 1, F.row_number().over(W.partitionBy(observed).orderBy(id))).otherwise(0))
+        here = F.coalesce(F.col(observed) == 1, F.lit(False))
+        own = df.where(here).withColumn("fold", F.row_number().over(W.orderBy(id)))  # fewer than ``few`` rows
+        return own.unionByName(df.where(~here).withColumn("fold", F.lit(0)))
     return df.withColumn("fold", (F.pmod(F.xxhash64(F.lit(seed), F.col(id)), F.lit(10_000)) < int(holdout * 10_000)).cast("int"))
 
 
@@ -201,7 +203,10 @@ def t_quantile(p: float, df: float) -> float:
 
 def welch_test(df: DataFrame, group: str, value: str) -> DataFrame:
     """``welch`` with its two-sided p; one row, so the distribution is worked out on the driver."""
-    rows = [(r["a"], r["b"], r["t"], r["df"], t_two_sided(r["t"], r["df"])) for r in welch(df, group, value).collect()]  # two groups: one row
+    found = welch(df, group, value).limit(2).collect()
+    if len(found) > 1:
+        raise ValueError(f"{group} has more than two groups")
+    rows = [(r["a"], r["b"], r["t"], r["df"], t_two_sided(r["t"], r["df"])) for r in found]
     kind = df.schema[group].dataType.simpleString()
     return df.sparkSession.createDataFrame(rows, f"a {kind}, b {kind}, t double, df double, p double")
 

@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -255,28 +256,43 @@ def lines_in_polygons(lines: DataFrame, polygons: DataFrame, id: str = "subc_id"
     return met.mapInArrow(cut, T.StructType([met.schema["id"], met.schema[poly], met.schema["seq"], T.StructField("part", T.IntegerType()), *ends]))
 
 
-def clip_line(line: list[tuple[float, float]], box: tuple[float, float, float, float]) -> list[list[tuple[float, float]]]:
-    """The parts of a line inside the box, cut at its sides (Liang-Barsky on each piece)."""
+def clip_lines(ends: np.ndarray, x: np.ndarray, y: np.ndarray, box: tuple[float, float, float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The parts inside a box of lines that end before ``ends`` in the points (x, y): (line, first point of each part, xs, ys).
+
+    Every straight piece is cut at the box's sides at once (Liang-Barsky);
+    pieces that go on where the one before ended are one part.
+    """
+    line = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    k = np.flatnonzero(line[1:] == line[:-1])
+    x1, y1, x2, y2 = x[k], y[k], x[k + 1], y[k + 1]
+    low, high, out = np.zeros(len(k)), np.ones(len(k)), np.zeros(len(k), bool)
     xmin, ymin, xmax, ymax = box
-    parts: list[list[tuple[float, float]]] = []
-    for (x1, y1), (x2, y2) in zip(line, line[1:], strict=False):
-        lo, hi, dx, dy = 0.0, 1.0, x2 - x1, y2 - y1
-        out = False
-        for p, q in ((-dx, x1 - xmin), (dx, xmax - x1), (-dy, y1 - ymin), (dy, ymax - y1)):
-            if p == 0:
-                out |= q < 0
-            elif p < 0:
-                lo = max(lo, q / p)
-            else:
-                hi = min(hi, q / p)
-        if out or lo > hi:
-            continue
-        a, b = (x1 + lo * dx, y1 + lo * dy), (x1 + hi * dx, y1 + hi * dy)
-        if parts and parts[-1][-1] == a:
-            parts[-1].append(b)
-        else:
-            parts.append([a, b])
-    return parts
+    for p, q in ((x1 - x2, x1 - xmin), (x2 - x1, xmax - x1), (y1 - y2, y1 - ymin), (y2 - y1, ymax - y1)):
+        out |= (p == 0) & (q < 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = q / p
+        low, high = np.where(p < 0, np.maximum(low, t), low), np.where(p > 0, np.minimum(high, t), high)
+    kept = ~out & (low <= high)
+    k, low, high, x1, y1, x2, y2 = (v[kept] for v in (k, low, high, x1, y1, x2, y2))
+    xa, ya = x1 + low * (x2 - x1), y1 + low * (y2 - y1)
+    xb, yb = np.where(high == 1, x2, x1 + high * (x2 - x1)), np.where(high == 1, y2, y1 + high * (y2 - y1))
+    goes_on = np.zeros(len(k), bool)
+    goes_on[1:] = (k[1:] == k[:-1] + 1) & (line[k[1:]] == line[k[:-1]]) & (xb[:-1] == xa[1:]) & (yb[:-1] == ya[1:])
+    first = np.flatnonzero(~goes_on)
+    part = np.cumsum(~goes_on)  # from 1: points of earlier parts are one more than their pieces
+    xs, ys = np.zeros(len(k) + len(first)), np.zeros(len(k) + len(first))
+    at = np.arange(len(k)) + part
+    xs[at], ys[at] = xb, yb
+    xs[first + np.arange(len(first))], ys[first + np.arange(len(first))] = xa[first], ya[first]
+    return line[k[first]], first + np.arange(len(first)), xs, ys
+
+
+def clip_line(line: list[tuple[float, float]], box: tuple[float, float, float, float]) -> list[list[tuple[float, float]]]:
+    """The parts of one line inside the box."""
+    at = np.array(line, float).reshape(-1, 2)
+    _, first, xs, ys = clip_lines(np.array([0, len(at)]), at[:, 0], at[:, 1], box)
+    cut = [*first.tolist(), len(xs)]
+    return [list(zip(xs[a:b].tolist(), ys[a:b].tolist(), strict=True)) for a, b in zip(cut, cut[1:], strict=False)]
 
 
 def clip_polygon(ring: list[tuple[float, float]], box: tuple[float, float, float, float]) -> list[tuple[float, float]]:
@@ -310,10 +326,19 @@ def clip_vectors(shapes: DataFrame, box: tuple[float, float, float, float], kind
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if kind == "line":
+                lines = batch.column(geom)
+                points = lines.flatten()
+                x, y = (points.field(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("x", "y"))
+                own, first, xs, ys = clip_lines(np.concatenate([[0], np.cumsum(pa.compute.list_value_length(lines).to_numpy(zero_copy_only=False))]), x, y, box)
+                parts = pa.ListArray.from_arrays(pa.array(np.append(first, len(xs)), pa.int32()), pa.StructArray.from_arrays([pa.array(xs), pa.array(ys)], names=["x", "y"]))
+                if len(own):
+                    yield pa.record_batch([*(batch.column(c).take(pa.array(own)) for c in rest), parts], names=[*rest, geom])
+                continue
             rows = []
             for row in batch.to_pylist():
                 line = [(p["x"], p["y"]) for p in row[geom]]
-                found = clip_line(line, box) if kind == "line" else [r] if (r := clip_polygon(line, box)) else []
+                found = [r] if (r := clip_polygon(line, box)) else []
                 rows += [{**{c: row[c] for c in rest}, geom: [{"x": x, "y": y} for x, y in part]} for part in found]
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([*[batch.schema.field(c) for c in rest], pa.field(geom, pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))]))
