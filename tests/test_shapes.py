@@ -215,3 +215,16 @@ def test_lines_in_a_box_against_piece_by_piece(spark):
     got = GEO.clip_vectors(spark.createDataFrame(lines, f"subc_id int, geom {RING}").repartition(3), box).collect()
     rounded = lambda p: tuple((round(x, 9), round(y, 9)) for x, y in p)
     assert Counter((r["subc_id"], rounded(points(r["geom"]))) for r in got) == Counter((k, rounded(p)) for k, line in lines for p in clipped(line, box))
+
+
+def test_lakes_of_points_and_boxes(spark, star):
+    square = [(20.0, 20.0), (30.0, 20.0), (30.0, 30.0), (20.0, 30.0)]
+    lakes = spark.createDataFrame([(1, star[0]), (1, star[1]), (2, square), (3, None), (None, square)], f"lake_id int, ring {RING}")
+    at = lambda *rows: spark.createDataFrame(rows, "lon double, lat double")
+    ids = lambda df: sorted(r["lake_id"] for r in df.collect())
+    assert ids(S.lake_ids(lakes, at((25.0, 25.0), (25.0, 25.0), (10.0, 10.0), (None, 1.0)))) == [2]  # the other lies in the hole
+    assert ids(S.lake_ids(lakes, at((25.0, 25.0)), (24.0, 24.0, 26.0, 26.0))) == [2]  # inside altogether
+    assert ids(S.lake_ids(lakes, at((25.0, 25.0)), (9.9, 9.9, 10.1, 10.1))) == []  # inside the hole
+    assert ids(S.lake_ids(lakes, at((0.0, 0.0), (40.0, 40.0)), True)) == [1, 2] and ids(S.lake_ids(lakes, at((30.0, 30.0)), True)) == [2]
+    assert ids(S.lake_ids(lakes, at((30.5, 25.0), (40.0, 26.0)), True)) == [] and ids(S.lake_ids(lakes, at((29.5, 25.0), (40.0, 26.0)), True)) == [2]
+    assert ids(S.lake_ids(lakes, at((1.0, 1.0)).limit(0), True)) == []

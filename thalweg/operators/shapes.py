@@ -245,6 +245,39 @@ def inside(points: DataFrame, polygons: DataFrame, size: float = 1.0, id: str =
     return met.groupBy("_id", poly, "lon", "lat").agg(F.count("*").alias("_n")).where("_n % 2 = 1").select(F.col("_id").alias(id), poly)
 
 
+def met_by_box(polygons: DataFrame, box: tuple[float, float, float, float], poly: str = "poly_id") -> DataFrame:
+    """(poly): the polygons that a box (xmin, ymin, xmax, ymax) meets, its sides included.
+
+    A side runs through the box, or the box lies inside altogether, which its
+    first corner tells (even-odd rule). One pass over the sides.
+    """
+    xmin, ymin, xmax, ymax = map(float, box)
+    s = sides_of(polygons.where(F.col(poly).isNotNull() & F.col("ring").isNotNull()), poly)
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    low, high, out = [F.lit(0.0)], [F.lit(1.0)], F.lit(False)
+    for p, q in ((-dx, F.col("x1") - xmin), (dx, xmax - F.col("x1")), (-dy, F.col("y1") - ymin), (dy, ymax - F.col("y1"))):
+        out = out | ((p == 0) & (q < 0))
+        low.append(F.when(p < 0, F.try_divide(q, p)))
+        high.append(F.when(p > 0, F.try_divide(q, p)))
+    through = ~out & (F.greatest(*low) <= F.least(*high))  # nulls do not count in either
+    crossed = ((F.col("y1") > ymin) != (F.col("y2") > ymin)) & (xmin < F.try_divide(dx * (ymin - F.col("y1")), dy) + F.col("x1"))
+    met = s.groupBy(poly).agg(F.bool_or(through).alias("_t"), F.count_if(crossed).alias("_n"))
+    return met.where("_t or _n % 2 = 1").select(poly)
+
+
+def lake_ids(lakes: DataFrame, points: DataFrame, box: tuple[float, float, float, float] | bool = False, id: str = "lake_id", lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """Ids of the lakes (id, ring) that hold a point, or, with ``box``, of those that it meets; True is the points' own extent."""
+    if box is False:
+        at = points.select(F.col(lon).alias("lon"), F.col(lat).alias("lat")).distinct().withColumn("_at", F.struct("lon", "lat"))
+        return inside(at, lakes, id="_at", poly=id).select(id).distinct()
+    if box is True:
+        r = points.agg(*[f(c).cast("double") for f, c in ((F.min, lon), (F.min, lat), (F.max, lon), (F.max, lat))]).first()
+        if r[0] is None or r[1] is None:
+            return lakes.select(id).limit(0)
+        box = tuple(r)
+    return met_by_box(lakes, box, id)
+
+
 # --- buffers of cells ----------------------------------------------------------------
 
 

@@ -124,6 +124,30 @@ def j18_points_in_shapes(spark: SparkSession, sf: str) -> DataFrame:
     return GEO.points_in_polygons(points, _shaped(spark, sf), 4.0)
 
 
+_EDGES = _SHAPED.split("g AS (")[0].rstrip().rstrip(",")
+_BOX = (11.3, 9.7, 12.9, 14.2)
+_CORNERS = [(_BOX[0], _BOX[1]), (_BOX[2], _BOX[1]), (_BOX[2], _BOX[3]), (_BOX[0], _BOX[3])]
+_BORDER = ", ".join(f"({a[0]}, {a[1]}, {b[0]}, {b[1]})" for a, b in zip(_CORNERS, [*_CORNERS[1:], _CORNERS[0]], strict=True))
+
+
+@query(
+    f"WITH {_EDGES}, o AS (SELECT (c_custkey * 37 % 4000) / 100.0 AS lon, (c_custkey * 53 % 3000) / 100.0 AS lat FROM customer), m AS (SELECT lon, lat, poly_id FROM o, e WHERE (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY lon, lat, poly_id HAVING count(*) % 2 = 1) SELECT DISTINCT poly_id AS lake_id FROM m"
+)
+def k15_lakes_of_points(spark: SparkSession, sf: str) -> DataFrame:
+    points = table(spark, sf, "customer").select(((F.col("c_custkey") * 37 % 4000) / 100.0).alias("lon"), ((F.col("c_custkey") * 53 % 3000) / 100.0).alias("lat"))
+    return S.lake_ids(_shaped(spark, sf).withColumnRenamed("poly_id", "lake_id"), points)
+
+
+@query(
+    f"WITH {_EDGES}, b AS (SELECT * FROM (VALUES {_BORDER}) v(bx1, by1, bx2, by2)), t AS (SELECT poly_id, (bx2 - bx1) * (y1 - by1) - (by2 - by1) * (x1 - bx1) AS o1, (bx2 - bx1) * (y2 - by1) - (by2 - by1) * (x2 - bx1) AS o2, (x2 - x1) * (by1 - y1) - (y2 - y1) * (bx1 - x1) AS o3, (x2 - x1) * (by2 - y1) - (y2 - y1) * (bx2 - x1) AS o4 FROM e, b)"
+    f" SELECT DISTINCT poly_id AS lake_id FROM t WHERE o1 * o2 < 0 AND o3 * o4 < 0 UNION SELECT poly_id FROM e WHERE x1 BETWEEN {_BOX[0]} AND {_BOX[2]} AND y1 BETWEEN {_BOX[1]} AND {_BOX[3]}"
+    f" UNION SELECT poly_id FROM e WHERE (y1 > {_BOX[1]}) <> (y2 > {_BOX[1]}) AND {_BOX[0]} < (x2 - x1) * ({_BOX[1]} - y1) / (y2 - y1) + x1 GROUP BY poly_id HAVING count(*) % 2 = 1"
+)
+def k15_lakes_met_by_box(spark: SparkSession, sf: str) -> DataFrame:
+    lakes = _shaped(spark, sf).withColumnRenamed("poly_id", "lake_id")
+    return S.lake_ids(lakes, lakes.limit(0), _BOX)
+
+
 @query(
     "WITH l AS (SELECT DISTINCT zone AS lake_id, cell_row, cell_col, 1.5 + zone % 3 AS r FROM cells), o AS (SELECT a.i, b.i AS j FROM range(-3, 4) a(i), range(-3, 4) b(i))"
     " SELECT lake_id, CAST(cell_row + i AS BIGINT) AS cell_row, CAST(cell_col + j AS BIGINT) AS cell_col, CAST(min(i * i + j * j) AS BIGINT) AS d2 FROM l JOIN o ON i * i + j * j <= r * r GROUP BY 1, 2, 3",
