@@ -85,6 +85,23 @@ def test_the_search_against_counting():
                 assert dict(zip(found.tolist(), counts.tolist(), strict=True)) == want
 
 
+def test_marks_bound_the_overlap():
+    rng = np.random.default_rng(7)
+    far = 0
+    for n, m in ((1, 1), (5, 6), (8, 9), (33, 31), (300, 330), (510, 515), (4000, 4200)):
+        for share in (60, 85, 100):
+            common = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            for kept in (n, int(0.97 * n), int(0.8 * n), n // 2, 0):
+                other = np.unique(np.concatenate([common[:kept], rng.integers(0, 2**64, max(1, m - kept), dtype=np.uint64)]))
+                linked = 100 * len(np.intersect1d(common, other)) >= share * len(np.union1d(common, other))
+                found = bool(N.bound_kernel(share)([[1, 2], [0, 0], [1, 2], [len(common), len(other)], [N.marks(x).tobytes() for x in (common, other)]]))
+                assert found or not linked
+                far += n > 200 and kept <= n // 2 and found and share > 80
+    assert far == 0  # and pairs far from the threshold are not candidates
+    hot = np.arange(400, dtype=np.uint64)  # all in one range
+    assert N.bound_kernel(90)([[1, 2], [0, 0], [1, 2], [400, 390], [N.marks(x).tobytes() for x in (hot, hot[:390])]]) == [(0, 1)]
+
+
 def test_linked_sets_share_enough_of_what_they_post():
     rng = random.Random(6)
     for share in (80, 85, 100):

@@ -123,14 +123,6 @@ def _pair_of(own: Column, other: Column) -> Column:
 Kernel = Callable[[list[list]], list[tuple[int, int]]]
 
 
-def _values(column: pa.Array) -> list:
-    """A column's values; lists of numbers as arrays."""
-    if not pa.types.is_list(column.type):
-        return column.to_pylist()
-    ends, flat = column.offsets.to_numpy(), column.values.to_numpy()
-    return [flat[a:b].copy() for a, b in zip(ends, ends[1:], strict=False)]
-
-
 def _run_groups(met: DataFrame, payload: list[str], kernel: Kernel) -> DataFrame:
     """Links (a, b) that ``kernel`` finds inside each group: ``met`` has _key, _pair, node, _side, _comp and the payload.
 
@@ -151,7 +143,7 @@ def _run_groups(met: DataFrame, payload: list[str], kernel: Kernel) -> DataFrame
 
         only()
         for batch in small_batches(batches, 1 << 20):
-            columns = [_values(batch.column(c)) for c in ("_key", "_pair", "node", "_side", "_comp", *payload)]
+            columns = [batch.column(c).to_pylist() for c in ("_key", "_pair", "node", "_side", "_comp", *payload)]
             for k, p, *row in zip(*columns, strict=True):
                 if (k, p) != mark:
                     if (out := flush()) is not None:
@@ -281,12 +273,40 @@ def labelled(named: DataFrame, found: DataFrame) -> DataFrame:
     return named.join(found, "node", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def connected(docs: DataFrame, width: int, listed: DataFrame, signed: DataFrame, signs: Kernel, confirm: Kernel, known: DataFrame, block: int) -> DataFrame:
+def likely(rows: DataFrame, nodes: DataFrame, most_bits: int = 1 << 28) -> DataFrame:
+    """The ``rows`` whose doc_id may be among ``nodes``: all that are, and few others.
+
+    A bit map of about eight bits a node, at most 32 MB, is broadcast in pieces
+    of 4 KB, so that rows that no node needs are not shuffled. Beyond some
+    hundred million nodes it lets more and more rows through, none too few.
+    """
+    bits = min(most_bits, max(1 << 15, 1 << (8 * nodes.count()).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(bits)) + 1
+    maps = nodes.select(place(F.col("node")).alias("v")).groupBy(F.bitmap_bucket_number("v").alias("_at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("_bits"))
+    at = F.bitmap_bit_position(place(F.col("doc_id")))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = rows.withColumn("_at", F.bitmap_bucket_number(place(F.col("doc_id")))).join(F.broadcast(maps), "_at")  # at most ``most_bits``
+    return met.where((F.floor(byte / F.pow(F.lit(2), F.pmod(at, F.lit(8)))) % 2 == 1)).select(*rows.columns)
+
+
+def full_sets(docs: DataFrame, width: int, nodes: DataFrame) -> DataFrame:
+    """(node, hashes): the shingles of the texts of ``nodes``, 8 bytes each."""
+
+    def look(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [shingles(t, width) for t in batch.column("text").to_pylist()]
+        return pa.record_batch([batch.column("node"), pa.array([x.tobytes() for x in found], pa.binary())], names=["node", "hashes"])
+
+    nodes = nodes.select("node")
+    texts = likely(text_rows(docs), nodes).join(nodes.withColumnRenamed("node", "doc_id"), "doc_id").withColumnRenamed("doc_id", "node")
+    return materialize(map_arrow(texts, look, "node long, hashes binary", cache="words").where("length(hashes) > 0"), "sets")
+
+
+def connected(listed: DataFrame, signed: DataFrame, signs: Kernel, sets_of: Callable[[DataFrame], DataFrame], confirm: Kernel, known: DataFrame, block: int) -> DataFrame:
     """Components (node, component) of the links between nodes that meet under a key, and of the ``known`` ones.
 
     ``listed`` has the keys of each node, ``signed`` what the kernel ``signs``
     compares to find candidates (steps 3 to 5 of the module); ``confirm`` judges
-    candidates on their full sets.
+    candidates on their full sets, which ``sets_of`` gives.
     """
     payload = [c for c in signed.columns if c != "node"]
     prefix = materialize(listed.join(signed, "node").select("node", F.explode("keys").alias("key"), *payload), "prefix")
@@ -294,14 +314,6 @@ def connected(docs: DataFrame, width: int, listed: DataFrame, signed: DataFrame,
     edges = materialize(near_at_hand(prefix, "key", payload, block, signs), "candidate-links")
     candidates = materialize(components(edges), "candidates")
 
-    def look(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [shingles(t, width) for t in batch.column("text").to_pylist()]
-        return pa.record_batch([batch.column("node"), pa.array([x.tobytes() for x in found], pa.binary())], names=["node", "hashes"])
-
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        texts = text_rows(docs).join(nodes.select(F.col("node").alias("doc_id")), "doc_id").withColumnRenamed("doc_id", "node")
-        return materialize(map_arrow(texts, look, "node long, hashes binary", cache="words").where("length(hashes) > 0"), "sets")
-
     sets = sets_of(candidates)
     grouped = sets.join(candidates, "node")
     links = materialize(near_at_hand(grouped, "component", ["hashes"], few, confirm), "links").unionByName(known)
@@ -352,5 +364,5 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, block: int
     listed = materialize(kept.select("node", F.transform(F.slice("lists", F.lit(1), F.size("lists") - (match_posted - 1)), lambda x: x["key"]).alias("keys")), "lists")
     signs, confirm = candidate_kernel(match_all), confirm_kernel(share)
     named = sketch.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set")).alias("set")).join(classes.select("set", "node"), "set", "left")
-    found = connected(docs, width, listed, classes.select("node", "sign"), signs, confirm, same_ids(named), block)
+    found = connected(listed, classes.select("node", "sign"), signs, lambda nodes: full_sets(docs, width, nodes), confirm, same_ids(named), block)
     return labelled(named, found)

@@ -11,21 +11,22 @@ partner.
    one's posted hashes. A class needs that many lists with others in them and
    skips its longest lists, one fewer than it needs: two linked classes still
    meet in one of the rest. Lists with the same members are one list.
-2. The members of a list are searched in blocks of bounded size (``minhash``'s
+2. The members of a list meet in blocks of bounded size (``minhash``'s
    near-at-hand blocks, then across components, so that copies grow together at
-   a cost in proportion to their number and nothing is left out): first on their
-   posted hashes, then, inside the groups that this gives, on the full sets.
-3. A search in a block is DivideSkip: of the inverted lists of a set the longest
-   ones are put aside, the short ones are merged on a heap, and members that
-   occur often enough to reach the overlap are looked up in the long lists by
-   binary search.
+   a cost in proportion to their number and nothing is left out). There they
+   show which of some 3 n ranges of hashes they have any in; a range that only
+   one of two sets is in holds something that the other lacks, which bounds what
+   they can have in common, and pairs whose bound reaches T are candidates.
+3. Groups of candidates are searched on their full sets, in blocks of the same
+   kind, by DivideSkip: of the inverted lists of a set the longest ones are put
+   aside, the short ones are merged on a heap, and members that occur often
+   enough to reach the overlap are looked up in the long lists by binary search.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Callable
 from itertools import groupby
 
 import numpy as np
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thalweg.llm.common import map_arrow, materialize, text_rows
-from thalweg.llm.minhash import Kernel, _may_meet, connected, labelled, same_ids, shingles, spanning
+from thalweg.llm.minhash import Kernel, _may_meet, connected, full_sets, labelled, same_ids, shingles, spanning
 
 #: Weight of the long lists' binary searches against the short lists' merge, as the method's authors measured it.
 MU = 0.0085
@@ -101,26 +102,72 @@ class Lists:
         return found[enough], counts[enough]
 
 
-def search_kernel(first: Callable[[np.ndarray], np.ndarray], needed: Callable[[int, np.ndarray], np.ndarray]) -> Kernel:
-    """Links of a block, as a spanning forest: ``first(n)`` values at least for a set of size n, ``needed(n, m)`` for a pair.
+def marks(hashes: np.ndarray) -> np.ndarray:
+    """A bit for each of 2**b equal ranges of 64-bit hashes, two to four times as many as hashes: is one of them there?"""
+    bits = max(6, (2 * len(hashes) - 1).bit_length())
+    there = np.zeros(1 << bits, bool)
+    there[(hashes >> np.uint64(64 - bits)).astype(np.int64)] = True
+    return np.packbits(there)
 
-    The columns are node, side, component, then either the sizes and what was
-    posted of each set, or the full sets as bytes.
+
+def _halved(rows: np.ndarray) -> np.ndarray:
+    """Marks of ranges twice as wide."""
+    bits = np.unpackbits(rows, axis=1)
+    return np.packbits(bits[:, 0::2] | bits[:, 1::2], axis=1)
+
+
+def bound_kernel(share: int) -> Kernel:
+    """Pairs of a block whose marks allow the overlap, as a spanning forest; the columns end with sizes and marks.
+
+    Each range that is marked in one set only holds a hash that the other lacks.
+    Linked sets differ in size by less than a factor of two, so their ranges are
+    the same or twice as wide.
     """
 
     def kernel(columns: list[list]) -> list[tuple[int, int]]:
-        _, side, comp, *sizes, sets = columns
+        _, side, comp, sizes, packed = columns
+        side, comp, n = np.array(side), np.array(comp), np.array(sizes)
+        level = np.array([len(c) for c in packed])
+        at, own, half = np.zeros(len(n), np.int64), {}, {}
+        for v in np.unique(level):
+            of = np.flatnonzero(level == v)
+            at[of] = np.arange(len(of))
+            own[v] = np.frombuffer(b"".join(packed[i] for i in of), np.uint8).reshape(len(of), v)
+            half[v] = _halved(own[v])
+
+        def near(x: int, rest: np.ndarray) -> np.ndarray:
+            can = _may_meet(side, comp, x, rest) & (100 * n[rest] >= share * n[x]) & (100 * n[x] >= share * n[rest])
+            hit, v = np.zeros(len(rest), bool), level[x]
+            for u, mine, theirs in ((v, own, own), (2 * v, own, half), (v // 2, half, own)):
+                of = np.flatnonzero(can & (level[rest] == u))
+                if len(of):
+                    a, b = mine[v][at[x]], theirs[u][at[rest[of]]]
+                    lacks = lambda p, q: np.bitwise_count(p & ~q).sum(axis=1, dtype=np.int64)
+                    most = np.minimum(n[x] - lacks(a, b), n[rest[of]] - lacks(b, a))
+                    hit[of] = most >= overlap(n[x], n[rest[of]], share)
+            return hit
+
+        return spanning(len(n), near)
+
+    return kernel
+
+
+def search_kernel(share: int) -> Kernel:
+    """Links of a block of full sets, as a spanning forest, each found by the search."""
+
+    def kernel(columns: list[list]) -> list[tuple[int, int]]:
+        _, side, comp, sets = columns
         side, comp = np.array(side), np.array(comp)
-        sets = [np.frombuffer(x, np.int64) if isinstance(x, bytes) else x for x in sets]
-        n = np.array(sizes[0] if sizes else [len(x) for x in sets])
-        lists, t = Lists(sets), first(n)
+        sets = [np.frombuffer(x, np.uint64) for x in sets]
+        n = np.array([len(x) for x in sets])
+        lists = Lists(sets)
 
         def near(x: int, rest: np.ndarray) -> np.ndarray:
             alive = np.zeros(len(n), bool)
             alive[rest] = _may_meet(side, comp, x, rest)
-            found, counts = lists.search(x, int(t[x]), alive)
+            found, counts = lists.search(x, int(least(n[x], share)), alive)
             hit = np.zeros(len(n), bool)
-            hit[found[counts >= needed(n[x], n[found])]] = True
+            hit[found[counts >= overlap(n[x], n[found], share)]] = True
             return hit[rest]
 
         return spanning(len(n), near)
@@ -171,14 +218,22 @@ def ngram_join(docs: DataFrame, width: int = 5, share: int = 80, block: int = 51
     doc_id count as one document: each keeps its own n_shingles, and their links
     are shared. Rows without doc_id are linked with nothing and kept. An empty
     table gives no rows; ties do not arise, links being a threshold. N-grams are
-    compared as 64-bit hashes, equal sets by a 128-bit hash. Memory follows a
-    block of sets, 8 bytes an n-gram. Other columns are not looked at.
+    compared as 64-bit hashes, equal sets by a 128-bit hash; ``share`` is above
+    50. Memory follows a block of sets, 8 bytes an n-gram. Other columns are not looked at.
     """
+    if not 50 < share <= 100:
+        raise ValueError("share is a percentage above 50")
     every = materialize(_sets(docs, width, share), "sets")
     linked = every.where("set is not null and doc_id is not null")
     classes = materialize(linked.groupBy("set").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("posted").alias("posted")), "classes")
-    spares = lambda n, m: spare(np.minimum(n, m))
-    signs = search_kernel(lambda n: spare(least(n, share)), spares)
-    confirm = search_kernel(lambda n: least(n, share), lambda n, m: overlap(n, m, share))
+    listed = _lists_of(classes, share)
+    sets = full_sets(docs, width, listed)
+
+    def mark(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [np.frombuffer(x, np.uint64) for x in batch.column("hashes").to_pylist()]
+        return pa.record_batch([batch.column("node"), pa.array([len(x) for x in found], pa.int64()), pa.array([marks(x).tobytes() for x in found], pa.binary())], names=["node", "n", "marks"])
+
+    signed = materialize(map_arrow(sets, mark, "node long, n long, marks binary"), "marks")
     named = every.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set")).alias("set")).join(classes.select("set", "node"), "set", "left")
-    return labelled(named, connected(docs, width, _lists_of(classes, share), classes.select("node", "n", "posted"), signs, confirm, same_ids(named), block))
+    of = lambda nodes: sets.join(nodes.select("node"), "node", "left_semi")
+    return labelled(named, connected(listed, signed, bound_kernel(share), of, search_kernel(share), same_ids(named), block))
