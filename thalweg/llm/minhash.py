@@ -34,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thalweg.llm.common import give_back, keeps, map_arrow, materialize, only, partitions, small_batches, space_words, text_rows
+from thalweg.llm.common import apart as materialize
+from thalweg.llm.common import give_back, keeps, map_arrow, only, partitions, small_batches, space_words, text_rows
 from thalweg.llm.components import components
 
 COORDINATES = 64

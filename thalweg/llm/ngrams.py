@@ -34,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thalweg.llm.common import map_arrow, materialize, text_rows
+from thalweg.llm.common import apart as materialize
+from thalweg.llm.common import map_arrow, text_rows
 from thalweg.llm.minhash import Kernel, _may_meet, connected, full_sets, labelled, same_ids, shingles, spanning
 
 #: Weight of the long lists' binary searches against the short lists' merge, as the method's authors measured it.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thalweg.plans.scratch import materialize
+from thalweg.plans.scratch import apart as materialize
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
