@@ -1,5 +1,6 @@
 """Tables that grow with the input are shuffled in joins, never collected in the driver for a broadcast."""
 
+from thalweg.operators import network as N
 from thalweg.plans.scratch import apart
 
 
@@ -13,3 +14,10 @@ def test_scratch_tables_of_growing_size_are_not_broadcast(spark):
     joined = a.join(b.groupBy("node").count(), "node")
     assert "Broadcast" not in _plan(joined)
     assert joined.count() == 50
+
+
+def test_networks_are_not_broadcast(spark):
+    net = N.RiverNetwork(spark.range(1, 64).selectExpr("id AS subc_id", "id div 2 AS target", "1.0 AS length"))
+    for df in (net.links, N.roots(net), N.accumulate(net, {"n": ("weight", "sum")}, include_focal=False), N.centrality(net, "all")):
+        assert "Broadcast" not in _plan(df)
+    assert {r["id"]: r["hops"] for r in N.roots(net).collect()}[63] == 5

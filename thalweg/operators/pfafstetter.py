@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from thalweg.operators.network import RiverNetwork, accumulate, closure, headwaters, outlets, roots, walk_down
-from thalweg.plans.scratch import materialize
+from thalweg.plans.scratch import apart as materialize
 
 
 def pfafstetter(net: RiverNetwork, area: str = "area") -> DataFrame:
@@ -41,7 +41,7 @@ def pfafstetter(net: RiverNetwork, area: str = "area") -> DataFrame:
     inside = closure(net, seeds=numbered.select(F.col("trib").alias("id"))).join(numbered.select(F.col("trib").alias("base"), "code"), "base").select(F.col("stream").alias("id"), "code")
     # everything else drains to the stem at some place; its code is one more than that of the last main tributary below
     apart = RiverNetwork.__new__(RiverNetwork)
-    apart.edges = net.edges.select("id", "target", "weight").join(stem.select("id", F.lit(True).alias("_stem")), "id", "left").select("id", F.when(F.col("_stem"), F.lit(-1)).otherwise(F.col("target")).alias("target"), "weight")
+    apart.edges = net.edges.select("id", "target", "weight").join(stem.select("id", F.lit(True).alias("_stem")), "id", "left").select("id", F.when(F.col("_stem"), F.lit(-1)).otherwise(F.col("target")).alias("target"), "weight").hint("merge")
     place = roots(apart).select("id", F.col("root").alias("base")).join(stem.select(F.col("id").alias("base"), "pos"), "base").select("id", "pos")
     cuts = numbered.agg(F.sort_array(F.collect_list("pos")).alias("cuts"))
     rest = place.join(inside.select("id"), "id", "left_anti").join(F.broadcast(cuts))
