@@ -47,19 +47,23 @@ def occurrence_metadata(df: DataFrame, year: str = "year", precision: str = "coo
 def away_from(points: DataFrame, places: DataFrame, metres: float, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """The points that no place (lon, lat) lies within ``metres`` of, such as centroids, capitals or institutions.
 
-    Places go to the buckets that their circle touches, points meet those of
-    their own bucket. Points without coordinates stay; repeated rows all stay or
-    go.
+    Places go to the buckets that their circle touches, also beyond the 180th
+    meridian and around a pole, points meet those of their own bucket. Points
+    without coordinates stay; repeated rows all stay or go.
     """
     from thalweg.operators.geometry import haversine
 
     size = max(metres / 100_000.0, 1e-4)  # degrees of latitude; a little more than the radius
     rows, columns = lambda y: F.floor(y / size), lambda x: F.floor(x / size)
-    wide = size / F.greatest(F.lit(0.01), F.cos(F.radians(F.least(F.lit(90.0), F.abs("_y") + size))))
-    around = places.where(F.col("lon").isNotNull() & F.col("lat").isNotNull()).select(F.col("lon").cast("double").alias("_x"), F.col("lat").cast("double").alias("_y")).distinct()
-    dealt = around.withColumn("_i", F.explode(F.sequence(columns(F.col("_x") - wide), columns(F.col("_x") + wide)))).withColumn("_j", F.explode(F.sequence(rows(F.col("_y") - size), rows(F.col("_y") + size))))
+    far = F.abs("_y") + size
+    wide = F.when(far >= 90, 180.0).otherwise(F.least(F.lit(180.0), size / F.cos(F.radians(far))))
+    once = lambda x: x - 360 * F.floor((x + 180) / 360)  # noqa: E731  from -180 to below 180
+    around = places.where(F.col("lon").isNotNull() & F.col("lat").isNotNull()).select(once(F.col("lon").cast("double")).alias("_x"), F.col("lat").cast("double").alias("_y")).distinct()
+    turned = around.withColumn("_turn", F.explode(F.array(*[F.lit(t) for t in (-360.0, 0.0, 360.0)]))).where((F.col("_x") + F.col("_turn") - wide <= 180) & (F.col("_x") + F.col("_turn") + wide >= -180))
+    clamped = lambda x: F.greatest(F.lit(-180.0), F.least(F.lit(180.0), x))
+    dealt = turned.withColumn("_i", F.explode(F.sequence(columns(clamped(F.col("_x") + F.col("_turn") - wide)), columns(clamped(F.col("_x") + F.col("_turn") + wide))))).withColumn("_j", F.explode(F.sequence(rows(F.col("_y") - size), rows(F.col("_y") + size))))
     at = points.where(F.col(lon).isNotNull() & F.col(lat).isNotNull()).select(F.col(lon).alias("_lon"), F.col(lat).alias("_lat")).distinct()
-    met = at.withColumn("_i", columns(F.col("_lon"))).withColumn("_j", rows(F.col("_lat"))).join(dealt, ["_i", "_j"]).where(haversine(F.col("_lon"), F.col("_lat"), F.col("_x"), F.col("_y")) <= metres)
+    met = at.withColumn("_i", columns(once(F.col("_lon").cast("double")))).withColumn("_j", rows(F.col("_lat"))).join(dealt, ["_i", "_j"]).where(haversine(F.col("_lon"), F.col("_lat"), F.col("_x"), F.col("_y")) <= metres)
     near = met.select("_lon", "_lat").distinct()
     return points.join(near, (F.col(lon) == F.col("_lon")) & (F.col(lat) == F.col("_lat")), "left_anti")
 
