@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,10 +27,15 @@ _XY = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
 
 
 def sides_of(polygons: DataFrame, *keep: str) -> DataFrame:
-    """(keep..., x1, y1, x2, y2): the sides of each ring, the last one back to the first point; sides without length are left out."""
+    """(keep..., x1, y1, x2, y2): the sides of each ring, the last one back to the first point; sides without length are left out.
+
+    Decimal coordinates stay decimals, so that their differences are exact; others are doubles.
+    """
+    exact = isinstance(polygons.schema["ring"].dataType.elementType["x"].dataType, T.DecimalType)
+    number = lambda c: F.col(c) if exact else F.col(c).cast("double")
     turned = F.concat(F.slice("ring", F.lit(2), F.greatest(F.size("ring") - 1, F.lit(0))), F.slice("ring", 1, 1))
     pairs = F.explode(F.arrays_zip(F.col("ring").alias("a"), turned.alias("b")))
-    flat = polygons.where(F.size("ring") > 0).select(*keep, pairs.alias("_s")).select(*keep, *[F.col(f"_s.{p}.{c}").cast("double").alias(f"{c}{k}") for k, p in ((1, "a"), (2, "b")) for c in ("x", "y")])
+    flat = polygons.where(F.size("ring") > 0).select(*keep, pairs.alias("_s")).select(*keep, *[number(f"_s.{p}.{c}").alias(f"{c}{k}") for k, p in ((1, "a"), (2, "b")) for c in ("x", "y")])
     return flat.where("x1 <> x2 or y1 <> y2")
 
 
@@ -187,7 +193,8 @@ def spans(polygons: DataFrame, grid, poly: str = "poly_id", touched: bool = Fals
     sides = sides_of(polygons.where(F.col(poly).isNotNull() & F.col("ring").isNotNull()), poly)
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
     top = lambda y: (F.lit(grid.y0) - y) / F.lit(grid.dy)
-    rows = F.sequence(F.floor(top(high)).cast("long"), F.floor(top(low)).cast("long"))
+    more = int(touched)  # rows beside it, which the sides' own test drops
+    rows = F.sequence(F.floor(top(high)).cast("long") - more, F.floor(top(low)).cast("long") + more)
     dealt = sides.withColumn(ROW, F.explode(rows))
     y = grid.lat(F.col(ROW))
     crossed = dealt.where((F.col("y1") > y) != (F.col("y2") > y)).select(poly, ROW, ((F.col("x2") - F.col("x1")) * (y - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")).alias("x"))
@@ -207,7 +214,26 @@ def spans(polygons: DataFrame, grid, poly: str = "poly_id", touched: bool = Fals
     flat = F.col("y1") == F.col("y2")
     xa = F.when(flat, F.col("x1")).otherwise(at(F.greatest(low, F.least(high, edge(1)))))
     xb = F.when(flat, F.col("x2")).otherwise(at(F.greatest(low, F.least(high, edge(0)))))
-    hit = dealt.select(poly, ROW, grid.col(F.least(xa, xb)).cast("long").alias("first"), grid.col(F.greatest(xa, xb)).cast("long").alias("last"))
+    near = dealt.select(poly, ROW, "x1", "y1", "x2", "y2", grid.col(F.least(xa, xb)).cast("long").alias("_a"), grid.col(F.greatest(xa, xb)).cast("long").alias("_b"))
+
+    def part(v1: str, v2: str, lo: Column, hi: Column) -> tuple[Column, Column]:
+        """Where along the side it comes into a band and leaves it; 2 where it never does."""
+        d = F.col(v2) - F.col(v1)
+        ends = (F.try_divide(lo - F.col(v1), d), F.try_divide(hi - F.col(v1), d))
+        level = F.col(v1) == F.col(v2)
+        return F.when(level, F.when((F.col(v1) >= lo) & (F.col(v1) < hi), 0.0).otherwise(2.0)).otherwise(F.least(*ends)), F.when(level, 1.0).otherwise(F.greatest(*ends))
+
+    def runs_through(c: Column) -> Column:
+        x = part("x1", "x2", F.lit(grid.x0) + c * F.lit(grid.dx), F.lit(grid.x0) + (c + 1) * F.lit(grid.dx))
+        y = part("y1", "y2", edge(1), edge(0))
+        return F.greatest(F.lit(0.0), x[0], y[0]) < F.least(F.lit(1.0), x[1], y[1])
+
+    # a cell counts if a stretch of the side lies in it, not for a corner or an end alone; only a run's ends are in doubt
+    whole = F.sequence(F.col("_a") - 1, F.col("_b") + 1)
+    ends = F.when(F.col("_b") - F.col("_a") <= 3, whole).otherwise(F.concat(F.sequence(F.col("_a") - 1, F.col("_a") + 1), F.sequence(F.col("_b") - 1, F.col("_b") + 1)))
+    sure = near.where("_b - _a > 3").select(poly, ROW, (F.col("_a") + 2).alias("first"), (F.col("_b") - 2).alias("last"))
+    tried = near.withColumn("_c", F.explode(ends)).where(runs_through(F.col("_c"))).select(poly, ROW, F.col("_c").alias("first"), F.col("_c").alias("last"))
+    hit = sure.unionByName(tried).distinct()
     return runs.unionByName(hit)
 
 
@@ -224,25 +250,37 @@ def fill(polygons: DataFrame, grid, poly: str = "poly_id", touched: bool = False
     return spans(polygons, grid, poly, touched).select(poly, ROW, F.explode(F.sequence("first", "last")).alias(COL)).distinct()
 
 
-def inside(points: DataFrame, polygons: DataFrame, size: float = 1.0, id: str = "id", poly: str = "poly_id", strips: int = 16) -> DataFrame:
+def inside(points: DataFrame, polygons: DataFrame, size: float = 1.0, id: str = "id", poly: str = "poly_id", strips: int = 16, border: bool | None = None) -> DataFrame:
     """(id, poly_id): points (id, lon, lat) inside polygons, by the even-odd rule over all rings of an id.
 
     Points meet the boxes of polygons by buckets of ``size`` degrees; what meets
     the points then is not the ring but the sides in the same strip of latitude,
-    ``strips`` of them a bucket.
+    ``strips`` of them a bucket. Points of one place and polygons of equal rings
+    are judged once; the result's rows are their joins with what was found. With
+    ``border`` false points on a side are outside, with true inside; without it
+    the even-odd rule decides (left and lower sides are in).
     """
-    good = polygons.where(F.col(poly).isNotNull() & F.col("ring").isNotNull() & (F.size("ring") > 2)).select(poly, "ring")
+    rings = polygons.where(F.col(poly).isNotNull() & F.col("ring").isNotNull() & (F.size("ring") > 2)).select(poly, "ring")
+    shape = rings.groupBy(poly).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.sha2(F.col("ring").cast("string"), 256))), ","), 256).alias("_shape"))
+    alike = shape.select(poly, F.min(poly).over(W.partitionBy("_shape")).alias("_like")).hint("merge")
+    good = rings.join(alike.where(F.col(poly) == F.col("_like")).select(poly), poly, "left_semi")
     box = good.groupBy(poly).agg(F.min(F.array_min("ring.x")).alias("x0"), F.max(F.array_max("ring.x")).alias("x1"), F.min(F.array_min("ring.y")).alias("y0"), F.max(F.array_max("ring.y")).alias("y1"))
     bucket = lambda c: F.floor(c / size)
     dealt = box.withColumn("bx", F.explode(F.sequence(bucket(F.col("x0")), bucket(F.col("x1"))))).withColumn("by", F.explode(F.sequence(bucket(F.col("y0")), bucket(F.col("y1")))))
-    p = points.where("lon is not null and lat is not null").select(F.col(id).alias("_id"), "lon", "lat", bucket(F.col("lon")).alias("bx"), bucket(F.col("lat")).alias("by"))
-    near = p.join(dealt, ["bx", "by"]).where(F.col("lon").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1"))).select("_id", poly, "lon", "lat", F.floor(F.col("lat") * (strips / size)).alias("_s"))
+    at = points.where("lon is not null and lat is not null").select(F.col(id).alias("_id"), "lon", "lat")
+    p = at.select("lon", "lat").distinct().select("lon", "lat", bucket(F.col("lon")).alias("bx"), bucket(F.col("lat")).alias("by"))
+    near = p.join(dealt, ["bx", "by"]).where(F.col("lon").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1"))).select(poly, "lon", "lat", F.floor(F.col("lat") * (strips / size)).alias("_s"))
     strip = lambda c: F.floor(c * (strips / size))
-    sides = sides_of(good, poly).where("y1 <> y2").withColumn("_s", F.explode(F.sequence(strip(F.least("y1", "y2")), strip(F.greatest("y1", "y2")))))
+    sides = (sides_of(good, poly) if border is not None else sides_of(good, poly).where("y1 <> y2")).withColumn("_s", F.explode(F.sequence(strip(F.least("y1", "y2")), strip(F.greatest("y1", "y2")))))
     straddles = (F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))
-    right = F.col("lon") < (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
-    met = near.join(sides, [poly, "_s"]).where(straddles & right)
-    return met.groupBy("_id", poly, "lon", "lat").agg(F.count("*").alias("_n")).where("_n % 2 = 1").select(F.col("_id").alias(id), poly)
+    right = F.when(straddles, F.col("lon") < (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")).otherwise(False)
+    within = lambda v, a, b: F.col(v).between(F.least(a, b), F.greatest(a, b))
+    on = within("lon", "x1", "x2") & within("lat", "y1", "y2") & ((F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) == (F.col("y2") - F.col("y1")) * (F.col("lon") - F.col("x1")))
+    met = near.join(sides, [poly, "_s"]).where(right if border is None else right | on)
+    odd = F.count_if(right) % 2 == 1
+    judged = met.groupBy(poly, "lon", "lat").agg((odd if border is None else F.bool_or(on) | odd if border else ~F.bool_or(on) & odd).alias("_in")).where("_in")
+    held = judged.select(F.col(poly).alias("_like"), "lon", "lat").hint("merge").join(at, ["lon", "lat"]).select("_id", "_like")
+    return held.hint("merge").join(alike, "_like").select(F.col("_id").alias(id), poly)
 
 
 def met_by_box(polygons: DataFrame, box: tuple[float, float, float, float], poly: str = "poly_id") -> DataFrame:
@@ -295,8 +333,6 @@ def buffer_cells(lakes: DataFrame, radius: Column | float, id: str = "lake_id")
     only if the next cell there is further from the lake than itself, so what is
     sent grows with the outline times the radius, and no two cells are paired.
     """
-    from pyspark.sql import Window as W
-
     r = F.lit(float(radius)) if isinstance(radius, int | float) else radius
     own = lakes.where(F.col(id).isNotNull()).select(id, F.col(ROW).cast("long").alias(ROW), F.col(COL).cast("long").alias(COL), r.cast("double").alias("_r")).where("_r >= 0").distinct()
     down = W.partitionBy(id, COL).orderBy(ROW)

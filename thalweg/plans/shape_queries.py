@@ -100,8 +100,11 @@ f AS (SELECT g.poly_id, cell_row, cell_col, g.x, g.y, count(*) FILTER ((y1 > g.y
 
 
 def _shaped(spark: SparkSession, sf: str) -> DataFrame:
-    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("poly_id"), (F.col("s_suppkey") % 13 * 3.01).alias("ox"), (F.col("s_suppkey") % 11 * 2.03).alias("oy"), (1 + F.col("s_suppkey") % 3 * 0.37).alias("k"))
-    ring = lambda points: F.array(*[F.struct((F.col("ox") + F.col("k") * x).alias("x"), (F.col("oy") + F.col("k") * y).alias("y")) for x, y in points])
+    # decimals, as the SQL's literals are
+    n = lambda v: F.lit(f"{v:.2f}").cast("decimal(4,2)")
+    key = lambda m: (F.col("s_suppkey") % m).cast("decimal(2,0)")
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("poly_id"), (key(13) * n(3.01)).alias("ox"), (key(11) * n(2.03)).alias("oy"), (1 + key(3) * n(0.37)).alias("k"))
+    ring = lambda points: F.array(*[F.struct((F.col("ox") + F.col("k") * n(x)).cast("decimal(12,4)").alias("x"), (F.col("oy") + F.col("k") * n(y)).cast("decimal(12,4)").alias("y")) for x, y in points])
     return s.select("poly_id", F.explode(F.array(ring(_OUTER), ring(_HOLE))).alias("ring"))
 
 
