@@ -23,7 +23,7 @@ def test_points_on_a_side_and_equal_shapes(spark):
 def test_cells_touched_in_a_corner_only(spark):
     # the side from (0, 0) to (2, 2) passes the corner (1, 1)
     polygon = spark.createDataFrame([(1, [(Decimal(0), Decimal(0)), (Decimal(2), Decimal(2)), (Decimal(2), Decimal(0))])], "poly_id long, ring array<struct<x: decimal(12,4), y: decimal(12,4)>>")
-    cells = {(r["cell_row"], r["cell_col"]) for r in S.fill(polygon, G.Grid(0.0, 4.0, 1.0, 1.0), touched=True).collect()}
+    cells = {(r["cell_row"], r["cell_col"]) for r in S.fill(polygon, G.Grid(0.0, 4.0, 1.0, 1.0), touched="through").collect()}
     assert {(2, 1), (3, 0), (3, 1)} <= cells
     assert (2, 0) not in cells and (1, 2) not in cells
 

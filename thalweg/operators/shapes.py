@@ -181,19 +181,20 @@ def dissolve_polygons(polygons: DataFrame, id: str = "id", units: int = 1_000_00
 # --- filling ---------------------------------------------------------------------
 
 
-def spans(polygons: DataFrame, grid, poly: str = "poly_id", touched: bool = False) -> DataFrame:
+def spans(polygons: DataFrame, grid, poly: str = "poly_id", touched: bool | str = False) -> DataFrame:
     """(poly, cell_row, first, last): runs of columns whose centres lie in a polygon, row by row.
 
     A polygon's rings are all rows with its id; the even-odd rule makes inner
     ones holes. Every side goes to the rows whose centre line it crosses, a
     row's crossings are sorted, and each second gap between them is filled.
-    With ``touched`` the cells that a side runs through count as well (runs may
-    then meet or overlap).
+    With ``touched`` the cells that a side comes to count as well (runs may then
+    meet or overlap), with ``touched="through"`` only those that hold a stretch
+    of a side, not a corner or an end alone.
     """
     sides = sides_of(polygons.where(F.col(poly).isNotNull() & F.col("ring").isNotNull()), poly)
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
     top = lambda y: (F.lit(grid.y0) - y) / F.lit(grid.dy)
-    more = int(touched)  # rows beside it, which the sides' own test drops
+    more = int(touched == "through")  # rows beside it, which the sides' own test drops
     rows = F.sequence(F.floor(top(high)).cast("long") - more, F.floor(top(low)).cast("long") + more)
     dealt = sides.withColumn(ROW, F.explode(rows))
     y = grid.lat(F.col(ROW))
@@ -216,6 +217,9 @@ def spans(polygons: DataFrame, grid, poly: str = "poly_id", touched: bool = Fals
     xb = F.when(flat, F.col("x2")).otherwise(at(F.greatest(low, F.least(high, edge(0)))))
     near = dealt.select(poly, ROW, "x1", "y1", "x2", "y2", grid.col(F.least(xa, xb)).cast("long").alias("_a"), grid.col(F.greatest(xa, xb)).cast("long").alias("_b"))
 
+    if touched != "through":
+        return runs.unionByName(near.select(poly, ROW, F.col("_a").alias("first"), F.col("_b").alias("last")))
+
     def part(v1: str, v2: str, lo: Column, hi: Column) -> tuple[Column, Column]:
         """Where along the side it comes into a band and leaves it; 2 where it never does."""
         d = F.col(v2) - F.col(v1)
@@ -245,7 +249,7 @@ def cells_in_spans(runs: DataFrame, cells: DataFrame, poly: str = "poly_id", blo
     return met.select(poly, ROW, COL).distinct()
 
 
-def fill(polygons: DataFrame, grid, poly: str = "poly_id", touched: bool = False) -> DataFrame:
+def fill(polygons: DataFrame, grid, poly: str = "poly_id", touched: bool | str = False) -> DataFrame:
     """(poly, cell_row, cell_col): all cells of the grid in each polygon."""
     return spans(polygons, grid, poly, touched).select(poly, ROW, F.explode(F.sequence("first", "last")).alias(COL)).distinct()
 

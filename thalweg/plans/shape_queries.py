@@ -115,7 +115,7 @@ def k16_filled_shapes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_SHAPED} SELECT poly_id, cell_row, cell_col FROM f WHERE n % 2 = 1 OR hit")
 def k16_touched_cells(spark: SparkSession, sf: str) -> DataFrame:
-    return S.fill(_shaped(spark, sf), _GRID, touched=True)
+    return S.fill(_shaped(spark, sf), _GRID, touched="through")
 
 
 @query(
