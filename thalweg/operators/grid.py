@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from thalweg.plans.scratch import tasks_for
+
 ROW, COL = "cell_row", "cell_col"
 #: Integer types of rasters and their ranges.
 INTEGER_TYPES = {"Byte": (0, 255), "Int16": (-32768, 32767), "UInt16": (0, 65535), "Int32": (-2147483648, 2147483647), "UInt32": (0, 4294967295), "CInt16": (-32768, 32767), "CInt32": (-2147483648, 2147483647)}
@@ -103,7 +105,9 @@ def extent(cells: DataFrame, grid: Grid) -> DataFrame:
 def mosaic(tiles: Sequence[DataFrame]) -> DataFrame:
     """Tiles laid over each other; where several have data the last wins."""
     every = reduce(DataFrame.unionByName, [t.select(ROW, COL, "value", F.lit(k).alias("_k")) for k, t in enumerate(tiles)])
-    return every.groupBy(ROW, COL).agg(F.max_by("value", F.when(F.col("value").isNotNull(), F.col("_k")).otherwise(F.lit(-1))).alias("value"))
+    # a tile may be a part of a table that another is a part of too
+    n = max(tasks_for(t) for t in tiles)
+    return every.repartition(n, ROW, COL).groupBy(ROW, COL).agg(F.max_by("value", F.when(F.col("value").isNotNull(), F.col("_k")).otherwise(F.lit(-1))).alias("value"))
 
 
 def set_no_data(cells: DataFrame, value: float) -> DataFrame:
@@ -117,21 +121,36 @@ def report_no_data(rasters: dict[str, Grid], spark) -> DataFrame:
 _OFFSETS = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
 
 
+def _sent_around(cells: DataFrame, *keys: str, block: int = 64) -> DataFrame:
+    """Each cell sent to the nine cells around it: keys..., cell_row, cell_col, centre (it is its own), and the cell's other columns.
+
+    Cells are dealt by blocks, those on a block's rim to its neighbours too, and
+    sent within their block only: what is shuffled is the cells and the rims,
+    and rows of one key and cell stand in one task, as grouping by ``keys``,
+    _bi, _bj, cell_row and cell_col needs them.
+    """
+    rest = [c for c in cells.columns if c not in (ROW, COL, *keys)]
+    blocks = lambda c: F.explode(F.sequence(F.floor((F.col(c) - 1) / block), F.floor((F.col(c) + 1) / block)))
+    dealt = cells.withColumn("_bi", blocks(ROW)).withColumn("_bj", blocks(COL)).repartition(tasks_for(cells), *keys, "_bi", "_bj")
+    sent = dealt.select(*keys, "_bi", "_bj", F.explode(F.array(*[F.struct((F.col(ROW) + i).alias(ROW), (F.col(COL) + j).alias(COL), F.lit(i == 0 and j == 0).alias("centre")) for i, j in _OFFSETS])).alias("to"), *rest)
+    own = (F.floor(F.col(f"to.{ROW}") / block) == F.col("_bi")) & (F.floor(F.col(f"to.{COL}") / block) == F.col("_bj"))
+    return sent.where(own).select(*keys, "_bi", "_bj", F.col(f"to.{ROW}").alias(ROW), F.col(f"to.{COL}").alias(COL), F.col("to.centre").alias("centre"), *rest)
+
+
 def focal(cells: DataFrame) -> DataFrame:
     """Maximum and mean over the 3 x 3 neighbourhood of each cell, cells with data only.
 
-    Each cell is sent to the nine cells around it and summed there map-side;
-    there is no join of the raster with itself.
+    Each cell is sent to the nine cells around it and summed there, block by
+    block; there is no join of the raster with itself.
     """
-    sent = cells.where("value is not null").select(F.explode(F.array(*[F.struct((F.col(ROW) + i).alias(ROW), (F.col(COL) + j).alias(COL), F.when(F.lit(i == 0 and j == 0), F.col("value")).alias("own")) for i, j in _OFFSETS])).alias("to"), "value")
-    out = sent.groupBy(F.col(f"to.{ROW}").alias(ROW), F.col(f"to.{COL}").alias(COL)).agg(F.max("to.own").alias("value"), F.max("value").alias("focal_max"), F.avg("value").alias("focal_mean"))
-    return out.where("value is not null")
+    sent = _sent_around(cells.where("value is not null").select(ROW, COL, "value"))
+    out = sent.groupBy("_bi", "_bj", ROW, COL).agg(F.max(F.when(F.col("centre"), F.col("value"))).alias("own"), F.max("value").alias("focal_max"), F.avg("value").alias("focal_mean"))
+    return out.where("own is not null").select(ROW, COL, F.col("own").alias("value"), "focal_max", "focal_mean")
 
 
 def edge_cells(lake: DataFrame, border: bool = True) -> DataFrame:
     """Cells of the lake with at least one of the eight neighbours outside it (``border``), or cells outside next to it."""
-    sent = lake.select(F.explode(F.array(*[F.struct((F.col(ROW) + i).alias(ROW), (F.col(COL) + j).alias(COL), F.lit(int(i == 0 and j == 0)).alias("own")) for i, j in _OFFSETS])).alias("to"))
-    near = sent.groupBy(F.col(f"to.{ROW}").alias(ROW), F.col(f"to.{COL}").alias(COL)).agg(F.max("to.own").alias("own"), F.count("*").alias("n"))
+    near = _sent_around(lake.select(ROW, COL)).groupBy("_bi", "_bj", ROW, COL).agg(F.max(F.col("centre").cast("int")).alias("own"), F.count("*").alias("n"))
     return near.where("own = 1 and n < 9" if border else "own = 0").select(ROW, COL)
 
 
@@ -144,8 +163,8 @@ def lake_intersections(lake: DataFrame, streams: DataFrame, flow: DataFrame, n:
     """
     from pyspark.sql import Window as W
 
-    sent = lake.select("lake_id", F.explode(F.array(*[F.struct((F.col(ROW) + i).alias(ROW), (F.col(COL) + j).alias(COL), F.lit(int(i == 0 and j == 0)).alias("own")) for i, j in _OFFSETS])).alias("to"))
-    outer = sent.groupBy("lake_id", F.col(f"to.{ROW}").alias(ROW), F.col(f"to.{COL}").alias(COL)).agg(F.max("to.own").alias("own")).where("own = 0").drop("own")
+    sent = _sent_around(lake.select("lake_id", ROW, COL), "lake_id")
+    outer = sent.groupBy("lake_id", "_bi", "_bj", ROW, COL).agg(F.bool_or("centre").alias("own")).where("not own").select("lake_id", ROW, COL)
     around = focal(flow)
     hit = outer.join(streams.select(ROW, COL, F.col("value").alias("subc_id")), [ROW, COL]).join(around.select(ROW, COL, F.col("value").alias("flow"), F.col("focal_max").alias("flow_max"), F.col("focal_mean").alias("flow_mean")), [ROW, COL])
     one = hit.withColumn("_n", F.row_number().over(W.partitionBy("lake_id", "subc_id").orderBy(F.desc("flow_max"), F.desc("flow"), ROW, COL))).where("_n = 1").drop("_n")
