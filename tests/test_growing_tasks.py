@@ -2,6 +2,7 @@
 
 import random
 
+from thalweg.operators import geometry as GEO
 from thalweg.operators import grid as G
 from thalweg.plans.scratch import tasks_for
 
@@ -31,3 +32,13 @@ def test_windows_over_the_borders_of_blocks(spark):
     assert {tuple(x) for x in G.edge_cells(cells).collect()} == {k for k, v in around.items() if len(v) < 9}
     beside = {(r + i, c + j) for r, c in at for i in (-1, 0, 1) for j in (-1, 0, 1)} - set(at)
     assert sorted(map(tuple, G.edge_cells(cells, border=False).collect())) == sorted(beside)
+
+
+def test_blocks_of_points_meet_once_in_as_many_tasks(spark):
+    points = spark.range(60).selectExpr("id", "id % 2 AS g", "id * 1.5 AS lon", "id - 30.0 AS lat")
+    for by, block, meetings in ((None, 10, 21), ("g", 10, 12)):
+        d = GEO.point_distances(points, by, block=block)
+        assert d.rdd.getNumPartitions() == meetings
+        rows = d.collect()
+        assert len({(r["from"], r["to"]) for r in rows}) == len(rows) == (60 * 59 // 2 if by is None else 30 * 29)
+        assert all(r["from"] < r["to"] for r in rows)
