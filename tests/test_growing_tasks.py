@@ -4,6 +4,8 @@ import random
 
 from thalweg.operators import geometry as GEO
 from thalweg.operators import grid as G
+from thalweg.operators import habitat as H
+from thalweg.operators import network as N
 from thalweg.plans.scratch import tasks_for
 
 
@@ -42,3 +44,40 @@ def test_blocks_of_points_meet_once_in_as_many_tasks(spark):
         rows = d.collect()
         assert len({(r["from"], r["to"]) for r in rows}) == len(rows) == (60 * 59 // 2 if by is None else 30 * 29)
         assert all(r["from"] < r["to"] for r in rows)
+
+
+def test_patches_meet_once_where_all_their_members_come_together(spark):
+    draw = random.Random(3)
+    target = {k: k // 2 if k > 1 else -1 for k in range(1, 128)}
+    length = {k: float(draw.randint(1, 9)) for k in target}
+    net = N.RiverNetwork(spark.createDataFrame([(k, t, length[k]) for k, t in target.items()], "subc_id long, target long, length double"))
+    patch = {k: k // 8 if k % 3 else draw.randint(50, 53) for k in target if k % 4 < 3}  # near ones and scattered ones
+
+    def way(k):
+        out = {}
+        d = 0.0
+        while k > 0:
+            out[k] = d
+            d, k = d + length[k], target[k]
+        return out
+
+    ways, want = {k: way(k) for k in patch}, {}
+    for a in patch:
+        for b in patch:
+            if patch[a] < patch[b]:
+                d = min(ways[a][m] + ways[b][m] for m in ways[a].keys() & ways[b].keys())
+                want[patch[a], patch[b]] = min(d, want.get((patch[a], patch[b]), d))
+    patches = spark.createDataFrame(list(patch.items()), "id long, patch long")
+    got = H.patch_distances(net, patches).collect()
+    assert len(got) == len(want) and {(r["patch_a"], r["patch_b"]): r["distance"] for r in got} == want
+    members = N.with_via(N.walk_down(net, patches.select("id"))).join(patches.withColumnRenamed("id", "base"), "base")
+    assert N.meetings(members, block=4, nearest="patch").count() < N.meetings(members.drop("patch"), block=4).count() == len(patch) * (len(patch) - 1) // 2
+
+
+def test_pairs_of_points_on_a_network_are_not_shuffled(spark):
+    net = N.RiverNetwork(spark.range(1, 64).selectExpr("id AS subc_id", "id div 2 AS target", "1.0 AS length"))
+    at = spark.range(32, 64).selectExpr("id", "id AS subc_id", "0.5 AS fraction")
+    plan = GEO.network_distances(net, at)._jdf.queryExecution().executedPlan().toString()
+    first = plan.split("Union")[1].split("SortMergeJoin", 1)[0]  # from the result down to the join that makes the pairs
+    assert "Exchange" not in first and "meet" not in first.replace("meet#", "")
+    assert "i#" in plan.split("SortMergeJoin", 2)[1].split("\n")[0]
