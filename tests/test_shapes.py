@@ -71,6 +71,16 @@ def test_union_of_tiles_with_t_junctions_holes_and_corners(spark):
         assert r["hole"] == (area(points(r["ring"])) > 0)
 
 
+def test_a_bay_that_opens_at_a_corner_only_belongs_to_one_ring(spark):
+    # all around (1, 1) but its lower left: the ring comes twice to the point (1, 1), no side runs in two rings
+    squares = {(x, y) for x in range(3) for y in range(3)} - {(1, 1), (0, 0)}
+    rows = [(0, [(float(a), float(b)) for a, b in ((x, y), (x, y + 1), (x + 1, y + 1), (x + 1, y))]) for x, y in squares]
+    for tile in (1.0, 8.0):
+        rings = [points(r["ring"]) for r in S.dissolve_polygons(spark.createDataFrame(rows, f"id int, ring {RING}"), tile=tile).collect()]
+        assert len(rings) == 1 and rings[0].count((1.0, 1.0)) == 2
+        assert -sum(map(area, rings)) == len(squares)
+
+
 def test_union_of_rings_with_holes_and_slanting_borders(spark):
     outer, hole = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)], [(1.0, 1.0), (3.0, 1.0), (3.0, 3.0), (1.0, 3.0)]
     # two halves of a plug along a diagonal with a point on it that one half lacks
