@@ -6,6 +6,7 @@ from thalweg.operators import geometry as GEO
 from thalweg.operators import grid as G
 from thalweg.operators import habitat as H
 from thalweg.operators import network as N
+from thalweg.operators import shapes as S
 from thalweg.plans.scratch import tasks_for
 
 
@@ -91,3 +92,23 @@ def test_points_meet_pieces_in_tasks_by_the_files(spark, monkeypatch):
     assert near.rdd.getNumPartitions() == 7
     rows = near.collect()
     assert len(rows) == 2 and {r["id"] for r in rows} == {1, 2}
+
+
+def test_outlines_over_the_borders_of_blocks_and_rings_of_one_tile(spark, monkeypatch):
+    draw = random.Random(7)
+    cells = {(r, c, draw.randrange(2)) for r in range(-6, 9) for c in range(-5, 9) if draw.random() < 0.8}
+    rows = spark.createDataFrame([*cells] * 2, "cell_row int, cell_col long, value int")
+    grid, want = G.Grid(0.0, 0.0, 1.0, 1.0), set()
+    for r, c, z in cells:
+        for dr, dc, a, b in ((-1, 0, (c, -r), (c + 1, -r)), (0, 1, (c + 1, -r), (c + 1, -r - 1)), (1, 0, (c + 1, -r - 1), (c, -r - 1)), (0, -1, (c, -r - 1), (c, -r))):
+            if (r + dr, c + dc, z) not in cells:
+                want.add((z, *a, *b))
+    sides = GEO.cell_outlines(rows, grid, block=4)
+    assert sides._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # the cells', sides are not shuffled
+    assert sorted(map(tuple, sides.collect())) == sorted(want)
+    kept = []
+    monkeypatch.setattr(S, "materialize", lambda df, name, write=S.materialize: kept.append(name) or write(df, name))
+    rings = {tile: sorted((z, tuple(map(tuple, ring))) for z, ring in S.chain_rings(sides, tile).collect()) for tile in (2.0, 64.0)}
+    assert rings[2.0] == rings[64.0]
+    assert sorted((z, *ring[k - 1], *ring[k]) for z, ring in rings[2.0] for k in range(len(ring))) == sorted(want)
+    assert kept == ["chains", "chains"]  # sides find what follows them in their tile, they are not written and joined for it

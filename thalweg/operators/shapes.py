@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from thalweg.operators.components import components
 from thalweg.operators.geometry import haversine
 from thalweg.operators.grid import COL, ROW
-from thalweg.plans.scratch import materialize, partitions
+from thalweg.plans.scratch import materialize, tasks_for
 
 XY = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
 _XY = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
@@ -50,67 +50,124 @@ def signed_area(ring: Column) -> Column:
 # --- rings from sides ------------------------------------------------------------
 
 
-def _followers(sides: DataFrame) -> DataFrame:
-    """(zone, e, x1, y1, next): each side's name and that of the side that follows it.
-
-    Where several begin in a side's end, the one furthest to the right follows,
-    which keeps rings that touch in a point apart.
+def _whole_tiles(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rows: int = 100_000) -> Iterator[pa.Table]:
+    """The rows of batches that are sorted by ``keys`` in tables of about ``rows``, none of which ends within equal keys."""
+    held, n, wait = [], 0, rows
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n < wait:
+            continue
+        t = pa.Table.from_batches(held)
+        last = np.logical_and.reduce([t.column(c).to_numpy() == t.column(c)[-1].as_py() for c in keys])
+        cut = 0 if last.all() else int(np.flatnonzero(~last)[-1]) + 1
+        if cut:
+            yield t.slice(0, cut)
+        held, n = t.slice(cut).to_batches(), n - cut
+        wait = max(rows, 2 * n)
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def _follow(at: np.ndarray, to: np.ndarray, own: np.ndarray, here: np.ndarray, dx: np.ndarray, dy: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """The row that follows each row whose end is ``here`` (else -1): of the ``own`` rows that begin there the one furthest to the right.
+
+    That keeps rings that touch in a point apart. ``at`` and ``to`` number the points.
     """
-    named = materialize(sides.select("zone", F.xxhash64("zone", "x1", "y1", "x2", "y2").alias("e"), "x1", "y1", "x2", "y2"), "sides")
-    after = named.select("zone", F.col("e").alias("next"), F.col("x1").alias("x2"), F.col("y1").alias("y2"), (F.col("x2") - F.col("x1")).alias("_u"), (F.col("y2") - F.col("y1")).alias("_v"))
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    turn = F.atan2(dx * F.col("_v") - dy * F.col("_u"), dx * F.col("_u") + dy * F.col("_v"))
-    met = named.join(after, ["zone", "x2", "y2"])
-    return met.groupBy("zone", "e", "x1", "y1").agg(F.min_by("next", F.struct(turn, "next")).alias("next"))
+    begin = np.flatnonzero(own)
+    begin = begin[np.argsort(at[begin], kind="stable")]
+    ends = np.flatnonzero(here)
+    lo = np.searchsorted(at[begin], to[ends], "left")
+    n = np.searchsorted(at[begin], to[ends], "right") - lo
+    row = np.repeat(ends, n)
+    after = begin[np.arange(len(row)) - np.repeat(np.cumsum(n) - n - lo, n)]
+    turn = np.arctan2(dx[row] * dy[after] - dy[row] * dx[after] + 0.0, dx[row] * dx[after] + dy[row] * dy[after] + 0.0)
+    best = np.lexsort((e[after], turn, row))
+    best = best[np.r_[True, row[best][1:] != row[best][:-1]]] if len(best) else best
+    out = np.full(len(at), -1)
+    out[row[best]] = after[best]
+    return out
+
+
+def _runs(before: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows that each have at most one before them (-1: none): the first row of each one's run, the place in it, and whether it is closed.
+
+    Closed runs begin at their row of the smallest rank. All by pointer doubling.
+    """
+    n = len(before)
+    self_ = np.arange(n)
+    back = np.where(before < 0, self_, before)
+    least, jump = np.where(before < 0, -1, rank), back
+    while (least != least[back]).any():
+        least, jump = np.minimum(least, least[jump]), jump[jump]
+    closed = least >= 0
+    first = (before < 0) | (closed & (rank == least))
+    jump = np.where(first, self_, back)
+    place = (~first).astype(np.int64)
+    while not first[jump].all():
+        place, jump = place + place[jump], jump[jump]
+    return jump, place, closed
 
 
 def chain_rings(sides: DataFrame, tile: float = 1.0, simplify: bool = False) -> DataFrame:
     """(zone, ring): the closed rings of directed sides (zone, x1, y1, x2, y2), each from its smallest point on.
 
-    Sides are chained tile by tile (``tile`` in their unit), chains that leave a
-    tile are told apart by the components of their links, and a ring is put
-    together from its chains; so a task holds one tile of one zone, or one ring,
-    which is one row of the result. ``simplify`` drops points at which a ring
-    does not turn. Sides must close: at every point as many end as begin.
+    Sides go once to the tile that they begin in and that they end in (``tile``
+    in their unit), where each finds the side that follows it, many tiles at a
+    time. A ring within a tile is done there; chains that leave a tile are told
+    apart by the components of their links, and such a ring is put together from
+    its chains; so a task holds some tiles of a zone, or one ring, which is one
+    row of the result. ``simplify`` drops points at which a ring does not turn.
+    Sides must close: at every point as many end as begin.
     """
-    spark = sides.sparkSession
     zone = sides.schema["zone"]
-    next_ = _followers(sides)
-    dealt = next_.select("zone", F.floor(F.col("x1") / tile).alias("_i"), F.floor(F.col("y1") / tile).alias("_j"), "e", "next", "x1", "y1")
+    place = lambda k: F.struct(F.floor(F.col(f"x{k}") / tile).alias("i"), F.floor(F.col(f"y{k}") / tile).alias("j"))
+    tiles = F.when(place(1) == place(2), F.array(place(1))).otherwise(F.array(place(1), place(2)))
+    side = ("x1", "y1", "x2", "y2")
+    dealt = sides.where("zone is not null").select("zone", *side, F.explode(tiles).alias("_t")).select("zone", F.col("_t.i").alias("_i"), F.col("_t.j").alias("_j"), *side).repartition(tasks_for(sides), "zone", "_i", "_j")
+    named = dealt.withColumn("_z", F.xxhash64("zone")).withColumn("e", F.xxhash64("zone", *side)).sortWithinPartitions("_z", "_i", "_j")
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-
-        def close() -> pa.RecordBatch:
-            to = {e: (n, x, y) for e, n, x, y in held}
-            inner = {n for n, _, _ in to.values()}
-            heads, ends, points = [], [], []
-            for first in [*(e for e in to if e not in inner), *to]:  # what is left after the open chains are closed rings
-                if first not in to:
-                    continue
-                line, e = [], first
-                while e in to:
-                    e, x, y = to.pop(e)
-                    line.append({"x": x, "y": y})
-                heads.append(first)
-                ends.append(None if e == first else e)
-                points.append(line)
-            return pa.record_batch([pa.array([now[0]] * len(heads), kind), pa.array(heads, pa.int64()), pa.array(ends, pa.int64()), pa.array(points, _XY)], names=["zone", "head", "after", "points"])
-
-        for batch in batches:
-            kind = batch.schema.field("zone").type
-            for z, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("zone", "_i", "_j", "e", "next", "x1", "y1")), strict=True):
-                if now != (z, i, j):
-                    if held:
-                        yield close()
-                    now, held = (z, i, j), []
-                held.append(row)
-        if held:
-            yield close()
+        for t in _whole_tiles(batches, ("_z", "_i", "_j")):
+            x1, y1, x2, y2, z, i, j, e = (t.column(c).to_numpy() for c in (*side, "_z", "_i", "_j", "e"))
+            own = (np.floor(x1 / tile) == i) & (np.floor(y1 / tile) == j)
+            here = (np.floor(x2 / tile) == i) & (np.floor(y2 / tile) == j)
+            n = len(z)
+            group = np.cumsum(np.r_[False, (z[1:] != z[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+            g, x, y = np.r_[group, group], np.r_[x1, x2], np.r_[y1, y2]
+            order = np.lexsort((y, x, g))
+            g, x, y = g[order], x[order], y[order]
+            point = np.empty(2 * n, np.int64)
+            point[order] = np.cumsum(np.r_[False, (g[1:] != g[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+            dx, dy = x2 - x1, y2 - y1
+            next_ = _follow(point[:n], point[n:], own, here, dx, dy, e)
+            before = np.full(n, -1)
+            before[next_[next_ >= 0]] = np.flatnonzero(next_ >= 0)
+            rank = np.empty(n, np.int64)
+            rank[np.argsort(point[:n], kind="stable")] = np.arange(n)
+            first, at, closed = _runs(before, rank)
+            rows = np.flatnonzero(own)
+            rows = rows[np.lexsort((at[rows], first[rows]))]
+            if not len(rows):
+                continue
+            start = np.flatnonzero(np.r_[True, first[rows][1:] != first[rows][:-1]])
+            last = np.r_[start[1:], len(rows)] - 1
+            heads, ends, whole = first[rows[start]], rows[last], closed[rows[start]]
+            size = last - start + 1
+            if simplify:
+                came = np.r_[0, rows[:-1]]
+                came[start] = ends
+                turns = (dx[came] * dy[rows] != dy[came] * dx[rows]) | (dx[came] * dx[rows] + dy[came] * dy[rows] < 0) | ~closed[rows]
+                size = np.add.reduceat(turns.astype(np.int64), start)
+                rows = rows[turns]
+            xy = pa.StructArray.from_arrays([pa.array(x1[rows]), pa.array(y1[rows])], fields=list(_XY.value_type))
+            points = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), xy, type=_XY)
+            yield pa.record_batch([t.column("zone").combine_chunks().take(pa.array(heads)), pa.array(e[heads], mask=whole), pa.array(e[ends], mask=whole), points], names=["zone", "head", "after", "points"])
 
     schema = T.StructType([zone, T.StructField("head", T.LongType()), T.StructField("after", T.LongType()), T.StructField("points", XY)])
-    chains = materialize(dealt.repartition(partitions(spark), "zone", "_i", "_j").sortWithinPartitions("zone", "_i", "_j").mapInArrow(chain, schema), "chains")
-    names = components(chains.where("after is not null").select(F.col("head").alias("a"), F.col("after").alias("b")))
+    found = materialize(named.mapInArrow(chain, schema), "chains")
+    chains = found.where("head is not null")
+    names = components(chains.select(F.col("head").alias("a"), F.col("after").alias("b")))
     whole = chains.join(names, chains["head"] == names["node"], "left").select("zone", F.coalesce("component", "head").alias("_ring"), F.struct("head", "after", "points").alias("c"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +183,8 @@ def chain_rings(sides: DataFrame, tile: float = 1.0, simplify: bool = False) ->
                 rings.append(_tidy(np.array(line), simplify))
             yield pa.record_batch([batch.column("zone"), pa.array([[{"x": x, "y": y} for x, y in r.tolist()] for r in rings], _XY)], names=["zone", "ring"])
 
-    return whole.groupBy("zone", "_ring").agg(F.collect_list("c").alias("chains")).select("zone", "chains").mapInArrow(finish, T.StructType([zone, T.StructField("ring", XY)]))
+    over = whole.groupBy("zone", "_ring").agg(F.collect_list("c").alias("chains")).select("zone", "chains").mapInArrow(finish, T.StructType([zone, T.StructField("ring", XY)]))
+    return found.where("head is null").select("zone", F.col("points").alias("ring")).unionByName(over)
 
 
 def _tidy(ring: np.ndarray, simplify: bool) -> np.ndarray:
