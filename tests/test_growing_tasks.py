@@ -112,3 +112,19 @@ def test_outlines_over_the_borders_of_blocks_and_rings_of_one_tile(spark, monkey
     assert rings[2.0] == rings[64.0]
     assert sorted((z, *ring[k - 1], *ring[k]) for z, ring in rings[2.0] for k in range(len(ring))) == sorted(want)
     assert kept == ["chains", "chains"]  # sides find what follows them in their tile, they are not written and joined for it
+
+
+def test_buffers_over_the_borders_of_blocks_shuffle_the_lakes_cells_only(spark, monkeypatch):
+    draw = random.Random(11)
+    lakes = {(k, draw.randrange(-9, 12), draw.randrange(-9, 12)) for k in (1, 2) for _ in range(60)}
+    rows = spark.createDataFrame([*lakes] * 2, "lake_id int, cell_row int, cell_col int")
+    monkeypatch.setattr(S, "tasks_for", lambda df, mb: 7)
+    got = S.buffer_cells(rows, 1.5 + G.F.col("lake_id"), block=4)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1 and got.rdd.getNumPartitions() == 7
+    want = {}
+    for k, r, c in lakes:
+        for i in range(-3, 4):
+            for j in range(-3, 4):
+                if i * i + j * j <= (1.5 + k) ** 2:
+                    want[k, r + i, c + j] = min(want.get((k, r + i, c + j), 99), i * i + j * j)
+    assert sorted(map(tuple, got.collect())) == sorted((*at, d) for at, d in want.items())

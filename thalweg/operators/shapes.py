@@ -386,7 +386,7 @@ def buffer_width(km2: Column) -> Column:
     return F.when(km2 <= 1, 0.0009).when(km2 <= 50, 0.0018).when(km2 <= 100, 0.0027).otherwise(0.0036)
 
 
-def buffer_cells(lakes: DataFrame, radius: Column | float, id: str = "lake_id") -> DataFrame:
+def buffer_cells(lakes: DataFrame, radius: Column | float, id: str = "lake_id", block: int = 256) -> DataFrame:
     """(id, cell_row, cell_col, d2): cells within ``radius`` cells of each lake's cells, with the squared distance to the nearest.
 
     ``radius`` is a number or a column of ``lakes``, one value for each lake.
@@ -394,24 +394,32 @@ def buffer_cells(lakes: DataFrame, radius: Column | float, id: str = "lake_id")
     both from the ends of runs only: a cell sends its distance on to one side
     only if the next cell there is further from the lake than itself, so what is
     sent grows with the outline times the radius, and no two cells are paired.
+    A lake's cells go to their block of ``block`` cells and to those that their
+    squares of the radius reach; both steps run within a block, so only the
+    lakes' own cells are shuffled, and a block gives its own cells.
     """
     r = F.lit(float(radius)) if isinstance(radius, int | float) else radius
-    own = lakes.where(F.col(id).isNotNull()).select(id, F.col(ROW).cast("long").alias(ROW), F.col(COL).cast("long").alias(COL), r.cast("double").alias("_r")).where("_r >= 0").distinct()
-    down = W.partitionBy(id, COL).orderBy(ROW)
-    gap = lambda c, w, step, n=1: F.coalesce(F.abs(F.lead(c, n).over(w) - F.col(c)) != 1, F.lit(True)) if step > 0 else F.coalesce(F.abs(F.col(c) - F.lag(c, n).over(w)) != 1, F.lit(True))
-    ends = own.withColumn("_last", gap(ROW, down, 1)).withColumn("_first", gap(ROW, down, -1))
+    own = lakes.where(F.col(id).isNotNull()).select(id, F.col(ROW).cast("long").alias(ROW), F.col(COL).cast("long").alias(COL), r.cast("double").alias("_r")).where("_r >= 0")
     reach = F.floor("_r").cast("long")
+    every = lambda c: F.explode(F.sequence(F.floor((F.col(c) - reach) / block), F.floor((F.col(c) + reach) / block)))
+    place = [id, "_i", "_j"]
+    dealt = own.withColumn("_i", every(ROW)).withColumn("_j", every(COL)).repartition(tasks_for(lakes, 1.0), *place).distinct()
+    down = W.partitionBy(*place, COL).orderBy(ROW)
+    gap = lambda c, w, step, n=1: F.coalesce(F.abs(F.lead(c, n).over(w) - F.col(c)) != 1, F.lit(True)) if step > 0 else F.coalesce(F.abs(F.col(c) - F.lag(c, n).over(w)) != 1, F.lit(True))
+    ends = dealt.withColumn("_last", gap(ROW, down, 1)).withColumn("_first", gap(ROW, down, -1))
+    within = lambda c, b: F.floor(c / block) == F.col(b)
     up = F.when(F.col("_first") & (reach > 0), F.sequence(-reach, F.lit(-1).cast("long"))).otherwise(F.array().cast("array<bigint>"))
     below = F.when(F.col("_last") & (reach > 0), F.sequence(F.lit(1).cast("long"), reach)).otherwise(F.array().cast("array<bigint>"))
-    tall = ends.select(id, COL, "_r", F.col(ROW).alias("_from"), F.explode(F.concat(F.array(F.lit(0).cast("long")), up, below)).alias("_k"))
-    first = tall.groupBy(id, (F.col("_from") + F.col("_k")).alias(ROW), COL).agg(F.min(F.abs("_k")).alias("g"), F.max("_r").alias("_r"))
-    across = W.partitionBy(id, ROW).orderBy(COL)
+    tall = ends.select(*place, COL, "_r", F.col(ROW).alias("_from"), F.explode(F.concat(F.array(F.lit(0).cast("long")), up, below)).alias("_k")).where(within(F.col("_from") + F.col("_k"), "_i"))
+    first = tall.groupBy(*place, (F.col("_from") + F.col("_k")).alias(ROW), COL).agg(F.min(F.abs("_k")).alias("g"), F.max("_r").alias("_r"))
+    across = W.partitionBy(*place, ROW).orderBy(COL)
     lower = lambda step: F.coalesce((F.abs((F.lead(COL) if step > 0 else F.lag(COL)).over(across) - F.col(COL)) != 1) | ((F.lead("g") if step > 0 else F.lag("g")).over(across) > F.col("g")), F.lit(True))
     wide = first.withColumn("_right", lower(1)).withColumn("_left", lower(-1)).withColumn("_h", F.floor(F.sqrt(F.col("_r") * F.col("_r") - F.col("g") * F.col("g"))).cast("long"))
     west = F.when(F.col("_left") & (F.col("_h") > 0), F.sequence(-F.col("_h"), F.lit(-1).cast("long"))).otherwise(F.array().cast("array<bigint>"))
     east = F.when(F.col("_right") & (F.col("_h") > 0), F.sequence(F.lit(1).cast("long"), F.col("_h"))).otherwise(F.array().cast("array<bigint>"))
-    sent = wide.select(id, ROW, F.col(COL).alias("_from"), "g", F.explode(F.concat(F.array(F.lit(0).cast("long")), west, east)).alias("_k"))
-    return sent.groupBy(id, ROW, (F.col("_from") + F.col("_k")).alias(COL)).agg(F.min(F.col("g") * F.col("g") + F.col("_k") * F.col("_k")).alias("d2"))
+    sent = wide.select(*place, ROW, F.col(COL).alias("_from"), "g", F.explode(F.concat(F.array(F.lit(0).cast("long")), west, east)).alias("_k")).where(within(F.col("_from") + F.col("_k"), "_j"))
+    met = sent.groupBy(*place, ROW, (F.col("_from") + F.col("_k")).alias(COL)).agg(F.min(F.col("g") * F.col("g") + F.col("_k") * F.col("_k")).alias("d2"))
+    return met.select(id, ROW, COL, "d2")
 
 
 # --- parts of lines ---------------------------------------------------------------------
