@@ -115,3 +115,18 @@ def test_linked_sets_share_enough_of_what_they_post():
                 got = len(set(own[: N.posted(n, share)]) & set(other[: N.posted(len(other), share)]))
                 assert got >= min(N.spare(n), N.spare(len(other))) >= max(N.spare(N.least(n, share)), N.spare(N.least(len(other), share)))
                 assert len(other) >= N.least(n, share) and common >= N.least(n, share)
+
+
+def test_postings_are_shuffled_by_their_key_once(spark, monkeypatch):
+    from thalweg.llm import ngrams
+
+    plans = {}
+
+    def look(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return df
+
+    monkeypatch.setattr(ngrams, "materialize", look)
+    classes = spark.createDataFrame([(1, 3, [5, 6, 7]), (2, 3, [5, 6, 8]), (3, 3, [9, 10, 11])], "node long, n long, posted array<bigint>")
+    assert {r["node"] for r in ngrams._lists_of(classes, 85).collect()} == {1, 2}
+    assert plans["lists"].count("Exchange hashpartitioning(key") == 1

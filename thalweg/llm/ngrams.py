@@ -32,6 +32,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from thalweg.llm.common import apart as materialize
@@ -198,10 +199,10 @@ def _needed_lists(n: Column, share: int) -> Column:
 
 def _lists_of(classes: DataFrame, share: int) -> DataFrame:
     """The keys (node, keys) under which each class must meet others."""
-    rows = classes.select("node", F.explode("posted").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # counted where they are ranked, so postings are shuffled once
+    rows = classes.select("node", F.explode("posted").alias("key")).withColumn("n", F.count("*").over(W.partitionBy("key"))).where("n > 1")
     size = classes.groupBy("node").agg(_needed_lists(F.min("n"), share).cast("int").alias("needed"))
-    ranked = rows.join(shared, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("lists"))  # at most what the node posted
+    ranked = rows.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("lists"))  # at most what the node posted
     ranked = ranked.join(size, "node").where(F.size("lists") >= F.col("needed"))
     left = materialize(ranked.select("node", F.explode(F.slice("lists", F.lit(1), F.size("lists") - F.col("needed") + 1)["key"]).alias("key")), "lists")
     same = left.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("a"), F.max("node").alias("b"))
