@@ -7,6 +7,7 @@ from thalweg.operators import grid as G
 from thalweg.operators import habitat as H
 from thalweg.operators import network as N
 from thalweg.operators import shapes as S
+from thalweg.plans.network_queries import QUERIES
 from thalweg.plans.scratch import tasks_for
 
 
@@ -128,3 +129,19 @@ def test_buffers_over_the_borders_of_blocks_shuffle_the_lakes_cells_only(spark,
                 if i * i + j * j <= (1.5 + k) ** 2:
                     want[k, r + i, c + j] = min(want.get((k, r + i, c + j), 99), i * i + j * j)
     assert sorted(map(tuple, got.collect())) == sorted((*at, d) for at, d in want.items())
+
+
+def test_orders_write_only_what_the_next_order_needs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("thalweg.plans.fixtures.VIEWS", {"net": "SELECT c_custkey AS subc_id, CASE WHEN c_custkey = 1 THEN -1 ELSE c_custkey div 2 END AS target, 1.0D AS length FROM customer"})
+    spark.range(1, 128).withColumnRenamed("id", "c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    written = []
+
+    def materialize(df, name, write=N.materialize):
+        out = write(df, name)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(N, "materialize", materialize)
+    leaves = {k: 2 ** (7 - k.bit_length()) for k in range(1, 128)}
+    assert {r["subc_id"]: r["shreve"] for r in QUERIES["g_shreve"](spark, str(tmp_path)).collect()} == leaves
+    assert "joints" not in {name for name, _ in written}  # Shreve's numbers are one accumulation, no rounds for Strahler's orders
