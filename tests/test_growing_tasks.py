@@ -145,3 +145,6 @@ def test_orders_write_only_what_the_next_order_needs(spark, tmp_path, monkeypatc
     leaves = {k: 2 ** (7 - k.bit_length()) for k in range(1, 128)}
     assert {r["subc_id"]: r["shreve"] for r in QUERIES["g_shreve"](spark, str(tmp_path)).collect()} == leaves
     assert "joints" not in {name for name, _ in written}  # Shreve's numbers are one accumulation, no rounds for Strahler's orders
+    written.clear()
+    assert {r["subc_id"]: r["strahler"] for r in QUERIES["g_strahler"](spark, str(tmp_path)).collect()} == {k: 8 - k.bit_length() for k in leaves}
+    assert [n for name, n in written if name == "orders"] == [63, 31, 15, 7, 3, 1]  # the segments of the order, not all of them each time

@@ -197,7 +197,7 @@ def b6_planning_units(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH RECURSIVE {CUT}, {CLOSURE.format('cut')}, f AS (SELECT stream AS subc_id, max_by(base, hops) AS fragment FROM c GROUP BY stream) SELECT fragment, strahler, count(*) AS n FROM f JOIN ({NETWORK_SQL['g_strahler']}) o USING (subc_id) GROUP BY fragment, strahler", "net")
 def g12_order_distribution(spark: SparkSession, sf: str) -> DataFrame:
     net = N.RiverNetwork(view(spark, sf, "net"))
-    return H.order_distribution(N.fragments(net, F.col("barrier")), N.stream_orders(net))
+    return H.order_distribution(N.fragments(net, F.col("barrier")), N.strahler_orders(net))
 
 
 @query("SELECT o_orderkey, o_custkey, c_acctbal, row_number() OVER (ORDER BY o_orderkey) AS row_no FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0")
