@@ -2,6 +2,7 @@
 
 import os
 
+from thalweg.operators import geometry as GEO
 from thalweg.operators import grid as G
 from thalweg.operators.crossing import crossed
 from thalweg.operators.lookup import get_ids
@@ -43,3 +44,12 @@ def test_upstream_ids_are_few_bytes_a_row(spark, tmp_path):
     assert rows.count() == rows.distinct().count() == 60 * n
     assert rows.select("upstream_id").distinct().count() == n
     assert _bytes(tmp_path / "up") < 0.6 * 60 * n
+
+
+def test_equal_shapes_and_places_are_dealt_by_the_rows_they_make(spark):
+    square = "array(struct(0D AS x, 0D AS y), struct(0D AS x, 2D AS y), struct(2D AS x, 2D AS y), struct(2D AS x, 0D AS y)) AS ring"
+    polygons = spark.range(300).selectExpr("id AS poly_id", square)
+    points = spark.range(400).selectExpr("id", "1.0D AS lon", "IF(id % 4 = 0, 9.0D, 1.0D) AS lat")
+    held = GEO.points_in_polygons(points, polygons, 4.0)
+    assert held.rdd.getNumPartitions() == 4  # adaptive execution made one task of so little input
+    assert sorted(map(tuple, held.collect())) == [(i, p) for i in range(400) if i % 4 for p in range(300)]

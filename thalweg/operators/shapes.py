@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from thalweg.operators.components import components
+from thalweg.operators.crossing import crossed
 from thalweg.operators.geometry import haversine
 from thalweg.operators.grid import COL, ROW
 from thalweg.plans.scratch import materialize, tasks_for
@@ -342,7 +343,7 @@ def inside(points: DataFrame, polygons: DataFrame, size: float = 1.0, id: str =
     odd = F.count_if(right) % 2 == 1
     judged = met.groupBy(poly, "lon", "lat").agg((odd if border is None else F.bool_or(on) | odd if border else ~F.bool_or(on) & odd).alias("_in")).where("_in")
     held = judged.select(F.col(poly).alias("_like"), "lon", "lat").hint("merge").join(at, ["lon", "lat"]).select("_id", "_like")
-    return held.hint("merge").join(alike, "_like").select(F.col("_id").alias(id), poly)
+    return crossed(alike, held, "_like", "_id").select(F.col("_id").alias(id), poly)
 
 
 def met_by_box(polygons: DataFrame, box: tuple[float, float, float, float], poly: str = "poly_id") -> DataFrame:
